@@ -96,6 +96,17 @@ def star_string(rating: Column) -> Column:
     return F.concat(F.repeat(F.lit("★"), full), F.repeat(F.lit("☆"), F.lit(5) - full))
 
 
+def one_decimal(value: Column) -> Column:
+    """A value from 1 up with one decimal, rounded on its exact binary value, halves up.
+
+    Decimal rounding would show 3.15 as 3.2, although the stored number lies below it.
+    """
+    whole = F.floor(value)
+    fraction = ((value - whole) * F.lit(float(2**52))).cast("long")
+    tenths = whole * 10 + F.shiftright(fraction * 10 + F.lit(2**51), 52)
+    return F.concat(F.floor(tenths / 10).cast("string"), F.lit("."), (tenths % 10).cast("string"))
+
+
 def stat_line(avg_rating: Column, n_ratings: Column, minutes: Column, n_steps: Column,
               n_ingredients: Column, submitted: Column) -> Column:
     """One line of facts about an item; unknown facts are left out."""
@@ -103,7 +114,7 @@ def stat_line(avg_rating: Column, n_ratings: Column, minutes: Column, n_steps: C
         return F.when(value.isNotNull() & (value != 0), F.concat(value.cast("string"), F.lit(suffix)))
 
     counted = F.when(n_ratings.isNotNull(), F.concat(F.lit(" ("), n_ratings.cast("string"), F.lit(" ratings)")))
-    rating = F.concat(F.lit("★ "), F.format_string("%.1f", avg_rating), F.coalesce(counted, F.lit("")))
+    rating = F.concat(F.lit("★ "), one_decimal(avg_rating), F.coalesce(counted, F.lit("")))
     return F.concat_ws(
         " · ",
         F.when(avg_rating.isNotNull(), rating),

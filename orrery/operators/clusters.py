@@ -37,7 +37,7 @@ def distinctive_terms(texts: DataFrame, count: int = 3, min_length: int = 3) ->
     tf = tokens.filter(F.length("term") >= min_length).groupBy("cluster", "term").agg(F.count(F.lit(1)).alias("tf"))
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     n = texts.filter(F.col("cluster") != NOISE).agg(F.countDistinct("cluster").alias("clusters"))
-    weight = F.col("tf") * F.log(1.0 + F.col("clusters") / F.col("df"))
+    weight = F.col("tf") * F.log(F.col("clusters") / F.col("df"))
     scored = tf.join(df, "term").join(F.broadcast(n), how="cross").withColumn("weight", weight)
     best = Window.partitionBy("cluster").orderBy(F.col("weight").desc(), "term")
     kept = scored.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= count)

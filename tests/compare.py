@@ -49,6 +49,9 @@ def compare(spark, folder: str, query, sql: str, connected=None) -> str | None:
     connected = connected or connection(folder)
     result = connected.execute(sql)
     names = [d[0] for d in result.description]
+    loose = [f"{d[0]} {d[1]}" for d in result.description if str(d[1]).startswith(("DECIMAL", "HUGEINT"))]
+    if loose:
+        return f"SQL types to cast: {loose}"
     theirs = result.fetchall()
     if sorted(frame.columns) != sorted(names):
         return f"columns {sorted(frame.columns)} against {sorted(names)}"
