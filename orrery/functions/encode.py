@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, functions as F
 
 from orrery.config import BinEncoder, RangeEncoder
+from orrery.functions.tags import text_array
 
 
 def numeric_value(value: Column, is_text: bool) -> Column:
@@ -47,7 +48,7 @@ def min_max(value: Column, low: Column, high: Column) -> Column:
 
 
 def _constant(values: Sequence[float]) -> Column:
-    return F.array(*[F.lit(float(v)) for v in values])
+    return F.expr(f"array({', '.join(f'{float(v)!r}D' for v in values)})")
 
 
 def _filled(value: Column, encoder: BinEncoder | RangeEncoder) -> Column:
@@ -82,7 +83,7 @@ def bin_assignment(value: Column, encoder: BinEncoder) -> Column:
     value = _filled(value, encoder)
     shift = 1 if encoder.missing.label else 0
     index = F.coalesce(bin_index(value, encoder.edges) + F.lit(shift), F.lit(0))
-    labels = F.array(*[F.lit(label) for label in encoder.classes])
+    labels = text_array(encoder.classes)
     first = F.round(bin_position(value, encoder.edges), 4) if encoder.scalar else F.lit(1.0)
     return F.struct(
         F.element_at(labels, index + 1).alias("category"),

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Mapping, Sequence
+from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import types as T
@@ -159,15 +159,16 @@ def parse_list(literal: Column) -> Column:
     return F.when(literal.isNotNull(), F.coalesce(parsed, F.array().cast("array<string>")))
 
 
+def word_runs(value: Column) -> Column:
+    """Lower-case letter and digit runs of a text; the first and last entry may be empty."""
+    return F.split(F.lower(value), r"[^\p{L}\p{N}]+")
+
+
 def words(value: Column) -> Column:
     """Lower-case letter and digit runs of a text."""
-    return F.filter(F.split(F.lower(value), r"[^\p{L}\p{N}]+"), lambda word: word != "")
+    return F.filter(word_runs(value), lambda word: word != "")
 
 
 def hashed_words(value: Column, dims: int) -> Column:
     """Slot of every word of a text in a ``dims``-wide hashing space."""
     return F.transform(words(value), lambda word: F.pmod(F.xxhash64(word), F.lit(dims)).cast("int"))
-
-
-def join_labels(labels: Sequence[str]) -> Column:
-    return F.array(*[F.lit(label) for label in labels])

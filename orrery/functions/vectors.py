@@ -6,6 +6,8 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, functions as F
 
+from orrery.functions.tags import text_array
+
 NORM_FLOOR = 1e-9
 
 
@@ -55,7 +57,7 @@ def prior_corrected(proba: Column, priors: Sequence[float]) -> Column:
 
 def top_classes(proba: Column, classes: Sequence[str], count: int = 3) -> Column:
     """Best classes with rounded scores, best first, ties by name."""
-    names = F.array(*[F.lit(name) for name in classes])
+    names = text_array(classes)
     pairs = F.zip_with(proba, names, lambda p, name: F.struct((-p).alias("key"), name.alias("name")))
     best = F.slice(F.array_sort(pairs), 1, count)
     return F.transform(

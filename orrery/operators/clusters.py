@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from orrery.config import GROUP_MERGE_THRESHOLD
-from orrery.functions.text import words
+from orrery.functions.text import word_runs
 from orrery.operators.density import NOISE
 from orrery.operators.embed import embed_text
 from orrery.operators.graphs import connected_components, similar_edges
@@ -33,7 +33,7 @@ def overview(points: DataFrame) -> DataFrame:
 
 def distinctive_terms(texts: DataFrame, count: int = 3, min_length: int = 3) -> DataFrame:
     """(cluster, name): the terms frequent in a cluster and rare among the clusters."""
-    tokens = texts.filter(F.col("cluster") != NOISE).select("cluster", F.explode(words(F.col("text"))).alias("term"))
+    tokens = texts.filter(F.col("cluster") != NOISE).select("cluster", F.explode(word_runs(F.col("text"))).alias("term"))
     tf = tokens.filter(F.length("term") >= min_length).groupBy("cluster", "term").agg(F.count(F.lit(1)).alias("tf"))
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     n = texts.filter(F.col("cluster") != NOISE).agg(F.countDistinct("cluster").alias("clusters"))

@@ -11,7 +11,6 @@ points with equal coordinates are one site with a weight from the start.
 
 from __future__ import annotations
 
-import itertools
 import math
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -87,16 +86,16 @@ def _near(a: str, b: str) -> Column:
     return total
 
 
-def _offsets(half: bool) -> Column:
-    """Cells that can hold a point within eps of this one; with ``half`` one of every opposite two."""
-    steps = [o for o in itertools.product(range(-2, 3), repeat=3) if any(o)]
-    if half:
-        steps = [o for o in steps if o > (0, 0, 0)]
-    return F.array(*[F.struct(*[F.lit(v).alias(a) for a, v in zip(AXES, o)]) for o in steps])
-
-
-def _shifted(key: str, offset: str) -> Column:
-    return F.struct(*[(F.col(f"{key}.{a}") + F.col(f"{offset}.{a}")).alias(a) for a in AXES])
+def _to_neighbours(cells: DataFrame, key: str, half: bool) -> DataFrame:
+    """Every row once per cell around its own that can hold a point within eps; with ``half``
+    once for each two opposite cells."""
+    steps = cells
+    for axis in AXES:
+        steps = steps.withColumn(f"_{axis}", F.explode(F.expr("sequence(-2, 2)")))
+    ahead = "(_x > 0) OR (_x = 0 AND _y > 0) OR (_x = 0 AND _y = 0 AND _z > 0)"
+    steps = steps.filter(ahead if half else "_x <> 0 OR _y <> 0 OR _z <> 0")
+    shifted = F.struct(*[(F.col(f"{key}.{axis}") + F.col(f"_{axis}")).alias(axis) for axis in AXES])
+    return steps.withColumn("b_key", shifted).drop("_x", "_y", "_z")
 
 
 def _distance(a: str, b: str) -> Column:
@@ -112,8 +111,9 @@ def _reached(probes: DataFrame, sites: DataFrame, side: float, limit: Column, ne
     spread = probes.select(
         point.alias("probe"), F.col("own").alias("sure"),
         *[F.col(a).alias(f"p_lo_{a}") for a in AXES], *[F.col(a).alias(f"p_hi_{a}") for a in AXES],
-        _key(0, side).alias("home"), F.explode(_offsets(half=False)).alias("step"),
-    ).withColumn("b_key", _shifted("home", "step"))
+        _key(0, side).alias("home"),
+    )
+    spread = _to_neighbours(spread, "home", half=False)
     sure = probes.select(point.alias("probe"), F.col("own").alias("sure"))
     held = ["probe", *[f"p_lo_{a}" for a in AXES], *[f"p_hi_{a}" for a in AXES]]
     level = 0
@@ -121,9 +121,9 @@ def _reached(probes: DataFrame, sites: DataFrame, side: float, limit: Column, ne
     while True:
         judged = cut(open_.filter(_near("p", "b") <= limit).withColumn("inside", _far("p", "b") <= limit))
         certain = judged.filter("inside").groupBy("probe").agg(F.sum("b_n").alias("more"))
-        sure = cut(sure.join(certain, "probe", "left").select(
+        sure = sure.join(certain, "probe", "left").select(
             "probe", (F.col("sure") + F.coalesce("more", F.lit(0))).alias("sure")
-        ))
+        )
         unsettled = sure.filter(F.col("sure") < need).select("probe")
         rest = judged.filter("not inside").join(unsettled, "probe", "left_semi")
         work = rest.agg(F.coalesce(F.sum("b_sites"), F.lit(0)).alias("w")).first()["w"]
@@ -149,14 +149,13 @@ def _reached(probes: DataFrame, sites: DataFrame, side: float, limit: Column, ne
 def _linked_cells(core: DataFrame, side: float, limit: Column, pair_budget: int) -> DataFrame:
     """Pairs of neighbouring cells (a0, b0) with core points within eps of each other."""
     boxes = _boxes(core, 0, side)
-    left = _as_side(boxes, "a").withColumn("step", F.explode(_offsets(half=True)))
-    left = left.withColumn("b_key", _shifted("a_key", "step")).drop("step")
+    left = _to_neighbours(_as_side(boxes, "a"), "a_key", half=True)
     open_ = left.join(_as_side(boxes, "b"), "b_key").withColumn("a0", F.col("a_key")).withColumn("b0", F.col("b_key"))
     level, linked = 0, None
     while True:
         judged = cut(open_.filter(_near("a", "b") <= limit).withColumn("linked", _far("a", "b") <= limit))
         found = judged.filter("linked").select("a0", "b0").distinct()
-        linked = cut(found if linked is None else linked.unionByName(found).distinct())
+        linked = found if linked is None else linked.unionByName(found).distinct()
         rest = judged.join(linked, ["a0", "b0"], "left_anti")
         work = rest.agg(F.coalesce(F.sum(F.col("a_sites") * F.col("b_sites")), F.lit(0)).alias("w")).first()["w"]
         if work <= pair_budget or level >= MAX_LEVEL:
@@ -189,7 +188,7 @@ def dbscan(points: DataFrame, eps: float, min_samples: int, min_size: int = 1,
     located = points.select("id", *[(F.col(a).cast("double") + 0.0).alias(a) for a in AXES])
     sites = cut(located.groupBy(*AXES).agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first")))
     own = sites.groupBy(_key(0, side).alias("cell")).agg(F.sum("n").alias("own"))
-    placed = cut(sites.withColumn("cell", _key(0, side)).join(own, "cell"))
+    placed = sites.withColumn("cell", _key(0, side)).join(own, "cell")
     crowded = placed.filter(F.col("own") >= min_samples)
     thin = placed.filter(F.col("own") < min_samples)
     reached = _reached(thin, sites, side, limit, min_samples, pair_budget)

@@ -33,15 +33,10 @@ def connected_components(nodes: DataFrame, edges: DataFrame, a: str = "a", b: st
             raise RuntimeError(f"components not settled after {max_rounds} rounds")
         both = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
         salt = F.lit(len(pointers))
-
-        def priority(column: str):
-            return F.struct(F.xxhash64(F.col(column), salt), F.col(column))
-
-        lowest = both.groupBy("u").agg(F.min(priority("v")).alias("best"))
-        own = priority("u")
-        step = cut(lowest.select(
-            "u", F.when(own < F.col("best"), F.col("u")).otherwise(F.col("best").getField(F.lit("v"))).alias("p")
-        ))
+        of_v, of_u = F.xxhash64("v", salt), F.xxhash64("u", salt)
+        lowest = both.groupBy("u").agg(F.min_by("v", of_v).alias("best"), F.min(of_v).alias("priority"))
+        # derived from the checkpointed edges whenever it is needed again
+        step = lowest.select("u", F.when(of_u <= F.col("priority"), F.col("u")).otherwise(F.col("best")).alias("p"))
         pointers.append(step)
         moved = current.join(step, "u").select(F.col("p").alias("pu"), "v")
         step_v = step.select(F.col("u").alias("v"), F.col("p").alias("pv"))

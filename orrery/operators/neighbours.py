@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from orrery.functions import vectors as V
+from orrery.functions.vectors import NORM_FLOOR
 
 BROADCAST_BYTES = 128 * 1024 * 1024
 BLOCK_ROWS = 50_000
@@ -30,7 +31,7 @@ def _unit_rows(column: pd.Series) -> np.ndarray:
     if not len(column):
         return np.zeros((0, 0))
     rows = np.stack(column.to_numpy()).astype(np.float64)
-    return rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), V.NORM_FLOOR)
+    return rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), NORM_FLOOR)
 
 
 def _best(distances: np.ndarray, k: int) -> np.ndarray:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from orrery.config import CHILD_THRESHOLD, EXCLUSIVE_MIN_COUNT
-from orrery.functions.tags import class_tags, most_specific
+from orrery.functions.tags import class_tags, most_specific, text_array
 from orrery.operators.items import pair_counts
 from orrery.session import cut
 
@@ -90,7 +90,7 @@ def training_labels(tags: DataFrame, classes: Sequence[str], ancestors: dict[str
     ``labelled`` with exactly one most specific class tag, ``ambiguous`` with several,
     ``untagged`` with none.
     """
-    listed = F.array(*[F.lit(tag) for tag in classes])
+    listed = text_array(classes)
     held = tags.groupBy("id").agg(
         F.collect_set(F.when(F.array_contains(listed, F.col("tag")), F.col("tag"))).alias("tags")
     )

@@ -19,6 +19,8 @@ def build_session(app: str = "orrery", master: str | None = None, **conf: str) -
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         "spark.ui.enabled": "false",
+        # call sites of every Column would cost more than planning the queries
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
     }
     settings.update(conf)
     builder = SparkSession.builder.appName(app)
