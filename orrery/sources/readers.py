@@ -91,7 +91,7 @@ def free_text(rows: DataFrame, text: str, label: str | None = None, rating: str
 
 def class_list(spark: SparkSession, path: str, limit: int = 10_000) -> list[str]:
     """Labels of a class file, one per line, in file order; blank lines are dropped."""
-    rows = spark.read.option("wholetext", True).text(path).limit(2).collect()
+    rows = spark.read.text(path, wholetext=True).limit(2).collect()
     if len(rows) != 1:
         raise ValueError(f"{path}: a class list is one file")
     labels = [line.strip() for line in rows[0][0].splitlines() if line.strip()]
