@@ -42,11 +42,9 @@ def scale_range(records: DataFrame, encoder: RangeEncoder, source: DataFrame | N
     """(id, vector) scaled by the range over all source values."""
     text = dict(records.dtypes)[encoder.field] == "string"
     value = numeric_value(F.col(encoder.field), text)
-    bounds = (source if source is not None else records).agg(
-        F.min(value).alias("_low"), F.max(value).alias("_high")
-    )
-    vector = encode_range(value, encoder, F.col("_low"), F.col("_high"))
-    return records.join(F.broadcast(bounds), how="cross").select("id", vector.alias("vector"))
+    of = source if source is not None else records
+    bounds = of.agg(F.struct(F.min(value).alias("low"), F.max(value).alias("high"))).scalar()
+    return records.select("id", encode_range(value, encoder, bounds["low"], bounds["high"]).alias("vector"))
 
 
 def zero_filled(counts: DataFrame, classes: DataFrame, keys: Sequence[str], values: Sequence[str]) -> DataFrame:
@@ -123,8 +121,9 @@ def secondary_distribution(assignments: DataFrame, classes: DataFrame, families:
     second = classes.filter(F.col("family").isin(list(families))).select(
         F.col("family").alias("secondary"), "label"
     )
-    # both sides are declared class lists, a few dozen rows each
-    spine = F.broadcast(primary).join(F.broadcast(second), how="cross")
+    # the class lists are declared, so their pairs are one short array per label
+    labels = second.agg(F.collect_list(F.struct("secondary", "label"))).scalar()
+    spine = primary.withColumn("s", F.explode(labels)).select("family", "category", "s.secondary", "s.label")
     return zero_filled(counted, spine, ["family", "category", "secondary", "label"], ["n"])
 
 
@@ -167,7 +166,7 @@ def highlighted(assignments: DataFrame, family: str, labels: Sequence[str]) -> D
 
 def with_class_index(assignments: DataFrame, classes: DataFrame) -> DataFrame:
     """Assignments with their class index; an unknown label has index 0."""
-    listed = F.broadcast(classes.select("family", F.col("label").alias("category"), "idx"))
+    listed = classes.select("family", F.col("label").alias("category"), "idx")
     joined = assignments.join(listed, ["family", "category"], "left")
     return joined.withColumn("idx", F.coalesce("idx", F.lit(0)))
 

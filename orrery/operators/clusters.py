@@ -10,15 +10,13 @@ from orrery.operators.density import NOISE
 from orrery.operators.embed import embed_text
 from orrery.operators.graphs import connected_components, similar_edges
 from orrery.operators.positions import with_position
+from orrery.operators.ratings import with_share
 
 
 def sizes(points: DataFrame) -> DataFrame:
     """Points per cluster and their share of all points."""
     counts = points.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
-    total = counts.agg(F.sum("n").alias("_t"))
-    return counts.join(F.broadcast(total), how="cross").select(
-        "cluster", "n", F.round(F.col("n") / F.col("_t"), 4).alias("pct"), (F.col("cluster") == NOISE).alias("is_noise")
-    )
+    return with_share(counts).withColumn("is_noise", F.col("cluster") == NOISE)
 
 
 def overview(points: DataFrame) -> DataFrame:
@@ -36,9 +34,8 @@ def distinctive_terms(texts: DataFrame, count: int = 3, min_length: int = 3) ->
     tokens = texts.filter(F.col("cluster") != NOISE).select("cluster", F.explode(word_runs(F.col("text"))).alias("term"))
     tf = tokens.filter(F.length("term") >= min_length).groupBy("cluster", "term").agg(F.count(F.lit(1)).alias("tf"))
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    n = texts.filter(F.col("cluster") != NOISE).agg(F.countDistinct("cluster").alias("clusters"))
-    weight = F.col("tf") * F.log(F.col("clusters") / F.col("df"))
-    scored = tf.join(df, "term").join(F.broadcast(n), how="cross").withColumn("weight", weight)
+    clusters = tf.agg(F.countDistinct("cluster")).scalar()
+    scored = tf.join(df, "term").withColumn("weight", F.col("tf") * F.log(clusters / F.col("df")))
     best = Window.partitionBy("cluster").orderBy(F.col("weight").desc(), "term")
     kept = scored.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= count)
     ordered = F.array_sort(F.collect_list(F.struct("rank", "term")))

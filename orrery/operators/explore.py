@@ -72,8 +72,7 @@ def sample_per_group(df: DataFrame, group: str, count: int, seed: int, key: str
 def systematic_sample(df: DataFrame, order: list, count: int = SYSTEMATIC_SAMPLE) -> DataFrame:
     """Every ⌊i·N/count⌋-th row of the order; all rows when there are no more than ``count``."""
     placed = with_position(df, order)
-    total = placed.agg(F.count(F.lit(1)).alias("_n"))
-    held = placed.join(F.broadcast(total), how="cross")
+    held = placed.withColumn("_n", df.agg(F.count(F.lit(1))).scalar())
     step = F.ceil(F.col("position") * F.lit(count) / F.col("_n")).cast("long")
     hit = (step < count) & (F.floor(step * F.col("_n") / F.lit(count)).cast("long") == F.col("position"))
     return held.filter((F.col("_n") <= count) | hit).drop("_n")

@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from orrery.operators.neighbours import BLOCK_ROWS, BROADCAST_BYTES, _as_input, _unit_rows
+from orrery.operators.neighbours import BLOCK_ROWS, BROADCAST_BYTES, _as_input, _unit_rows, size_of
 from orrery.session import cut
 
 _EDGE = "a long, b long, similarity double"
@@ -89,10 +89,8 @@ def similar_edges(points: DataFrame, threshold: float, broadcast_bytes: int = BR
 
 def _distinct_edges(points: DataFrame, threshold: float, broadcast_bytes: int, block_rows: int) -> DataFrame:
     points = _as_input(points, "id")
-    size = points.agg(
-        F.count(F.lit(1)).alias("n"), F.coalesce(F.max(F.size("embedding")), F.lit(0)).alias("d")
-    ).first()
-    if size["n"] * (size["d"] * 8 + 8) <= broadcast_bytes:
+    count, size = size_of(points)
+    if size <= broadcast_bytes:
         rows = points.toPandas()  # under the size check
         shared = points.sparkSession.sparkContext.broadcast(
             (rows["id"].to_numpy(np.int64), _unit_rows(rows["embedding"]))
@@ -108,7 +106,7 @@ def _distinct_edges(points: DataFrame, threshold: float, broadcast_bytes: int, b
 
         return points.mapInPandas(search, _EDGE)
 
-    parts = max(1, -(-int(size["n"]) // block_rows))
+    parts = max(1, -(-count // block_rows))
     part = F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")
     every = F.sequence(F.lit(0), F.lit(parts - 1))
     left = points.withColumn("i", part).withColumn("j", F.explode(every)).groupBy("i", "j")

@@ -7,6 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from orrery.operators.ratings import partials
+from orrery.session import cut
+
+VOCABULARY_LIMIT = 10_000  # a record holds at most this many of them, so its combination stays small
 
 
 def item_counts(items: DataFrame, stop_words: Sequence[str] = ()) -> DataFrame:
@@ -48,17 +51,28 @@ def pair_counts(items: DataFrame, vocabulary: DataFrame, item: str = "tag", as_s
     word (with its multiplicity when repeats count), and records with equal entries are counted
     once: pairs are formed per distinct combination, not per record.
     """
-    held = items.join(F.broadcast(vocabulary.select(item)), item, "left_semi")
+    return paired(combinations(items, vocabulary, item, as_set))
+
+
+def combinations(items: DataFrame, vocabulary: DataFrame, item: str = "tag", as_set: bool = True) -> DataFrame:
+    """(held, records): every distinct combination of vocabulary items and how many records have it."""
+    listed = cut(vocabulary.select(item).distinct().limit(VOCABULARY_LIMIT + 1))
+    if listed.count() > VOCABULARY_LIMIT:
+        raise ValueError(f"more than {VOCABULARY_LIMIT} items to pair: choose the most common first")
+    held = items.join(F.broadcast(listed), item, "left_semi")
     if as_set:
-        times = F.lit(1).cast("long")
-        counted = held.select("id", item).distinct().withColumn("times", times)
+        counted = held.select("id", item).distinct().withColumn("times", F.lit(1).cast("long"))
     else:
         counted = held.groupBy("id", item).agg(F.count(F.lit(1)).alias("times"))
     entry = F.struct(F.col(item).alias("item"), "times")
-    combos = (
+    return (
         counted.groupBy("id").agg(F.array_sort(F.collect_list(entry)).alias("held"))
         .groupBy("held").agg(F.count(F.lit(1)).alias("records"))
     )
+
+
+def paired(combos: DataFrame) -> DataFrame:
+    """(a, b, n) for every ordered pair inside the combinations, weighted by their records."""
     left = combos.filter(F.size("held") > 1).select("held", "records", F.explode("held").alias("a"))
     both = left.select("a", "records", F.explode("held").alias("b")).filter(F.col("a.item") != F.col("b.item"))
     weight = F.col("a.times") * F.col("b.times") * F.col("records")
@@ -67,10 +81,8 @@ def pair_counts(items: DataFrame, vocabulary: DataFrame, item: str = "tag", as_s
 
 def pair_matrix(items: DataFrame, count: int) -> DataFrame:
     """Dense co-occurrence of the most common items, repeats multiplying, zeros included."""
-    best = most_common(items, count).select("ingredient")
+    best = cut(most_common(items, count).select("ingredient"))
     counted = pair_counts(items, best, "ingredient", as_set=False)
-    # count × count cells: the vocabulary is the limit above
-    cells = best.select(F.col("ingredient").alias("a")).join(
-        F.broadcast(best.select(F.col("ingredient").alias("b"))), how="cross"
-    )
+    names = best.agg(F.collect_list("ingredient")).scalar()  # ``count`` names
+    cells = best.select(F.col("ingredient").alias("a"), F.explode(names).alias("b"))
     return cells.join(counted, ["a", "b"], "left").withColumn("n", F.coalesce("n", F.lit(0)))

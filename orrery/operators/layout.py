@@ -58,8 +58,9 @@ def bounds(points: DataFrame) -> DataFrame:
 
 
 def _with_bounds(points: DataFrame) -> DataFrame:
-    limits = points.agg(*[f(a).alias(f"_{n}_{a}") for a in AXES for n, f in (("lo", F.min), ("hi", F.max), ("mid", F.avg))])
-    return points.join(F.broadcast(limits), how="cross")
+    limits = [f(a).alias(f"_{n}_{a}") for a in AXES for n, f in (("lo", F.min), ("hi", F.max), ("mid", F.avg))]
+    held = points.withColumn("_box", points.agg(F.struct(*limits)).scalar())
+    return held.select(*points.columns, "_box.*")
 
 
 def _span() -> Column:
@@ -116,14 +117,24 @@ def byte_chunks(rows: DataFrame, order: Sequence[str | Column], size: str,
     ranged = ranged.withColumn("range", F.spark_partition_id())
 
     def fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        chunk, used = 0, 0
+        chunk, used, rows_in = 0, 0, 0
         for batch in batches:
+            ends = np.cumsum(batch[size].to_numpy(dtype=np.int64))
             numbers = np.empty(len(batch), dtype=np.int64)
-            for at, weight in enumerate(batch[size].to_numpy()):
-                if used and used + weight > limit:
-                    chunk, used = chunk + 1, 0
-                used += int(weight)
-                numbers[at] = chunk
+            start, before = 0, 0
+            while start < len(batch):
+                # rows up to here fit; a first row above the limit is taken alone
+                stop = int(np.searchsorted(ends, before + limit - used, side="right"))
+                if stop == start and not rows_in:
+                    stop += 1
+                numbers[start:stop] = chunk
+                rows_in += stop - start
+                if stop > start:
+                    used += int(ends[stop - 1]) - before
+                    before = int(ends[stop - 1])
+                if stop < len(batch):
+                    chunk, used, rows_in = chunk + 1, 0, 0
+                start = stop
             yield batch.assign(chunk=numbers)
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ranged.schema.fields)
@@ -147,14 +158,14 @@ def manifest(points: DataFrame, classes: DataFrame, chunk_size: int = CHUNK_SIZE
     lists = classes.groupBy("family").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("idx", "label"))), lambda c: c["label"]).alias("labels")
     )
-    families = lists.agg(F.array_sort(F.collect_list(F.struct("family", "labels"))).alias("categories"))
+    families = lists.agg(F.array_sort(F.collect_list(F.struct("family", "labels")))).scalar()
     box = bounds(points)
     shape = box.select(
         "total", F.ceil(F.col("total") / chunk_size).alias("n_chunks"), F.lit(chunk_size).alias("chunk_size"),
         F.array(*[F.col(f"min_{a}") for a in AXES]).alias("coord_min"),
         F.array(*[F.col(f"max_{a}") for a in AXES]).alias("coord_max"),
     )
-    return shape.join(F.broadcast(families), how="cross")
+    return shape.withColumn("categories", families)
 
 
 def exploration_table(points: DataFrame, assignments: DataFrame, families: Sequence[str],

@@ -24,9 +24,6 @@ _TRAIN_TILE = 16_384
 ZERO_DISTANCE = 1e-12  # cosine of equal unit vectors is 1 only up to rounding
 LOO_FLOOR = 1e-10
 
-_NEIGHBOUR = "query_id long, neighbour_id long, distance double"
-
-
 def _unit_rows(column: pd.Series) -> np.ndarray:
     if not len(column):
         return np.zeros((0, 0))
@@ -49,72 +46,95 @@ def _best(distances: np.ndarray, k: int) -> np.ndarray:
     return np.take_along_axis(columns, order, axis=1)
 
 
-def _nearest(query_ids, queries, train_ids, train, k: int, skip_self: bool) -> Iterator[pd.DataFrame]:
-    """k nearest training rows of each query row, tile by tile; ``train_ids`` must be ascending."""
-    for start in range(0, len(query_ids), _QUERY_TILE):
-        ids = query_ids[start : start + _QUERY_TILE]
-        tile = queries[start : start + _QUERY_TILE]
+class _Side:
+    """Ids, unit vectors and one carried column of some rows, as arrays inside a task."""
+
+    def __init__(self, rows: pd.DataFrame, sort: bool = False):
+        rows = rows.sort_values("id") if sort else rows
+        self.ids = rows["id"].to_numpy(np.int64)
+        self.vectors = _unit_rows(rows["embedding"])
+        self.carried = rows["carried"].to_numpy()
+
+
+def _nearest(queries: _Side, train: _Side, k: int, skip_self: bool) -> Iterator[pd.DataFrame]:
+    """k nearest training rows of each query row, tile by tile; the training ids must be ascending."""
+    for start in range(0, len(queries.ids), _QUERY_TILE):
+        ids = queries.ids[start : start + _QUERY_TILE]
+        tile = queries.vectors[start : start + _QUERY_TILE]
         best_d = np.empty((len(ids), 0))
-        best_i = np.empty((len(ids), 0), dtype=np.int64)
-        for low in range(0, len(train_ids), _TRAIN_TILE):
-            names = train_ids[low : low + _TRAIN_TILE]
+        best_at = np.empty((len(ids), 0), dtype=np.int64)
+        for low in range(0, len(train.ids), _TRAIN_TILE):
+            names = train.ids[low : low + _TRAIN_TILE]
             # rounded so that copies of one vector are equally far and rank by id
-            distance = np.round(1.0 - tile @ train[low : low + _TRAIN_TILE].T, 12)
+            distance = np.round(1.0 - tile @ train.vectors[low : low + _TRAIN_TILE].T, 12)
             if skip_self:
                 distance[ids[:, None] == names[None, :]] = np.inf
+            places = np.broadcast_to(np.arange(low, low + len(names)), distance.shape)
             best_d = np.concatenate([best_d, distance], axis=1)
-            best_i = np.concatenate([best_i, np.broadcast_to(names, distance.shape)], axis=1)
+            best_at = np.concatenate([best_at, places], axis=1)
             columns = _best(best_d, k)
             best_d = np.take_along_axis(best_d, columns, axis=1)
-            best_i = np.take_along_axis(best_i, columns, axis=1)
+            best_at = np.take_along_axis(best_at, columns, axis=1)
         valid = np.isfinite(best_d)
+        row = np.nonzero(valid)[0]
         yield pd.DataFrame({
-            "query_id": np.repeat(ids, best_d.shape[1])[valid.ravel()],
-            "neighbour_id": best_i[valid],
+            "query_id": ids[row],
+            "neighbour_id": train.ids[best_at[valid]],
             "distance": best_d[valid],
+            "rank": (np.cumsum(valid, axis=1)[valid]).astype(np.int32),
+            "of_query": queries.carried[start : start + _QUERY_TILE][row],
+            "of_neighbour": train.carried[best_at[valid]],
         })
 
 
-def _as_input(df: DataFrame, id_column: str) -> DataFrame:
-    return df.select(F.col(id_column).cast("long").alias("id"), "embedding")
+def _as_input(df: DataFrame, id_column: str, carry: str | None = None) -> DataFrame:
+    carried = F.col(carry).cast("string") if carry else F.lit(None).cast("string")
+    return df.select(F.col(id_column).cast("long").alias("id"), "embedding", carried.alias("carried"))
+
+
+def size_of(known: DataFrame) -> tuple[int, int]:
+    """Row count of a vector table and the bytes it takes as a matrix."""
+    row = known.agg(
+        F.count(F.lit(1)).alias("n"), F.coalesce(F.max(F.size("embedding")), F.lit(0)).alias("d")
+    ).first()
+    return row["n"], row["n"] * (row["d"] * 8 + 64)
+
+
+_FOUND = "query_id long, neighbour_id long, distance double, rank int, of_query string, of_neighbour string"
 
 
 def nearest(queries: DataFrame, train: DataFrame, k: int, query_id: str = "id", train_id: str = "id",
-            skip_self: bool = False, broadcast_bytes: int = BROADCAST_BYTES,
-            block_rows: int = BLOCK_ROWS) -> DataFrame:
+            skip_self: bool = False, carry_query: str | None = None, carry_train: str | None = None,
+            broadcast_bytes: int = BROADCAST_BYTES, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(query_id, neighbour_id, distance, rank) of the k nearest training rows of every query row.
 
     ``skip_self`` leaves out the training row with the query's own id. Fewer than k rows come
-    back where the training side is smaller.
+    back where the training side is smaller. A column of either side can be carried along (as
+    text) to save joining it back to k rows per query.
     """
-    asked, known = _as_input(queries, query_id), _as_input(train, train_id)
-    size = known.agg(
-        F.count(F.lit(1)).alias("n"), F.coalesce(F.max(F.size("embedding")), F.lit(0)).alias("d")
-    ).first()
-    if size["n"] * (size["d"] * 8 + 8) <= broadcast_bytes:
+    asked, known = _as_input(queries, query_id, carry_query), _as_input(train, train_id, carry_train)
+    count, size = size_of(known)
+    if size <= broadcast_bytes:
         found = _against_broadcast(asked, known, k, skip_self)
     else:
-        found = _against_blocks(asked, known, k, skip_self, int(size["n"]), block_rows)
-    order = Window.partitionBy("query_id").orderBy("distance", "neighbour_id")
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+        found = _against_blocks(asked, known, k, skip_self, count, block_rows)
+    names = {"of_query": carry_query, "of_neighbour": carry_train}
+    return found.select(
+        "query_id", "neighbour_id", "distance", "rank", *[F.col(c).alias(name) for c, name in names.items() if name]
+    )
 
 
 def _against_broadcast(asked: DataFrame, known: DataFrame, k: int, skip_self: bool) -> DataFrame:
-    # collected only under the size check of the caller
-    rows = known.toPandas().sort_values("id")
-    shared = known.sparkSession.sparkContext.broadcast(
-        (rows["id"].to_numpy(np.int64), _unit_rows(rows["embedding"]))
-    )
+    # collected only under the size check of the caller; the ranks are final, so nothing is shuffled
+    shared = known.sparkSession.sparkContext.broadcast(known.toPandas())
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        train_ids, train = shared.value
+        train = _Side(shared.value, sort=True)
         for batch in batches:
-            if len(train_ids) and len(batch):
-                yield from _nearest(
-                    batch["id"].to_numpy(np.int64), _unit_rows(batch["embedding"]), train_ids, train, k, skip_self
-                )
+            if len(train.ids) and len(batch):
+                yield from _nearest(_Side(batch), train, k, skip_self)
 
-    return asked.mapInPandas(search, _NEIGHBOUR)
+    return asked.mapInPandas(search, _FOUND)
 
 
 def _against_blocks(asked: DataFrame, known: DataFrame, k: int, skip_self: bool,
@@ -133,14 +153,12 @@ def _against_blocks(asked: DataFrame, known: DataFrame, k: int, skip_self: bool,
 
     def search(some: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
         if not len(some) or not len(others):
-            return pd.DataFrame({"query_id": [], "neighbour_id": [], "distance": []})
-        others = others.sort_values("id")
-        return pd.concat(list(_nearest(
-            some["id"].to_numpy(np.int64), _unit_rows(some["embedding"]),
-            others["id"].to_numpy(np.int64), _unit_rows(others["embedding"]), k, skip_self,
-        )), ignore_index=True)
+            return pd.DataFrame({name.split()[0]: [] for name in _FOUND.split(", ")})
+        return pd.concat(list(_nearest(_Side(some), _Side(others, sort=True), k, skip_self)), ignore_index=True)
 
-    return left.cogroup(right).applyInPandas(search, _NEIGHBOUR)
+    best = Window.partitionBy("query_id").orderBy("distance", "neighbour_id")
+    of_blocks = left.cogroup(right).applyInPandas(search, _FOUND)
+    return of_blocks.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
 
 
 def graph(points: DataFrame, k: int, id_column: str = "id", **sizes: int) -> DataFrame:
@@ -150,18 +168,23 @@ def graph(points: DataFrame, k: int, id_column: str = "id", **sizes: int) -> Dat
     )
 
 
+def _vote(leave_one_out: Column | bool) -> tuple[Column, Column]:
+    """(is a zero-distance vote, weight of any other vote) of a neighbour row."""
+    loo = leave_one_out if isinstance(leave_one_out, Column) else F.lit(leave_one_out)
+    zero = (F.col("distance") <= ZERO_DISTANCE) & ~loo
+    weight = F.when(loo, 1.0 / F.greatest("distance", F.lit(LOO_FLOOR))).otherwise(1.0 / F.col("distance"))
+    return zero, F.when(~zero, weight)
+
+
 def votes(neighbours: DataFrame, leave_one_out: Column | bool = False) -> DataFrame:
     """Class shares per query from rows (query_id, label, distance): (query_id, label, p).
 
     A neighbour weighs 1/distance. For an ordinary query, neighbours at distance 0 take the
     whole vote in equal parts; a left-out training row floors the distance instead.
     """
-    loo = leave_one_out if isinstance(leave_one_out, Column) else F.lit(leave_one_out)
-    zero = (F.col("distance") <= ZERO_DISTANCE) & ~loo
-    weight = F.when(loo, 1.0 / F.greatest("distance", F.lit(LOO_FLOOR))).otherwise(1.0 / F.col("distance"))
+    zero, weight = _vote(leave_one_out)
     per_label = neighbours.groupBy("query_id", "label").agg(
-        F.count(F.when(zero, 1)).cast("double").alias("_zeros"),
-        F.coalesce(F.sum(F.when(~zero, weight)), F.lit(0.0)).alias("_weight"),
+        F.count(F.when(zero, 1)).cast("double").alias("_zeros"), F.coalesce(F.sum(weight), F.lit(0.0)).alias("_weight")
     )
     of_query = Window.partitionBy("query_id")
     zeros, weights = F.sum("_zeros").over(of_query), F.sum("_weight").over(of_query)
@@ -169,12 +192,24 @@ def votes(neighbours: DataFrame, leave_one_out: Column | bool = False) -> DataFr
     return per_label.select("query_id", "label", share.alias("p"))
 
 
-def dense(shares: DataFrame, classes: Sequence[str]) -> DataFrame:
-    """(query_id, proba) with one entry per class in class order."""
-    columns = [
-        F.coalesce(F.max(F.when(F.col("label") == name, F.col("p"))), F.lit(0.0)) for name in classes
-    ]
-    return shares.groupBy("query_id").agg(F.array(*columns).alias("proba"))
+def class_shares(neighbours: DataFrame, classes: Sequence[str], leave_one_out: Column | bool = False) -> DataFrame:
+    """(query_id, proba): the votes as one vector in class order, in a single aggregation per query."""
+    zero, weight = _vote(leave_one_out)
+    sums = []
+    for i, name in enumerate(classes):
+        mine = F.col("label") == name
+        sums += [
+            F.count(F.when(mine & zero, 1)).cast("double").alias(f"z{i}"),
+            F.coalesce(F.sum(F.when(mine, weight)), F.lit(0.0)).alias(f"w{i}"),
+        ]
+    summed = neighbours.groupBy("query_id").agg(*sums).select(
+        "query_id",
+        F.array(*[F.col(f"z{i}") for i in range(len(classes))]).alias("zeros"),
+        F.array(*[F.col(f"w{i}") for i in range(len(classes))]).alias("weights"),
+    )
+    chosen = F.when(V.total(F.col("zeros")) > 0, F.col("zeros")).otherwise(F.col("weights"))
+    held = summed.select("query_id", chosen.alias("votes")).withColumn("all", V.total(F.col("votes")))
+    return held.select("query_id", F.transform("votes", lambda v: v / F.col("all")).alias("proba"))
 
 
 def priors(labels: DataFrame) -> dict[str, float]:
@@ -193,15 +228,15 @@ def assign(points: DataFrame, labels: DataFrame, k: int, min_score: float = 0.0,
     Labelled points are classified from the others only, so one search that leaves the point
     itself out serves both kinds.
     """
+    points = points.select("id", "embedding")
     labels = labels.select("id", F.col("label").cast("string").alias("label"))
     frequency = priors(labels)
     classes = sorted(frequency)
-    train = points.join(labels, "id", "left_semi")
-    found = nearest(points, train, k, skip_self=True, **sizes)
-    named = found.join(labels.select(F.col("id").alias("neighbour_id"), "label"), "neighbour_id")
-    tagged = labels.select(F.col("id").alias("query_id"), F.lit(True).alias("tagged"))
-    named = named.join(tagged, "query_id", "left")
-    proba = dense(votes(named, F.coalesce("tagged", F.lit(False))), classes)
+    labelled = points.join(labels, "id", "left")  # carries the label and, by it, whether there is one
+    train = labelled.filter(F.col("label").isNotNull())
+    asked = labelled.select("id", "embedding", F.col("label").isNotNull().alias("tagged"))
+    found = nearest(asked, train, k, skip_self=True, carry_query="tagged", carry_train="label", **sizes)
+    proba = class_shares(found, classes, F.col("tagged") == "true")
     if correct_priors:
         proba = proba.withColumn("proba", V.prior_corrected(F.col("proba"), [frequency[c] for c in classes]))
     best = V.top_classes(F.col("proba"), classes)

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
 from orrery.config import DESCRIBE_PERCENTILES
+from orrery.operators.positions import with_running_total
+from orrery.session import cut
+
+VALUES_IN_MEMORY = 1_000_000
 
 
 def histogram(df: DataFrame, column: str, bins: int, low: float | None = None, high: float | None = None,
@@ -19,64 +24,81 @@ def histogram(df: DataFrame, column: str, bins: int, low: float | None = None, h
         values = values.filter(F.col("v") >= low)
     if high is not None:
         values = values.filter(F.col("v") <= high)
-    bounds = values.agg(
-        F.coalesce(F.lit(low).cast("double"), F.min("v")).alias("lo"),
-        F.coalesce(F.lit(high).cast("double"), F.max("v")).alias("hi"),
-    )
-    width = F.when(F.col("hi") > F.col("lo"), (F.col("hi") - F.col("lo")) / bins).otherwise(1.0)
-    index = F.least(F.floor((F.col("v") - F.col("lo")) / width), F.lit(bins - 1)).cast("int")
-    counted = (
-        values.join(F.broadcast(bounds), how="cross")
-        .groupBy(index.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
-    )
-    spine = bounds.select(
-        F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"), F.col("lo").alias("_lo"), width.alias("_w")
-    )
-    return F.broadcast(spine).join(counted, "bin", "left").select(
+    first = F.coalesce(F.lit(low).cast("double"), F.min("v"))
+    last = F.coalesce(F.lit(high).cast("double"), F.max("v"))
+    width = F.when(last > first, (last - first) / bins).otherwise(1.0)
+    bounds = values.agg(first.alias("lo"), width.alias("width"))
+    at = bounds.select(F.struct("lo", "width")).scalar()
+    index = F.least(F.floor((F.col("v") - at["lo"]) / at["width"]), F.lit(bins - 1)).cast("int")
+    counted = values.groupBy(index.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    spine = bounds.select(F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"), "lo", "width")
+    return spine.join(counted, "bin", "left").select(
         "bin",
-        F.round(F.col("_lo") + F.col("bin") * F.col("_w"), 6).alias("lo"),
-        F.round(F.col("_lo") + (F.col("bin") + 1) * F.col("_w"), 6).alias("hi"),
+        F.round(F.col("lo") + F.col("bin") * F.col("width"), 6).alias("lo"),
+        F.round(F.col("lo") + (F.col("bin") + 1) * F.col("width"), 6).alias("hi"),
         F.coalesce("n", F.lit(0)).alias("n"),
     )
 
 
-def _quantile(counted: DataFrame, percents: Sequence[float]) -> DataFrame:
-    """Linear-interpolation percentiles over (v, n) rows, exact and without one big sort buffer."""
-    exact = [F.expr(f"percentile(v, {p / 100.0!r}, n)").alias(f"p{p:g}") for p in percents]
-    return counted.agg(*exact)
+def value_counts(df: DataFrame, column: str) -> DataFrame:
+    """(v, n) of the values of a column, nulls left out."""
+    return df.select(F.col(column).cast("double").alias("v")).filter(F.col("v").isNotNull()).groupBy("v").agg(
+        F.count(F.lit(1)).alias("n")
+    )
+
+
+def quantiles(counted: DataFrame, percents: Sequence[float], in_memory: int = VALUES_IN_MEMORY) -> DataFrame:
+    """Exact linear-interpolation percentiles of (v, n) rows in one row.
+
+    Few distinct values go through the built-in aggregate, which keeps them all in one task.
+    More are sorted by range, and only the rows around the wanted ranks are picked out.
+    """
+    if counted.limit(in_memory + 1).count() <= in_memory:
+        return counted.agg(*[F.expr(f"percentile(v, {p / 100.0!r}, n)").alias(f"p{p:g}") for p in percents])
+    ranked = cut(with_running_total(counted, ["v"], "n", "before"))
+    total = ranked.agg(F.sum("n").alias("n")).first()["n"]
+    places = {p: p / 100.0 * (total - 1) for p in percents}
+
+    def value_at(rank: int):
+        return F.max(F.when((F.col("before") <= rank) & (F.lit(rank) < F.col("before") + F.col("n")), F.col("v")))
+
+    def between(place: float):
+        low, share = math.floor(place), place - math.floor(place)
+        return value_at(low) * F.lit(1.0 - share) + value_at(math.ceil(place)) * F.lit(share)
+
+    return ranked.agg(*[between(place).alias(f"p{p:g}") for p, place in places.items()])
 
 
 def describe(df: DataFrame, column: str, cap: float | None = None,
-             percents: Sequence[float] = DESCRIBE_PERCENTILES, accuracy: int | None = None) -> DataFrame:
+             percents: Sequence[float] = DESCRIBE_PERCENTILES, accuracy: int | None = None,
+             in_memory: int = VALUES_IN_MEMORY) -> DataFrame:
     """Count, range, mean, population deviation and percentiles, and how much lies above the cap.
 
-    Equal values are counted before the percentiles are taken, so the state of the exact
-    percentile grows with distinct values only. With ``accuracy`` the percentiles come from a
-    bounded sketch instead, for columns whose distinct values do not fit in memory.
+    The column is read once into its value counts; everything else is taken from those. The cap
+    is the 99th percentile if none is given. With ``accuracy`` the percentiles come from a
+    bounded sketch instead of being exact.
     """
-    value = F.col(column).cast("double")
-    values = df.select(value.alias("v")).filter(F.col("v").isNotNull())
-    counted = values.groupBy("v").agg(F.count(F.lit(1)).alias("n"))
+    counted = cut(value_counts(df, column))
     if accuracy is None:
-        points = _quantile(counted, percents)
+        points = quantiles(counted, percents, in_memory)
     else:
-        points = values.agg(*[
-            F.percentile_approx("v", p / 100.0, accuracy).alias(f"p{p:g}") for p in percents
-        ])
-    stats = values.agg(
-        F.count(F.lit(1)).alias("n"), F.min("v").alias("min"), F.max("v").alias("max"),
-        F.avg("v").alias("mean"), F.stddev_pop("v").alias("std"),
+        points = counted.agg(*[
+            F.expr(f"percentile_approx(v, {p / 100.0!r}, {accuracy})").alias(f"p{p:g}") for p in percents
+        ]) if percents else counted.limit(0)
+    stats = counted.agg(
+        F.sum("n").alias("n"), F.min("v").alias("min"), F.max("v").alias("max"),
+        (F.sum(F.col("v") * F.col("n")) / F.sum("n")).alias("mean"),
+    )
+    row = stats.withColumn("p", points.select(F.struct("*")).scalar())
+    if cap is None and 99 not in percents:
+        raise ValueError("without a cap the 99th percentile must be among the percentiles")
+    limit = F.lit(float(cap)) if cap is not None else F.col("p.p99")
+    row = cut(row.select("n", "min", "max", "mean", "p.*", limit.alias("cap")))
+    at = row.select(F.struct("mean", "cap")).scalar()
+    rest = counted.agg(F.struct(
+        F.sqrt(F.sum((F.col("v") - at["mean"]) * (F.col("v") - at["mean"]) * F.col("n")) / F.sum("n")).alias("std"),
+        F.coalesce(F.sum(F.when(F.col("v") > at["cap"], F.col("n"))), F.lit(0)).alias("n_above"),
+    )).scalar()
+    return row.withColumn("std", rest["std"]).withColumn("n_above", rest["n_above"]).withColumn(
+        "pct_above", F.col("n_above") * 100.0 / F.col("n")
     )
-    out = stats.join(F.broadcast(points), how="cross")
-    if cap is None and 99 in percents:
-        out = out.withColumn("cap", F.col("p99"))
-    elif cap is not None:
-        out = out.withColumn("cap", F.lit(float(cap)))
-    if "cap" in out.columns:
-        above = values.join(F.broadcast(out.select("cap")), F.col("v") > F.col("cap")).agg(
-            F.count(F.lit(1)).alias("n_above")
-        )
-        out = out.join(F.broadcast(above), how="cross").withColumn(
-            "pct_above", F.col("n_above") * 100.0 / F.col("n")
-        )
-    return out

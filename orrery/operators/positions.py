@@ -40,6 +40,16 @@ def with_position(df: DataFrame, order: Sequence[str | Column], name: str = "pos
     return placed.withColumn(name, F.col("_before") + F.col("_local")).drop("_part", "_local", "_before")
 
 
+def with_running_total(df: DataFrame, order: Sequence[str | Column], weight: str, name: str = "before") -> DataFrame:
+    """Sum of ``weight`` over all rows earlier in the order."""
+    laid = _laid_out(df, order)
+    offsets = _rows_before(laid.groupBy("_part").agg(F.sum(weight).alias("_n")), []).drop("_n")
+    earlier = Window.partitionBy("_part").orderBy("_local").rowsBetween(Window.unboundedPreceding, -1)
+    summed = laid.withColumn("_sum", F.coalesce(F.sum(weight).over(earlier), F.lit(0)))
+    placed = summed.join(F.broadcast(offsets), "_part")
+    return placed.withColumn(name, F.col("_before") + F.col("_sum")).drop("_part", "_local", "_before", "_sum")
+
+
 def with_rank_in_group(df: DataFrame, group: Sequence[str], order: Sequence[str | Column],
                        name: str = "position") -> DataFrame:
     """0-based position of every row inside its group, however large one group is.

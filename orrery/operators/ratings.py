@@ -115,6 +115,7 @@ def top_records(interactions: DataFrame, recipes: DataFrame, min_count: int = 10
         F.avg("rating").alias("avg_rating"), F.count("rating").alias("rating_count")
     )
     best = top(averages.filter(F.col("rating_count") >= min_count), "avg_rating", count, ["recipe_id"])
+    # ``count`` rows by now
     return F.broadcast(best).join(recipes.select(F.col("id").alias("recipe_id"), "name"), "recipe_id", "left")
 
 
@@ -128,7 +129,7 @@ def totals(recipes: DataFrame, interactions: DataFrame) -> DataFrame:
         F.count("user_id").alias("n_users"),
         F.round(F.sum("s") / F.sum("n_values"), 4).alias("avg_rating"),
     )
-    return of_users.join(F.broadcast(recipes.agg(F.count(F.lit(1)).alias("n_recipes"))), how="cross")
+    return of_users.withColumn("n_recipes", recipes.agg(F.count(F.lit(1))).scalar())
 
 
 def monthly(interactions: DataFrame) -> DataFrame:
@@ -154,9 +155,8 @@ def shares(df: DataFrame, key: str, places: int = 4, percent: bool = False) -> D
 
 
 def with_share(counts: DataFrame, places: int = 4, percent: bool = False) -> DataFrame:
-    total = counts.agg(F.sum("n").alias("_total"))
-    ratio = F.col("n") * F.lit(100.0 if percent else 1.0) / F.col("_total")
-    return counts.join(F.broadcast(total), how="cross").withColumn("pct", F.round(ratio, places)).drop("_total")
+    total = counts.agg(F.sum("n")).scalar()
+    return counts.withColumn("pct", F.round(F.col("n") * F.lit(100.0 if percent else 1.0) / total, places))
 
 
 def popularity_buckets(interactions: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from orrery.config import CHILD_THRESHOLD, EXCLUSIVE_MIN_COUNT
 from orrery.functions.tags import class_tags, most_specific, text_array
-from orrery.operators.items import pair_counts
+from orrery.operators.items import combinations, paired
 from orrery.session import cut
 
 CLASS_LIMIT = 10_000  # a class list longer than this is data, not a list
@@ -31,8 +31,11 @@ def tag_counts(tags: DataFrame, classes: Sequence[str]) -> DataFrame:
 
 def qualifying_pairs(tags: DataFrame, classes: Sequence[str], threshold: float = CHILD_THRESHOLD) -> DataFrame:
     """(child, parent) where nearly all records of the child have the larger parent too."""
-    counts = tag_counts(tags, classes)
-    pairs = pair_counts(tags, vocabulary(tags.sparkSession, classes))
+    combos = combinations(tags, vocabulary(tags.sparkSession, classes))
+    pairs = paired(combos)
+    counts = combos.select("records", F.explode("held.item").alias("tag")).groupBy("tag").agg(
+        F.sum("records").alias("n"))
+    # one row per class
     child = F.broadcast(counts.select(F.col("tag").alias("a"), F.col("n").alias("n_child")))
     parent = F.broadcast(counts.select(F.col("tag").alias("b"), F.col("n").alias("n_parent")))
     pct = F.col("n") / F.col("n_child")

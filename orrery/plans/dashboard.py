@@ -71,10 +71,8 @@ def describe(spark, folder):
     SELECT id, CASE WHEN minutes IS NOT NULL THEN LEAST(CAST(minutes AS DOUBLE), cap) END AS clipped FROM recipes, c"""))
 def clipped(spark, folder):
     rows = views.recipes(spark, folder)
-    cap = rows.select(F.col("minutes").cast("double").alias("v")).groupBy("v").agg(F.count("v").alias("n")).filter(
-        "v IS NOT NULL").agg(F.expr("percentile(v, 0.99, n)").alias("cap"))
-    held = rows.join(F.broadcast(cap), how="cross")
-    return held.select("id", clip(F.col("minutes").cast("double"), F.col("cap")).alias("clipped"))
+    cap = numbers.quantiles(numbers.value_counts(rows, "minutes"), [99]).scalar()
+    return rows.select("id", clip(F.col("minutes").cast("double"), cap).alias("clipped"))
 
 
 @query("popularity_buckets", with_views("interactions", body="""
@@ -142,9 +140,8 @@ def visible_stats(spark, folder):
         "id", F.when(F.col("label") == 0, -1).otherwise(F.col("label")).alias("cluster"),
         F.when(F.col("label") != 3, number.cast("string")).alias("raw"))
     value = F.col("raw").try_cast("double")
-    limits = rows.agg(F.min(value).alias("lo"), F.max(value).alias("hi"))
-    points = rows.join(F.broadcast(limits), how="cross").select(
-        "id", "cluster", rating_fraction(F.col("raw"), F.col("lo"), F.col("hi")).alias("rating"))
+    limits = rows.agg(F.struct(F.min(value).alias("lo"), F.max(value).alias("hi"))).scalar()
+    points = rows.select("id", "cluster", rating_fraction(F.col("raw"), limits["lo"], limits["hi"]).alias("rating"))
     return explore.visible_stats(points, 0.25, 0.75)
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from orrery.config import ENCODERS, PROJECTION_WEIGHTS
+from orrery.config import ENCODERS, PROJECTION_WEIGHTS, RangeEncoder
 from orrery.functions import vectors as V
 from orrery.operators import categories, explore, layout, relate
 from orrery.plans import inputs
@@ -105,9 +105,8 @@ def attributes(spark, folder):
     placed = layout.z_ordered(_part_points(spark, folder))
     indexed = categories.with_class_index(inputs.assignments(spark, folder), inputs.classes(spark))
     rows = views.recipes(spark, folder)
-    low_high = rows.agg(F.min("n_steps").alias("lo"), F.max("n_steps").alias("hi"))
-    scalar = rows.join(F.broadcast(low_high), how="cross").select(
-        "id", F.round((F.col("n_steps") - F.col("lo")) / (F.col("hi") - F.col("lo")), 5).alias("scalar"))
+    scaled = categories.scale_range(rows, RangeEncoder("n_steps", "n_steps"))
+    scalar = scaled.select("id", F.round(F.element_at("vector", 1), 5).alias("scalar"))
     return layout.attributes(placed, indexed, _FAMILIES, scalar)
 
 

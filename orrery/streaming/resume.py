@@ -15,7 +15,7 @@ def embed_incrementally(spark: SparkSession, source: str, schema: str, out: str,
                         prepare: Callable[[DataFrame], DataFrame],
                         embed: Callable[[DataFrame], DataFrame] = embed_text,
                         file_format: str = "parquet", name_filter: str | None = None,
-                        files_per_batch: int = 64) -> int:
+                        files_per_batch: int = 1000) -> int:
     """Embed the files of ``source`` not seen by an earlier run; returns the number of batches run.
 
     ``prepare`` turns source rows into (id, text). The stream's checkpoint remembers the files
