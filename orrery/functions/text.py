@@ -125,6 +125,26 @@ def stat_line(avg_rating: Column, n_ratings: Column, minutes: Column, n_steps: C
     )
 
 
+def hover_text(name: Column, labels: Column, minutes: Column, items: Column, description: Column) -> Column:
+    """Tooltip of an item: name, then per family ``family: category (score)``, time, items and description.
+
+    ``labels`` is an array of (family, category, score); families without a category are left out.
+    """
+    families = F.transform(
+        F.filter(labels, lambda of: of["category"].isNotNull()),
+        lambda of: F.concat(of["family"], F.lit(": "), of["category"], F.lit(" ("), F.format_string("%.2f", of["score"]), F.lit(")")),
+    )
+    about = F.coalesce(strip(description), F.lit(""))
+    return F.concat_ws(
+        "\n",
+        F.coalesce(name, F.lit("Unknown")),
+        families,
+        F.when(minutes.isNotNull() & (minutes != 0), F.concat(F.lit("Time: "), minutes.cast("string"), F.lit(" min"))),
+        F.when(F.size(items) > 0, F.concat(F.lit("Ingredients: "), list_preview(items, 6))),
+        F.when(about != "", truncated(about, 200)),
+    )
+
+
 def name_matches(name: Column, pattern: str) -> Column:
     """Case-insensitive regular-expression search; a null name never matches."""
     return F.coalesce(name.rlike(f"(?i){pattern}"), F.lit(False))

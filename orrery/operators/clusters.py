@@ -11,6 +11,7 @@ from orrery.operators.embed import embed_text
 from orrery.operators.graphs import connected_components, similar_edges
 from orrery.operators.positions import with_position
 from orrery.operators.ratings import with_share
+from orrery.session import cut
 
 
 def sizes(points: DataFrame) -> DataFrame:
@@ -76,11 +77,27 @@ def merged_groups(vectors: DataFrame, threshold: float = GROUP_MERGE_THRESHOLD,
 
 
 def meta_groups(names: DataFrame, threshold: float = 0.5, dims: int = 256) -> DataFrame:
-    """(group, members) of clusters with similar names; clusters alike to no other are group -1."""
+    """(group, cluster) of clusters with similar names; clusters alike to no other are group -1.
+
+    A group goes by the smallest of its cluster ids.
+    """
     titled = names.filter(F.col("cluster") >= 0).select(F.col("cluster").cast("long").alias("id"), F.col("name").alias("text"))
-    grouped = merged_groups(embed_text(titled, dims), threshold)
+    grouped = merged_groups(cut(embed_text(titled, dims)), threshold)
     size = grouped.groupBy("group").agg(F.count(F.lit(1)).alias("n"))
     placed = grouped.join(size, "group").select(
         "id", F.when(F.col("n") > 1, F.col("component")).otherwise(F.lit(NOISE).cast("long")).alias("group")
     )
     return placed.select("group", F.col("id").alias("cluster"))
+
+
+def group_members(grouped: DataFrame, names: DataFrame) -> DataFrame:
+    """(group, name, clusters) with the sorted clusters of a group and the name of its first one.
+
+    One array per group of clusters (not of points): a few hundred entries at most.
+    """
+    named = grouped.join(names, "cluster", "left")
+    first = F.min_by("name", "cluster")
+    return named.groupBy("group").agg(
+        F.when(F.col("group") == NOISE, "Ungrouped").otherwise(first).alias("name"),
+        F.array_sort(F.collect_list("cluster")).alias("clusters"),
+    )

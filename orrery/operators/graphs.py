@@ -19,8 +19,8 @@ def connected_components(nodes: DataFrame, edges: DataFrame, a: str = "a", b: st
                          max_rounds: int = 200) -> DataFrame:
     """(id, component) with the smallest id of the component, for every node.
 
-    Every round points each node at its neighbour of lowest random priority and contracts the
-    graph along those pointers. The edges that are left shrink by a constant share, so a hub
+    Every round points each node at its neighbour of lowest random priority (or itself, if that
+    is lower), follows the pointers two steps and contracts the graph along them. The edges that are left shrink by a constant share, so a hub
     disappears early and long chains take a logarithmic number of rounds. The pointers of all
     rounds are then followed once, from the smallest table to the largest.
     """
@@ -35,8 +35,10 @@ def connected_components(nodes: DataFrame, edges: DataFrame, a: str = "a", b: st
         salt = F.lit(len(pointers))
         of_v, of_u = F.xxhash64("v", salt), F.xxhash64("u", salt)
         lowest = both.groupBy("u").agg(F.min_by("v", of_v).alias("best"), F.min(of_v).alias("priority"))
-        # derived from the checkpointed edges whenever it is needed again
-        step = lowest.select("u", F.when(of_u <= F.col("priority"), F.col("u")).otherwise(F.col("best")).alias("p"))
+        once = lowest.select("u", F.when(of_u <= F.col("priority"), F.col("u")).otherwise(F.col("best")).alias("p"))
+        # two pointers at a time; derived from the checkpointed edges whenever it is needed again
+        twice = once.select(F.col("u").alias("p"), F.col("p").alias("pp"))
+        step = once.join(twice, "p").select("u", F.col("pp").alias("p"))
         pointers.append(step)
         moved = current.join(step, "u").select(F.col("p").alias("pu"), "v")
         step_v = step.select(F.col("u").alias("v"), F.col("p").alias("pv"))
@@ -109,8 +111,8 @@ def _distinct_edges(points: DataFrame, threshold: float, broadcast_bytes: int, b
     parts = max(1, -(-count // block_rows))
     part = F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")
     every = F.sequence(F.lit(0), F.lit(parts - 1))
-    left = points.withColumn("i", part).withColumn("j", F.explode(every)).groupBy("i", "j")
-    right = points.withColumn("j", part).withColumn("i", F.explode(every)).groupBy("i", "j")
+    left = _as_input(points, "id").withColumn("i", part).withColumn("j", F.explode(every)).groupBy("i", "j")
+    right = _as_input(points, "id").withColumn("j", part).withColumn("i", F.explode(every)).groupBy("i", "j")
 
     def meet(some: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
         empty = pd.DataFrame({"a": [], "b": [], "similarity": []})

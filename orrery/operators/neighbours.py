@@ -89,7 +89,10 @@ def _nearest(queries: _Side, train: _Side, k: int, skip_self: bool) -> Iterator[
 
 def _as_input(df: DataFrame, id_column: str, carry: str | None = None) -> DataFrame:
     carried = F.col(carry).cast("string") if carry else F.lit(None).cast("string")
-    return df.select(F.col(id_column).cast("long").alias("id"), "embedding", carried.alias("carried"))
+    # renamed even where the name stays: two inputs from one table must not share column ids
+    return df.select(
+        F.col(id_column).cast("long").alias("id"), F.col("embedding").alias("embedding"), carried.alias("carried")
+    )
 
 
 def size_of(known: DataFrame) -> tuple[int, int]:

@@ -182,6 +182,24 @@ def wide_labels(spark, folder):
     return relate.families_wide(inputs.assignments(spark, folder), ["minutes", "n_steps", "avg_rating"])
 
 
+@query("label_maps", with_views("assignments", body="""
+    SELECT id, STRING_AGG(CONCAT(family, '=', category), ';' ORDER BY family) AS labels FROM assignments GROUP BY id"""))
+def label_maps(spark, folder):
+    held = categories.label_maps(inputs.assignments(spark, folder))
+    pairs = F.transform(F.map_entries("labels"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
+    return held.select("id", F.array_join(F.array_sort(pairs), ";").alias("labels"))
+
+
+@query("year_maps", with_views("interactions", "recipes", body="""
+    , n AS (SELECT recipe_id, YEAR(date) AS year, COUNT(*) AS n FROM interactions WHERE date IS NOT NULL GROUP BY ALL),
+    m AS (SELECT recipe_id, STRING_AGG(CONCAT(CAST(year AS VARCHAR), '=', CAST(n AS VARCHAR)), ';' ORDER BY year) AS years FROM n GROUP BY 1)
+    SELECT id, years FROM recipes LEFT JOIN m ON id = recipe_id"""))
+def year_maps(spark, folder):
+    held = ratings.summary_documents(views.recipes(spark, folder), views.interactions(spark, folder))
+    pairs = F.transform(F.map_entries("n_per_year"), lambda e: F.concat(e["key"].cast("string"), F.lit("="), e["value"].cast("string")))
+    return held.select("id", F.array_join(pairs, ";").alias("years"))
+
+
 @query("item_freq", with_views("recipe_items", body="""
     SELECT ingredient, COUNT(*) AS n FROM recipe_items GROUP BY ingredient ORDER BY n DESC, ingredient LIMIT 30"""))
 def item_freq(spark, folder):

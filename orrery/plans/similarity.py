@@ -159,8 +159,31 @@ def cluster_terms(spark, folder):
     return clusters.filled_names(docs, clusters.distinctive_terms(docs))
 
 
+@query("knn_votes", with_views("vectors", body=_DIST.format(where="TRUE") + """
+    , v AS (SELECT query_id, label, COUNT(CASE WHEN d <= 1e-12 THEN 1 END) AS z,
+                   SUM(CASE WHEN d > 1e-12 THEN 1 / d ELSE 0 END) AS w FROM n GROUP BY ALL)
+    SELECT query_id, CAST(label AS VARCHAR) AS label,
+           ROUND(CASE WHEN SUM(z) OVER (PARTITION BY query_id) > 0 THEN z / SUM(z) OVER (PARTITION BY query_id)
+                      ELSE w / SUM(w) OVER (PARTITION BY query_id) END, 5) AS p FROM v"""))
+def knn_votes(spark, folder):
+    """Votes of plain queries: a labelled row finds itself at distance 0, and only it counts."""
+    rows, train = _vectors(spark, folder)
+    found = neighbours.nearest(rows, train, K, carry_train="label")
+    return neighbours.votes(found).withColumn("p", F.round("p", 5))
+
+
+@query("class_priors", with_views("vectors", body="""
+    SELECT CAST(label AS VARCHAR) AS label, ROUND(COUNT(*) / SUM(COUNT(*)) OVER (), 6) AS prior
+    FROM vectors WHERE label <> 0 GROUP BY label"""))
+def class_priors(spark, folder):
+    _, train = _vectors(spark, folder)
+    counted = train.groupBy(F.col("label").cast("string").alias("label")).agg(F.count(F.lit(1)).alias("n"))
+    total = counted.agg(F.sum("n")).scalar()
+    return counted.select("label", F.round(F.col("n") / total, 6).alias("prior"))
+
+
 @query("meta_groups")
 def meta_groups(spark, folder):
     docs = _grouped_documents(spark, folder, "source", "lang")
     names = clusters.filled_names(docs, clusters.distinctive_terms(docs, 6))
-    return clusters.meta_groups(names, 0.5)
+    return clusters.group_members(clusters.meta_groups(names, 0.5), names)

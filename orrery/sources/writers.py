@@ -4,10 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from orrery.config import SYSTEMATIC_SAMPLE
 from orrery.functions.text import shard_key, slug
+from orrery.operators.explore import systematic_sample
 from orrery.operators.ratings import rating_lists, summary
 
 
+def json_lines(df: DataFrame, path: str) -> None:
+    """Records as JSON lines, lists as arrays, nulls left out."""
+    df.write.mode("overwrite").json(path)
+
+
 def vectors(df: DataFrame, path: str) -> None:
     """Vector table keyed by id."""
     df.select("id", "embedding").write.mode("overwrite").parquet(path)
@@ -71,6 +78,21 @@ def small_csv(df: DataFrame, path: str) -> None:
     df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
 
 
+def chart_pairs(points: DataFrame, x: str, y: str, limit: int = SYSTEMATIC_SAMPLE) -> DataFrame:
+    """{"data": [[x, y], ...], bounds} of a scatter chart as one JSON row.
+
+    A chart of more than ``limit`` points shows every N/limit-th one in x order; the bounds are
+    those of all points.
+    """
+    shown = systematic_sample(points.select(x, y), [x, y], limit)
+    box = points.agg(F.struct(*[
+        f(c).alias(n) for n, f, c in (("xMin", F.min, x), ("xMax", F.max, x), ("yMin", F.min, y), ("yMax", F.max, y))
+    ])).scalar()
+    entries = F.array_sort(F.collect_list(F.struct("position", F.col(x).alias("x"), F.col(y).alias("y"))))
+    held = shown.agg(F.transform(entries, lambda e: F.array(e["x"].cast("double"), e["y"].cast("double"))).alias("data"))
+    return held.withColumn("_box", box).select(F.to_json(F.struct("data", "_box.*")).alias("json"))
+
+
 def chart_series(counts: DataFrame, label: str, value: str, order: Column | str) -> DataFrame:
     """{"labels", "counts", bounds} of a binned chart as one JSON row; one entry per bin."""
     entry = F.struct(F.col("_o"), F.col(label).alias("l"), F.col(value).alias("v"))

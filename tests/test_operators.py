@@ -285,6 +285,16 @@ def test_describe_matches_numpy(spark):
     assert close["p50"] in values
 
 
+def test_quantiles_from_sorted_ranges(spark):
+    source = random.Random(5)
+    values = [round(source.expovariate(0.01), 2) for _ in range(3000)] + [7.0] * 2000
+    counted = numbers.value_counts(spark.createDataFrame([(v,) for v in values], "v double"), "v")
+    percents = (0, 1, 25, 50, 66.6, 99, 100)
+    wanted = [pytest.approx(np.percentile(values, p)) for p in percents]
+    assert list(numbers.quantiles(counted, percents).first()) == wanted
+    assert list(numbers.quantiles(counted, percents, in_memory=10).first()) == wanted
+
+
 def test_histogram_bins(spark):
     frame = spark.createDataFrame([(float(v),) for v in (0, 1, 5, 9, 10, 10)], "v double")
     assert [r["n"] for r in numbers.histogram(frame, "v", 5).orderBy("bin").collect()] == [2, 0, 1, 0, 3]
