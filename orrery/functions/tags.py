@@ -7,10 +7,14 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, functions as F
 
 
+def quoted(value: str) -> str:
+    """A string as a Spark SQL literal."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def text_array(values: Sequence[str]) -> Column:
     """Literal array of strings, built in one call."""
-    quoted = ", ".join("'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'" for value in values)
-    return F.expr(f"CAST(array({quoted}) AS ARRAY<STRING>)")
+    return F.expr(f"CAST(array({', '.join(quoted(value) for value in values)}) AS ARRAY<STRING>)")
 
 
 def first_matching(tags: Column, priority: Sequence[str], other: str) -> Column:

@@ -8,13 +8,18 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from orrery.config import BinEncoder, RangeEncoder
 from orrery.functions.encode import bin_assignment, bin_vector, encode_range, numeric_value
+from orrery.functions.tags import quoted
 from orrery.operators.ratings import STARS, mean_of, partials
 
 
 def class_table(spark: SparkSession, classes: Mapping[str, Sequence[str]]) -> DataFrame:
     """(family, idx, label) of declared class lists."""
-    rows = [(family, idx, label) for family, labels in classes.items() for idx, label in enumerate(labels)]
-    return spark.createDataFrame(rows, "family string, idx int, label string")
+    rows = ", ".join(
+        f"({quoted(family)}, {idx}, {quoted(label)})"
+        for family, labels in classes.items() for idx, label in enumerate(labels)
+    )
+    # literal rows: the optimizer knows their size and broadcasts them by itself
+    return spark.sql(f"SELECT * FROM VALUES {rows} AS classes(family, idx, label)")
 
 
 def _per_family(records: DataFrame, encoders: Sequence[BinEncoder], encode, shape: str) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from orrery.config import CHILD_THRESHOLD, EXCLUSIVE_MIN_COUNT
-from orrery.functions.tags import class_tags, most_specific, text_array
+from orrery.functions.tags import class_tags, most_specific, quoted, text_array
 from orrery.operators.items import combinations, paired
 from orrery.session import cut
 
@@ -15,10 +15,10 @@ CLASS_LIMIT = 10_000  # a class list longer than this is data, not a list
 
 
 def vocabulary(spark: SparkSession, classes: Sequence[str]) -> DataFrame:
-    """The class list as a table; its length is checked because it is broadcast."""
+    """The class list as a table of literal rows, of checked length."""
     if len(classes) > CLASS_LIMIT:
         raise ValueError(f"{len(classes)} classes: more than {CLASS_LIMIT}")
-    return spark.createDataFrame([(tag,) for tag in classes], "tag string")
+    return spark.sql(f"SELECT * FROM VALUES {', '.join(f'({quoted(tag)})' for tag in classes)} AS classes(tag)")
 
 
 def tag_counts(tags: DataFrame, classes: Sequence[str]) -> DataFrame:
