@@ -226,8 +226,7 @@ def _brute_dbscan(points, eps, min_samples, min_size):
     return label
 
 
-@pytest.mark.parametrize("budget", [density.PAIR_BUDGET, 0])
-@pytest.mark.parametrize("seed", [1, 2])
+@pytest.mark.parametrize("seed, budget", [(1, density.PAIR_BUDGET), (2, 0)])
 def test_dbscan_against_brute_force(spark, seed, budget, monkeypatch):
     monkeypatch.setattr(density, "MAX_LEVEL", 2)
     source = np.random.default_rng(seed)
