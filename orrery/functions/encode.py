@@ -10,9 +10,14 @@ from orrery.config import BinEncoder, RangeEncoder
 from orrery.functions.tags import text_array
 
 
+def number_in(text: Column) -> Column:
+    """Number written in a text, else null. ``12d`` and ``12f`` are Java's way to write one, so not numbers."""
+    return F.when(~text.rlike(r"[0-9.][dDfF]\s*$"), text.try_cast("double"))
+
+
 def numeric_value(value: Column, is_text: bool) -> Column:
     """Text gives the number in its first four characters (a year), anything else its value; else null."""
-    return (F.substring(value, 1, 4) if is_text else value).try_cast("double")
+    return number_in(F.substring(value, 1, 4)) if is_text else value.try_cast("double")
 
 
 def bin_index(value: Column, edges: Sequence[float]) -> Column:
@@ -103,7 +108,7 @@ def encode_range(value: Column, encoder: RangeEncoder, low: Column, high: Column
 
 def rating_fraction(value: Column, low: Column, high: Column) -> Column:
     """Text rating scaled by the data range (no width counts as 1); not a number gives -1."""
-    number = value.try_cast("double")
+    number = number_in(value)
     span = F.when(high > low, high - low).otherwise(1.0)
     return F.coalesce((number - low) / span, F.lit(-1.0))
 

@@ -174,9 +174,18 @@ def normalised_items(items: Column) -> Column:
 
 def parse_list(literal: Column) -> Column:
     """Array from a list literal with single or double quotes; unreadable text gives an empty array."""
+    return F.when(literal.isNotNull(), F.coalesce(_read_list(literal), F.array().cast("array<string>")))
+
+
+def list_unreadable(literal: Column) -> Column:
+    """Whether a list literal could not be read."""
+    return literal.isNotNull() & _read_list(literal).isNull()
+
+
+def _read_list(literal: Column) -> Column:
     readable = F.regexp_replace(literal, r"(?<=[\[,\s])None(?=[\],\s])", "null")
-    parsed = F.from_json(readable, "array<string>", {"allowSingleQuotes": "true"})
-    return F.when(literal.isNotNull(), F.coalesce(parsed, F.array().cast("array<string>")))
+    options = {"allowSingleQuotes": "true", "allowBackslashEscapingAnyCharacter": "true"}
+    return F.from_json(readable, "array<string>", options)
 
 
 def word_runs(value: Column) -> Column:

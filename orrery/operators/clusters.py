@@ -90,14 +90,9 @@ def meta_groups(names: DataFrame, threshold: float = 0.5, dims: int = 256) -> Da
     return placed.select("group", F.col("id").alias("cluster"))
 
 
-def group_members(grouped: DataFrame, names: DataFrame) -> DataFrame:
-    """(group, name, clusters) with the sorted clusters of a group and the name of its first one.
-
-    One array per group of clusters (not of points): a few hundred entries at most.
-    """
-    named = grouped.join(names, "cluster", "left")
-    first = F.min_by("name", "cluster")
-    return named.groupBy("group").agg(
-        F.when(F.col("group") == NOISE, "Ungrouped").otherwise(first).alias("name"),
-        F.array_sort(F.collect_list("cluster")).alias("clusters"),
+def group_names(grouped: DataFrame, names: DataFrame) -> DataFrame:
+    """(group, name, n_clusters): a group is called after its first cluster, group -1 ``Ungrouped``."""
+    return grouped.join(names, "cluster", "left").groupBy("group").agg(
+        F.when(F.col("group") == NOISE, "Ungrouped").otherwise(F.min_by("name", "cluster")).alias("name"),
+        F.count(F.lit(1)).alias("n_clusters"),
     )

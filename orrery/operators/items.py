@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from orrery.operators.ratings import partials
 from orrery.session import cut
@@ -22,6 +22,19 @@ def most_common(items: DataFrame, count: int, stop_words: Sequence[str] = ()) ->
     return item_counts(items, stop_words).orderBy(F.col("n").desc(), "ingredient").limit(count)
 
 
+def previews(items: DataFrame, limit: int) -> DataFrame:
+    """(id, items, more): the first ``limit`` distinct items of a record by name, and how many more it has.
+
+    Only the shown items of a record are ever put in one array.
+    """
+    distinct = items.select("id", "ingredient").distinct()
+    order = Window.partitionBy("id").orderBy("ingredient")
+    shown = distinct.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= limit)
+    lists = shown.groupBy("id").agg(F.array_sort(F.collect_list("ingredient")).alias("items"))
+    counts = distinct.groupBy("id").agg(F.count(F.lit(1)).alias("_n"))
+    return lists.join(counts, "id").select("id", "items", F.greatest(F.lit(0), F.col("_n") - limit).alias("more"))
+
+
 def item_ratings(items: DataFrame, interactions: DataFrame, count: int = 25) -> DataFrame:
     """Mean rating and interaction count of the most common items (0 ratings and repeats included).
 

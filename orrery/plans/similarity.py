@@ -8,6 +8,7 @@ from orrery.functions import vectors as V
 from orrery.operators import clusters, density, graphs, layout, neighbours
 from orrery.plans.registry import query
 from orrery.plans.sql import with_views
+from orrery.session import cut
 from orrery.sources import views
 
 K = 10
@@ -185,5 +186,12 @@ def class_priors(spark, folder):
 @query("meta_groups")
 def meta_groups(spark, folder):
     docs = _grouped_documents(spark, folder, "source", "lang")
-    names = clusters.filled_names(docs, clusters.distinctive_terms(docs, 6))
-    return clusters.group_members(clusters.meta_groups(names, 0.5), names)
+    names = cut(clusters.filled_names(docs, clusters.distinctive_terms(docs, 6)))
+    return clusters.meta_groups(names, 0.5)
+
+
+@query("meta_group_names")
+def meta_group_names(spark, folder):
+    docs = _grouped_documents(spark, folder, "source", "lang")
+    names = cut(clusters.filled_names(docs, clusters.distinctive_terms(docs, 6)))
+    return clusters.group_names(clusters.meta_groups(names, 0.5), names)

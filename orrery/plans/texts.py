@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from orrery.functions import text as X
-from orrery.operators import embed, ratings
+from orrery.operators import embed, items, ratings
 from orrery.plans import inputs
 from orrery.plans.registry import query
 from orrery.plans.sql import with_views
@@ -114,8 +114,9 @@ def hover_text(spark, folder):
     SELECT id, CONCAT(STRING_AGG(ingredient, ', ' ORDER BY r), CASE WHEN n > 6 THEN CONCAT(' +', CAST(n - 6 AS VARCHAR), ' more') ELSE '' END) AS preview
     FROM r WHERE r <= 6 GROUP BY id, n"""))
 def item_preview(spark, folder):
-    held = views.recipe_items(spark, folder).groupBy("id").agg(F.array_sort(F.collect_set("ingredient")).alias("items"))
-    return held.select("id", X.list_preview(F.col("items"), 6).alias("preview"))
+    held = items.previews(views.recipe_items(spark, folder), 6)
+    more = F.when(F.col("more") > 0, F.concat(F.lit(" +"), F.col("more").cast("string"), F.lit(" more"))).otherwise("")
+    return held.select("id", F.concat(F.array_join("items", ", "), more).alias("preview"))
 
 
 @query("list_literal", with_views("recipes", body="""

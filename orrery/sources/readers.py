@@ -38,10 +38,15 @@ def rejects(rows: DataFrame) -> DataFrame:
     )
 
 
-def csv_table(spark: SparkSession, path: str, schema: str, columns: Sequence[str] | None = None) -> DataFrame:
-    """Typed CSV with a header; quoted fields may hold line breaks and doubled quotes."""
+def csv_table(spark: SparkSession, path: str, schema: str, columns: Sequence[str] | None = None,
+              line_breaks: bool = True) -> DataFrame:
+    """Typed CSV with a header; quoted fields may hold doubled quotes and line breaks.
+
+    A file with line breaks inside fields is read by one task. Large input comes as many files,
+    or without such fields: then ``line_breaks=False`` lets Spark split every file.
+    """
     rows = (
-        spark.read.schema(schema).option("header", True).option("multiLine", True)
+        spark.read.schema(schema).option("header", True).option("multiLine", line_breaks)
         .option("quote", '"').option("escape", '"').option("enforceSchema", False).csv(path)
     )
     return rows.select(*columns) if columns else rows

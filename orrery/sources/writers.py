@@ -1,4 +1,8 @@
-"""File sinks. Every one is a partitioned write by the executors."""
+"""File sinks. Every one is a partitioned write by the executors.
+
+The rebalance hint sizes the write tasks at run time: a large folder is written by several
+tasks, small ones share a task.
+"""
 
 from __future__ import annotations
 
@@ -22,8 +26,8 @@ def vectors(df: DataFrame, path: str) -> None:
 
 def features(df: DataFrame, path: str) -> None:
     """Feature vectors, one folder per family."""
-    df.select("id", "family", "vector").repartition("family", F.pmod(F.xxhash64("id"), F.lit(64))).write.mode(
-        "overwrite").partitionBy("family").parquet(path)
+    df.select("id", "family", "vector").hint("rebalance", F.col("family")).write.mode("overwrite").partitionBy(
+        "family").parquet(path)
 
 
 def sharded_metrics(summaries: DataFrame, path: str) -> None:
@@ -35,8 +39,8 @@ def sharded_metrics(summaries: DataFrame, path: str) -> None:
     body = F.when(F.col("empty"), F.lit("{}")).otherwise(F.to_json(metrics))
     rows = summaries.select(shard_key(F.col("id")).alias("shard"), "id", body.alias("metrics"))
     line = F.concat(F.lit('{"id":"'), F.col("id").cast("string"), F.lit('","metrics":'), F.col("metrics"), F.lit("}"))
-    rows.select("shard", line.alias("value")).repartition("shard", F.pmod(F.xxhash64("value"), F.lit(8))).write.mode(
-        "overwrite").partitionBy("shard").option("compression", "gzip").text(path)
+    rows.select("shard", line.alias("value")).hint("rebalance", F.col("shard")).write.mode("overwrite").partitionBy(
+        "shard").option("compression", "gzip").text(path)
 
 
 def per_category(rollup: DataFrame, path: str) -> DataFrame:
@@ -53,10 +57,13 @@ def category_index(rollup: DataFrame) -> DataFrame:
     return rollup.select("family", F.col("category").alias("label"), file.alias("file")).distinct()
 
 
-def chunks(df: DataFrame, path: str) -> None:
-    """Records in one folder per Z-order chunk."""
-    df.repartitionByRange("chunk_id").sortWithinPartitions("chunk_id", "position").write.mode(
-        "overwrite").partitionBy("chunk_id").option("compression", "gzip").json(path)
+def chunks(df: DataFrame, path: str, chunks_per_folder: int = 1) -> None:
+    """Records in Z-order, one folder per chunk, or per run of chunks where there would be too many."""
+    ordered = df.repartitionByRange("chunk_id", "position").sortWithinPartitions("chunk_id", "position")
+    folder = "chunk_id" if chunks_per_folder == 1 else "chunk_run"
+    if chunks_per_folder > 1:
+        ordered = ordered.withColumn(folder, F.floor(F.col("chunk_id") / chunks_per_folder).cast("long"))
+    ordered.write.mode("overwrite").partitionBy(folder).option("compression", "gzip").json(path)
 
 
 def entity_documents(recipes: DataFrame, interactions: DataFrame, path: str, extra: tuple[str, ...] = ()) -> None:
@@ -66,11 +73,13 @@ def entity_documents(recipes: DataFrame, interactions: DataFrame, path: str, ext
     the document: a record with very many ratings stays readable and writable.
     """
     head = summary(recipes, interactions).join(recipes.select("id", "name"), "id")
-    head.withColumn("shard", shard_key(F.col("id"))).write.mode("overwrite").partitionBy("shard").json(f"{path}/metrics")
+    head.withColumn("shard", shard_key(F.col("id"))).hint("rebalance", F.col("shard")).write.mode(
+        "overwrite").partitionBy("shard").json(f"{path}/metrics")
     known = recipes.select(F.col("id").alias("recipe_id"))
     lists = rating_lists(interactions.join(known, "recipe_id", "left_semi"), extra)
-    lists.withColumn("shard", shard_key(F.col("recipe_id"))).write.mode("overwrite").partitionBy("shard").json(
-        f"{path}/ratings")
+    order = ["shard", "recipe_id", "position"]
+    lists.withColumn("shard", shard_key(F.col("recipe_id"))).repartitionByRange(*order).sortWithinPartitions(
+        *order).write.mode("overwrite").partitionBy("shard").json(f"{path}/ratings")
 
 
 def small_csv(df: DataFrame, path: str) -> None:

@@ -72,8 +72,8 @@ def test_range_is_taken_from_all_source_values(spark):
 
 
 def test_numeric_value_reads_a_year(spark):
-    found = values(spark, [("2005-04-12",), ("ab",), (None,)], "v string", E.numeric_value(F.col("v"), True))
-    assert found == [2005.0, None, None]
+    found = values(spark, [("2005-04-12",), ("ab",), (None,), ("12d",), ("1.5",)], "v string", E.numeric_value(F.col("v"), True))
+    assert found == [2005.0, None, None, None, 1.5]
 
 
 def test_rating_fraction(spark):
@@ -109,9 +109,10 @@ def test_links(spark):
 
 
 def test_list_literals(spark):
-    rows = [("['a', \"it's\", 'b']",), ("[]",), ("[broken",), (None,), ("['a', None]",)]
+    rows = [("['a', \"it's\", 'b']",), ("[]",), ("[broken",), (None,), ("['a', None]",), ("['it\\'s \"x\"']",)]
     found = values(spark, rows, "v string", X.parse_list(F.col("v")))
-    assert found == [["a", "it's", "b"], [], [], None, ["a", None]]
+    assert found == [["a", "it's", "b"], [], [], None, ["a", None], ['it\'s "x"']]
+    assert values(spark, rows, "v string", X.list_unreadable(F.col("v"))) == [False, False, True, False, False, False]
 
 
 def test_one_decimal_rounds_the_binary_value(spark):
