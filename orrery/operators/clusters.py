@@ -33,7 +33,8 @@ def overview(points: DataFrame) -> DataFrame:
 def distinctive_terms(texts: DataFrame, count: int = 3, min_length: int = 3) -> DataFrame:
     """(cluster, name): the terms frequent in a cluster and rare among the clusters."""
     tokens = texts.filter(F.col("cluster") != NOISE).select("cluster", F.explode(word_runs(F.col("text"))).alias("term"))
-    tf = tokens.filter(F.length("term") >= min_length).groupBy("cluster", "term").agg(F.count(F.lit(1)).alias("tf"))
+    counted = tokens.filter(F.length("term") >= min_length).groupBy("cluster", "term").agg(F.count(F.lit(1)).alias("tf"))
+    tf = cut(counted)  # read three times; the texts are split once
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     clusters = tf.agg(F.countDistinct("cluster")).scalar()
     scored = tf.join(df, "term").withColumn("weight", F.col("tf") * F.log(clusters / F.col("df")))
