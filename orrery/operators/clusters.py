@@ -8,7 +8,7 @@ from orrery.config import GROUP_MERGE_THRESHOLD
 from orrery.functions.text import word_runs
 from orrery.operators.density import NOISE
 from orrery.operators.embed import embed_text
-from orrery.operators.graphs import connected_components, similar_edges
+from orrery.operators.graphs import connected_components, linking_edges
 from orrery.operators.positions import with_position
 from orrery.operators.ratings import with_share
 from orrery.session import cut
@@ -67,7 +67,7 @@ def merged_groups(vectors: DataFrame, threshold: float = GROUP_MERGE_THRESHOLD,
     Groups are numbered from 0 by their smallest member; the noise group -1 is left alone.
     """
     named = vectors.filter(F.col("id") >= 0)
-    edges = similar_edges(named, threshold, **sizes_)
+    edges = linking_edges(named, threshold, **sizes_)
     component = connected_components(named, edges)
     order = with_position(component.select("component").distinct(), ["component"], "group")
     merged = component.join(order, "component").select("id", "component", "group")

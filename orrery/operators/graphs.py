@@ -8,11 +8,12 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from orrery.operators.neighbours import BLOCK_ROWS, BROADCAST_BYTES, _as_input, _unit_rows, size_of
+from orrery.operators.neighbours import BLOCK_ROWS, BROADCAST_BYTES, _as_input, _Side, _unit_rows, size_of
 from orrery.session import cut
 
 _EDGE = "a long, b long, similarity double"
 _TILE = 1024
+PIVOTS = 1024
 
 
 def connected_components(nodes: DataFrame, edges: DataFrame, a: str = "a", b: str = "b",
@@ -61,14 +62,28 @@ def connected_components(nodes: DataFrame, edges: DataFrame, a: str = "a", b: st
     return placed.join(smallest, "root").select("id", "component")
 
 
-def _similar(left_ids, left, right_ids, right, threshold: float) -> Iterator[pd.DataFrame]:
-    for start in range(0, len(left_ids), _TILE):
-        for low in range(0, len(right_ids), _TILE):
-            ids, names = left_ids[start : start + _TILE], right_ids[low : low + _TILE]
-            similarity = np.round(left[start : start + _TILE] @ right[low : low + _TILE].T, 12)
-            rows, columns = np.nonzero((similarity >= threshold) & (ids[:, None] < names[None, :]))
-            if len(rows):
-                yield pd.DataFrame({"a": ids[rows], "b": names[columns], "similarity": similarity[rows, columns]})
+def _similar(left: _Side, right: _Side, threshold: float, link: bool) -> Iterator[pd.DataFrame]:
+    """Pairs of rows at or above the threshold; with ``link`` one pair per two groups that have any."""
+    for start in range(0, len(left.ids), _TILE):
+        for low in range(0, len(right.ids), _TILE):
+            rows, columns = slice(start, start + _TILE), slice(low, low + _TILE)
+            similarity = np.round(left.vectors[rows] @ right.vectors[columns].T, 12)
+            a, b = (left.carried, right.carried) if link else (left.ids, right.ids)
+            a, b = a[rows], b[columns]
+            at = np.nonzero((similarity >= threshold) & (a[:, None] < b[None, :]))
+            if len(at[0]):
+                found = pd.DataFrame({"a": a[at[0]], "b": b[at[1]], "similarity": similarity[at]})
+                yield found.drop_duplicates(["a", "b"]) if link else found
+
+
+def _one_per_copy(points: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(the smallest id of every distinct vector, edges from it to its exact copies)."""
+    held = _as_input(points, "id").drop("carried")
+    first = held.groupBy("embedding").agg(F.min("id").alias("first"))
+    copies = held.join(first, "embedding").filter("id <> first").select(
+        F.col("first").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("similarity")
+    )
+    return cut(first.select(F.col("first").alias("id"), "embedding")), copies
 
 
 def similar_edges(points: DataFrame, threshold: float, broadcast_bytes: int = BROADCAST_BYTES,
@@ -76,52 +91,83 @@ def similar_edges(points: DataFrame, threshold: float, broadcast_bytes: int = BR
     """(a, b, similarity) of points whose cosine reaches the threshold, a < b.
 
     Exact copies are joined to their smallest id only, and just that one is compared with the
-    rest: a group of copies gives one edge per copy instead of all of its pairs, and the
-    components are the same.
+    rest: a group of copies gives one edge per copy instead of all of its pairs.
     """
-    held = points.select(F.col("id").cast("long").alias("id"), "embedding")
-    first = held.groupBy("embedding").agg(F.min("id").alias("first"))
-    copies = (
-        held.join(first, "embedding").filter("id <> first")
-        .select(F.col("first").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("similarity"))
-    )
-    distinct = cut(first.select(F.col("first").alias("id"), "embedding"))
-    return _distinct_edges(distinct, threshold, broadcast_bytes, block_rows).unionByName(copies)
+    distinct, copies = _one_per_copy(points)
+    held = distinct.withColumn("carried", F.col("id"))
+    return _compared(held, threshold, False, broadcast_bytes, block_rows).unionByName(copies)
+
 
+def linking_edges(points: DataFrame, threshold: float, broadcast_bytes: int = BROADCAST_BYTES,
+                  block_rows: int = BLOCK_ROWS, pivots: int = PIVOTS) -> DataFrame:
+    """(a, b) with the same components as all pairs at or above the threshold, but far fewer edges.
 
-def _distinct_edges(points: DataFrame, threshold: float, broadcast_bytes: int, block_rows: int) -> DataFrame:
-    points = _as_input(points, "id")
+    Two points within half the threshold angle of one pivot are similar to each other. So
+    everything that close to a pivot is one group, tied to the pivot by one edge per point, and
+    two groups need one edge at most. A crowd of near copies then gives as many edges as it has
+    points; points near no pivot are groups of their own and compared like any other.
+    """
+    distinct, copies = _one_per_copy(points)
+    # a bounded sample: ``pivots`` rows at most
+    sample = distinct.orderBy(F.xxhash64("id"), "id").limit(pivots).toPandas()
+    half_angle = np.arccos(np.clip(threshold, -1.0, 1.0)) / 2.0 - 1e-9  # a little less against rounding
+    close = float(np.cos(max(half_angle, 0.0)))
+    shared = points.sparkSession.sparkContext.broadcast(_apart(_Side.of(sample.assign(carried=sample["id"])), close))
+
+    def group(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids, vectors = shared.value
+        for batch in batches:
+            own = batch["id"].to_numpy(np.int64)
+            if len(ids) and len(batch):
+                cosine = _unit_rows(batch["embedding"]) @ vectors.T
+                best = cosine.argmax(axis=1)
+                near = cosine[np.arange(len(batch)), best] >= close
+                own = np.where(near, ids[best], own)
+            yield batch.assign(carried=own)
+
+    grouped = cut(distinct.mapInPandas(group, "id long, embedding array<double>, carried long"))
+    stars = grouped.filter("carried <> id").select(F.col("carried").alias("a"), F.col("id").alias("b"))
+    links = _compared(grouped, threshold, True, broadcast_bytes, block_rows).select("a", "b").distinct()
+    return links.unionByName(stars).unionByName(copies.select("a", "b"))
+
+
+def _apart(sample: _Side, close: float) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and vectors of sampled rows none of which is close to an earlier one."""
+    kept: list[int] = []
+    for at in range(len(sample.ids)):
+        if not kept or (sample.vectors[kept] @ sample.vectors[at]).max() < close:
+            kept.append(at)
+    return sample.ids[kept], sample.vectors[kept] if kept else sample.vectors
+
+
+def _compared(points: DataFrame, threshold: float, link: bool, broadcast_bytes: int, block_rows: int) -> DataFrame:
+    """Edges among distinct vectors (id, embedding, carried), over a broadcast or over blocks."""
     count, size = size_of(points)
     if size <= broadcast_bytes:
-        rows = points.toPandas()  # under the size check
-        shared = points.sparkSession.sparkContext.broadcast(
-            (rows["id"].to_numpy(np.int64), _unit_rows(rows["embedding"]))
-        )
+        # under the size check
+        shared = points.sparkSession.sparkContext.broadcast(_Side.of(points.toPandas()).arrays())
 
         def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            names, vectors = shared.value
+            every = _Side(*shared.value)
             for batch in batches:
                 if len(batch):
-                    yield from _similar(
-                        batch["id"].to_numpy(np.int64), _unit_rows(batch["embedding"]), names, vectors, threshold
-                    )
+                    yield from _similar(_Side.of(batch), every, threshold, link)
 
         return points.mapInPandas(search, _EDGE)
 
     parts = max(1, -(-count // block_rows))
     part = F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")
     every = F.sequence(F.lit(0), F.lit(parts - 1))
-    left = _as_input(points, "id").withColumn("i", part).withColumn("j", F.explode(every)).groupBy("i", "j")
-    right = _as_input(points, "id").withColumn("j", part).withColumn("i", F.explode(every)).groupBy("i", "j")
+
+    def side(own: str, other: str):
+        # columns renamed so that the two sides do not share ids
+        held = points.select(*[F.col(c).alias(c) for c in ("id", "embedding", "carried")])
+        return held.withColumn(own, part).withColumn(other, F.explode(every)).groupBy("i", "j")
 
     def meet(some: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"a": [], "b": [], "similarity": []})
-        if not len(some) or not len(others):
-            return empty
-        found = list(_similar(
-            some["id"].to_numpy(np.int64), _unit_rows(some["embedding"]),
-            others["id"].to_numpy(np.int64), _unit_rows(others["embedding"]), threshold,
-        ))
-        return pd.concat(found, ignore_index=True) if found else empty
-
-    return left.cogroup(right).applyInPandas(meet, _EDGE)
+        found = []
+        if len(some) and len(others):
+            found = list(_similar(_Side.of(some), _Side.of(others), threshold, link))
+        return pd.concat(found, ignore_index=True) if found else pd.DataFrame({"a": [], "b": [], "similarity": []})
+
+    return side("i", "j").cogroup(side("j", "i")).applyInPandas(meet, _EDGE)

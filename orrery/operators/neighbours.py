@@ -49,11 +49,17 @@ def _best(distances: np.ndarray, k: int) -> np.ndarray:
 class _Side:
     """Ids, unit vectors and one carried column of some rows, as arrays inside a task."""
 
-    def __init__(self, rows: pd.DataFrame, sort: bool = False):
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, carried: np.ndarray):
+        self.ids, self.vectors, self.carried = ids, vectors, carried
+
+    @classmethod
+    def of(cls, rows: pd.DataFrame, sort: bool = False) -> _Side:
         rows = rows.sort_values("id") if sort else rows
-        self.ids = rows["id"].to_numpy(np.int64)
-        self.vectors = _unit_rows(rows["embedding"])
-        self.carried = rows["carried"].to_numpy()
+        return cls(rows["id"].to_numpy(np.int64), _unit_rows(rows["embedding"]), rows["carried"].to_numpy())
+
+    def arrays(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """What a broadcast carries: plain arrays, so that no task stacks or normalises them again."""
+        return self.ids, self.vectors, self.carried
 
 
 def _nearest(queries: _Side, train: _Side, k: int, skip_self: bool) -> Iterator[pd.DataFrame]:
@@ -129,13 +135,13 @@ def nearest(queries: DataFrame, train: DataFrame, k: int, query_id: str = "id",
 
 def _against_broadcast(asked: DataFrame, known: DataFrame, k: int, skip_self: bool) -> DataFrame:
     # collected only under the size check of the caller; the ranks are final, so nothing is shuffled
-    shared = known.sparkSession.sparkContext.broadcast(known.toPandas())
+    shared = known.sparkSession.sparkContext.broadcast(_Side.of(known.toPandas(), sort=True).arrays())
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        train = _Side(shared.value, sort=True)
+        train = _Side(*shared.value)
         for batch in batches:
             if len(train.ids) and len(batch):
-                yield from _nearest(_Side(batch), train, k, skip_self)
+                yield from _nearest(_Side.of(batch), train, k, skip_self)
 
     return asked.mapInPandas(search, _FOUND)
 
@@ -157,7 +163,7 @@ def _against_blocks(asked: DataFrame, known: DataFrame, k: int, skip_self: bool,
     def search(some: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
         if not len(some) or not len(others):
             return pd.DataFrame({name.split()[0]: [] for name in _FOUND.split(", ")})
-        return pd.concat(list(_nearest(_Side(some), _Side(others, sort=True), k, skip_self)), ignore_index=True)
+        return pd.concat(list(_nearest(_Side.of(some), _Side.of(others, sort=True), k, skip_self)), ignore_index=True)
 
     best = Window.partitionBy("query_id").orderBy("distance", "neighbour_id")
     of_blocks = left.cogroup(right).applyInPandas(search, _FOUND)

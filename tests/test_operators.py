@@ -200,6 +200,29 @@ def test_similar_edges_join_copies_to_one_row(spark, sizes):
     assert found == expected | {(0, 60 + i) for i in range(10)}
 
 
+@pytest.mark.parametrize("sizes", [{}, {"broadcast_bytes": 0, "block_rows": 40}])
+def test_linking_edges_have_the_components_of_all_pairs(spark, sizes):
+    source = np.random.default_rng(9)
+    crowd = source.normal(size=(1, 6)) + source.normal(scale=0.05, size=(150, 6))
+    rows = np.concatenate([crowd, source.normal(size=(80, 6)), crowd[:5]])
+    rows /= np.linalg.norm(rows, axis=1, keepdims=True)
+    frame = spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(rows)], "id long, embedding array<double>")
+    edges = graphs.linking_edges(frame, 0.9, pivots=20, **sizes)
+    assert edges.count() < 600  # the crowd alone has over 11000 similar pairs
+    found = {r["id"]: r["component"] for r in graphs.connected_components(frame, edges).collect()}
+    close = rows @ rows.T >= 0.9
+    expected = {}
+    for start in range(len(rows)):
+        if start not in expected:
+            stack, expected[start] = [start], start
+            while stack:
+                for near in np.nonzero(close[stack.pop()])[0]:
+                    if near not in expected:
+                        expected[near] = start
+                        stack.append(near)
+    assert found == expected
+
+
 def test_merged_groups_keep_noise_aside(spark):
     rows = [(-1, [1.0, 0.0]), (0, [1.0, 0.0]), (1, [0.99, 0.141]), (2, [0.0, 1.0])]
     frame = spark.createDataFrame(rows, "id long, embedding array<double>")
