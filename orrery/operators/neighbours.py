@@ -35,15 +35,18 @@ def _best(distances: np.ndarray, k: int) -> np.ndarray:
     """Column numbers of the k smallest per row, ties by column number."""
     if distances.shape[1] <= k:
         return np.argsort(distances, axis=1, kind="stable")
-    kth = np.partition(distances, k - 1, axis=1)[:, k - 1 : k]
-    # everything below the k-th value, then equals in column order until k are kept
-    keep = distances < kth
-    ties = distances == kth
-    room = k - keep.sum(axis=1, keepdims=True)
-    keep |= ties & (np.cumsum(ties, axis=1) <= room)
-    columns = np.nonzero(keep)[1].reshape(len(distances), k)
-    order = np.argsort(np.take_along_axis(distances, columns, axis=1), axis=1, kind="stable")
-    return np.take_along_axis(columns, order, axis=1)
+    columns = np.sort(np.argpartition(distances, k - 1, axis=1)[:, :k], axis=1)
+    values = np.take_along_axis(distances, columns, axis=1)
+    kth = values.max(axis=1, keepdims=True)
+    tied = np.nonzero(np.count_nonzero(distances <= kth, axis=1) > k)[0]
+    if len(tied):
+        # equals of the k-th value were left out: keep those with the lowest columns
+        below, equal = distances[tied] < kth[tied], distances[tied] == kth[tied]
+        room = k - below.sum(axis=1, keepdims=True)
+        kept = below | (equal & (np.cumsum(equal, axis=1, dtype=np.int32) <= room))
+        columns[tied] = np.nonzero(kept)[1].reshape(len(tied), k)
+        values = np.take_along_axis(distances, columns, axis=1)
+    return np.take_along_axis(columns, np.argsort(values, axis=1, kind="stable"), axis=1)
 
 
 class _Side:
@@ -71,13 +74,16 @@ def _nearest(queries: _Side, train: _Side, k: int, skip_self: bool) -> Iterator[
         best_at = np.empty((len(ids), 0), dtype=np.int64)
         for low in range(0, len(train.ids), _TRAIN_TILE):
             names = train.ids[low : low + _TRAIN_TILE]
-            # rounded so that copies of one vector are equally far and rank by id
-            distance = np.round(1.0 - tile @ train.vectors[low : low + _TRAIN_TILE].T, 12)
+            distance = tile @ train.vectors[low : low + _TRAIN_TILE].T
+            np.subtract(1.0, distance, out=distance)
+            np.round(distance, 12, out=distance)  # copies of one vector are equally far and rank by id
             if skip_self:
-                distance[ids[:, None] == names[None, :]] = np.inf
-            places = np.broadcast_to(np.arange(low, low + len(names)), distance.shape)
-            best_d = np.concatenate([best_d, distance], axis=1)
-            best_at = np.concatenate([best_at, places], axis=1)
+                own = np.minimum(np.searchsorted(names, ids), len(names) - 1)
+                same = np.nonzero(names[own] == ids)[0]
+                distance[same, own[same]] = np.inf
+            columns = _best(distance, k)
+            best_d = np.concatenate([best_d, np.take_along_axis(distance, columns, axis=1)], axis=1)
+            best_at = np.concatenate([best_at, columns + low], axis=1)
             columns = _best(best_d, k)
             best_d = np.take_along_axis(best_d, columns, axis=1)
             best_at = np.take_along_axis(best_at, columns, axis=1)
