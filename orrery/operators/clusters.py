@@ -78,17 +78,18 @@ def merged_groups(vectors: DataFrame, threshold: float = GROUP_MERGE_THRESHOLD,
 
 
 def meta_groups(names: DataFrame, threshold: float = 0.5, dims: int = 256) -> DataFrame:
-    """(group, cluster) of clusters with similar names; clusters alike to no other are group -1.
+    """(group, cluster) of clusters with similar names, groups numbered from 0 by their first cluster.
 
-    A group goes by the smallest of its cluster ids.
+    Clusters alike to no other are in group -1.
     """
     titled = names.filter(F.col("cluster") >= 0).select(F.col("cluster").cast("long").alias("id"), F.col("name").alias("text"))
-    grouped = merged_groups(cut(embed_text(titled, dims)), threshold)
-    size = grouped.groupBy("group").agg(F.count(F.lit(1)).alias("n"))
-    placed = grouped.join(size, "group").select(
-        "id", F.when(F.col("n") > 1, F.col("component")).otherwise(F.lit(NOISE).cast("long")).alias("group")
+    vectors = cut(embed_text(titled, dims))
+    component = cut(connected_components(vectors, linking_edges(vectors, threshold)))
+    shared = component.groupBy("component").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("component")
+    numbered = with_position(shared, ["component"], "group")
+    return component.join(numbered, "component", "left").select(
+        F.coalesce("group", F.lit(NOISE)).alias("group"), F.col("id").alias("cluster")
     )
-    return placed.select("group", F.col("id").alias("cluster"))
 
 
 def group_names(grouped: DataFrame, names: DataFrame) -> DataFrame:

@@ -344,6 +344,15 @@ def test_names_are_filled(spark):
         (-1, "Unclustered"), (0, "Cluster 0"), (1, "rings")}
 
 
+def test_meta_groups_of_similar_names(spark):
+    rows = [(-1, "Unclustered"), (3, "red ring"), (4, "blue pan"), (7, "ring red"), (9, "green leaf"), (12, "leaf green")]
+    names = spark.createDataFrame(rows, "cluster int, name string")
+    grouped = clusters.meta_groups(names, 0.9)
+    assert {tuple(r) for r in grouped.collect()} == {(0, 3), (0, 7), (1, 9), (1, 12), (-1, 4)}
+    named = {tuple(r) for r in clusters.group_names(grouped, names).collect()}
+    assert named == {(0, "red ring", 2), (1, "green leaf", 2), (-1, "Ungrouped", 1)}
+
+
 def test_distinctive_terms(spark):
     rows = [(0, "red ring and red bolt"), (1, "blue pan and blue pot"), (-1, "noise noise")]
     found = {r["cluster"]: r["name"] for r in clusters.distinctive_terms(spark.createDataFrame(rows, "cluster int, text string"), 2).collect()}
