@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from orrery.llm import quality
+from orrery.llm import decontaminate, mixing, quality, sharding
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -33,3 +33,70 @@ def op8_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     model = quality.train(documents, table(spark, folder, "labels"))
     return quality.score(documents, model).select(
         "doc_id", *quality.MEASURES, "base_failed", "kept", "quality_probability")
+
+
+@query("op6_source_mixing")
+def op6_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    rows, draws = mixing.plan(table(spark, folder, "documents"))
+    return mixing.taken(rows, draws).select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
+
+
+_SHARDS_SQL = f"""
+WITH RECURSIVE shards AS (
+  SELECT i, 'shard-' || lpad(CAST(i AS VARCHAR), 2, '0') AS name FROM range({len(sharding.SHARDS)}) r(i)
+), lists AS (
+  SELECT list(CAST('0x' || substr(md5(name || '/offset'), 1, 8) AS BIGINT) % {sharding.SLOTS} ORDER BY i) AS offsets,
+         list(CAST('0x' || substr(md5(name || '/skip'), 1, 8) AS BIGINT) % {sharding.SLOTS - 1} + 1 ORDER BY i) AS skips,
+         list(name ORDER BY i) AS names FROM shards
+), fill AS (
+  SELECT 0 AS turn, CAST([] AS BIGINT[]) AS taken
+  UNION ALL
+  SELECT turn + 1, list_append(taken, (SELECT (offsets[turn % {len(sharding.SHARDS)} + 1] + j * skips[turn % {len(sharding.SHARDS)} + 1]) % {sharding.SLOTS}
+     FROM lists, range({sharding.SLOTS}) r(j)
+     WHERE NOT list_contains(taken, (offsets[turn % {len(sharding.SHARDS)} + 1] + j * skips[turn % {len(sharding.SHARDS)} + 1]) % {sharding.SLOTS})
+     ORDER BY j LIMIT 1))
+  FROM fill WHERE turn < {sharding.SLOTS}
+), slots AS (
+  SELECT taken[turn + 1] AS slot, names[turn % {len(sharding.SHARDS)} + 1] AS shard
+  FROM (SELECT taken FROM fill WHERE turn = {sharding.SLOTS}), lists, range({sharding.SLOTS}) r(turn)
+), placed AS (
+  SELECT doc_id, CAST(CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) % {sharding.SLOTS} AS INT) AS slot
+  FROM documents
+)
+SELECT doc_id, slot, shard FROM placed JOIN slots USING (slot)
+"""
+
+
+@query("op5_shard_placement", _SHARDS_SQL)
+def op5_shard_placement(spark: SparkSession, folder: str) -> DataFrame:
+    return sharding.place(table(spark, folder, "documents")).select("doc_id", "slot", "shard")
+
+
+_WORDS_SQL = "coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), [])"
+_LEAKS_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS_SQL} AS w FROM documents),
+i AS (SELECT item_id, {_WORDS_SQL} AS w FROM benchmark),
+windows AS (
+  SELECT DISTINCT item_id, least(len(w), 10) AS l, array_to_string(w[s:s + least(len(w), 10) - 1], ' ') AS t
+  FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS s FROM i WHERE len(w) > 0)
+),
+lengths AS (SELECT DISTINCT l FROM windows),
+runs AS (
+  SELECT r, l, s, array_to_string(w[s:s + l - 1], ' ') AS t
+  FROM (SELECT r, w, l, unnest(range(1, len(w) - l + 2)) AS s FROM d, lengths WHERE len(w) >= l)
+),
+hits AS (SELECT DISTINCT r, runs.l, s, item_id FROM runs JOIN windows USING (l, t)),
+places AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(s, s + l)) AS p FROM hits) GROUP BY r),
+items AS (SELECT r, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS ids FROM hits GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN places USING (r) LEFT JOIN items USING (r)
+"""
+
+
+@query("op10_benchmark_decontamination", _LEAKS_SQL)
+def op10_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    found = decontaminate.report(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"),
+        F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), "contaminated")
