@@ -24,3 +24,38 @@ def measures(text):
     return (
         len(found), sum(map(len, found)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(hit),
     )
+
+
+def lowered(text):
+    return "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+
+
+def shingles(text, size=5):
+    found = words(lowered(text))
+    if not found:
+        return set()
+    return {tuple(found[i : i + size]) for i in range(max(len(found) - size, 0) + 1)}
+
+
+def components(texts):
+    """{row: smallest id reachable} of [(id, text)], by comparing all pairs."""
+    sets = [shingles(text) for _, text in texts]
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            b = sets[j]
+            if a and b and min(len(a), len(b)) * 10 >= max(len(a), len(b)) * 8:
+                if 100 * len(a & b) >= 80 * len(a | b):
+                    root[find(i)] = find(j)
+    least = {}
+    for i, (key, _) in enumerate(texts):
+        ids = least.setdefault(find(i), [])
+        if key is not None:
+            ids.append(key)
+    return [min(least[find(i)], default=None) if sets[i] else texts[i][0] for i in range(len(texts))], [find(i) for i in range(len(texts))]
