@@ -118,8 +118,7 @@ def score(documents: DataFrame, model: Logit, text_column: str = "text", thresho
         for batch in batches:
             for block in blocks(batch.column(at)):
                 counts = measures(block)
-                failed = (counts["n_words"] < MIN_WORDS) | (
-                    100 * counts["n_repeat_words"] > MAX_REPEAT_PERCENT * counts["n_words"])
+                failed = _failed(counts)
                 probability = held.probability(sequences(block))
                 own = batch.slice(block.first, block.rows)
                 columns = [*own.columns, *[pa.array(counts[name], pa.int64()) for name in MEASURES], pa.array(failed),
@@ -127,3 +126,22 @@ def score(documents: DataFrame, model: Logit, text_column: str = "text", thresho
                 yield pa.RecordBatch.from_arrays(columns, schema.names)
 
     return carried.mapInArrow(judge, schema)
+
+
+def keep(documents: DataFrame, model: Logit, text_column: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows that are kept, with the columns and values they came with."""
+    at = documents.columns.index(text_column)
+    shared = documents.sparkSession.sparkContext.broadcast(model)
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: Logit = shared.value
+        for batch in batches:
+            for block in blocks(batch.column(at)):
+                good = ~_failed(measures(block)) & (held.probability(sequences(block)) >= threshold)
+                yield batch.slice(block.first, block.rows).filter(pa.array(good))
+
+    return documents.mapInArrow(choose, documents.schema)
+
+
+def _failed(counts: dict[str, np.ndarray]) -> np.ndarray:
+    return (counts["n_words"] < MIN_WORDS) | (100 * counts["n_repeat_words"] > MAX_REPEAT_PERCENT * counts["n_words"])
