@@ -14,8 +14,9 @@ Two texts link when ``100 * intersection >= 80 * union``, and texts joined by li
   no comparison: a crowd of near copies costs one comparison each. Then the pairs of the lists
   whose classes still differ are compared, all of them.
 
-No list is collected, no pair inside a class is emitted, and links are compared exactly on 64-bit
-shingle hashes. Broadcast is the sketch alone, ``4 * cells`` bytes.
+No list is collected, no pair inside a class is emitted, and links are compared on the whole sets as
+64-bit shingle hashes; a set is named by 64 bits. Broadcast are the sketch (``cells`` bytes) and bitmaps of ``2 ** FILTER_BITS`` bits that
+keep rows which surely meet nothing out of the shuffle; their size is fixed, exact joins follow.
 
 Defined results: a null, empty or blank text has no shingles and links with nothing; null ids are
 kept (a class of null ids only has a null id); repeated rows are equal sets.
@@ -23,6 +24,7 @@ kept (a class of null ids only has a null id); repeated rows are equal sets.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,13 +33,21 @@ from pyspark.sql import DataFrame, functions as F
 
 from orrery.llm.words import Block, blocks, mix, ngrams, ranges, signed
 from orrery.operators.graphs import connected_components
-from orrery.session import cut
+from orrery.session import cut, fresh_path
 
 SHINGLE = 5
 CELL_BITS = 20
+FILTER_BITS = 26
 SEGMENT_BITS = 14
 MERGE_WAYS = 64
-_LONG_LIST = pa.list_(pa.int64())
+COMPARED_ROWS = 256
+
+
+def _stored(frame: DataFrame, stem: str) -> DataFrame:
+    """``frame`` as a table in the shared folder: read again by columns, not computed again."""
+    path = fresh_path(frame.sparkSession, stem)
+    frame.write.parquet(path)
+    return frame.sparkSession.read.parquet(path)
 
 
 def shingle_sets(block: Block, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -60,17 +70,11 @@ def shingle_sets(block: Block, size: int = SHINGLE) -> tuple[np.ndarray, np.ndar
     return hashes, np.searchsorted(owner, np.arange(block.rows + 1))
 
 
-def _nodes(hashes: np.ndarray, bounds: np.ndarray) -> pa.Array:
-    """A 128-bit name of every set; equal sets, equal name."""
-    parts = []
-    for salt in (np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)):
-        total = np.zeros(len(hashes) + 1, dtype=np.uint64)
-        np.cumsum(mix(hashes ^ salt), out=total[1:])
-        parts.append(mix(total[bounds[1:]] - total[bounds[:-1]] + np.diff(bounds).astype(np.uint64)))
-    names = np.stack(parts, axis=1).astype("<u8").tobytes()
-    rows = len(bounds) - 1
-    at = np.arange(0, 16 * (rows + 1), 16, dtype=np.int32)
-    return pa.Array.from_buffers(pa.binary(), rows, [None, pa.py_buffer(at.tobytes()), pa.py_buffer(names)])
+def _nodes(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """A 64-bit name of every set; equal sets, equal name."""
+    total = np.zeros(len(hashes) + 1, dtype=np.uint64)
+    np.cumsum(mix(hashes ^ np.uint64(0x5851F42D4C957F2D)), out=total[1:])
+    return signed(mix(total[bounds[1:]] - total[bounds[:-1]] + np.diff(bounds).astype(np.uint64)))
 
 
 def _sets(documents: DataFrame, id_column: str, text_column: str, size: int) -> DataFrame:
@@ -83,96 +87,170 @@ def _sets(documents: DataFrame, id_column: str, text_column: str, size: int) ->
                 hashes, bounds = shingle_sets(block, size)
                 own = batch.slice(block.first, block.rows)
                 yield pa.RecordBatch.from_arrays(
-                    [own.column(0), own.column(1), pa.array(np.diff(bounds)), _nodes(hashes, bounds)], ["id", "key", "n", "node"])
+                    [own.column(0), own.column(1), pa.array(np.diff(bounds)), pa.array(_nodes(hashes, bounds))], ["id", "key", "n", "node"])
 
     columns = documents.select(F.col(id_column), F.xxhash64(text_column), F.col(text_column))
-    return columns.mapInArrow(name, f"id {kind}, key long, n long, node binary")
+    return columns.mapInArrow(name, f"id {kind}, key long, n long, node long")
 
 
-def _frequencies(documents: DataFrame, text_column: str, size: int, cell_bits: int) -> np.ndarray:
-    """Counts of all shingles of all rows in ``2 ** cell_bits`` cells, as the bit length of each count."""
+def _merged(counted: DataFrame, cell_bits: int) -> np.ndarray:
+    """The sum of the tasks' cells, which come as (at, cells) segments; merged in two steps, so that
+    no group holds a segment of every task. The result has ``2 ** cell_bits`` cells, whatever the input."""
     segment = 1 << min(SEGMENT_BITS, cell_bits)
 
+    def add(parts: pa.Table) -> pa.Table:
+        total = np.zeros(segment, dtype=np.int64)
+        for part in parts.column("cells"):
+            total += np.frombuffer(part.as_buffer(), dtype=np.uint32)
+        total = np.minimum(total, 2**32 - 1).astype(np.uint32)
+        return pa.table({"at": parts.column("at")[:1], "way": parts.column("way")[:1], "cells": pa.array([total.tobytes()], pa.binary())})
+
+    some = counted.withColumn("way", F.spark_partition_id() % MERGE_WAYS).select("at", "way", "cells")
+    merged = some.groupBy("at", "way").applyInArrow(add, "at int, way int, cells binary")
+    whole = merged.groupBy("at").applyInArrow(add, "at int, way int, cells binary")
+    cells = np.zeros(1 << cell_bits, dtype=np.uint32)
+    for row in whole.toLocalIterator():  # a fixed number of segments
+        cells[row.at : row.at + segment] = np.frombuffer(row.cells, dtype=np.uint32)
+    return cells
+
+
+def _segments(cells: np.ndarray) -> Iterator[pa.RecordBatch]:
+    segment = min(1 << SEGMENT_BITS, len(cells))
+    for at in range(0, len(cells), segment):
+        part = cells[at : at + segment]
+        if part.any():
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([at], pa.int32()), pa.array([part.astype(np.uint32).tobytes()], pa.binary())], ["at", "cells"])
+
+
+def _frequencies(documents: DataFrame, text_column: str, size: int, cell_bits: int) -> np.ndarray:
+    """Counts of all shingles of all rows in ``2 ** cell_bits`` cells, as the bit length of each count."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = np.zeros(1 << cell_bits, dtype=np.int64)
         for batch in batches:
             for block in blocks(batch.column(0), lower=True):
                 hashes, _ = shingle_sets(block, size)
                 cells += np.bincount((hashes >> np.uint64(64 - cell_bits)).astype(np.int64), minlength=1 << cell_bits)
-        for at in range(0, 1 << cell_bits, segment):
-            part = cells[at : at + segment]
-            if part.any():
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([at], pa.int32()), pa.array([part.tobytes()], pa.binary())], ["at", "cells"])
+        yield from _segments(np.minimum(cells, 2**32 - 1))
 
-    def add(parts: pa.Table) -> pa.Table:
-        total = np.zeros(segment, dtype=np.int64)
-        for part in parts.column("cells"):
-            total += np.frombuffer(part.as_buffer(), dtype=np.int64)
+    cells = _merged(documents.select(text_column).mapInArrow(count, "at int, cells binary"), cell_bits)
+    return np.ceil(np.log2(cells + 1.0)).astype(np.int8)
+
+
+def _filter(keys: DataFrame, bits: int) -> np.ndarray:
+    """A bitmap of ``2 ** bits`` bits that holds every key (a long) of ``keys``: it only spares shuffled
+    rows, an exact join follows. Packed 32 bits to a cell."""
+    cell_bits = bits - 5
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells = np.zeros(1 << cell_bits, dtype=np.uint32)
+        for batch in batches:
+            at = _place(batch.column(0).to_numpy(), bits)
+            np.bitwise_or.at(cells, at >> 5, np.uint32(1) << (at & 31).astype(np.uint32))
+        yield from _segments(cells)
+
+    def join(parts: pa.Table) -> pa.Table:
+        total = np.bitwise_or.reduce([np.frombuffer(part.as_buffer(), dtype=np.uint32) for part in parts.column("cells")])
         return pa.table({"at": parts.column("at")[:1], "way": parts.column("way")[:1], "cells": pa.array([total.tobytes()], pa.binary())})
 
-    counted = documents.select(text_column).mapInArrow(count, "at int, cells binary")
-    # merged in two steps, so that no group holds a segment of every task
-    some = counted.withColumn("way", F.spark_partition_id() % MERGE_WAYS).select("at", "way", "cells")
-    merged = some.groupBy("at", "way").applyInArrow(add, "at int, way int, cells binary")
-    whole = merged.groupBy("at").applyInArrow(add, "at int, way int, cells binary")
-    cells = np.zeros(1 << cell_bits, dtype=np.int64)
-    for row in whole.toLocalIterator():  # a fixed number of segments, whatever the input
-        cells[row.at : row.at + segment] = np.frombuffer(row.cells, dtype=np.int64)
-    return np.ceil(np.log2(cells + 1)).astype(np.int8)
+    marked = keys.mapInArrow(mark, "at int, cells binary").withColumn("way", F.spark_partition_id() % MERGE_WAYS).select("at", "way", "cells")
+    whole = marked.groupBy("at", "way").applyInArrow(join, "at int, way int, cells binary").groupBy("at").applyInArrow(
+        join, "at int, way int, cells binary")
+    segment = 1 << min(SEGMENT_BITS, cell_bits)
+    cells = np.zeros(1 << cell_bits, dtype=np.uint32)
+    for row in whole.toLocalIterator():  # a fixed number of segments
+        cells[row.at : row.at + segment] = np.frombuffer(row.cells, dtype=np.uint32)
+    return cells
+
+
+def _place(keys: np.ndarray, bits: int) -> np.ndarray:
+    return (mix(np.ascontiguousarray(keys).view(np.uint64)) >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def _postings(documents: DataFrame, text_column: str, size: int, ranks) -> DataFrame:
-    """(node, n, at, shingle): the head of every set in the global order."""
+def _held(cells: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    at = _place(keys, len(cells).bit_length() - 1 + 5)
+    return (cells[at >> 5] >> (at & 31).astype(np.uint32)) & np.uint32(1) != 0
+
+
+def _shared_shingles(documents: DataFrame, text_column: str, size: int, ranks) -> DataFrame:
+    """Shingles that stand in the head of two rows at least."""
+    def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block in blocks(batch.column(0), lower=True):
+                hashes, bounds, _ = _heads(*shingle_sets(block, size), ranks.value)
+                yield pa.RecordBatch.from_arrays([pa.array(signed(hashes))], ["shingle"])
+
+    posted = documents.select(text_column).mapInArrow(heads, "shingle long")
+    return posted.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("shingle")
+
+
+def _heads(hashes: np.ndarray, bounds: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The first shingles of every set in the global order: (hashes, offsets per text, places)."""
+    n = np.diff(bounds)
+    owner = np.repeat(np.arange(len(n)), n)
+    shift = np.uint64(64 - (len(classes).bit_length() - 1))
+    order = np.lexsort((hashes, classes[(hashes >> shift).astype(np.int64)], owner))
+    length = np.where(n > 0, n - (4 * n + 4) // 5 + 1, 0)
+    cuts = np.concatenate([[0], np.cumsum(length)])
+    return hashes[order][ranges(bounds[:-1], length)], cuts, ranges(np.zeros(len(n), np.int64), length)
+
+
+def _postings(documents: DataFrame, text_column: str, size: int, ranks, likely) -> DataFrame:
+    """(node, n, at, shingle): the heads of all sets, but for shingles that surely stand in one row only."""
     def head(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        classes = ranks.value
-        shift = np.uint64(64 - (len(classes).bit_length() - 1))
         for batch in batches:
             for block in blocks(batch.column(0), lower=True):
                 hashes, bounds = shingle_sets(block, size)
-                n = np.diff(bounds)
-                owner = np.repeat(np.arange(block.rows), n)
-                order = np.lexsort((hashes, classes[(hashes >> shift).astype(np.int64)], owner))
-                length = np.where(n > 0, n - (4 * n + 4) // 5 + 1, 0)
-                kept = signed(hashes[order][ranges(bounds[:-1], length)])
-                cuts = np.concatenate([[0], np.cumsum(length)])
+                names = _nodes(hashes, bounds)
+                heads, cuts, at = _heads(hashes, bounds, ranks.value)
+                owner = np.repeat(np.arange(block.rows), np.diff(cuts))
+                kept = _held(likely.value, signed(heads))
+                owner = owner[kept]
                 yield pa.RecordBatch.from_arrays([
-                    _nodes(hashes, bounds), pa.array(n.astype(np.int32)),
-                    pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(kept))], ["node", "n", "shingles"])
+                    pa.array(names[owner]), pa.array(np.diff(bounds)[owner].astype(np.int32)),
+                    pa.array(at[kept].astype(np.int32)), pa.array(signed(heads[kept]))], ["node", "n", "at", "shingle"])
 
-    heads = documents.select(text_column).mapInArrow(head, "node binary, n int, shingles array<long>")
-    return heads.select("node", "n", F.posexplode("shingles").alias("at", "shingle"))
+    return documents.select(text_column).mapInArrow(head, "node long, n int, at int, shingle long")
 
 
-def _verified(documents: DataFrame, pairs: DataFrame, reps: DataFrame, id_column: str, text_column: str, size: int) -> DataFrame:
-    """(a, b) of the pairs that link; only texts that are in a pair are read again."""
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    ids = reps.join(wanted, "node").select(F.col("id").alias("_wanted")).distinct()
-    texts = documents.select(id_column, text_column).join(ids, F.col(id_column).eqNullSafe(F.col("_wanted")), "left_semi")
+def _verified(documents: DataFrame, pairs: DataFrame, text_column: str, size: int) -> DataFrame:
+    """(a, b) of the pairs that link; only sets that are in a pair leave the scan."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node"))
+    likely = documents.sparkSession.sparkContext.broadcast(_filter(wanted, FILTER_BITS))
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in blocks(batch.column(0), lower=True):
-                hashes, bounds = shingle_sets(block, size)
-                yield pa.RecordBatch.from_arrays([_nodes(hashes, bounds), pa.ListArray.from_arrays(
-                    pa.array(bounds, pa.int32()), pa.array(signed(hashes)))], ["node", "shingles"])
+                names = _nodes(*shingle_sets(block, size))
+                rows = np.flatnonzero(_held(likely.value, names))
+                held = block.data.tobytes()
+                packed = [zlib.compress(held[block.offsets[i] : block.offsets[i + 1]], 1) for i in rows]
+                yield pa.RecordBatch.from_arrays([pa.array(names[rows]), pa.array(packed, pa.binary())], ["node", "text"])
+
+    def sets_of(packed: pa.Array) -> list[np.ndarray]:
+        texts = pa.array([zlib.decompress(text).decode("utf-8") for text in packed.to_pylist()], pa.large_string())
+        found = []
+        for block in blocks(texts):
+            hashes, bounds = shingle_sets(block, size)
+            found += np.split(hashes, bounds[1:-1])
+        return found
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            left, right = batch.column(2), batch.column(3)
-            linked = []
-            for i in range(batch.num_rows):
-                x, y = left[i].values.to_numpy(), right[i].values.to_numpy()
-                shared = len(np.intersect1d(x, y, assume_unique=True))
-                linked.append(9 * shared >= 4 * (len(x) + len(y)))
-            yield batch.select(["a", "b"]).filter(pa.array(linked, pa.bool_()))
-
-    sets = texts.select(text_column).mapInArrow(collect, "node binary, shingles array<long>")
-    sets = sets.join(wanted, "node", "left_semi")
-    a = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
-    b = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
-    met = pairs.join(a, "a").join(b, "b").select("a", "b", "x", "y")
-    return met.mapInArrow(compare, "a binary, b binary").distinct()
+            for at in range(0, batch.num_rows, COMPARED_ROWS):
+                part = batch.slice(at, COMPARED_ROWS)
+                linked = []
+                for x, y in zip(sets_of(part.column(2)), sets_of(part.column(3)), strict=True):
+                    shared = len(np.intersect1d(x, y, assume_unique=True))
+                    linked.append(9 * shared >= 4 * (len(x) + len(y)))
+                yield part.select(["a", "b"]).filter(pa.array(linked, pa.bool_()))
+
+    # packed texts are smaller than their sets
+    texts = documents.select(text_column).mapInArrow(collect, "node long, text binary")
+    a = texts.select(F.col("node").alias("a"), F.col("text").alias("x"))
+    b = texts.select(F.col("node").alias("b"), F.col("text").alias("y"))
+    met = pairs.join(b, "b").join(a, "a").select("a", "b", "x", "y")
+    return met.mapInArrow(compare, "a long, b long").distinct()  # equal rows give equal pairs
 
 
 def _band(n):
@@ -180,19 +258,26 @@ def _band(n):
     return F.floor(F.log(n.cast("double")) / F.log(F.lit(1.2500001))).cast("int")
 
 
-def links(documents: DataFrame, sets: DataFrame, id_column: str = "doc_id", text_column: str = "text", size: int = SHINGLE,
+def links(documents: DataFrame, sets: DataFrame, text_column: str = "text", size: int = SHINGLE,
           cell_bits: int = CELL_BITS) -> DataFrame:
     """(a, b) between distinct sets: enough links for all classes, every one of them verified."""
-    reps = cut(sets.filter("n > 0").groupBy("node").agg(F.min("id").alias("id")))
-    ranks = documents.sparkSession.sparkContext.broadcast(_frequencies(documents, text_column, size, cell_bits))
-    postings = _postings(documents, text_column, size, ranks)
-    shared = cut(postings.groupBy("shingle").agg(F.min("node").alias("first"), F.max("node").alias("_last")).filter(
+    context = documents.sparkSession.sparkContext
+    ranks = context.broadcast(_frequencies(documents, text_column, size, cell_bits))
+    shared = cut(_shared_shingles(documents, text_column, size, ranks))
+    likely = context.broadcast(_filter(shared, FILTER_BITS))
+    postings = _postings(documents, text_column, size, ranks, likely).join(shared, "shingle")
+    listed = _stored(postings.distinct(), "lists")
+    firsts = cut(listed.groupBy("shingle").agg(F.min("node").alias("first"), F.max("node").alias("_last")).filter(
         "first < _last").select("shingle", "first"))
-    listed = cut(postings.join(shared, "shingle").groupBy("shingle", "node", "n", "at").agg(F.min("first").alias("first")))
-    votes = listed.filter("node <> first").groupBy("node", "first").agg(F.count(F.lit(1)).alias("votes"))
-    best = votes.groupBy("node").agg(F.max(F.struct("votes", "first")).alias("best"))
-    near = cut(_verified(documents, cut(best.select(F.col("best.first").alias("a"), F.col("node").alias("b"))), reps,
-                         id_column, text_column, size))
+    votes = listed.join(firsts, "shingle").filter("node <> first").groupBy("node", "n", "first").agg(
+        F.count(F.lit(1)).alias("votes"))
+    best = votes.groupBy("node").agg(F.max(F.struct("votes", "first", "n")).alias("best"))
+    # what two heads share and the longer of the rest bound the intersection
+    sizes = sets.filter("n > 0").select(F.col("node").alias("a"), F.col("n").alias("m")).distinct()
+    pairs = best.select(F.col("best.first").alias("a"), F.col("node").alias("b"), F.col("best.votes").alias("votes"), F.col("best.n").alias("n"))
+    rest = F.greatest(F.expr("(4 * n + 4) div 5 - 1"), F.expr("(4 * m + 4) div 5 - 1"))
+    pairs = cut(pairs.join(sizes, "a").filter(9 * (F.col("votes") + rest) >= 4 * (F.col("n") + F.col("m"))).select("a", "b"))
+    near = cut(_verified(documents, pairs, text_column, size))
     ends = near.select(F.col("a").alias("id")).union(near.select(F.col("b").alias("id"))).distinct()
     found = connected_components(ends, near).select(F.col("id").alias("node"), F.col("component"))
     known = listed.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
@@ -208,14 +293,14 @@ def links(documents: DataFrame, sets: DataFrame, id_column: str = "doc_id", text
         (F.col("component") != F.col("other_component")) & (F.col("m") <= F.col("n"))
         & (5 * F.col("m") >= 4 * F.col("n")) & (9 * left_over >= 4 * (F.col("n") + F.col("m"))))
     pairs = cut(pairs.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct())
-    return near.union(_verified(documents, pairs, reps, id_column, text_column, size))
+    return near.union(_verified(documents, pairs, text_column, size))
 
 
 def classes(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", size: int = SHINGLE,
             cell_bits: int = CELL_BITS) -> DataFrame:
     """One row per document row: (id, key, n_shingles, component, component_id, class_rows)."""
     sets = cut(_sets(documents, id_column, text_column, size))
-    edges = cut(links(documents, sets, id_column, text_column, size, cell_bits))
+    edges = cut(links(documents, sets, text_column, size, cell_bits))
     ends = edges.select(F.col("a").alias("id")).union(edges.select(F.col("b").alias("id"))).distinct()
     found = connected_components(ends, edges).select(F.col("id").alias("node"), "component")
     placed = cut(sets.filter("n > 0").join(found, "node", "left").select(
@@ -224,7 +309,7 @@ def classes(documents: DataFrame, id_column: str = "doc_id", text_column: str =
     full = placed.join(smallest, "component").select(
         F.col("id").alias(id_column), "key", F.col("n").alias("n_shingles"), "component", "component_id", "class_rows")
     empty = sets.filter("n = 0").select(
-        F.col("id").alias(id_column), "key", F.col("n").alias("n_shingles"), F.lit(None).cast("binary").alias("component"), F.col("id").alias("component_id"),
+        F.col("id").alias(id_column), "key", F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("component"), F.col("id").alias("component_id"),
         F.lit(1).cast("long").alias("class_rows"))
     return full.union(empty)
 
