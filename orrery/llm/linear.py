@@ -90,10 +90,13 @@ def fit(groups: tuple[Group, ...], rows: np.ndarray, at: np.ndarray, shares: np.
     if share in (0.0, 1.0):
         train[:] = True
         share = labels.mean()
+    # a slot of one row says nothing about other rows
+    often = (np.bincount(at, minlength=width) > 1)[at]
+    rows, at, shares = rows[often], at[often], shares[often]
     weight = np.where(labels == 1, 0.5 / share, 0.5 / (1 - share)) * train / train.sum()
     # columns with a common scale, so that rare slots are learned as well
-    scale = 1.0 / np.sqrt(np.bincount(at, weights=shares**2, minlength=width) / len(labels) + 1e-6)
-    values = shares * scale[at]
+    scale = 1.0 / np.sqrt(np.bincount(at, weights=np.square(shares), minlength=width) / len(labels) + 1e-6)
+    values = (shares * scale[at]).astype(np.float32)
     w, bias = np.zeros(width), 0.0
     square = np.full(width, 1e-8)
     square_b = 1e-8

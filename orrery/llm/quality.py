@@ -21,10 +21,10 @@ from pyspark.sql.types import BooleanType, DoubleType, LongType, StructField, St
 from orrery.llm.linear import BITS, Group, Logit, features, fit
 from orrery.llm.words import Block, blocks, byte_set, mix, ngrams
 
-MAX_ROWS = 2000
+MAX_ROWS = 1500
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 THRESHOLD = 0.5
-GROUPS = (Group("words", 1), Group("points", 2), Group("points", 4))
+GROUPS = (Group("words", 1), Group("points", 3))
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 _SYMBOLS = byte_set(*[(ord(c), ord(c)) for c in "#*$%&|<>"])
 
@@ -96,12 +96,12 @@ def train(documents: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, id_
     counted = joined.mapInArrow(count, f"id {kind}, label int, at array<int>, share array<float>").toArrow()
     # the fit must not depend on the order in which rows arrive
     counted = counted.sort_by([("id", "ascending")]) if counted.num_rows else counted
-    lengths = np.array([len(x) for x in counted["at"]], dtype=np.int64)
-    flat_at = np.concatenate([np.zeros(0, np.int64), *[c.flatten().to_numpy() for c in counted["at"].chunks]])
-    flat_share = np.concatenate([np.zeros(0), *[c.flatten().to_numpy() for c in counted["share"].chunks]])
-    rows = np.repeat(np.arange(len(lengths)), lengths)
     labels_of = (counted["label"].to_numpy() > 0).astype(np.int64) if counted.num_rows else np.zeros(0, np.int64)
-    return fit(groups, rows, flat_at.astype(np.int64), flat_share.astype(np.float64), labels_of, bits)
+    at = np.concatenate([np.zeros(0, np.int32), *[c.flatten().to_numpy() for c in counted["at"].chunks]])
+    share = np.concatenate([np.zeros(0, np.float32), *[c.flatten().to_numpy() for c in counted["share"].chunks]])
+    lengths = np.concatenate([np.zeros(0, np.int64), *[np.diff(c.offsets.to_numpy()) for c in counted["at"].chunks]])
+    del counted
+    return fit(groups, np.repeat(np.arange(len(lengths), dtype=np.int32), lengths), at, share, labels_of, bits)
 
 
 def score(documents: DataFrame, model: Logit, text_column: str = "text", threshold: float = THRESHOLD) -> DataFrame:
