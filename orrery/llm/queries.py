@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from orrery.llm import decontaminate, jaccard, mixing, quality, sharding, token_counts, url_filter, warc
+from orrery.llm import decontaminate, jaccard, mixing, quality, sharding, suffixes, token_counts, url_filter, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -160,3 +160,8 @@ LABELLED_URLS = (
 def op7_url_filters(spark: SparkSession, folder: str) -> DataFrame:
     model = url_filter.train(spark.createDataFrame(LABELLED_URLS, "url string, allowed int"))
     return url_filter.judge(table(spark, folder, "pages"), URL_RULES, model)
+
+
+@query("op2_suffix_array_dedup")
+def op2_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return suffixes.passages(table(spark, folder, "documents"))
