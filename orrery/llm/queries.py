@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from orrery.llm import decontaminate, jaccard, mixing, quality, sharding, suffixes, token_counts, url_filter, warc
+from orrery.llm import chaining, decontaminate, jaccard, mixing, quality, sharding, suffixes, token_counts, url_filter, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -165,3 +165,8 @@ def op7_url_filters(spark: SparkSession, folder: str) -> DataFrame:
 @query("op2_suffix_array_dedup")
 def op2_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return suffixes.passages(table(spark, folder, "documents"))
+
+
+@query("op9_substring_chaining")
+def op9_substring_chaining(spark: SparkSession, folder: str) -> DataFrame:
+    return chaining.passages(table(spark, folder, "documents"))
