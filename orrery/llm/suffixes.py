@@ -85,7 +85,7 @@ def _scan(documents: DataFrame, id_column: str, text_column: str, pick: Callable
                 new = np.ones(len(hashes), dtype=bool)
                 new[1:] = (hashes[1:] != hashes[:-1]) | (text[1:] != text[:-1])
                 cuts = np.append(np.flatnonzero(new), len(hashes))
-                own = batch.slice(block.first, block.rows).take(pa.array(text[new]))
+                own = batch.select([0, 1]).slice(block.first, block.rows).take(pa.array(text[new]))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(signed(hashes[new])), own.column(0), own.column(1), pa.ListArray.from_arrays(
                         pa.array(cuts, pa.int32()), pa.array((positions - offsets[text]).astype(np.int32)))], ["h", "id", "key", "at"])
