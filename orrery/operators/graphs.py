@@ -88,14 +88,35 @@ def _one_per_copy(points: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def similar_edges(points: DataFrame, threshold: float, broadcast_bytes: int = BROADCAST_BYTES,
                   block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """(a, b, similarity) of points whose cosine reaches the threshold, a < b.
+    """(a, b, similarity) of distinct vectors whose cosine reaches the threshold, a < b.
 
-    Exact copies are joined to their smallest id only, and just that one is compared with the
-    rest: a group of copies gives one edge per copy instead of all of its pairs.
+    Of exact copies the one with the smallest id stands for all; ``representatives`` says for
+    whom. The two tables hold every pair without listing those of a group of copies;
+    ``all_pairs`` lists them.
     """
-    distinct, copies = _one_per_copy(points)
+    distinct, _ = _one_per_copy(points)
     held = distinct.withColumn("carried", F.col("id"))
-    return _compared(held, threshold, False, broadcast_bytes, block_rows).unionByName(copies)
+    return _compared(held, threshold, False, broadcast_bytes, block_rows)
+
+
+def representatives(points: DataFrame) -> DataFrame:
+    """(id, representative): the smallest id with the same vector, for every point."""
+    distinct, copies = _one_per_copy(points)
+    own = distinct.select("id", F.col("id").alias("representative"))
+    return own.unionByName(copies.select(F.col("b").alias("id"), F.col("a").alias("representative")))
+
+
+def all_pairs(edges: DataFrame, members: DataFrame) -> DataFrame:
+    """Every pair (a, b, similarity), a < b, that ``similar_edges`` and ``representatives`` stand for.
+
+    Rows grow with the square of a group of copies: for small groups and for tests.
+    """
+    left = members.select(F.col("representative").alias("a"), F.col("id").alias("i"))
+    right = members.select(F.col("representative").alias("b"), F.col("id").alias("j"))
+    across = edges.join(left, "a").join(right, "b").select("i", "j", "similarity")
+    copies = left.join(right, F.col("a") == F.col("b")).filter("i < j").select("i", "j", F.lit(1.0).alias("similarity"))
+    return across.unionByName(copies).select(
+        F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"), "similarity")
 
 
 def linking_edges(points: DataFrame, threshold: float, broadcast_bytes: int = BROADCAST_BYTES,

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from orrery.functions import vectors as V
 from orrery.functions.vectors import NORM_FLOOR
+from orrery.session import cut
 
 BROADCAST_BYTES = 128 * 1024 * 1024
 BLOCK_ROWS = 50_000
@@ -228,10 +229,8 @@ def class_shares(neighbours: DataFrame, classes: Sequence[str], leave_one_out: C
 
 
 def priors(labels: DataFrame) -> dict[str, float]:
-    """Class frequencies of the training labels: one entry per class."""
-    rows = labels.groupBy("label").agg(F.count(F.lit(1)).alias("n")).orderBy("label").limit(10_001).collect()
-    if len(rows) > 10_000:
-        raise ValueError("more than 10000 classes: labels are not a class list")
+    """Class frequencies of the training labels: one entry per class of the class list."""
+    rows = labels.groupBy("label").agg(F.count(F.lit(1)).alias("n")).orderBy("label").collect()
     total = sum(row["n"] for row in rows)
     return {row["label"]: row["n"] / total for row in rows}
 
@@ -245,10 +244,11 @@ def assign(points: DataFrame, labels: DataFrame, k: int, min_score: float = 0.0,
     """
     points = points.select("id", "embedding")
     labels = labels.select("id", F.col("label").cast("string").alias("label"))
-    frequency = priors(labels)
-    classes = sorted(frequency)
-    labelled = points.join(labels, "id", "left")  # carries the label and, by it, whether there is one
+    # carries the label and, by it, whether there is one; checkpointed, for it is read several times
+    labelled = cut(points.join(labels, "id", "left"))
     train = labelled.filter(F.col("label").isNotNull())
+    frequency = priors(train)  # labels without a vector cannot vote and do not count
+    classes = sorted(frequency)
     asked = labelled.select("id", "embedding", F.col("label").isNotNull().alias("tagged"))
     found = nearest(asked, train, k, skip_self=True, carry_query="tagged", carry_train="label", **sizes)
     proba = class_shares(found, classes, F.col("tagged") == "true")

@@ -82,7 +82,8 @@ def describe(df: DataFrame, column: str, cap: float | None = None,
     if accuracy is None:
         points = quantiles(counted, percents, in_memory)
     else:
-        points = counted.agg(*[
+        raw = df.select(F.col(column).cast("double").alias("v"))
+        points = raw.agg(*[
             F.expr(f"percentile_approx(v, {p / 100.0!r}, {accuracy})").alias(f"p{p:g}") for p in percents
         ]) if percents else counted.limit(0)
     stats = counted.agg(

@@ -63,28 +63,31 @@ def children(edges: DataFrame) -> DataFrame:
 def closure(edges: DataFrame) -> DataFrame:
     """Every ancestor of every tag with its distance.
 
-    A chain is at most as long as the class list because every parent is strictly larger than
-    its child; the edges are one row per class, so the rounds stay small.
+    A chain is at most as long as the edges because every parent is strictly larger than its
+    child; a longer one is an error. The edges are one row per class, so the rounds stay small.
     """
     edges = cut(edges.select("child", "parent"))  # each round would derive the taxonomy again
     steps = edges.select("child", F.col("parent").alias("ancestor"))
     reached = steps.withColumn("depth", F.lit(1))
     up = F.broadcast(edges.select(F.col("child").alias("ancestor"), F.col("parent").alias("_next")))
-    frontier, depth = reached, 1
+    frontier, depth, longest = reached, 1, edges.count()
     while True:
         depth += 1
         frontier = frontier.join(up, "ancestor").select(
             "child", F.col("_next").alias("ancestor"), F.lit(depth).alias("depth")
         )
-        if depth > CLASS_LIMIT or frontier.isEmpty():
+        frontier = cut(frontier)
+        if frontier.isEmpty():
             return reached
+        if depth > longest:
+            raise ValueError("the hierarchy has a cycle")
         reached = reached.unionByName(frontier)
 
 
 def ancestor_lists(edges: DataFrame) -> dict[str, list[str]]:
-    """Ancestors per tag as plain lists; one entry per class, so at most ``CLASS_LIMIT``."""
+    """Ancestors per tag as plain lists; one entry per class of the class list."""
     rows = closure(edges).groupBy("child").agg(F.sort_array(F.collect_list("ancestor")).alias("above"))
-    return {row["child"]: list(row["above"]) for row in rows.limit(CLASS_LIMIT + 1).collect()}
+    return {row["child"]: list(row["above"]) for row in rows.collect()}
 
 
 def training_labels(tags: DataFrame, classes: Sequence[str], ancestors: dict[str, list[str]]) -> DataFrame:
@@ -128,15 +131,18 @@ def report(edges: DataFrame, counts: DataFrame) -> DataFrame:
     keyed = counts.withColumn("key", sort_key)
     parents = edges.select(F.col("child").alias("tag"), "parent")
     level = keyed.join(parents, "tag", "left_anti").select("tag", "n", F.col("key").alias("path"), F.lit(0).alias("depth"))
-    tree, depth = level, 0
+    tree, depth, longest = level, 0, edges.count()
     while True:
         depth += 1
         above = level.select(F.col("tag").alias("parent"), F.col("path").alias("_path"))
         level = keyed.join(F.broadcast(parents), "tag").join(F.broadcast(above), "parent").select(
             "tag", "n", F.concat("_path", F.lit("/"), "key").alias("path"), F.lit(depth).alias("depth")
         )
-        if depth > CLASS_LIMIT or level.isEmpty():
+        level = cut(level)
+        if level.isEmpty():
             break
+        if depth > longest:
+            raise ValueError("the hierarchy has a cycle")
         tree = tree.unionByName(level)
     line = F.concat(F.repeat(F.lit("  "), F.col("depth") + 1), "tag", F.lit(" ("), F.format_number("n", 0), F.lit(")"))
     return tree.select("path", "depth", "tag", line.alias("line"))

@@ -114,6 +114,22 @@ def sim_edges(spark, folder):
     return found.withColumn("similarity", F.round("similarity", 6))
 
 
+_COPIED = _EDGES.replace("vectors", "copied")
+
+
+@query("sim_edges_copies", with_views("vectors", body="""
+    , copied AS (SELECT id, embedding FROM vectors UNION ALL SELECT -id - 1, embedding FROM vectors WHERE id % 10 = 0)
+    """ + _COPIED + " SELECT * FROM e"))
+def sim_edges_copies(spark, folder):
+    """All pairs when every tenth vector is there twice, from the edges and the table of copies."""
+    points = views.embeddings(spark, folder).select("id", "embedding")
+    again = points.filter("id % 10 = 0").withColumn("id", -F.col("id") - 1)
+    copied = points.unionByName(again)
+    edges = graphs.similar_edges(copied, EDGE_THRESHOLD)
+    pairs = graphs.all_pairs(edges, graphs.representatives(copied))
+    return pairs.withColumn("similarity", F.round("similarity", 6))
+
+
 @query("merge_groups", with_views("vectors", recursive=True, body=_EDGES + """
     , s AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
     w AS (SELECT id AS a, id AS b FROM vectors UNION SELECT w.a, s.b FROM w JOIN s ON w.b = s.a),
@@ -178,9 +194,8 @@ def knn_votes(spark, folder):
     FROM vectors WHERE label <> 0 GROUP BY label"""))
 def class_priors(spark, folder):
     _, train = _vectors(spark, folder)
-    counted = train.groupBy(F.col("label").cast("string").alias("label")).agg(F.count(F.lit(1)).alias("n"))
-    total = counted.agg(F.sum("n")).scalar()
-    return counted.select("label", F.round(F.col("n") / total, 6).alias("prior"))
+    shares = neighbours.priors(train.select(F.col("label").cast("string").alias("label")))
+    return spark.createDataFrame(list(shares.items()), "label string, prior double").withColumn("prior", F.round("prior", 6))
 
 
 @query("meta_groups")

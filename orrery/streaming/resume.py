@@ -26,7 +26,10 @@ def embed_incrementally(spark: SparkSession, source: str, schema: str, out: str,
     if name_filter:
         reader = reader.option("pathGlobFilter", name_filter)
 
+    stored: list[int] = []
+
     def store(batch: DataFrame, number: int) -> None:
+        stored.append(number)
         embed(prepare(batch)).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     query = (
@@ -34,7 +37,7 @@ def embed_incrementally(spark: SparkSession, source: str, schema: str, out: str,
         .option("checkpointLocation", state).trigger(availableNow=True).start()
     )
     query.awaitTermination()
-    return len(query.recentProgress)
+    return len(set(stored))
 
 
 def embedded(spark: SparkSession, out: str) -> DataFrame:

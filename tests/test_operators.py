@@ -192,12 +192,36 @@ def test_components_without_edges(spark):
 
 
 @pytest.mark.parametrize("sizes", [{}, {"broadcast_bytes": 0, "block_rows": 20}])
-def test_similar_edges_join_copies_to_one_row(spark, sizes):
+def test_similar_edges_and_copies_hold_every_pair(spark, sizes):
     rows, frame = _vectors(spark, 60, dims=3, copies=10)
-    found = {(r["a"], r["b"]) for r in graphs.similar_edges(frame, 0.9, **sizes).collect()}
-    similarity = rows[:60] @ rows[:60].T
-    expected = {(i, j) for i, j in itertools.combinations(range(60), 2) if similarity[i, j] >= 0.9}
-    assert found == expected | {(0, 60 + i) for i in range(10)}
+    edges = graphs.similar_edges(frame, 0.9, **sizes)
+    found = [(r["a"], r["b"]) for r in graphs.all_pairs(edges, graphs.representatives(frame)).collect()]
+    every = [r["embedding"] for r in sorted(frame.collect(), key=lambda r: r["id"])]
+    similarity = np.array(every) @ np.array(every).T
+    expected = {(i, j) for i, j in itertools.combinations(range(70), 2) if similarity[i, j] >= 0.9 - 1e-12}
+    assert len(found) == len(set(found)) and set(found) == expected
+
+
+def test_priors_count_labels_with_a_vector_only(spark):
+    points = spark.createDataFrame([(i, [1.0, 0.1 * i]) for i in range(6)], "id long, embedding array<double>")
+    labels = [(i, "x" if i < 2 else "y") for i in range(5)]
+    more = labels + [(100 + i, "x") for i in range(5)]
+    rows = [
+        {r["id"]: (r["category"], r["score"]) for r in neighbours.assign(points, spark.createDataFrame(t, "id long, label string"), 3).collect()}
+        for t in (labels, more)]
+    assert rows[0] == rows[1]
+
+
+def test_sketched_percentiles_weigh_repeated_values(spark):
+    frame = spark.createDataFrame([(1.0,)] * 98 + [(50.0,), (100.0,)], "v double")
+    row = numbers.describe(frame, "v", accuracy=10_000).first()
+    assert row["p50"] == 1.0
+
+
+def test_a_cycle_is_an_error(spark):
+    edges = spark.createDataFrame([("a", "b"), ("b", "a")], "child string, parent string")
+    with pytest.raises(ValueError):
+        taxonomy.closure(edges)
 
 
 @pytest.mark.parametrize("sizes", [{}, {"broadcast_bytes": 0, "block_rows": 40}])
