@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import ArrayType, IntegralType, MapType, StringType, StructField, StructType
 
 from orrery.functions.text import parse_list, strip
 from orrery.sources import schemas
@@ -16,16 +16,34 @@ _BAD = "_unreadable"
 def json_lines(spark: SparkSession, path: str, schema: str, strict: bool = False) -> DataFrame:
     """Records of a JSON-lines file with ``valid``: readable and with an id. Blank lines are skipped.
 
+    A value of another type than declared is converted where it can be, else null; only a line
+    that is not JSON is unreadable.
+
     With ``strict`` an unreadable line is an error instead. Count the rejects with ``rejects``.
     """
-    reader = spark.read.schema(f"{schema}, {_BAD} string")
     if strict:
         return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
-    rows = reader.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", _BAD).json(path)
+    wanted = StructType.fromDDL(schema)
+    # read as text, so that one field of another type does not cost the record
+    texts = StructType([StructField(field.name, StringType()) for field in wanted] + [StructField(_BAD, StringType())])
+    rows = spark.read.schema(texts).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", _BAD).json(path)
+    rows = rows.select(*[_typed(field).alias(field.name) for field in wanted], _BAD)
     valid = F.col(_BAD).isNull() & F.col("id").isNotNull() & (F.col("id").cast("string") != "")
     return rows.withColumn("valid", valid)
 
 
+def _typed(field: StructField) -> Column:
+    """A field read as text in its declared type; null where the text is of another."""
+    text, kind = F.col(f"`{field.name}`"), field.dataType
+    if isinstance(kind, StringType):
+        return text
+    if isinstance(kind, (ArrayType, MapType, StructType)):
+        return F.from_json(text, kind)
+    if isinstance(kind, IntegralType):
+        return F.coalesce(text.try_cast(kind), text.try_cast("double").try_cast(kind))
+    return text.try_cast(kind)
+
+
 def valid_records(rows: DataFrame) -> DataFrame:
     return rows.filter("valid").drop("valid", _BAD)
 

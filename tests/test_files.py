@@ -183,3 +183,14 @@ def test_naming_resumes(spark, out):
 
 def test_first_rows(spark):
     assert [r["id"] for r in explore.first_rows(spark.range(100).repartition(5), "id", 3).collect()] == [0, 1, 2]
+
+
+def test_json_lines_keep_records_with_a_mistyped_field(spark, out):
+    path = Path(out) / "typed.jsonl"
+    lines = ['{"id": 1, "minutes": "5", "tags": ["a"]}', '{"id": "2", "minutes": 5.0, "tags": "none"}',
+             '{"id": 3, "minutes": "soon", "tags": ["b", 1]}', '{"id": 4, "minutes": {"a": 1}}', "{no json", ""]
+    path.write_text("\n".join(lines))
+    rows = readers.json_lines(spark, str(path), "id long, minutes int, tags array<string>")
+    found = {r["id"]: (r["minutes"], r["tags"]) for r in readers.valid_records(rows).collect()}
+    assert found == {1: (5, ["a"]), 2: (5, None), 3: (None, ["b", "1"]), 4: (None, None)}
+    assert readers.rejects(rows).first()["n_unreadable"] == 1
