@@ -1,11 +1,13 @@
 """Bitmaps of a fixed size that keep rows which surely meet nothing out of a shuffle.
 
-They may let a row through that meets nothing, so an exact comparison always follows.
+They may let a row through that meets nothing, so an exact comparison always follows. Arrays of a
+fixed number of cells travel as packed segments and are merged in two steps.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import zlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,33 +20,47 @@ SEGMENT = 1 << 14
 MERGE_WAYS = 64
 
 
+def segments(cells: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """(at, cells) of the stretches of a 32-bit array that are not all 0, packed."""
+    for at in range(0, len(cells), SEGMENT):
+        part = cells[at : at + SEGMENT]
+        if part.any():
+            packed = zlib.compress(part.astype(np.uint32).tobytes(), 1)
+            yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([packed], pa.binary())], ["at", "cells"])
+
+
+def merged(parts: DataFrame, count: int, add: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
+    """``count`` cells (a number that no input changes) from the ``segments`` of all tasks, those of
+    one place put together by ``add``; in two steps, so that no group holds a segment of every task."""
+    def join(table: pa.Table) -> pa.Table:
+        total = None
+        for part in table.column("cells"):
+            cells = np.frombuffer(zlib.decompress(part.as_py()), dtype=np.uint32)
+            total = cells if total is None else add(total, cells)
+        packed = zlib.compress(total.tobytes(), 1)
+        return pa.table({"at": table.column("at")[:1], "way": table.column("way")[:1], "cells": pa.array([packed], pa.binary())})
+
+    some = parts.withColumn("way", F.spark_partition_id() % MERGE_WAYS).select("at", "way", "cells")
+    some = some.groupBy("at", "way").applyInArrow(join, "at int, way int, cells binary")
+    whole = some.groupBy("at").applyInArrow(join, "at int, way int, cells binary")
+    cells = np.zeros(count, dtype=np.uint32)
+    for row in whole.select("at", "cells").collect():  # a fixed number of segments, packed
+        cells[row.at : row.at + SEGMENT] = np.frombuffer(zlib.decompress(row.cells), dtype=np.uint32)
+    return cells
+
+
 def of(keys: DataFrame, bits: int = BITS) -> np.ndarray:
     """``2 ** bits`` bits with those of all ``keys`` (one long column) set, 32 to a cell."""
     count = 1 << (bits - 5)
-    segment = min(SEGMENT, count)
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = np.zeros(count, dtype=np.uint32)
         for batch in batches:
             at = _place(batch.column(0).to_numpy(), bits)
             np.bitwise_or.at(cells, at >> 5, np.uint32(1) << (at & 31).astype(np.uint32))
-        for at in range(0, count, segment):
-            part = cells[at : at + segment]
-            if part.any():
-                yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([part.tobytes()], pa.binary())], ["at", "cells"])
-
-    def join(parts: pa.Table) -> pa.Table:
-        total = np.bitwise_or.reduce([np.frombuffer(part.as_buffer(), dtype=np.uint32) for part in parts.column("cells")])
-        return pa.table({"at": parts.column("at")[:1], "way": parts.column("way")[:1], "cells": pa.array([total.tobytes()], pa.binary())})
-
-    # in two steps, so that no group holds a segment of every task
-    marked = keys.mapInArrow(mark, "at int, cells binary").withColumn("way", F.spark_partition_id() % MERGE_WAYS)
-    some = marked.select("at", "way", "cells").groupBy("at", "way").applyInArrow(join, "at int, way int, cells binary")
-    whole = some.groupBy("at").applyInArrow(join, "at int, way int, cells binary")
-    cells = np.zeros(count, dtype=np.uint32)
-    for row in whole.toLocalIterator():  # a fixed number of segments
-        cells[row.at : row.at + segment] = np.frombuffer(row.cells, dtype=np.uint32)
-    return cells
+        yield from segments(cells)
+
+    return merged(keys.mapInArrow(mark, "at int, cells binary"), count, np.bitwise_or)
 
 
 def _place(keys: np.ndarray, bits: int) -> np.ndarray:

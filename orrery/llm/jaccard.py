@@ -15,7 +15,7 @@ Two texts link when ``100 * intersection >= 80 * union``, and texts joined by li
   whose classes still differ are compared, all of them.
 
 No list is collected, no pair inside a class is emitted, and links are compared on the whole sets as
-64-bit shingle hashes; a set is named by 64 bits. Broadcast are the sketch (``cells`` bytes) and bitmaps of ``2 ** FILTER_BITS`` bits that
+64-bit shingle hashes; a set is named by 64 bits. Broadcast are the sketch (``cells`` bytes) and bitmaps of ``2 ** bitmaps.BITS`` bits that
 keep rows which surely meet nothing out of the shuffle; their size is fixed, exact joins follow.
 
 Defined results: a null, empty or blank text has no shingles and links with nothing; null ids are
@@ -31,15 +31,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from orrery.llm import bitmaps
 from orrery.llm.words import Block, blocks, mix, ngrams, ranges, signed
 from orrery.operators.graphs import connected_components
 from orrery.session import cut, fresh_path
 
 SHINGLE = 5
 CELL_BITS = 20
-FILTER_BITS = 26
-SEGMENT_BITS = 14
-MERGE_WAYS = 64
 COMPARED_ROWS = 256
 
 
@@ -93,34 +91,8 @@ def _sets(documents: DataFrame, id_column: str, text_column: str, size: int) ->
     return columns.mapInArrow(name, f"id {kind}, key long, n long, node long")
 
 
-def _merged(counted: DataFrame, cell_bits: int) -> np.ndarray:
-    """The sum of the tasks' cells, which come as (at, cells) segments; merged in two steps, so that
-    no group holds a segment of every task. The result has ``2 ** cell_bits`` cells, whatever the input."""
-    segment = 1 << min(SEGMENT_BITS, cell_bits)
-
-    def add(parts: pa.Table) -> pa.Table:
-        total = np.zeros(segment, dtype=np.int64)
-        for part in parts.column("cells"):
-            total += np.frombuffer(part.as_buffer(), dtype=np.uint32)
-        total = np.minimum(total, 2**32 - 1).astype(np.uint32)
-        return pa.table({"at": parts.column("at")[:1], "way": parts.column("way")[:1], "cells": pa.array([total.tobytes()], pa.binary())})
-
-    some = counted.withColumn("way", F.spark_partition_id() % MERGE_WAYS).select("at", "way", "cells")
-    merged = some.groupBy("at", "way").applyInArrow(add, "at int, way int, cells binary")
-    whole = merged.groupBy("at").applyInArrow(add, "at int, way int, cells binary")
-    cells = np.zeros(1 << cell_bits, dtype=np.uint32)
-    for row in whole.toLocalIterator():  # a fixed number of segments
-        cells[row.at : row.at + segment] = np.frombuffer(row.cells, dtype=np.uint32)
-    return cells
-
-
-def _segments(cells: np.ndarray) -> Iterator[pa.RecordBatch]:
-    segment = min(1 << SEGMENT_BITS, len(cells))
-    for at in range(0, len(cells), segment):
-        part = cells[at : at + segment]
-        if part.any():
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([at], pa.int32()), pa.array([part.astype(np.uint32).tobytes()], pa.binary())], ["at", "cells"])
+def _sum(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return np.minimum(x.astype(np.int64) + y, 2**32 - 1).astype(np.uint32)
 
 
 def _frequencies(documents: DataFrame, text_column: str, size: int, cell_bits: int) -> np.ndarray:
@@ -131,47 +103,12 @@ def _frequencies(documents: DataFrame, text_column: str, size: int, cell_bits: i
             for block in blocks(batch.column(0), lower=True):
                 hashes, _ = shingle_sets(block, size)
                 cells += np.bincount((hashes >> np.uint64(64 - cell_bits)).astype(np.int64), minlength=1 << cell_bits)
-        yield from _segments(np.minimum(cells, 2**32 - 1))
+        yield from bitmaps.segments(np.minimum(cells, 2**32 - 1))
 
-    cells = _merged(documents.select(text_column).mapInArrow(count, "at int, cells binary"), cell_bits)
+    cells = bitmaps.merged(documents.select(text_column).mapInArrow(count, "at int, cells binary"), 1 << cell_bits, _sum)
     return np.ceil(np.log2(cells + 1.0)).astype(np.int8)
 
 
-def _filter(keys: DataFrame, bits: int) -> np.ndarray:
-    """A bitmap of ``2 ** bits`` bits that holds every key (a long) of ``keys``: it only spares shuffled
-    rows, an exact join follows. Packed 32 bits to a cell."""
-    cell_bits = bits - 5
-
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells = np.zeros(1 << cell_bits, dtype=np.uint32)
-        for batch in batches:
-            at = _place(batch.column(0).to_numpy(), bits)
-            np.bitwise_or.at(cells, at >> 5, np.uint32(1) << (at & 31).astype(np.uint32))
-        yield from _segments(cells)
-
-    def join(parts: pa.Table) -> pa.Table:
-        total = np.bitwise_or.reduce([np.frombuffer(part.as_buffer(), dtype=np.uint32) for part in parts.column("cells")])
-        return pa.table({"at": parts.column("at")[:1], "way": parts.column("way")[:1], "cells": pa.array([total.tobytes()], pa.binary())})
-
-    marked = keys.mapInArrow(mark, "at int, cells binary").withColumn("way", F.spark_partition_id() % MERGE_WAYS).select("at", "way", "cells")
-    whole = marked.groupBy("at", "way").applyInArrow(join, "at int, way int, cells binary").groupBy("at").applyInArrow(
-        join, "at int, way int, cells binary")
-    segment = 1 << min(SEGMENT_BITS, cell_bits)
-    cells = np.zeros(1 << cell_bits, dtype=np.uint32)
-    for row in whole.toLocalIterator():  # a fixed number of segments
-        cells[row.at : row.at + segment] = np.frombuffer(row.cells, dtype=np.uint32)
-    return cells
-
-
-def _place(keys: np.ndarray, bits: int) -> np.ndarray:
-    return (mix(np.ascontiguousarray(keys).view(np.uint64)) >> np.uint64(64 - bits)).astype(np.int64)
-
-
-def _held(cells: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    at = _place(keys, len(cells).bit_length() - 1 + 5)
-    return (cells[at >> 5] >> (at & 31).astype(np.uint32)) & np.uint32(1) != 0
-
-
 def _shared_shingles(documents: DataFrame, text_column: str, size: int, ranks) -> DataFrame:
     """Shingles that stand in the head of two rows at least."""
     def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,7 +141,7 @@ def _postings(documents: DataFrame, text_column: str, size: int, ranks, likely)
                 names = _nodes(hashes, bounds)
                 heads, cuts, at = _heads(hashes, bounds, ranks.value)
                 owner = np.repeat(np.arange(block.rows), np.diff(cuts))
-                kept = _held(likely.value, signed(heads))
+                kept = bitmaps.holds(likely.value, signed(heads))
                 owner = owner[kept]
                 yield pa.RecordBatch.from_arrays([
                     pa.array(names[owner]), pa.array(np.diff(bounds)[owner].astype(np.int32)),
@@ -216,13 +153,13 @@ def _postings(documents: DataFrame, text_column: str, size: int, ranks, likely)
 def _verified(documents: DataFrame, pairs: DataFrame, text_column: str, size: int) -> DataFrame:
     """(a, b) of the pairs that link; only sets that are in a pair leave the scan."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node"))
-    likely = documents.sparkSession.sparkContext.broadcast(_filter(wanted, FILTER_BITS))
+    likely = documents.sparkSession.sparkContext.broadcast(bitmaps.of(wanted))
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in blocks(batch.column(0), lower=True):
                 names = _nodes(*shingle_sets(block, size))
-                rows = np.flatnonzero(_held(likely.value, names))
+                rows = np.flatnonzero(bitmaps.holds(likely.value, names))
                 held = block.data.tobytes()
                 packed = [zlib.compress(held[block.offsets[i] : block.offsets[i + 1]], 1) for i in rows]
                 yield pa.RecordBatch.from_arrays([pa.array(names[rows]), pa.array(packed, pa.binary())], ["node", "text"])
@@ -259,12 +196,13 @@ def _band(n):
 
 
 def links(documents: DataFrame, sets: DataFrame, text_column: str = "text", size: int = SHINGLE,
-          cell_bits: int = CELL_BITS) -> DataFrame:
-    """(a, b) between distinct sets: enough links for all classes, every one of them verified."""
+          cell_bits: int = CELL_BITS) -> tuple[DataFrame, DataFrame]:
+    """(node, component) of the sets that link with the one set they were compared with first, and
+    (a, b) of the links between sets whose classes still differed; every link is verified."""
     context = documents.sparkSession.sparkContext
     ranks = context.broadcast(_frequencies(documents, text_column, size, cell_bits))
     shared = cut(_shared_shingles(documents, text_column, size, ranks))
-    likely = context.broadcast(_filter(shared, FILTER_BITS))
+    likely = context.broadcast(bitmaps.of(shared))
     postings = _postings(documents, text_column, size, ranks, likely).join(shared, "shingle")
     listed = _stored(postings.distinct(), "lists")
     firsts = cut(listed.groupBy("shingle").agg(F.min("node").alias("first"), F.max("node").alias("_last")).filter(
@@ -278,8 +216,7 @@ def links(documents: DataFrame, sets: DataFrame, text_column: str = "text", size
     rest = F.greatest(F.expr("(4 * n + 4) div 5 - 1"), F.expr("(4 * m + 4) div 5 - 1"))
     pairs = cut(pairs.join(sizes, "a").filter(9 * (F.col("votes") + rest) >= 4 * (F.col("n") + F.col("m"))).select("a", "b"))
     near = cut(_verified(documents, pairs, text_column, size))
-    ends = near.select(F.col("a").alias("id")).union(near.select(F.col("b").alias("id"))).distinct()
-    found = connected_components(ends, near).select(F.col("id").alias("node"), F.col("component"))
+    found = cut(_components(near))
     known = listed.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     # lists that still hold more than one class
     open_lists = known.groupBy("shingle").agg(F.min("component").alias("c"), F.max("component").alias("d")).filter("c < d")
@@ -293,18 +230,27 @@ def links(documents: DataFrame, sets: DataFrame, text_column: str = "text", size
         (F.col("component") != F.col("other_component")) & (F.col("m") <= F.col("n"))
         & (5 * F.col("m") >= 4 * F.col("n")) & (9 * left_over >= 4 * (F.col("n") + F.col("m"))))
     pairs = cut(pairs.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct())
-    return near.union(_verified(documents, pairs, text_column, size))
+    return found, cut(_verified(documents, pairs, text_column, size))
+
+
+def _components(edges: DataFrame) -> DataFrame:
+    """(node, component) of all ends of ``edges``."""
+    ends = edges.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    return connected_components(ends, edges).select(F.col("id").alias("node"), "component")
 
 
 def classes(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", size: int = SHINGLE,
             cell_bits: int = CELL_BITS) -> DataFrame:
     """One row per document row: (id, key, n_shingles, component, component_id, class_rows)."""
     sets = cut(_sets(documents, id_column, text_column, size))
-    edges = cut(links(documents, sets, text_column, size, cell_bits))
-    ends = edges.select(F.col("a").alias("id")).union(edges.select(F.col("b").alias("id"))).distinct()
-    found = connected_components(ends, edges).select(F.col("id").alias("node"), "component")
-    placed = cut(sets.filter("n > 0").join(found, "node", "left").select(
-        "id", "key", "n", F.coalesce("component", "node").alias("component")))
+    found, late = links(documents, sets, text_column, size, cell_bits)
+    for end in ("a", "b"):  # links between the classes of the first comparisons
+        late = late.join(found.select(F.col("node").alias(end), F.col("component").alias("_of")), end, "left").withColumn(
+            end, F.coalesce("_of", end)).drop("_of")
+    onward = cut(_components(cut(late.distinct()))).select(F.col("node").alias("component"), F.col("component").alias("_whole"))
+    placed = sets.filter("n > 0").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    placed = cut(placed.join(onward, "component", "left").select(
+        "id", "key", "n", F.coalesce("_whole", "component").alias("component")))
     smallest = cut(placed.groupBy("component").agg(F.min("id").alias("component_id"), F.count(F.lit(1)).alias("class_rows")))
     full = placed.join(smallest, "component").select(
         F.col("id").alias(id_column), "key", F.col("n").alias("n_shingles"), "component", "component_id", "class_rows")
