@@ -52,20 +52,30 @@ def shingle_sets(block: Block, size: int = SHINGLE) -> tuple[np.ndarray, np.ndar
     """Distinct shingle hashes of every text, ascending, and the offsets per text."""
     words, offsets = block.word_hashes, block.word_offsets
     hashes, _, bounds = ngrams(words, offsets, size)
-    owner = np.repeat(np.arange(block.rows), np.diff(bounds))
-    for n in range(1, size):
-        short = np.flatnonzero(np.diff(offsets) == n)
-        if len(short):
-            total = np.full(len(short), n, dtype=np.uint64)
-            for j in range(n):
-                total = mix(total + words[offsets[short] + j])
-            hashes, owner = np.concatenate([hashes, total]), np.concatenate([owner, short])
-    order = np.lexsort((hashes, owner))
-    hashes, owner = hashes[order], owner[order]
-    new = np.ones(len(hashes), dtype=bool)
-    new[1:] = (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])
-    hashes, owner = hashes[new], owner[new]
-    return hashes, np.searchsorted(owner, np.arange(block.rows + 1))
+    length = np.diff(offsets)
+    short = np.flatnonzero((length > 0) & (length < size))
+    if len(short):
+        total = length[short].astype(np.uint64)
+        for j in range(size - 1):
+            longer = length[short] > j
+            total[longer] = mix(total[longer] + words[offsets[short[longer]] + j])
+        hashes = np.insert(hashes, bounds[short], total)
+        counts = np.diff(bounds)
+        counts[short] = 1
+        bounds = np.concatenate([[0], np.cumsum(counts)])
+    _sort_each(hashes, bounds)
+    new = np.ones(len(hashes) + 1, dtype=np.int64)
+    new[1:-1] = hashes[1:] != hashes[:-1]
+    new[bounds] = 1
+    kept = new[:-1] > 0
+    return hashes[kept], np.concatenate([[0], np.cumsum(kept)])[bounds]
+
+
+def _sort_each(values: np.ndarray, bounds: np.ndarray) -> None:
+    """Sort the values of every text in place."""
+    cuts = bounds.tolist()
+    for low, high in zip(cuts[:-1], cuts[1:], strict=True):
+        values[low:high].sort()
 
 
 def _nodes(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -75,37 +85,38 @@ def _nodes(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return signed(mix(total[bounds[1:]] - total[bounds[:-1]] + np.diff(bounds).astype(np.uint64)))
 
 
-def _sets(documents: DataFrame, id_column: str, text_column: str, size: int) -> DataFrame:
-    """(id, key, n, node) of every row; ``key`` tells texts of one id apart."""
+def _sets(documents: DataFrame, id_column: str, text_column: str, size: int, cell_bits: int) -> tuple[DataFrame, DataFrame]:
+    """(id, key, n, node) of every row, where ``key`` tells texts of one id apart, and from the same
+    scan the counts of all shingles in ``2 ** cell_bits`` cells, as segments."""
     kind = documents.schema[id_column].dataType.simpleString()
+    names = ["id", "key", "n", "node", "at", "cells"]
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells, types = np.zeros(1 << cell_bits, dtype=np.int64), None
         for batch in batches:
+            types = [batch.schema.field(0).type, batch.schema.field(1).type, pa.int64(), pa.int64()]
             for block in blocks(batch.column(2), lower=True):
                 hashes, bounds = shingle_sets(block, size)
+                cells += np.bincount((hashes >> np.uint64(64 - cell_bits)).astype(np.int64), minlength=1 << cell_bits)
                 own = batch.slice(block.first, block.rows)
                 yield pa.RecordBatch.from_arrays(
-                    [own.column(0), own.column(1), pa.array(np.diff(bounds)), pa.array(_nodes(hashes, bounds))], ["id", "key", "n", "node"])
+                    [own.column(0), own.column(1), pa.array(np.diff(bounds)), pa.array(_nodes(hashes, bounds)),
+                     pa.nulls(block.rows, pa.int32()), pa.nulls(block.rows, pa.binary())], names)
+        for part in bitmaps.segments(np.minimum(cells, 2**32 - 1)):
+            yield pa.RecordBatch.from_arrays([*[pa.nulls(1, kind) for kind in types], *part.columns], names)
 
     columns = documents.select(F.col(id_column), F.xxhash64(text_column), F.col(text_column))
-    return columns.mapInArrow(name, f"id {kind}, key long, n long, node long")
+    both = _stored(columns.mapInArrow(name, f"id {kind}, key long, n long, node long, at int, cells binary"), "sets")
+    return both.filter("at is null").select("id", "key", "n", "node"), both.filter("at is not null").select("at", "cells")
 
 
 def _sum(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.minimum(x.astype(np.int64) + y, 2**32 - 1).astype(np.uint32)
 
 
-def _frequencies(documents: DataFrame, text_column: str, size: int, cell_bits: int) -> np.ndarray:
-    """Counts of all shingles of all rows in ``2 ** cell_bits`` cells, as the bit length of each count."""
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells = np.zeros(1 << cell_bits, dtype=np.int64)
-        for batch in batches:
-            for block in blocks(batch.column(0), lower=True):
-                hashes, _ = shingle_sets(block, size)
-                cells += np.bincount((hashes >> np.uint64(64 - cell_bits)).astype(np.int64), minlength=1 << cell_bits)
-        yield from bitmaps.segments(np.minimum(cells, 2**32 - 1))
-
-    cells = bitmaps.merged(documents.select(text_column).mapInArrow(count, "at int, cells binary"), 1 << cell_bits, _sum)
+def _frequencies(counts: DataFrame, cell_bits: int) -> np.ndarray:
+    """The counts in all cells, each as its bit length."""
+    cells = bitmaps.merged(counts, 1 << cell_bits, _sum)
     return np.ceil(np.log2(cells + 1.0)).astype(np.int8)
 
 
@@ -124,12 +135,13 @@ def _shared_shingles(documents: DataFrame, text_column: str, size: int, ranks) -
 def _heads(hashes: np.ndarray, bounds: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The first shingles of every set in the global order: (hashes, offsets per text, places)."""
     n = np.diff(bounds)
-    owner = np.repeat(np.arange(len(n)), n)
     shift = np.uint64(64 - (len(classes).bit_length() - 1))
-    order = np.lexsort((hashes, classes[(hashes >> shift).astype(np.int64)], owner))
+    # the class of the count (6 bits) stands before the hash, so one sort gives the order
+    ordered = (classes[(hashes >> shift).astype(np.int64)].astype(np.uint64) << np.uint64(58)) | (hashes >> np.uint64(6))
+    _sort_each(ordered, bounds)
     length = np.where(n > 0, n - (4 * n + 4) // 5 + 1, 0)
     cuts = np.concatenate([[0], np.cumsum(length)])
-    return hashes[order][ranges(bounds[:-1], length)], cuts, ranges(np.zeros(len(n), np.int64), length)
+    return ordered[ranges(bounds[:-1], length)], cuts, ranges(np.zeros(len(n), np.int64), length)
 
 
 def _postings(documents: DataFrame, text_column: str, size: int, ranks, likely) -> DataFrame:
@@ -150,44 +162,67 @@ def _postings(documents: DataFrame, text_column: str, size: int, ranks, likely)
     return documents.select(text_column).mapInArrow(head, "node long, n int, at int, shingle long")
 
 
-def _verified(documents: DataFrame, pairs: DataFrame, text_column: str, size: int) -> DataFrame:
-    """(a, b) of the pairs that link; only sets that are in a pair leave the scan."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node"))
-    likely = documents.sparkSession.sparkContext.broadcast(bitmaps.of(wanted))
+def _texts(documents: DataFrame, nodes: DataFrame, text_column: str, size: int) -> DataFrame:
+    """(node, text): one packed text (smaller than its set) of each set in ``nodes``, and of few others.
+
+    Copies of a text are one row, so they multiply no pair; a task drops its own before the shuffle.
+    """
+    likely = documents.sparkSession.sparkContext.broadcast(bitmaps.of(nodes))
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
             for block in blocks(batch.column(0), lower=True):
                 names = _nodes(*shingle_sets(block, size))
-                rows = np.flatnonzero(bitmaps.holds(likely.value, names))
+                rows = []
+                for i in np.flatnonzero(bitmaps.holds(likely.value, names)):
+                    if names[i] not in seen:
+                        seen.add(names[i])
+                        rows.append(i)
                 held = block.data.tobytes()
                 packed = [zlib.compress(held[block.offsets[i] : block.offsets[i + 1]], 1) for i in rows]
-                yield pa.RecordBatch.from_arrays([pa.array(names[rows]), pa.array(packed, pa.binary())], ["node", "text"])
+                yield pa.RecordBatch.from_arrays([pa.array(names[rows], pa.int64()), pa.array(packed, pa.binary())], ["node", "text"])
+
+    found = documents.select(text_column).mapInArrow(collect, "node long, text binary")
+    return _stored(found.dropDuplicates(["node"]), "texts")
+
+
+def _verified(texts: DataFrame, pairs: DataFrame, size: int) -> DataFrame:
+    """(a, b) of the distinct pairs that link; only sets that are in a pair are shuffled."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node"))
+    likely = texts.sparkSession.sparkContext.broadcast(bitmaps.of(wanted))
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(bitmaps.holds(likely.value, batch.column(0).to_numpy())))
 
-    def sets_of(packed: pa.Array) -> list[np.ndarray]:
-        texts = pa.array([zlib.decompress(text).decode("utf-8") for text in packed.to_pylist()], pa.large_string())
+    def sets_of(nodes: pa.Array, packed: pa.Array) -> list[np.ndarray]:
+        """The sets of all rows; a text that comes in many rows is taken apart once."""
+        _, first, place = np.unique(nodes.to_numpy(), return_index=True, return_inverse=True)
+        texts = pa.array([zlib.decompress(text).decode("utf-8") for text in packed.take(pa.array(first)).to_pylist()], pa.large_string())
         found = []
         for block in blocks(texts):
             hashes, bounds = shingle_sets(block, size)
             found += np.split(hashes, bounds[1:-1])
-        return found
+        return [found[i] for i in place]
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, COMPARED_ROWS):
                 part = batch.slice(at, COMPARED_ROWS)
                 linked = []
-                for x, y in zip(sets_of(part.column(2)), sets_of(part.column(3)), strict=True):
-                    shared = len(np.intersect1d(x, y, assume_unique=True))
+                sides = (sets_of(part.column(i), part.column(i + 2)) for i in (0, 1))
+                for x, y in zip(*sides, strict=True):
+                    both = np.sort(np.concatenate([x, y]))
+                    shared = np.count_nonzero(both[1:] == both[:-1])
                     linked.append(9 * shared >= 4 * (len(x) + len(y)))
                 yield part.select(["a", "b"]).filter(pa.array(linked, pa.bool_()))
 
-    # packed texts are smaller than their sets
-    texts = documents.select(text_column).mapInArrow(collect, "node long, text binary")
-    a = texts.select(F.col("node").alias("a"), F.col("text").alias("x"))
-    b = texts.select(F.col("node").alias("b"), F.col("text").alias("y"))
+    chosen = texts.mapInArrow(choose, "node long, text binary")
+    a = chosen.select(F.col("node").alias("a"), F.col("text").alias("x"))
+    b = chosen.select(F.col("node").alias("b"), F.col("text").alias("y"))
     met = pairs.join(b, "b").join(a, "a").select("a", "b", "x", "y")
-    return met.mapInArrow(compare, "a long, b long").distinct()  # equal rows give equal pairs
+    return met.mapInArrow(compare, "a long, b long")
 
 
 def _band(n):
@@ -195,12 +230,12 @@ def _band(n):
     return F.floor(F.log(n.cast("double")) / F.log(F.lit(1.2500001))).cast("int")
 
 
-def links(documents: DataFrame, sets: DataFrame, text_column: str = "text", size: int = SHINGLE,
+def links(documents: DataFrame, sets: DataFrame, counts: DataFrame, text_column: str = "text", size: int = SHINGLE,
           cell_bits: int = CELL_BITS) -> tuple[DataFrame, DataFrame]:
     """(node, component) of the sets that link with the one set they were compared with first, and
     (a, b) of the links between sets whose classes still differed; every link is verified."""
     context = documents.sparkSession.sparkContext
-    ranks = context.broadcast(_frequencies(documents, text_column, size, cell_bits))
+    ranks = context.broadcast(_frequencies(counts, cell_bits))
     shared = cut(_shared_shingles(documents, text_column, size, ranks))
     likely = context.broadcast(bitmaps.of(shared))
     postings = _postings(documents, text_column, size, ranks, likely).join(shared, "shingle")
@@ -215,7 +250,9 @@ def links(documents: DataFrame, sets: DataFrame, text_column: str = "text", size
     pairs = best.select(F.col("best.first").alias("a"), F.col("node").alias("b"), F.col("best.votes").alias("votes"), F.col("best.n").alias("n"))
     rest = F.greatest(F.expr("(4 * n + 4) div 5 - 1"), F.expr("(4 * m + 4) div 5 - 1"))
     pairs = cut(pairs.join(sizes, "a").filter(9 * (F.col("votes") + rest) >= 4 * (F.col("n") + F.col("m"))).select("a", "b"))
-    near = cut(_verified(documents, pairs, text_column, size))
+    # whoever is in any list with another set may be compared later
+    texts = _texts(documents, listed.join(firsts, "shingle").select("node"), text_column, size)
+    near = cut(_verified(texts, pairs, size))
     found = cut(_components(near))
     known = listed.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     # lists that still hold more than one class
@@ -230,7 +267,7 @@ def links(documents: DataFrame, sets: DataFrame, text_column: str = "text", size
         (F.col("component") != F.col("other_component")) & (F.col("m") <= F.col("n"))
         & (5 * F.col("m") >= 4 * F.col("n")) & (9 * left_over >= 4 * (F.col("n") + F.col("m"))))
     pairs = cut(pairs.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct())
-    return found, cut(_verified(documents, pairs, text_column, size))
+    return found, cut(_verified(texts, pairs, size))
 
 
 def _components(edges: DataFrame) -> DataFrame:
@@ -242,8 +279,8 @@ def _components(edges: DataFrame) -> DataFrame:
 def classes(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", size: int = SHINGLE,
             cell_bits: int = CELL_BITS) -> DataFrame:
     """One row per document row: (id, key, n_shingles, component, component_id, class_rows)."""
-    sets = cut(_sets(documents, id_column, text_column, size))
-    found, late = links(documents, sets, text_column, size, cell_bits)
+    sets, counts = _sets(documents, id_column, text_column, size, cell_bits)
+    found, late = links(documents, sets, counts, text_column, size, cell_bits)
     for end in ("a", "b"):  # links between the classes of the first comparisons
         late = late.join(found.select(F.col("node").alias(end), F.col("component").alias("_of")), end, "left").withColumn(
             end, F.coalesce("_of", end)).drop("_of")

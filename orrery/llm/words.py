@@ -48,6 +48,15 @@ def _lower() -> np.ndarray:
     return table
 
 
+def _powers(base: int, size: int, held: dict[int, np.ndarray]) -> np.ndarray:
+    """The first powers of ``base``, at least ``size`` of them; ``held`` keeps them for the next block."""
+    if len(held.get(base, ())) < size:
+        powers = np.full(size, base, dtype=np.uint64)
+        powers[0] = 1
+        held[base] = np.cumprod(powers, dtype=np.uint64)
+    return held[base]
+
+
 def text_array(texts: pa.Array) -> pa.Array:
     """A text column with nulls as empty texts."""
     if isinstance(texts, pa.ChunkedArray):
@@ -58,8 +67,10 @@ def text_array(texts: pa.Array) -> pa.Array:
 class Block:
     """Neighbouring whole texts as one run of UTF-8 bytes with the offsets of each text."""
 
-    def __init__(self, first: int, data: np.ndarray, offsets: np.ndarray, lower: bool = False, space: np.ndarray = SPACE):
+    def __init__(self, first: int, data: np.ndarray, offsets: np.ndarray, lower: bool = False, space: np.ndarray = SPACE,
+                 powers: dict[int, np.ndarray] | None = None):
         self.first, self.offsets, self.space = first, offsets, space
+        self.powers = {} if powers is None else powers
         self.data = _lower()[data] if lower else data
         self.rows = len(offsets) - 1
 
@@ -89,14 +100,10 @@ class Block:
 
     @cached_property
     def _prefix(self) -> tuple[np.ndarray, np.ndarray]:
-        powers = np.full(len(self.data) + 1, _BASE, dtype=np.uint64)
-        powers[0] = 1
-        np.cumprod(powers, out=powers)
-        sums = np.zeros(len(self.data) + 1, dtype=np.uint64)
-        np.cumsum(_byte_values()[self.data] * powers[:-1], out=sums[1:])
-        back = np.full(len(self.data) + 1, pow(_BASE, -1, 1 << 64), dtype=np.uint64)
-        back[0] = 1
-        np.cumprod(back, out=back)
+        size = len(self.data) + 1
+        powers, back = (_powers(base, size, self.powers) for base in (_BASE, pow(_BASE, -1, 1 << 64)))
+        sums = np.zeros(size, dtype=np.uint64)
+        np.cumsum(_byte_values()[self.data] * powers[: size - 1], out=sums[1:])
         return sums, back
 
     def hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -146,11 +153,11 @@ def blocks(texts: pa.Array, lower: bool = False, space: np.ndarray = SPACE, limi
     offsets = np.frombuffer(column.buffers()[1], dtype=np.int64)[column.offset : column.offset + len(column) + 1]
     held = column.buffers()[2]
     data = np.frombuffer(held, dtype=np.uint8) if held is not None and held.size else np.zeros(0, np.uint8)
-    low = 0
+    low, powers = 0, {}
     while low < len(column):
         high = int(np.searchsorted(offsets, offsets[low] + limit, side="right")) - 1
         high = min(max(high, low + 1), len(column))
-        yield Block(low, data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low], lower, space)
+        yield Block(low, data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low], lower, space, powers)
         low = high
 
 
