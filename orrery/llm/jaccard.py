@@ -15,7 +15,7 @@ Two texts link when ``100 * intersection >= 80 * union``, and texts joined by li
   whose classes still differ are compared, all of them.
 
 No list is collected, no pair inside a class is emitted, and links are compared on the whole sets as
-64-bit shingle hashes; a set is named by 64 bits. Broadcast are the sketch (``cells`` bytes) and bitmaps of ``2 ** bitmaps.BITS`` bits that
+64-bit shingle hashes; a set is named by 64 bits, a listed shingle by 58 behind its class of counts. Broadcast are the sketch (``cells`` bytes) and bitmaps of ``2 ** bitmaps.BITS`` bits that
 keep rows which surely meet nothing out of the shuffle; their size is fixed, exact joins follow.
 
 Defined results: a null, empty or blank text has no shingles and links with nothing; null ids are
