@@ -110,8 +110,11 @@ _EDGES = f"""
 
 @query("sim_edges", with_views("vectors", body=_EDGES + " SELECT * FROM e"))
 def sim_edges(spark, folder):
-    found = graphs.similar_edges(views.embeddings(spark, folder), EDGE_THRESHOLD)
-    return found.withColumn("similarity", F.round("similarity", 6))
+    """All pairs, those of exact copies too: the edges of distinct vectors expanded by the table of copies."""
+    points = views.embeddings(spark, folder).select("id", "embedding")
+    edges = graphs.similar_edges(points, EDGE_THRESHOLD)
+    pairs = graphs.all_pairs(edges, graphs.representatives(points))
+    return pairs.withColumn("similarity", F.round("similarity", 6))
 
 
 _COPIED = _EDGES.replace("vectors", "copied")

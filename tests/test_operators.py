@@ -403,3 +403,12 @@ def test_visible_points(spark):
     rows = [(0, 0.5), (0, -1.0), (1, 0.9), (-1, 0.5)]
     row = explore.visible_stats(spark.createDataFrame(rows, "cluster int, rating double"), 0.4, 0.6).first()
     assert tuple(row) == (4, 3, 2, 1)
+
+
+def test_sim_edges_lists_the_links_of_copies(spark, tmp_path):
+    from orrery.plans import similarity
+
+    rows = [(1, [1.0, 0.0], 1), (2, [1.0, 0.0], 1), (3, [0.9, 0.1], 2), (5, [1.0, 0.0], 0)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    found = [(r["a"], r["b"]) for r in similarity.sim_edges(spark, str(tmp_path)).collect()]
+    assert len(found) == 6 and set(found) == {(1, 2), (1, 3), (1, 5), (2, 3), (2, 5), (3, 5)}
