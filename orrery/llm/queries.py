@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from orrery.llm import chaining, decontaminate, jaccard, mixing, quality, sharding, suffixes, token_counts, url_filter, warc
+from orrery.llm import (
+    chaining, decontaminate, infill, jaccard, mixing, quality, sharding, suffixes, token_counts, url_filter, warc, whitening)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -170,3 +171,39 @@ def op2_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
 @query("op9_substring_chaining")
 def op9_substring_chaining(spark: SparkSession, folder: str) -> DataFrame:
     return chaining.passages(table(spark, folder, "documents"))
+
+
+_INFILL_SQL = """
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n,
+         sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents
+), c AS (
+  SELECT *, least(CAST('0x' || h[1:8] AS BIGINT) % (n + 1), CAST('0x' || h[9:16] AS BIGINT) % (n + 1)) AS low,
+         greatest(CAST('0x' || h[1:8] AS BIGINT) % (n + 1), CAST('0x' || h[9:16] AS BIGINT) % (n + 1)) AS high,
+         CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>')
+                   OR CAST('0x' || h[17:24] AS BIGINT) % 100 >= 90 THEN 'plain'
+              WHEN CAST('0x' || h[25:32] AS BIGINT) % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM d
+), p AS (
+  SELECT *, substr(t, 1, low) AS a, substr(t, low + 1, high - low) AS b, substr(t, high + 1) AS z FROM c
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN low END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN high - low END AS middle_chars,
+       sha256(CASE form WHEN 'psm' THEN '<P>' || a || '<S>' || z || '<M>' || b
+                        WHEN 'spm' THEN '<S>' || z || '<P>' || a || '<M>' || b ELSE t END) AS output_sha256,
+       sha256(t) AS restored_sha256
+FROM p
+"""
+
+
+@query("op12_fill_in_middle", _INFILL_SQL)
+def op12_fill_in_middle(spark: SparkSession, folder: str) -> DataFrame:
+    cut = infill.transform(table(spark, folder, "documents"))
+    return cut.select(
+        "doc_id", "n", "form", F.col("prefix_units").alias("prefix_chars"), F.col("middle_units").alias("middle_chars"),
+        F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(infill.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"))
+
+
+@query("op13_embedding_whitening")
+def op13_embedding_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whiten(table(spark, folder, "embeddings"))
