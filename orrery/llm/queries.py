@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from orrery.llm import (
-    chaining, decontaminate, infill, jaccard, mixing, quality, sharding, suffixes, token_counts, url_filter, warc, whitening)
+    chaining, decontaminate, infill, jaccard, minhash, mixing, quality, sharding, suffixes, token_counts, url_filter, warc,
+    whitening)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -207,3 +208,12 @@ def op12_fill_in_middle(spark: SparkSession, folder: str) -> DataFrame:
 @query("op13_embedding_whitening")
 def op13_embedding_whitening(spark: SparkSession, folder: str) -> DataFrame:
     return whitening.whiten(table(spark, folder, "embeddings"))
+
+
+_NEAR_SQL = _SETS_SQL.replace("w[i:i + 4]", "w[i:i + 1]").replace("greatest(len(w) - 4, 1)", "greatest(len(w) - 1, 1)").replace(
+    "AS component_id\n", "AS component_id, doc_id = (SELECT min(b) FROM reach WHERE reach.a = d.doc_id) AS kept\n")
+
+
+@query("op11_minhash_near_dedup", _NEAR_SQL)
+def op11_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return minhash.classes(table(spark, folder, "documents"))

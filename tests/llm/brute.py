@@ -37,9 +37,9 @@ def shingles(text, size=5):
     return {tuple(found[i : i + size]) for i in range(max(len(found) - size, 0) + 1)}
 
 
-def components(texts):
+def components(texts, size=5):
     """{row: smallest id reachable} of [(id, text)], by comparing all pairs."""
-    sets = [shingles(text) for _, text in texts]
+    sets = [shingles(text, size) for _, text in texts]
     root = list(range(len(texts)))
 
     def find(i):
