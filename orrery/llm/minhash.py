@@ -10,7 +10,7 @@ texts link when ``100 * intersection >= 80 * union``; texts joined by links are
   so a pair is missed with (1 - p) ** m + m * p * (1 - p) ** (m - 1): 1.2e-5 at 0.8, 8e-8 at 0.85.
   Everything after the tables is exact.
 - *Comparing.* Equal sets are one set. In every table bucket with more than one class all sets are
-  compared with one pivot, on their full sets; what links takes over its class, so a crowd of near
+  compared with one pivot, on their full sets; what links takes over its label, so a crowd of near
   copies costs one comparison each. This is done ``ROUNDS`` times with other pivots.
 - *The rest.* Sets of buckets that still hold several classes are dealt into groups by collection
   key and met in blocks of ``BLOCK_ROWS``. A pair is looked at in the first collection it agrees in
@@ -46,8 +46,9 @@ SHINGLE = 2
 HASHES = 3
 COLLECTIONS = 20
 ROUNDS = 2
-BLOCK_ROWS = 1024
+BLOCK_ROWS = 512
 CELLS = 2048
+TABLE_ROWS = 1 << 13
 COMPARED_ROWS = 256
 MAX_BITS = 28
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -156,6 +157,8 @@ def _tables(sets: DataFrame, likely=None) -> DataFrame:
 
 def _shared_tables(sets: DataFrame) -> DataFrame:
     """(bucket, node) of the buckets that hold two sets at least."""
+    # few sets make many rows, so they are dealt out anew
+    sets = sets.select("node", "keys").repartition(-(-max(sets.count(), 1) // TABLE_ROWS))
     shared = cut(_tables(sets).groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("bucket"))
     likely = sets.sparkSession.sparkContext.broadcast(bitmaps.of(shared, _bits(shared.count())))
     return _stored(_tables(sets, likely).join(shared, "bucket"), "buckets")
@@ -216,12 +219,27 @@ def _linked(texts: DataFrame, pairs: DataFrame, size: int) -> DataFrame:
     return cut(met.mapInArrow(compare, "a long, b long"))
 
 
-def _placed(listed: DataFrame, links: DataFrame | None) -> DataFrame:
-    """``listed`` with the class of every node."""
-    if links is None:
-        return listed.withColumn("component", F.col("node"))
-    found = _components(links)
-    return listed.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+def _labelled(listed: DataFrame, links: DataFrame) -> DataFrame:
+    """``listed`` with a label of every node; nodes of one label are in one class, but not the other way round.
+
+    A node takes the name of its linked neighbour of lowest priority (or its own), and of that
+    neighbour's in turn. This is enough to leave out most pairs within a class, in two shuffles.
+    """
+    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    best = both.groupBy("a").agg(F.min(F.struct(_priority("b").alias("priority"), F.col("b").alias("b"))).alias("best"))
+    once = best.select(F.col("a").alias("node"), F.when(_priority("a") < F.col("best.priority"), F.col("a")).otherwise(
+        F.col("best.b")).alias("next"))
+    onward = once.select(F.col("node").alias("next"), F.col("next").alias("component"))
+    return _placed(listed, once.join(onward, "next").select("node", "component"))
+
+
+def _placed(nodes: DataFrame, components: DataFrame) -> DataFrame:
+    """``nodes`` with their component; one that has none is its own."""
+    return nodes.join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
+
+
+def _priority(node: str, turn: int = 0):
+    return F.xxhash64(node, F.lit(turn))
 
 
 def _components(links: DataFrame) -> DataFrame:
@@ -231,8 +249,7 @@ def _components(links: DataFrame) -> DataFrame:
 
 def _against_pivots(placed: DataFrame, turn: int) -> DataFrame:
     """(a, b): in every bucket with several classes its pivot beside each set of another class."""
-    priority = F.xxhash64("node", F.lit(turn))
-    pivot = F.min(F.struct(priority.alias("priority"), F.col("node").alias("pivot"), F.col("component").alias("its"))).alias("least")
+    pivot = F.min(F.struct(_priority("node", turn).alias("priority"), F.col("node").alias("pivot"), F.col("component").alias("its"))).alias("least")
     open_buckets = placed.groupBy("bucket").agg(
         pivot, F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
     open_buckets = open_buckets.select("bucket", "least.pivot", "least.its")
@@ -347,17 +364,23 @@ def _in_blocks(placed: DataFrame, sets: DataFrame, texts: DataFrame, size: int,
 
 
 def links(documents: DataFrame, sets: DataFrame, text_column: str = "text", size: int = SHINGLE,
-          block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """(a, b): verified links that join the same classes as all links between sets that share a table key."""
+          block_rows: int = BLOCK_ROWS) -> tuple[DataFrame, DataFrame]:
+    """(node, component) by the links to pivots, and the other links (a, b) between those classes; all are
+    verified, and together they join what all links between sets that share a table key join."""
     listed = _shared_tables(sets)
     wanted = cut(listed.select("node").distinct().join(sets.select("node", "c", "d"), "node"))
     texts = _texts(documents, wanted, text_column)
-    found, placed = None, _placed(listed, None)
+    found, placed = None, listed.withColumn("component", F.col("node"))
     for turn in range(ROUNDS):
+        if turn:
+            placed = cut(_labelled(listed, found))
         new = _linked(texts, _against_pivots(placed, turn), size)
         found = new if found is None else found.unionByName(new)
-        placed = cut(_placed(listed, found))
-    return found.unionByName(_linked(texts, _in_blocks(placed, sets, texts, size, block_rows), size))
+    # whole classes from here on, or a crowd of several labels would list the links between them
+    joined = _components(found)
+    placed = cut(_placed(listed, joined))
+    late = _linked(texts, _in_blocks(placed, sets, texts, size, block_rows), size)
+    return joined, late
 
 
 def classes(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", size: int = SHINGLE,
@@ -365,8 +388,12 @@ def classes(documents: DataFrame, id_column: str = "doc_id", text_column: str =
     """(id, n_shingles, component_id, kept): one row per row of ``documents``."""
     signatures = _signatures(documents, id_column, text_column, size, hashes, collections)
     sets = _distinct(signatures)
-    joined = _components(links(documents, sets, text_column, size, block_rows))
-    owner = sets.join(joined, "node", "left").select("a", "b", F.coalesce("component", "node").alias("component"))
+    joined, late = links(documents, sets, text_column, size, block_rows)
+    for end in ("a", "b"):  # links between classes
+        late = _placed(late.withColumnRenamed(end, "node"), joined).drop("node").withColumnRenamed("component", end)
+    whole = _components(cut(late.distinct())).select(F.col("node").alias("component"), F.col("component").alias("whole"))
+    owner = _placed(sets.select("node", "a", "b"), joined).join(whole, "component", "left").select(
+        "a", "b", F.coalesce("whole", "component").alias("component"))
     # copies are folded to one row per set before classes are put together
     least = signatures.filter("n > 0").groupBy("a", "b").agg(F.min("id").alias("first")).join(owner, ["a", "b"])
     smallest = least.groupBy("component").agg(F.min("first").alias("component_id"))
