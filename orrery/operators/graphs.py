@@ -8,7 +8,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from orrery.operators.neighbours import BLOCK_ROWS, BROADCAST_BYTES, _as_input, _Side, _unit_rows, size_of
+from orrery.operators.cells import SLACK, Cells, around_pivots, meetings, unit_rows as _unit_rows
+from orrery.operators.neighbours import BLOCK_ROWS, BROADCAST_BYTES, _as_input, _Side, size_of
 from orrery.session import cut
 
 _EDGE = "a long, b long, similarity double"
@@ -62,28 +63,43 @@ def connected_components(nodes: DataFrame, edges: DataFrame, a: str = "a", b: st
     return placed.join(smallest, "root").select("id", "component")
 
 
-def _similar(left: _Side, right: _Side, threshold: float, link: bool) -> Iterator[pd.DataFrame]:
-    """Pairs of rows at or above the threshold; with ``link`` one pair per two groups that have any."""
+def _similar(left: _Side, right: _Side, threshold: float, link: bool, foreign: np.ndarray | None = None) -> Iterator[pd.DataFrame]:
+    """Pairs of rows at or above the threshold; with ``link`` one pair per two groups that have any.
+
+    Rows on both sides meet twice and count where the left name is smaller; ``foreign`` rows of the
+    left are on that side only and count always.
+    """
     for start in range(0, len(left.ids), _TILE):
         for low in range(0, len(right.ids), _TILE):
             rows, columns = slice(start, start + _TILE), slice(low, low + _TILE)
             similarity = np.round(left.vectors[rows] @ right.vectors[columns].T, 12)
             a, b = (left.carried, right.carried) if link else (left.ids, right.ids)
             a, b = a[rows], b[columns]
-            at = np.nonzero((similarity >= threshold) & (a[:, None] < b[None, :]))
+            counts = a[:, None] < b[None, :]
+            if foreign is not None:
+                counts |= foreign[rows, None] & (a[:, None] != b[None, :])
+            at = np.nonzero((similarity >= threshold) & counts)
             if len(at[0]):
-                found = pd.DataFrame({"a": a[at[0]], "b": b[at[1]], "similarity": similarity[at]})
+                found = pd.DataFrame({"a": np.minimum(a[at[0]], b[at[1]]), "b": np.maximum(a[at[0]], b[at[1]]), "similarity": similarity[at]})
                 yield found.drop_duplicates(["a", "b"]) if link else found
 
 
 def _one_per_copy(points: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(the smallest id of every distinct vector, edges from it to its exact copies)."""
-    held = _as_input(points, "id").drop("carried")
-    first = held.groupBy("embedding").agg(F.min("id").alias("first"))
-    copies = held.join(first, "embedding").filter("id <> first").select(
-        F.col("first").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("similarity")
-    )
-    return cut(first.select(F.col("first").alias("id"), "embedding")), copies
+    """(the smallest id of every distinct vector, edges from it to its exact copies).
+
+    Vectors meet by a digest of 128 bits and are then compared: one that only shares the digest
+    of another is a vector of its own.
+    """
+    entries = F.transform("embedding", lambda x: x + F.lit(0.0))  # -0.0 is 0.0
+    held = _as_input(points, "id").drop("carried").select(
+        "id", "embedding", F.xxhash64(entries).alias("_high"), F.xxhash64(F.lit(1), entries).alias("_low"))
+    first = held.groupBy("_high", "_low").agg(F.min("id").alias("first"), F.min_by("embedding", "id").alias("_like"))
+    met = held.join(first, ["_high", "_low"])
+    met = cut(met.select("id", "embedding", F.when(F.col("embedding") == F.col("_like"), F.col("first")).otherwise(
+        F.col("id")).alias("first")))
+    copies = met.filter("id <> first").select(
+        F.col("first").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("similarity"))
+    return met.filter("id = first").select("id", "embedding"), copies
 
 
 def similar_edges(points: DataFrame, threshold: float, broadcast_bytes: int = BROADCAST_BYTES,
@@ -176,19 +192,35 @@ def _compared(points: DataFrame, threshold: float, link: bool, broadcast_bytes:
 
         return points.mapInPandas(search, _EDGE)
 
-    parts = max(1, -(-count // block_rows))
-    part = F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")
-    every = F.sequence(F.lit(0), F.lit(parts - 1))
-
-    def side(own: str, other: str):
-        # columns renamed so that the two sides do not share ids
-        held = points.select(*[F.col(c).alias(c) for c in ("id", "embedding", "carried")])
-        return held.withColumn(own, part).withColumn(other, F.explode(every)).groupBy("i", "j")
+    # visitors of a cell: its own points, and those of earlier cells that some member may be similar to
+    cells, members = around_pivots(points, count, block_rows)
 
     def meet(some: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
         found = []
         if len(some) and len(others):
-            found = list(_similar(_Side.of(some), _Side.of(others), threshold, link))
+            found = list(_similar(_Side.of(some), _Side.of(others), threshold, link, some["foreign"].to_numpy(bool)))
         return pd.concat(found, ignore_index=True) if found else pd.DataFrame({"a": [], "b": [], "similarity": []})
 
-    return side("i", "j").cogroup(side("j", "i")).applyInPandas(meet, _EDGE)
+    met = meetings(visitors_within(members, cells, threshold), members, cells, block_rows).applyInPandas(meet, _EDGE)
+    return met.dropDuplicates(["a", "b"]) if link else met
+
+
+def visitors_within(members: DataFrame, cells: Cells, threshold: float) -> DataFrame:
+    """``members`` with the ``cell`` they meet: their own, and (``foreign``) later ones within the threshold's angle."""
+    shared = members.sparkSession.sparkContext.broadcast(cells.arrays())
+    widest = float(np.arccos(np.clip(threshold, -1.0, 1.0))) + SLACK
+
+    def choose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cells = Cells(*shared.value)
+        for batch in batches:
+            for start in range(0, len(batch), _TILE):
+                tile = batch.iloc[start : start + _TILE]
+                vectors, own = _unit_rows(tile["embedding"]), tile["cell"].to_numpy()
+                number = np.arange(len(cells.counts))
+                visited = (number > own[:, None]) & (cells.floors(vectors) <= widest) & (cells.counts > 0)
+                visited |= number == own[:, None]
+                row, cell = np.nonzero(visited)
+                yield tile.iloc[row].assign(cell=cell.astype(np.int32), foreign=cell != own[row])
+
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in members.schema.fields)
+    return members.mapInPandas(choose, f"{fields}, foreign boolean")

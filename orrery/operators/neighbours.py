@@ -1,9 +1,11 @@
 """Exact nearest-neighbour joins on cosine distance, votes and class assignment.
 
 Two physical forms give the same rows. While the training side fits under a checked size it is
-broadcast and every task multiplies its own query rows with it, without a shuffle. Beyond that,
-both sides are cut into blocks of bounded size, every pair of blocks meets in one group, and
-only the best k rows per query and block travel on to a final top-k per query.
+broadcast and every task multiplies its own query rows with it, without a shuffle. Beyond that
+the training side is cut into cells around pivots. A query first meets the nearest cells that hold
+k rows; the k-th distance found there rules out every cell whose members are all farther away, and
+the query meets only the cells that are left. Cells are cut into blocks of bounded size, and only the
+best k rows per query and block travel on to a final top-k per query.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from orrery.functions import vectors as V
-from orrery.functions.vectors import NORM_FLOOR
+from orrery.operators.cells import Cells, around_pivots, meetings, unit_rows as _unit_rows
 from orrery.session import cut
 
 BROADCAST_BYTES = 128 * 1024 * 1024
@@ -25,12 +27,6 @@ _TRAIN_TILE = 16_384
 ZERO_DISTANCE = 1e-12  # cosine of equal unit vectors is 1 only up to rounding
 LOO_FLOOR = 1e-10
 
-def _unit_rows(column: pd.Series) -> np.ndarray:
-    if not len(column):
-        return np.zeros((0, 0))
-    rows = np.stack(column.to_numpy()).astype(np.float64)
-    return rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), NORM_FLOOR)
-
 
 def _best(distances: np.ndarray, k: int) -> np.ndarray:
     """Column numbers of the k smallest per row, ties by column number."""
@@ -153,28 +149,77 @@ def _against_broadcast(asked: DataFrame, known: DataFrame, k: int, skip_self: bo
     return asked.mapInPandas(search, _FOUND)
 
 
-def _against_blocks(asked: DataFrame, known: DataFrame, k: int, skip_self: bool,
-                    n_train: int, block_rows: int) -> DataFrame:
-    n_blocks = max(1, -(-n_train // block_rows))
-    n_chunks = max(1, -(-asked.count() // block_rows))
+def _visiting(asked: DataFrame, cells: Cells, enough: int, bounds: DataFrame | None = None) -> DataFrame:
+    """Query rows with each ``cell`` they have to meet.
+
+    Without ``bounds`` these are the nearest cells that hold ``enough`` rows; with them
+    (id, farthest: the distance to beat) all others that can hold something as near.
+    """
+    shared = asked.sparkSession.sparkContext.broadcast(cells.arrays())
+    bounded = bounds is not None
+
+    def choose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cells = Cells(*shared.value)
+        for batch in batches:
+            for start in range(0, len(batch), _QUERY_TILE):
+                tile = batch.iloc[start : start + _QUERY_TILE]
+                vectors = _unit_rows(tile["embedding"])
+                visited = cells.nearest_first(vectors, enough)
+                if bounded:
+                    farthest = np.arccos(np.clip(1.0 - tile["farthest"].to_numpy(), -1.0, 1.0))
+                    visited = ~visited & (cells.floors(vectors) <= farthest[:, None]) & (cells.counts > 0)
+                row, cell = np.nonzero(visited)
+                yield tile.iloc[row][["id", "embedding", "carried"]].assign(cell=cell.astype(np.int32))
+
+    kind = asked.schema["embedding"].dataType.simpleString()
+    rows = asked.join(bounds, "id") if bounded else asked
+    return rows.mapInPandas(choose, f"id long, embedding {kind}, carried string, cell int")
+
+
+def _ranked(found: DataFrame, k: int) -> DataFrame:
+    best = Window.partitionBy("query_id").orderBy("distance", "neighbour_id")
+    return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+
 
-    def spread(df: DataFrame, own: str, parts: int, other: str, copies: int) -> DataFrame:
-        # ids are unique, so hashed blocks are even whatever the vectors look like
-        return df.withColumn(own, F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")).withColumn(
-            other, F.explode(F.sequence(F.lit(0), F.lit(copies - 1)))
-        )
+def _bounds(found: DataFrame, k: int) -> DataFrame:
+    """(id, farthest): the distance that a further neighbour of a query has to beat or equal."""
+    return found.groupBy(F.col("query_id").alias("id")).agg(
+        F.when(F.count(F.lit(1)) >= k, F.max("distance")).otherwise(2.0).alias("farthest"))
 
-    left = spread(asked, "chunk", n_chunks, "block", n_blocks).groupBy("chunk", "block")
-    right = spread(known, "block", n_blocks, "chunk", n_chunks).groupBy("chunk", "block")
+
+def _against_blocks(asked: DataFrame, known: DataFrame, k: int, skip_self: bool,
+                    n_train: int, block_rows: int) -> DataFrame:
+    cells, members = around_pivots(known, n_train, block_rows)
 
     def search(some: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
         if not len(some) or not len(others):
             return pd.DataFrame({name.split()[0]: [] for name in _FOUND.split(", ")})
         return pd.concat(list(_nearest(_Side.of(some), _Side.of(others, sort=True), k, skip_self)), ignore_index=True)
 
-    best = Window.partitionBy("query_id").orderBy("distance", "neighbour_id")
-    of_blocks = left.cogroup(right).applyInPandas(search, _FOUND)
-    return of_blocks.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+    def met(visitors: DataFrame) -> DataFrame:
+        return meetings(visitors, members, cells, block_rows).applyInPandas(search, _FOUND)
+
+    enough = k + skip_self
+    first = cut(_ranked(met(_visiting(asked, cells, enough)), k))
+    # every query has met someone, unless there is no one to meet
+    rest = cut(_visiting(asked, cells, enough, _bounds(first, k)))
+    return _ranked(first.unionByName(met(rest)), k)
+
+
+def visited_cells(queries: DataFrame, train: DataFrame, k: int, query_id: str = "id", train_id: str = "id",
+                  skip_self: bool = False, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(query_id, first, rest, cells): how many cells each query meets in both turns, and how many there are.
+
+    For measuring what the bounds save on given vectors.
+    """
+    asked, known = _as_input(queries, query_id), _as_input(train, train_id)
+    cells, _ = around_pivots(known, size_of(known)[0], block_rows)
+    enough = k + skip_self
+    found = nearest(queries, train, k, query_id, train_id, skip_self, broadcast_bytes=0, block_rows=block_rows)
+    first = _visiting(asked, cells, enough).select("id", F.lit(1).alias("first"), F.lit(0).alias("rest"))
+    rest = _visiting(asked, cells, enough, _bounds(found, k)).select("id", F.lit(0).alias("first"), F.lit(1).alias("rest"))
+    return first.unionByName(rest).groupBy(F.col("id").alias("query_id")).agg(
+        F.sum("first").alias("first"), F.sum("rest").alias("rest"), F.lit(int((cells.counts > 0).sum())).alias("cells"))
 
 
 def graph(points: DataFrame, k: int, id_column: str = "id", **sizes: int) -> DataFrame:

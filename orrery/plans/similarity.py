@@ -108,13 +108,21 @@ _EDGES = f"""
           WHERE LIST_DOT_PRODUCT(a.embedding, b.embedding) / (a.norm * b.norm) >= {EDGE_THRESHOLD})"""
 
 
-@query("sim_edges", with_views("vectors", body=_EDGES + " SELECT * FROM e"))
+@query("sim_edges", with_views("vectors", body=f"""
+    , u AS (SELECT MIN(id) AS id, embedding, SQRT(LIST_DOT_PRODUCT(embedding, embedding)) AS norm FROM vectors GROUP BY embedding)
+    SELECT 'pair' AS kind, a.id AS a, b.id AS b, ROUND(LIST_DOT_PRODUCT(a.embedding, b.embedding) / (a.norm * b.norm), 6) AS similarity
+    FROM u a JOIN u b ON a.id < b.id
+    WHERE LIST_DOT_PRODUCT(a.embedding, b.embedding) / (a.norm * b.norm) >= {EDGE_THRESHOLD}
+    UNION ALL SELECT 'member', u.id, v.id, CAST(NULL AS DOUBLE) FROM vectors v JOIN u ON v.embedding = u.embedding"""))
 def sim_edges(spark, folder):
-    """All pairs, those of exact copies too: the edges of distinct vectors expanded by the table of copies."""
+    """Two tables as rows: the pairs of distinct vectors (``pair``) and who each of them stands for (``member``)."""
     points = views.embeddings(spark, folder).select("id", "embedding")
     edges = graphs.similar_edges(points, EDGE_THRESHOLD)
-    pairs = graphs.all_pairs(edges, graphs.representatives(points))
-    return pairs.withColumn("similarity", F.round("similarity", 6))
+    pairs = edges.select(F.lit("pair").alias("kind"), "a", "b", F.round("similarity", 6).alias("similarity"))
+    members = graphs.representatives(points).select(
+        F.lit("member").alias("kind"), F.col("representative").alias("a"), F.col("id").alias("b"),
+        F.lit(None).cast("double").alias("similarity"))
+    return pairs.unionByName(members)
 
 
 _COPIED = _EDGES.replace("vectors", "copied")
@@ -124,11 +132,11 @@ _COPIED = _EDGES.replace("vectors", "copied")
     , copied AS (SELECT id, embedding FROM vectors UNION ALL SELECT -id - 1, embedding FROM vectors WHERE id % 10 = 0)
     """ + _COPIED + " SELECT * FROM e"))
 def sim_edges_copies(spark, folder):
-    """All pairs when every tenth vector is there twice, from the edges and the table of copies."""
+    """All pairs when every tenth vector is there twice, from the edges (over cells) and the table of copies."""
     points = views.embeddings(spark, folder).select("id", "embedding")
     again = points.filter("id % 10 = 0").withColumn("id", -F.col("id") - 1)
     copied = points.unionByName(again)
-    edges = graphs.similar_edges(copied, EDGE_THRESHOLD)
+    edges = graphs.similar_edges(copied, EDGE_THRESHOLD, broadcast_bytes=0, block_rows=100)
     pairs = graphs.all_pairs(edges, graphs.representatives(copied))
     return pairs.withColumn("similarity", F.round("similarity", 6))
 

@@ -410,5 +410,49 @@ def test_sim_edges_lists_the_links_of_copies(spark, tmp_path):
 
     rows = [(1, [1.0, 0.0], 1), (2, [1.0, 0.0], 1), (3, [0.9, 0.1], 2), (5, [1.0, 0.0], 0)]
     spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
-    found = [(r["a"], r["b"]) for r in similarity.sim_edges(spark, str(tmp_path)).collect()]
-    assert len(found) == 6 and set(found) == {(1, 2), (1, 3), (1, 5), (2, 3), (2, 5), (3, 5)}
+    found = sorted((r["kind"], r["a"], r["b"]) for r in similarity.sim_edges(spark, str(tmp_path)).collect())
+    assert found == [("member", 1, 1), ("member", 1, 2), ("member", 1, 5), ("member", 3, 3), ("pair", 1, 3)]
+
+
+def _clustered(spark, groups=12, each=60, dims=16, odd=()):
+    source = np.random.default_rng(11)
+    centres = source.normal(size=(groups, dims))
+    rows = np.repeat(centres, each, axis=0) + source.normal(scale=0.05, size=(groups * each, dims))
+    rows = np.concatenate([rows, *[np.array([row]) for row in odd]]) if odd else rows
+    frame = spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(rows)], "id long, embedding array<double>")
+    norms = np.linalg.norm(rows, axis=1, keepdims=True)
+    return rows / np.maximum(norms, 1e-9), frame
+
+
+def test_bounds_leave_most_cells_out(spark):
+    _, frame = _clustered(spark)
+    visited = neighbours.visited_cells(frame, frame, 10, skip_self=True, block_rows=60).collect()
+    assert len(visited) == 720
+    met = sum(r["first"] + r["rest"] for r in visited)
+    assert met < 0.5 * sum(r["cells"] for r in visited)
+
+
+def test_searches_over_cells_with_copies_and_vectors_without_direction(spark):
+    zero, hot = [0.0] * 16, [1.0] + [0.0] * 15
+    rows, frame = _clustered(spark, groups=5, each=15, odd=[zero, zero, *[hot] * 40])
+    found = collections.defaultdict(list)
+    for row in neighbours.nearest(frame, frame, 6, skip_self=True, broadcast_bytes=0, block_rows=9).collect():
+        found[row["query_id"]].append((row["rank"], row["neighbour_id"]))
+    distance = np.round(1.0 - rows @ rows.T, 12)
+    for query in range(len(rows)):
+        order = sorted((distance[query, i], i) for i in range(len(rows)) if i != query)[:6]
+        assert [n for _, n in sorted(found[query])] == [i for _, i in order]
+    for threshold in (0.95, 0.2, -0.1):
+        edges = graphs.similar_edges(frame, threshold, broadcast_bytes=0, block_rows=9)
+        pairs = {(r["a"], r["b"]) for r in graphs.all_pairs(edges, graphs.representatives(frame)).collect()}
+        close = np.round(rows @ rows.T, 12) >= threshold
+        wanted = {(i, j) for i, j in itertools.combinations(range(len(rows)), 2) if close[i, j]}
+        # copies of a vector without direction are pairs, whatever their cosine
+        assert pairs == wanted | {(75, 76)}
+
+
+def test_copies_grow_in_proportion(spark):
+    frame = spark.createDataFrame([(i, [1.0, float(i % 3)]) for i in range(300)], "id long, embedding array<double>")
+    edges = graphs.similar_edges(frame, 0.5, broadcast_bytes=0, block_rows=10)
+    assert edges.count() <= 3 and graphs.representatives(frame).count() == 300
+    assert {r["representative"] for r in graphs.representatives(frame).collect()} == {0, 1, 2}
