@@ -1,7 +1,7 @@
-"""Cells of vectors around pivots, and which cells an angle rules out.
+"""Cells of vectors around pivots, and which cells a distance rules out.
 
-Angles between unit vectors are a metric. A vector at an angle of t to a pivot is at least t - r away
-from everything within r of that pivot, so a search that already has something nearer need not
+Angles between unit vectors are a metric, as are straight distances between points. A vector at a
+distance of t from a pivot is at least t - r away from everything within r of that pivot, so a search that already has something nearer need not
 look into that cell. Pivots are a bounded sample: they decide how much is left out, never the result.
 """
 
@@ -30,73 +30,98 @@ def unit_rows(column: pd.Series) -> np.ndarray:
     return rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), NORM_FLOOR)
 
 
+def point_rows(column: pd.Series) -> np.ndarray:
+    """The vectors of a column as they are."""
+    return np.stack(column.to_numpy()).astype(np.float64) if len(column) else np.zeros((0, 0))
+
+
+def straight_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Distances of all rows of ``a`` to all of ``b``, by differences, so that equal points are at 0."""
+    total = np.zeros((len(a), len(b)))
+    for axis in range(a.shape[1]):
+        total += np.square(a[:, axis, None] - b[None, :, axis])
+    return np.sqrt(total, out=total)
+
+
+def _angles(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip(a @ b.T, -1.0, 1.0))
+
+
 @dataclass(frozen=True)
 class Cells:
-    """Pivots, and of every cell the largest angle of a member to its pivot and the number of members.
+    """Pivots, and of every cell the largest distance of a member to its pivot and the number of members.
 
-    The last cell has no pivot: it holds vectors of length 0, about which no angle says anything.
+    Distances are angles, or with ``straight`` those between points. The last cell has no pivot: it
+    holds vectors of length 0, about which no angle says anything.
     """
 
     pivots: np.ndarray
     radii: np.ndarray
     counts: np.ndarray
+    straight: bool = False
 
-    def arrays(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def arrays(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, bool]:
         """What a broadcast carries."""
-        return self.pivots, self.radii, self.counts
+        return self.pivots, self.radii, self.counts, self.straight
+
+    def _to_pivots(self, vectors: np.ndarray) -> np.ndarray:
+        return straight_distances(vectors, self.pivots) if self.straight else _angles(vectors, self.pivots)
 
     def floors(self, vectors: np.ndarray) -> np.ndarray:
-        """The least possible angle of every vector to the members of every cell; below 0: no bound."""
-        angle = np.arccos(np.clip(vectors @ self.pivots.T, -1.0, 1.0)) - self.radii[:-1] - SLACK
-        floors = np.column_stack([angle, np.full(len(vectors), -1.0)])
-        floors[~vectors.any(axis=1)] = -1.0
+        """The least possible distance of every vector to the members of every cell; below 0: no bound."""
+        least = self._to_pivots(vectors) - self.radii[:-1] - SLACK
+        floors = np.column_stack([least, np.full(len(vectors), -1.0)])
+        if not self.straight:
+            floors[~vectors.any(axis=1)] = -1.0
         return floors
 
     def nearest_first(self, vectors: np.ndarray, members: int) -> np.ndarray:
-        """Which cells, taken by the angle to their pivot, hold ``members`` vectors together."""
-        angle = np.column_stack([-(vectors @ self.pivots.T), np.full(len(vectors), 2.0)])
-        order = np.argsort(angle, axis=1, kind="stable")
+        """Which cells, taken by the distance to their pivot, hold ``members`` vectors together."""
+        order = np.argsort(np.column_stack([self._to_pivots(vectors), np.full(len(vectors), np.inf)]), axis=1, kind="stable")
         before = np.cumsum(self.counts[order], axis=1) - self.counts[order]
         chosen = np.zeros(order.shape, dtype=bool)
         np.put_along_axis(chosen, order, before < members, axis=1)
         return chosen & (self.counts > 0)
 
 
-def place(vectors: np.ndarray, pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Cell of every vector and the angle to its pivot."""
+def place(vectors: np.ndarray, pivots: np.ndarray, straight: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Cell of every vector and its distance to the pivot."""
     if not len(vectors):
         return np.zeros(0, dtype=np.int32), np.zeros(0)
-    cosine = vectors @ pivots.T
-    cell = cosine.argmax(axis=1)
-    angle = np.arccos(np.clip(cosine[np.arange(len(vectors)), cell], -1.0, 1.0))
+    away = straight_distances(vectors, pivots) if straight else _angles(vectors, pivots)
+    cell = away.argmin(axis=1)
+    away = away[np.arange(len(vectors)), cell]
+    if straight:
+        return cell.astype(np.int32), away
     empty = ~vectors.any(axis=1)
-    return np.where(empty, len(pivots), cell).astype(np.int32), np.where(empty, 0.0, angle)
+    return np.where(empty, len(pivots), cell).astype(np.int32), np.where(empty, 0.0, away)
 
 
-def around_pivots(points: DataFrame, count: int, block_rows: int) -> tuple[Cells, DataFrame]:
+def around_pivots(points: DataFrame, count: int, block_rows: int, straight: bool = False) -> tuple[Cells, DataFrame]:
     """The cells of ``points`` (id, embedding, carried) and the points with their ``cell``."""
     wanted = min(MAX_PIVOTS, PIVOTS_PER_BLOCK * max(1, -(-count // block_rows)))
+    rows_of = point_rows if straight else unit_rows
     # a bounded sample: ``wanted`` rows at most
-    sample = unit_rows(points.orderBy(F.xxhash64("id"), "id").limit(wanted).toPandas()["embedding"])
-    pivots = sample[sample.any(axis=1)] if len(sample) else sample
+    pivots = rows_of(points.orderBy(F.xxhash64("id"), "id").limit(wanted).toPandas()["embedding"])
+    if not straight and len(pivots):
+        pivots = pivots[pivots.any(axis=1)] if pivots.any() else np.eye(1, pivots.shape[1])
     if not len(pivots):
-        pivots = np.zeros((1, sample.shape[1] if len(sample) else 1))
-        pivots[0, 0] = 1.0
+        pivots = np.ones((1, 1))
     shared = points.sparkSession.sparkContext.broadcast(pivots)
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if len(batch):
-                cell, angle = place(unit_rows(batch["embedding"]), shared.value)
-                yield batch.assign(cell=cell, angle=angle)
+                cell, away = place(rows_of(batch["embedding"]), shared.value, straight)
+                yield batch.assign(cell=cell, away=away)
 
     placed = cut(points.select("id", "embedding", "carried").mapInPandas(
         assign, f"id long, embedding {points.schema['embedding'].dataType.simpleString()}, "
-                f"carried {points.schema['carried'].dataType.simpleString()}, cell int, angle double"))
+                f"carried {points.schema['carried'].dataType.simpleString()}, cell int, away double"))
     radii, counts = np.zeros(len(pivots) + 1), np.zeros(len(pivots) + 1, dtype=np.int64)
-    for row in placed.groupBy("cell").agg(F.max("angle").alias("radius"), F.count(F.lit(1)).alias("n")).collect():
+    for row in placed.groupBy("cell").agg(F.max("away").alias("radius"), F.count(F.lit(1)).alias("n")).collect():
         radii[row["cell"]], counts[row["cell"]] = row["radius"], row["n"]  # a row per pivot
-    return Cells(pivots, radii, counts), placed.drop("angle")
+    return Cells(pivots, radii, counts, straight), placed.drop("away")
 
 
 def per_cell(numbers: np.ndarray) -> Column:

@@ -1,4 +1,4 @@
-"""Exact nearest-neighbour joins on cosine distance, votes and class assignment.
+"""Exact nearest-neighbour joins on cosine (or straight) distance, votes and class assignment.
 
 Two physical forms give the same rows. While the training side fits under a checked size it is
 broadcast and every task multiplies its own query rows with it, without a shuffle. Beyond that
@@ -17,7 +17,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from orrery.functions import vectors as V
-from orrery.operators.cells import Cells, around_pivots, meetings, unit_rows as _unit_rows
+from orrery.operators.cells import (
+    Cells, around_pivots, meetings, point_rows, straight_distances, unit_rows as _unit_rows)
 from orrery.session import cut
 
 BROADCAST_BYTES = 128 * 1024 * 1024
@@ -53,16 +54,17 @@ class _Side:
         self.ids, self.vectors, self.carried = ids, vectors, carried
 
     @classmethod
-    def of(cls, rows: pd.DataFrame, sort: bool = False) -> _Side:
+    def of(cls, rows: pd.DataFrame, sort: bool = False, straight: bool = False) -> _Side:
         rows = rows.sort_values("id") if sort else rows
-        return cls(rows["id"].to_numpy(np.int64), _unit_rows(rows["embedding"]), rows["carried"].to_numpy())
+        vectors = point_rows(rows["embedding"]) if straight else _unit_rows(rows["embedding"])
+        return cls(rows["id"].to_numpy(np.int64), vectors, rows["carried"].to_numpy())
 
     def arrays(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """What a broadcast carries: plain arrays, so that no task stacks or normalises them again."""
         return self.ids, self.vectors, self.carried
 
 
-def _nearest(queries: _Side, train: _Side, k: int, skip_self: bool) -> Iterator[pd.DataFrame]:
+def _nearest(queries: _Side, train: _Side, k: int, skip_self: bool, straight: bool = False) -> Iterator[pd.DataFrame]:
     """k nearest training rows of each query row, tile by tile; the training ids must be ascending."""
     for start in range(0, len(queries.ids), _QUERY_TILE):
         ids = queries.ids[start : start + _QUERY_TILE]
@@ -71,8 +73,8 @@ def _nearest(queries: _Side, train: _Side, k: int, skip_self: bool) -> Iterator[
         best_at = np.empty((len(ids), 0), dtype=np.int64)
         for low in range(0, len(train.ids), _TRAIN_TILE):
             names = train.ids[low : low + _TRAIN_TILE]
-            distance = tile @ train.vectors[low : low + _TRAIN_TILE].T
-            np.subtract(1.0, distance, out=distance)
+            others = train.vectors[low : low + _TRAIN_TILE]
+            distance = straight_distances(tile, others) if straight else np.subtract(1.0, tile @ others.T)
             np.round(distance, 12, out=distance)  # copies of one vector are equally far and rank by id
             if skip_self:
                 own = np.minimum(np.searchsorted(names, ids), len(names) - 1)
@@ -117,9 +119,10 @@ _FOUND = "query_id long, neighbour_id long, distance double, rank int, of_query
 
 def nearest(queries: DataFrame, train: DataFrame, k: int, query_id: str = "id", train_id: str = "id",
             skip_self: bool = False, carry_query: str | None = None, carry_train: str | None = None,
-            broadcast_bytes: int = BROADCAST_BYTES, block_rows: int = BLOCK_ROWS) -> DataFrame:
+            broadcast_bytes: int = BROADCAST_BYTES, block_rows: int = BLOCK_ROWS, straight: bool = False) -> DataFrame:
     """(query_id, neighbour_id, distance, rank) of the k nearest training rows of every query row.
 
+    The distance is 1 - cosine, or with ``straight`` that between points.
     ``skip_self`` leaves out the training row with the query's own id. Fewer than k rows come
     back where the training side is smaller. A column of either side can be carried along (as
     text) to save joining it back to k rows per query.
@@ -127,24 +130,24 @@ def nearest(queries: DataFrame, train: DataFrame, k: int, query_id: str = "id",
     asked, known = _as_input(queries, query_id, carry_query), _as_input(train, train_id, carry_train)
     count, size = size_of(known)
     if size <= broadcast_bytes:
-        found = _against_broadcast(asked, known, k, skip_self)
+        found = _against_broadcast(asked, known, k, skip_self, straight)
     else:
-        found = _against_blocks(asked, known, k, skip_self, count, block_rows)
+        found = _against_blocks(asked, known, k, skip_self, count, block_rows, straight)
     names = {"of_query": carry_query, "of_neighbour": carry_train}
     return found.select(
         "query_id", "neighbour_id", "distance", "rank", *[F.col(c).alias(name) for c, name in names.items() if name]
     )
 
 
-def _against_broadcast(asked: DataFrame, known: DataFrame, k: int, skip_self: bool) -> DataFrame:
+def _against_broadcast(asked: DataFrame, known: DataFrame, k: int, skip_self: bool, straight: bool) -> DataFrame:
     # collected only under the size check of the caller; the ranks are final, so nothing is shuffled
-    shared = known.sparkSession.sparkContext.broadcast(_Side.of(known.toPandas(), sort=True).arrays())
+    shared = known.sparkSession.sparkContext.broadcast(_Side.of(known.toPandas(), True, straight).arrays())
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         train = _Side(*shared.value)
         for batch in batches:
             if len(train.ids) and len(batch):
-                yield from _nearest(_Side.of(batch), train, k, skip_self)
+                yield from _nearest(_Side.of(batch, straight=straight), train, k, skip_self, straight)
 
     return asked.mapInPandas(search, _FOUND)
 
@@ -163,10 +166,12 @@ def _visiting(asked: DataFrame, cells: Cells, enough: int, bounds: DataFrame | N
         for batch in batches:
             for start in range(0, len(batch), _QUERY_TILE):
                 tile = batch.iloc[start : start + _QUERY_TILE]
-                vectors = _unit_rows(tile["embedding"])
+                vectors = point_rows(tile["embedding"]) if cells.straight else _unit_rows(tile["embedding"])
                 visited = cells.nearest_first(vectors, enough)
                 if bounded:
-                    farthest = np.arccos(np.clip(1.0 - tile["farthest"].to_numpy(), -1.0, 1.0))
+                    farthest = tile["farthest"].to_numpy()
+                    if not cells.straight:
+                        farthest = np.arccos(np.clip(1.0 - farthest, -1.0, 1.0))
                     visited = ~visited & (cells.floors(vectors) <= farthest[:, None]) & (cells.counts > 0)
                 row, cell = np.nonzero(visited)
                 yield tile.iloc[row][["id", "embedding", "carried"]].assign(cell=cell.astype(np.int32))
@@ -184,17 +189,18 @@ def _ranked(found: DataFrame, k: int) -> DataFrame:
 def _bounds(found: DataFrame, k: int) -> DataFrame:
     """(id, farthest): the distance that a further neighbour of a query has to beat or equal."""
     return found.groupBy(F.col("query_id").alias("id")).agg(
-        F.when(F.count(F.lit(1)) >= k, F.max("distance")).otherwise(2.0).alias("farthest"))
+        F.when(F.count(F.lit(1)) >= k, F.max("distance")).otherwise(float("inf")).alias("farthest"))
 
 
 def _against_blocks(asked: DataFrame, known: DataFrame, k: int, skip_self: bool,
-                    n_train: int, block_rows: int) -> DataFrame:
-    cells, members = around_pivots(known, n_train, block_rows)
+                    n_train: int, block_rows: int, straight: bool) -> DataFrame:
+    cells, members = around_pivots(known, n_train, block_rows, straight)
 
     def search(some: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
         if not len(some) or not len(others):
             return pd.DataFrame({name.split()[0]: [] for name in _FOUND.split(", ")})
-        return pd.concat(list(_nearest(_Side.of(some), _Side.of(others, sort=True), k, skip_self)), ignore_index=True)
+        sides = _Side.of(some, straight=straight), _Side.of(others, True, straight)
+        return pd.concat(list(_nearest(*sides, k, skip_self, straight)), ignore_index=True)
 
     def met(visitors: DataFrame) -> DataFrame:
         return meetings(visitors, members, cells, block_rows).applyInPandas(search, _FOUND)

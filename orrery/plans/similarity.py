@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from orrery.functions import vectors as V
-from orrery.operators import clusters, density, graphs, layout, neighbours
+from orrery.operators import clusters, density, graphs, layout, neighbours, spanning
 from orrery.plans.registry import query
 from orrery.plans.sql import with_views
 from orrery.session import cut
@@ -221,3 +221,51 @@ def meta_group_names(spark, folder):
     docs = _grouped_documents(spark, folder, "source", "lang")
     names = cut(clusters.filled_names(docs, clusters.distinctive_terms(docs, 6)))
     return clusters.group_names(clusters.meta_groups(names, 0.5), names)
+
+
+NEAR, SAMPLES, LEAST = 12, 4, 3
+_REACH = """
+    , n AS (SELECT * FROM (SELECT a, b, d, ROW_NUMBER() OVER (PARTITION BY a ORDER BY d, b) AS r FROM d) WHERE r <= 12),
+    core AS (SELECT a AS id, d AS core FROM n WHERE r = 3),
+    e AS (SELECT LEAST(a, b) AS a, GREATEST(a, b) AS b, MIN(GREATEST(d, x.core, y.core)) AS w
+          FROM n JOIN core x ON x.id = a JOIN core y ON y.id = b GROUP BY ALL),
+    eps AS (SELECT level, factor * AVG(core) AS eps FROM core, (VALUES {levels}) f(level, factor) GROUP BY level, factor),
+    l AS (SELECT level, a, b FROM e JOIN eps ON w <= eps + 1e-9),
+    s AS (SELECT * FROM l UNION SELECT level, b, a FROM l),
+    t AS (SELECT DISTINCT level, a AS id, a AS reached FROM s
+          UNION SELECT t.level, t.id, s.b FROM t JOIN s ON t.level = s.level AND t.reached = s.a),
+    m AS (SELECT level, id, MIN(reached) AS part, COUNT(*) AS size FROM t GROUP BY level, id),
+    k AS (SELECT level, part, DENSE_RANK() OVER (PARTITION BY level ORDER BY size DESC, part) - 1 AS cluster
+          FROM (SELECT DISTINCT level, part, size FROM m WHERE size >= 3))
+    SELECT CAST(eps.level AS INT) AS level, p.id, CAST(COALESCE(k.cluster, -1) AS INT) AS cluster
+    FROM eps CROSS JOIN points_ p LEFT JOIN m ON m.level = eps.level AND m.id = p.id
+         LEFT JOIN k ON k.level = m.level AND k.part = m.part"""
+
+
+def _by_level(table, factors):
+    """Clusters of a neighbour table at multiples of the mean core distance."""
+    table = cut(table)
+    forest = spanning.spanning_forest(spanning.reachability(table, SAMPLES))
+    mean = table.filter(F.col("rank") == SAMPLES - 1).agg(F.avg("distance")).first()[0]
+    points = table.select("id").distinct()
+    return spanning.clusters_by_level(points, forest, [factor * mean + 1e-9 for factor in factors], LEAST)
+
+
+@query("dense_vectors", with_views("vectors", recursive=True, body="""
+    , points_ AS (SELECT id FROM vectors),
+    d AS (SELECT a.id AS a, b.id AS b, ROUND(1 - LIST_DOT_PRODUCT(a.embedding, b.embedding)
+                 / (SQRT(LIST_DOT_PRODUCT(a.embedding, a.embedding)) * SQRT(LIST_DOT_PRODUCT(b.embedding, b.embedding))), 12) AS d
+          FROM vectors a JOIN vectors b ON a.id <> b.id)""" + _REACH.format(levels="(0, 0.9), (1, 1.0), (2, 1.1)")))
+def dense_vectors(spark, folder):
+    """Density clusters of whole vectors at three densities."""
+    return _by_level(neighbours.graph(views.embeddings(spark, folder), NEAR, broadcast_bytes=0, block_rows=200), (0.9, 1.0, 1.1))
+
+
+@query("dense_plane", with_views("points", recursive=True, body="""
+    , points_ AS (SELECT id FROM points),
+    d AS (SELECT a.id AS a, b.id AS b, ROUND(SQRT((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)), 12) AS d
+          FROM points a JOIN points b ON a.id <> b.id)""" + _REACH.format(levels="(0, 0.7), (1, 1.0), (2, 1.5)")))
+def dense_plane(spark, folder):
+    """Density clusters of points in the plane at three densities."""
+    places = views.points(spark, folder).select("id", F.array("x", "y").alias("embedding"))
+    return _by_level(neighbours.graph(places, NEAR, broadcast_bytes=0, block_rows=200, straight=True), (0.7, 1.0, 1.5))

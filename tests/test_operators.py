@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from orrery.config import ENCODERS
 from orrery.operators import (
     categories, clusters, density, embed, explore, graphs, items, layout, neighbours, numbers, positions, ratings,
-    relate, taxonomy,
+    relate, spanning, taxonomy,
 )
 from orrery.sources import views
 
@@ -456,3 +456,54 @@ def test_copies_grow_in_proportion(spark):
     edges = graphs.similar_edges(frame, 0.5, broadcast_bytes=0, block_rows=10)
     assert edges.count() <= 3 and graphs.representatives(frame).count() == 300
     assert {r["representative"] for r in graphs.representatives(frame).collect()} == {0, 1, 2}
+
+
+def test_straight_neighbours_over_cells(spark):
+    source = np.random.default_rng(21)
+    rows = np.concatenate([source.normal(scale=30, size=(90, 2)), np.zeros((5, 2)), np.full((20, 2), 7.5)])
+    frame = spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(rows)], "id long, embedding array<double>")
+    distance = np.round(np.sqrt(np.square(rows[:, None] - rows[None]).sum(axis=2)), 12)
+    for sizes in ({}, {"broadcast_bytes": 0, "block_rows": 8}):
+        found = collections.defaultdict(list)
+        for row in neighbours.nearest(frame, frame, 5, skip_self=True, straight=True, **sizes).collect():
+            found[row["query_id"]].append((row["rank"], row["neighbour_id"]))
+        for query in range(len(rows)):
+            order = sorted((distance[query, i], i) for i in range(len(rows)) if i != query)[:5]
+            assert [n for _, n in sorted(found[query])] == [i for _, i in order]
+
+
+def test_spanning_forest_against_kruskal(spark):
+    source = random.Random(8)
+    pairs = {tuple(sorted(source.sample(range(90), 2))) for _ in range(260)} | {(200, 201)}
+    edges = sorted((source.choice([0.5, 1.0, 1.0, 2.0, source.random()]), a, b) for a, b in pairs)
+    parent = {n: n for pair in pairs for n in pair}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    expected = set()
+    for weight, a, b in edges:
+        if root(a) != root(b):
+            parent[root(a)] = root(b)
+            expected.add((a, b, weight))
+    frame = spark.createDataFrame([(a, b, w) for w, a, b in edges] + [(5, 5, 0.0)], "a long, b long, weight double")
+    found = [tuple(r) for r in spanning.spanning_forest(frame).collect()]
+    assert len(found) == len(expected) and set(found) == expected
+    assert spanning.spanning_forest(frame.limit(0)).count() == 0
+
+
+def test_clusters_of_a_forest(spark):
+    table = [(i, j, r + 1, abs(float(i - j))) for i in (0, 1, 2, 10, 11, 12, 50)
+             for r, j in enumerate(sorted({0, 1, 2, 10, 11, 12, 50} - {i}, key=lambda j: (abs(i - j), j))[:3])]
+    frame = spark.createDataFrame(table, "id long, neighbour long, rank int, distance double")
+    forest = spanning.spanning_forest(spanning.reachability(frame, 3))
+    points = frame.select("id").distinct()
+    levels = collections.defaultdict(dict)
+    for row in spanning.clusters_by_level(points, forest, [2.0, 1.0, 9.0, 40.0], 2).collect():
+        levels[row["level"]][row["id"]] = row["cluster"]
+    assert set(levels[0].values()) == {-1}
+    assert levels[1] == {0: 0, 1: 0, 2: 0, 10: 1, 11: 1, 12: 1, 50: -1}
+    assert levels[2] == {0: 0, 1: 0, 2: 0, 10: 0, 11: 0, 12: 0, 50: -1}
+    assert set(levels[3].values()) == {0}
