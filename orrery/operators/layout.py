@@ -13,9 +13,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 from orrery.config import CHUNK_BYTES, CHUNK_SIZE, DEFAULT_CATEGORY_WEIGHT
 from orrery.functions import geometry as G
 from orrery.functions.vectors import weighted_concat
-from orrery.operators.positions import with_position
+from orrery.operators.positions import with_position, with_running_total
 
 AXES = ("x", "y", "z")
+RANGE_CHUNKS = 1024
 
 
 def augmented(embeddings: DataFrame, features: DataFrame, weights: Mapping[str, float],
@@ -107,38 +108,48 @@ def z_ordered(points: DataFrame, chunk_size: int = CHUNK_SIZE) -> DataFrame:
 
 
 def byte_chunks(rows: DataFrame, order: Sequence[str | Column], size: str,
-                limit: int = CHUNK_BYTES, partitions: int | None = None) -> DataFrame:
+                limit: int = CHUNK_BYTES, range_chunks: int = RANGE_CHUNKS) -> DataFrame:
     """Rows with (range, chunk): a chunk ends before the row that would take it over ``limit`` bytes.
 
-    The order is cut into ranges and every range is chunked on its own, streaming, so chunk
-    numbers count within a range. A row above the limit is a chunk of its own.
+    A range is a stretch of ``range_chunks * limit`` bytes of the whole order: a row belongs to the one
+    that its first byte falls into. Chunks are filled in order inside a range and numbered from 0
+    there, so neither depends on partitions, and anything up to one range is chunked as a whole. A
+    row above the limit is a chunk of its own; a null size counts as 0.
     """
-    ranged = rows.repartitionByRange(*([partitions] if partitions else []), *order).sortWithinPartitions(*order)
-    ranged = ranged.withColumn("range", F.spark_partition_id())
+    names = rows.columns
+    sized = rows.withColumn("_size", F.coalesce(F.col(size).cast("long"), F.lit(0)))
+    placed = with_running_total(sized, order, "_size", "_start")
+    placed = placed.withColumn("range", F.floor(F.col("_start") / (limit * range_chunks)).cast("long"))
+    ranged = placed.repartition("range").sortWithinPartitions("range", "_start", *order)
 
     def fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        chunk, used, rows_in = 0, 0, 0
+        last, chunk, used, rows_in = None, 0, 0, 0
         for batch in batches:
-            ends = np.cumsum(batch[size].to_numpy(dtype=np.int64))
             numbers = np.empty(len(batch), dtype=np.int64)
-            start, before = 0, 0
-            while start < len(batch):
-                # rows up to here fit; a first row above the limit is taken alone
-                stop = int(np.searchsorted(ends, before + limit - used, side="right"))
-                if stop == start and not rows_in:
-                    stop += 1
-                numbers[start:stop] = chunk
-                rows_in += stop - start
-                if stop > start:
-                    used += int(ends[stop - 1]) - before
-                    before = int(ends[stop - 1])
-                if stop < len(batch):
-                    chunk, used, rows_in = chunk + 1, 0, 0
-                start = stop
-            yield batch.assign(chunk=numbers)
-
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ranged.schema.fields)
-    return ranged.mapInPandas(fill, f"{fields}, chunk long")
+            of_row, sizes = batch["range"].to_numpy(), batch["_size"].to_numpy(dtype=np.int64)
+            edges = [0, *(np.flatnonzero(of_row[1:] != of_row[:-1]) + 1).tolist(), len(batch)]
+            for low, high in zip(edges[:-1], edges[1:], strict=True):
+                if low < high and of_row[low] != last:
+                    last, chunk, used, rows_in = of_row[low], 0, 0, 0
+                ends = np.cumsum(sizes[low:high])
+                start, before = 0, 0
+                while start < high - low:
+                    # rows up to here fit; a first row above the limit is taken alone
+                    stop = int(np.searchsorted(ends, before + limit - used, side="right"))
+                    if stop == start and not rows_in:
+                        stop += 1
+                    numbers[low + start : low + stop] = chunk
+                    rows_in += stop - start
+                    if stop > start:
+                        used += int(ends[stop - 1]) - before
+                        before = int(ends[stop - 1])
+                    if stop < high - low:
+                        chunk, used, rows_in = chunk + 1, 0, 0
+                    start = stop
+            yield batch.assign(chunk=numbers).drop(columns=["_size", "_start"])
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+    return ranged.select(*names, "range", "_size", "_start").mapInPandas(fill, f"{fields}, range long, chunk long")
 
 
 def attributes(points: DataFrame, assignments: DataFrame, families: Sequence[str],

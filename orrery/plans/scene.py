@@ -162,11 +162,24 @@ def systematic_sample(spark, folder):
     return explore.systematic_sample(placed, ["morton", "id"], 60).select("id", "position")
 
 
-@query("byte_chunks")
+@query("byte_chunks", """
+    WITH RECURSIVE o AS (
+        SELECT doc_id AS id, CAST(STRLEN(text) AS BIGINT) AS bytes, ROW_NUMBER() OVER (ORDER BY doc_id) AS r,
+               SUM(COALESCE(STRLEN(text), 0)) OVER (ORDER BY doc_id) - COALESCE(STRLEN(text), 0) AS start
+        FROM documents
+    ), g AS (SELECT id, bytes, r, CAST(start // 800000 AS BIGINT) AS "range" FROM o),
+    f AS (
+        SELECT r, "range", CAST(0 AS BIGINT) AS chunk, COALESCE(bytes, 0) AS used FROM g WHERE r = 1
+        UNION ALL
+        SELECT g.r, g."range", CASE WHEN g."range" <> f."range" THEN 0 WHEN f.used + COALESCE(bytes, 0) > 100000 THEN f.chunk + 1 ELSE f.chunk END,
+               CASE WHEN g."range" <> f."range" OR f.used + COALESCE(bytes, 0) > 100000 THEN COALESCE(bytes, 0) ELSE f.used + COALESCE(bytes, 0) END
+        FROM f JOIN g ON g.r = f.r + 1
+    )
+    SELECT id, bytes, f."range", chunk FROM g JOIN f USING (r)""")
 def byte_chunks(spark, folder):
     rows = views.table(spark, folder, "documents").select(
         F.col("doc_id").alias("id"), F.octet_length("text").cast("long").alias("bytes"))
-    return layout.byte_chunks(rows, ["id"], "bytes", limit=100_000).select("id", "bytes", "range", "chunk")
+    return layout.byte_chunks(rows, ["id"], "bytes", limit=100_000, range_chunks=8).select("id", "bytes", "range", "chunk")
 
 
 @query("family_wide", with_views("assignments", body="""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.types import ArrayType, IntegralType, MapType, StringType, StructField, StructType
 
 from orrery.functions.text import parse_list, strip
@@ -56,17 +56,62 @@ def rejects(rows: DataFrame) -> DataFrame:
     )
 
 
+def csv_records(spark: SparkSession, path: str, quote: str = '"') -> DataFrame:
+    """(file, number, text): the records of CSV files in the order of each file, from 1, header included.
+
+    Files are read by lines in as many tasks as they have splits. A line begins a record if an even number of
+    quotes stands before it in its file (a doubled quote counts twice, so it changes nothing). Every split
+    counts its quotes and, for both cases, its beginnings; sums of these over the earlier splits number the
+    lines, and lines of one number are put together. A quote that is never closed makes the rest of
+    its file one record, as with any reader.
+    """
+    meta = F.col("_metadata")
+    lines = spark.read.option("lineSep", "\n").text(path).select(
+        meta["file_path"].alias("file"), meta["file_block_start"].alias("split"),
+        F.monotonically_increasing_id().alias("line"), "value")
+    odd = (F.length("value") - F.length(F.replace("value", F.lit(quote)))) / len(quote) % 2
+    lines = lines.withColumn("quotes", odd.cast("long"))
+    in_split = Window.partitionBy("file", "split").orderBy("line")
+    earlier = in_split.rowsBetween(Window.unboundedPreceding, -1)
+    upto = in_split.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = F.coalesce(F.sum("quotes").over(earlier), F.lit(0)) % 2
+    lines = lines.withColumn("inside", inside)
+    # beginnings up to this line if the split itself begins outside quotes, and if inside
+    lines = lines.withColumn("outer", F.sum(1 - F.col("inside")).over(upto)).withColumn("inner", F.sum("inside").over(upto))
+    splits = lines.groupBy("file", "split").agg(
+        F.sum("quotes").alias("quotes"), F.max("outer").alias("outer"), F.max("inner").alias("inner"))
+    before = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.withColumn("within", F.coalesce(F.sum("quotes").over(before), F.lit(0)) % 2)
+    begun = F.when(F.col("within") == 0, F.col("outer")).otherwise(F.col("inner"))
+    splits = splits.select("file", "split", "within", F.coalesce(F.sum(begun).over(before), F.lit(0)).alias("begun"))
+    mine = F.when(F.col("within") == 0, F.col("outer")).otherwise(F.col("inner"))
+    numbered = lines.join(splits, ["file", "split"]).select(
+        "file", "split", "line", "value", (F.col("begun") + mine).alias("number"))
+    parts = F.array_sort(F.collect_list(F.struct("split", "line", "value")))
+    joined = F.array_join(F.transform(parts, lambda part: part["value"]), "\n")
+    whole = F.regexp_replace(F.replace(joined, F.lit("\r\n"), F.lit("\n")), "\\A\ufeff|\r\\z", "")
+    return numbered.groupBy("file", "number").agg(whole.alias("text"))
+
+
 def csv_table(spark: SparkSession, path: str, schema: str, columns: Sequence[str] | None = None,
               line_breaks: bool = True) -> DataFrame:
     """Typed CSV with a header; quoted fields may hold doubled quotes and line breaks.
 
-    A file with line breaks inside fields is read by one task. Large input comes as many files,
-    or without such fields: then ``line_breaks=False`` lets Spark split every file.
+    Any file is read by many tasks. Without line breaks inside fields ``line_breaks=False`` saves
+    putting lines together. The header must name the columns in their order; blank records are skipped.
     """
-    rows = (
-        spark.read.schema(schema).option("header", True).option("multiLine", line_breaks)
-        .option("quote", '"').option("escape", '"').option("enforceSchema", False).csv(path)
-    )
+    options = {"quote": '"', "escape": '"'}
+    if not line_breaks:
+        rows = spark.read.schema(schema).options(header=True, enforceSchema=False, **options).csv(path)
+        return rows.select(*columns) if columns else rows
+    wanted = StructType.fromDDL(schema)
+    names = [field.name for field in wanted]
+    head = F.from_csv("text", ", ".join(f"`c{i}` string" for i in range(len(names))), options)
+    named = F.array(*[F.lower(F.trim(head[f"c{i}"])) for i in range(len(names))])
+    fits = named == F.array(*[F.lit(name.lower()) for name in names])
+    wrong = F.raise_error(F.concat(F.lit(f"the header is not {names}: "), F.col("text"))).cast("boolean")
+    kept = F.when(F.col("number") > 1, F.col("text") != "").when(F.coalesce(fits, F.lit(False)), F.lit(False)).otherwise(wrong)
+    rows = csv_records(spark, path).filter(kept).select(F.from_csv("text", schema, options).alias("row")).select("row.*")
     return rows.select(*columns) if columns else rows
 
 

@@ -1,7 +1,10 @@
 """Round trips through files, and runs that resume."""
 
+import csv
 import gzip
+import io
 import json
+import random
 import tempfile
 from pathlib import Path
 
@@ -39,6 +42,44 @@ def test_csv_with_line_breaks_in_quotes(spark, out):
     assert pruned.columns == ["recipe_id", "rating"]
 
 
+@pytest.mark.parametrize("ending", ["\n", "\r\n"])
+def test_one_csv_file_is_read_by_many_tasks(spark, out, ending):
+    source = random.Random(4)
+    pieces = ["word", ",", '"', "\n", " ", "é", "1", '""', "\n\n", "'", "long " * 30]
+    rows = [[str(i), str(source.randrange(100)), source.choice(["2020-01-02", "no date", ""]), str(i % 6),
+             "".join(source.choice(pieces) for _ in range(source.choice([1, 3, 12])))] for i in range(300)]
+    for name in ("a.csv", "b.csv"):
+        text = io.StringIO()
+        writer = csv.writer(text, lineterminator=ending)
+        writer.writerow("user_id recipe_id date rating review".split())
+        writer.writerows(rows)
+        (Path(out) / name).write_bytes(text.getvalue().encode())
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    try:
+        assert spark.read.text(out).rdd.getNumPartitions() > 20
+        table = readers.csv_table(spark, out, schemas.INTERACTIONS)
+        assert "multiLine" not in table._jdf.queryExecution().toString()
+        found = sorted((r["user_id"], r["recipe_id"], r["rating"], r["review"]) for r in table.collect())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    expected = sorted((int(r[0]), int(r[1]), int(r[3]), r[4]) for r in rows * 2)
+    assert [f[:3] for f in found] == [e[:3] for e in expected]
+    # white space around a value in quotes stays as it is
+    assert [f[3] for f in found] == [e[3] for e in expected]
+
+
+def test_csv_header_and_odd_records(spark, out):
+    path = Path(out) / "rows.csv"
+    path.write_text('\ufeffA,b\n1,""\n\n2,\n3\n"x",y\n4,"open\nto the end\n')
+    found = sorted(map(tuple, readers.csv_table(spark, str(path), "a int, b string").collect()), key=str)
+    assert found == [(1, None), (2, None), (3, None), (4, "open\nto the end"), (None, "y")]
+    with pytest.raises(Exception, match="header"):
+        readers.csv_table(spark, str(path), "a int, c string").collect()
+    (Path(out) / "none.csv").write_text("a,b\n")
+    assert readers.csv_table(spark, f"{out}/none.csv", "a int, b string").count() == 0
+
+
 def test_records_fall_back_to_csv(spark, out):
     path = Path(out) / "recipes.csv"
     path.write_text(

@@ -295,10 +295,32 @@ def test_auto_sizes():
 def test_byte_chunks_close_before_the_limit(spark):
     rows = list(enumerate((6, 4, 1, 20, 3)))
     frame = spark.createDataFrame(rows, "id long, size long")
-    found = layout.byte_chunks(frame, ["id"], "size", limit=10, partitions=1).orderBy("id").collect()
+    found = layout.byte_chunks(frame, ["id"], "size", limit=10).orderBy("id").collect()
     assert [row["chunk"] for row in found] == [0, 0, 1, 2, 3]
 
 
+@pytest.mark.parametrize("range_chunks", [2, 1000])
+def test_byte_chunks_do_not_depend_on_partitions(spark, range_chunks):
+    source = random.Random(range_chunks)
+    rows = [(i, source.choice([0, 1, 5, 30, 90, 250]), "kept") for i in range(400)]
+    expected, start, last, chunk, used, rows_in = [], 0, None, 0, 0, 0
+    for i, size, _ in rows:
+        own = start // (100 * range_chunks)
+        if own != last:
+            last, chunk, used, rows_in = own, 0, 0, 0
+        elif used + size > 100 and rows_in:
+            chunk, used, rows_in = chunk + 1, 0, 0
+        used, rows_in, start = used + size, rows_in + 1, start + size
+        expected.append((i, own, chunk))
+    for parts in (1, 4, 37):
+        frame = spark.createDataFrame(rows, "id long, size long, `range ` string").repartition(parts)
+        found = layout.byte_chunks(frame, ["id"], "size", limit=100, range_chunks=range_chunks).orderBy("id").collect()
+        assert [(r["id"], r["range"], r["chunk"]) for r in found] == expected
+    nulls = spark.createDataFrame([(1, None), (2, 5)], "id long, size long")
+    assert sorted((r["id"], r["size"], r["chunk"]) for r in layout.byte_chunks(nulls, ["id"], "size").collect()) == [(1, None, 0), (2, 5, 0)]
+    assert layout.byte_chunks(nulls.limit(0), ["id"], "size").count() == 0
+
+
 def test_chunks_are_full_but_the_last(spark, folder):
     sizes = collections.Counter(
         row["chunk_id"] for row in layout.z_ordered(views.points(spark, folder), 64).select("chunk_id").collect())
