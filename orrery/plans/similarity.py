@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from orrery.functions import vectors as V
-from orrery.operators import clusters, density, graphs, layout, neighbours, spanning
+from orrery.operators import clusters, density, graphs, layout, neighbours, spanning, spectral
 from orrery.plans.registry import query
 from orrery.plans.sql import with_views
 from orrery.session import cut
@@ -175,6 +175,13 @@ def pca_layout(spark, folder):
     return layout.project(vectors, 3).select("id", *[F.round(a, 6).alias(a) for a in ("x", "y", "z")])
 
 
+@query("spectral_layout")
+def spectral_layout(spark, folder):
+    """Coordinates that keep neighbourhoods, from the neighbour table of all vectors."""
+    placed = spectral.layout(neighbours.graph(views.embeddings(spark, folder), 15), 2)
+    return placed.select("id", *[F.round(a, 6).alias(a) for a in ("x", "y")])
+
+
 def _grouped_documents(spark, folder, *keys):
     """All documents, clustered by the values of some columns."""
     number = F.pmod(F.crc32(F.concat_ws("/", *keys)), F.lit(10**6)).cast("int")
