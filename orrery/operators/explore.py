@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from orrery.config import SYSTEMATIC_SAMPLE
 from orrery.operators.density import NOISE
+from orrery.operators.numbers import at_ranks
 from orrery.operators.positions import with_position
+from orrery.session import cut
 
 UNRATED = -1.0
 
@@ -54,18 +56,37 @@ def first_rows(df: DataFrame, order: str, count: int) -> DataFrame:
     return df.orderBy(order).limit(count)
 
 
+def _draw(key: str, seed: int) -> Column:
+    """A number below 2 ** 60 that depends on the key and the seed alone."""
+    return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}/"), F.coalesce(F.col(key).cast("string"), F.lit("")))), 1, 15), 16, 10).cast("long")
+
+
 def sample(df: DataFrame, count: int, seed: int, key: str = "id") -> DataFrame:
-    """Uniform sample without replacement, the same for the same seed on any cluster."""
-    return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(count)
+    """Uniform sample without replacement, the same for the same seed on any cluster.
+
+    The rows with the ``count`` smallest draws: their largest is found by counting, so the sample is a filter
+    of the rows where they are, however many it takes. Rows of equal keys have equal draws, of which
+    any that are wanted are taken.
+    """
+    if count <= 0:
+        return df.limit(0)
+    drawn = df.withColumn("_draw", _draw(key, seed))
+    counted = cut(drawn.groupBy(F.col("_draw").alias("v")).agg(F.count(F.lit(1)).alias("n")))
+    if (counted.agg(F.sum("n")).first()[0] or 0) <= count:
+        return df
+    last = at_ranks(counted, [count - 1])[count - 1]
+    below = counted.filter(F.col("v") < last).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    ties = drawn.filter(F.col("_draw") == last).limit(count - below)
+    return drawn.filter(F.col("_draw") < last).unionByName(ties).drop("_draw")
 
 
 def one_at_random(df: DataFrame, seed: int, key: str = "id") -> DataFrame:
-    return sample(df, 1, seed, key)
+    return df.orderBy(_draw(key, seed), key).limit(1)
 
 
 def sample_per_group(df: DataFrame, group: str, count: int, seed: int, key: str = "id") -> DataFrame:
     """At most ``count`` random rows of every group; tasks drop the rest before the shuffle."""
-    order = Window.partitionBy(group).orderBy(F.xxhash64(F.col(key), F.lit(seed)), key)
+    order = Window.partitionBy(group).orderBy(_draw(key, seed), key)
     return df.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= count)
 
 

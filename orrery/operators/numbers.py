@@ -8,10 +8,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from orrery.config import DESCRIBE_PERCENTILES
-from orrery.operators.positions import with_running_total
 from orrery.session import cut
 
-VALUES_IN_MEMORY = 1_000_000
+SPLITS = 1024
 
 
 def histogram(df: DataFrame, column: str, bins: int, low: float | None = None, high: float | None = None,
@@ -47,31 +46,63 @@ def value_counts(df: DataFrame, column: str) -> DataFrame:
     )
 
 
-def quantiles(counted: DataFrame, percents: Sequence[float], in_memory: int = VALUES_IN_MEMORY) -> DataFrame:
-    """Exact linear-interpolation percentiles of (v, n) rows in one row.
+def at_ranks(counted: DataFrame, ranks: Sequence[int]) -> dict[int, float]:
+    """The values at 0-based ranks of (v, n) rows, by narrowing the range around each rank.
 
-    Few distinct values go through the built-in aggregate, which keeps them all in one task.
-    More are sorted by range, and only the rows around the wanted ranks are picked out.
+    A round splits the open ranges evenly, counts the pieces (``SPLITS`` rows a range, summed in the
+    tasks) and goes on in the piece a rank falls into, between the least and the largest value found
+    there. Nothing is sorted and no value moves; a range ends when it holds one value.
     """
-    if counted.limit(in_memory + 1).count() <= in_memory:
-        return counted.agg(*[F.expr(f"percentile(v, {p / 100.0!r}, n)").alias(f"p{p:g}") for p in percents])
-    ranked = cut(with_running_total(counted, ["v"], "n", "before"))
-    total = ranked.agg(F.sum("n").alias("n")).first()["n"]
-    places = {p: p / 100.0 * (total - 1) for p in percents}
-
-    def value_at(rank: int):
-        return F.max(F.when((F.col("before") <= rank) & (F.lit(rank) < F.col("before") + F.col("n")), F.col("v")))
-
-    def between(place: float):
-        low, share = math.floor(place), place - math.floor(place)
-        return value_at(low) * F.lit(1.0 - share) + value_at(math.ceil(place)) * F.lit(share)
-
-    return ranked.agg(*[between(place).alias(f"p{p:g}") for p, place in places.items()])
+    head = counted.agg(F.min("v").alias("low"), F.max("v").alias("high")).first()
+    found: dict[int, float] = {}
+    open_ranks = {rank: (head["low"], head["high"], 0) for rank in ranks}
+    while open_ranks:
+        for rank, (low, high, _) in list(open_ranks.items()):
+            if low == high:
+                found[rank] = low
+                del open_ranks[rank]
+        bounds = sorted({(low, high, before) for low, high, before in open_ranks.values()})
+        if not bounds:
+            break
+        piece, holds = F.lit(None).cast("struct<at:int,piece:int>"), F.lit(False)
+        for at, (low, high, _) in enumerate(bounds):
+            inside = F.col("v").between(F.lit(low), F.lit(high))
+            half = 0.5 if math.isinf(high - low) else 1  # a range wider than the largest number
+            share = (F.col("v") * half - F.lit(low * half)).cast("double") / F.lit(float(high * half - low * half))
+            mine = F.struct(F.lit(at).alias("at"), F.least(F.floor(share * SPLITS), F.lit(SPLITS - 1)).cast("int").alias("piece"))
+            piece, holds = F.when(inside, mine).otherwise(piece), holds | inside
+        pieces = counted.filter(holds).groupBy(piece.alias("piece")).agg(
+            F.sum("n").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
+        rows = sorted(pieces.select("piece.at", "low", "high", "n").collect(), key=lambda r: (r["at"], r["low"]))
+        for rank, (low, high, before) in list(open_ranks.items()):
+            at = bounds.index((low, high, before))
+            for row in rows:
+                if row["at"] != at:
+                    continue
+                if rank < before + row["n"]:
+                    open_ranks[rank] = (row["low"], row["high"], before)
+                    break
+                before += row["n"]
+    return found
+
+
+def quantiles(counted: DataFrame, percents: Sequence[float]) -> DataFrame:
+    """Exact linear-interpolation percentiles of (v, n) rows in one row; nulls without rows."""
+    total = counted.agg(F.sum("n")).first()[0] or 0
+    places = [p / 100.0 * (total - 1) for p in percents]
+    ranks = {rank for place in places for rank in (math.floor(place), math.ceil(place))} if total else set()
+    values = at_ranks(cut(counted), sorted(ranks)) if ranks else {}
+    points = []
+    for percent, place in zip(percents, places, strict=True):
+        low, high, at = math.floor(place), math.ceil(place), None
+        if total:
+            at = values[low] if low == high else values[low] * (high - place) + values[high] * (place - low)
+        points.append(F.lit(at).cast("double").alias(f"p{percent:g}"))
+    return counted.sparkSession.range(1).select(*points)
 
 
 def describe(df: DataFrame, column: str, cap: float | None = None,
-             percents: Sequence[float] = DESCRIBE_PERCENTILES, accuracy: int | None = None,
-             in_memory: int = VALUES_IN_MEMORY) -> DataFrame:
+             percents: Sequence[float] = DESCRIBE_PERCENTILES, accuracy: int | None = None) -> DataFrame:
     """Count, range, mean, population deviation and percentiles, and how much lies above the cap.
 
     The column is read once into its value counts; everything else is taken from those. The cap
@@ -80,7 +111,7 @@ def describe(df: DataFrame, column: str, cap: float | None = None,
     """
     counted = cut(value_counts(df, column))
     if accuracy is None:
-        points = quantiles(counted, percents, in_memory)
+        points = quantiles(counted, percents)
     else:
         raw = df.select(F.col(column).cast("double").alias("v"))
         points = raw.agg(*[

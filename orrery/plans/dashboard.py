@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from orrery.config import ENCODERS
 from orrery.functions.encode import clip, rating_fraction
-from orrery.operators import categories, clusters, explore, numbers, ratings
+from orrery.operators import categories, clusters, explore, members, numbers, ratings
 from orrery.plans import inputs
 from orrery.plans.registry import query
 from orrery.plans.sql import with_views
+from orrery.session import cut
 from orrery.sources import views
 
 
@@ -183,3 +185,42 @@ def facet_sorted(spark, folder):
 @query("distinct_labels", with_views("points", body="SELECT DISTINCT cluster FROM points WHERE cluster <> -1"))
 def distinct_labels(spark, folder):
     return views.points(spark, folder).select("cluster").distinct().filter("cluster <> -1")
+
+
+_WITHIN = """
+    , chosen AS (SELECT a.id FROM assignments a JOIN assignments b ON a.id = b.id
+                 WHERE a.family = 'minutes' AND a.category IN ('1-2 hours', '2-4 hours')
+                   AND b.family = 'n_steps' AND b.idx > 2)"""
+_CHOSEN = {"minutes": ["1-2 hours", "2-4 hours"]}
+
+
+def _selection(spark, folder):
+    maps = cut(members.bitmaps(inputs.assignments(spark, folder)))
+    steps = next(encoder.classes for encoder in ENCODERS if encoder.field == "n_steps")
+    return maps, members.selected(maps, _CHOSEN | {"n_steps": steps[3:]})
+
+
+@query("selection_members", with_views("assignments", body=_WITHIN + " SELECT id FROM chosen"))
+def selection_members(spark, folder):
+    """The records with one of two labels of one family and one of several of another."""
+    return members.ids(_selection(spark, folder)[1])
+
+
+@query("selection_facet", with_views("assignments", "classes", body=_WITHIN + """
+    SELECT c.idx, c.label, COALESCE(n, 0) AS n FROM classes c
+    LEFT JOIN (SELECT category, COUNT(*) AS n FROM assignments JOIN chosen USING (id) WHERE family = 'submitted' GROUP BY 1) m
+      ON m.category = c.label
+    WHERE c.family = 'submitted'"""))
+def selection_facet(spark, folder):
+    """Labels of a third family among them."""
+    maps, chosen = _selection(spark, folder)
+    return members.facet_within(maps, inputs.classes(spark), "submitted", chosen)
+
+
+@query("selection_counts", with_views("assignments", body=_WITHIN + """
+    SELECT (SELECT COUNT(*) FROM chosen) AS n_chosen,
+           (SELECT COUNT(*) FROM assignments WHERE family = 'minutes' AND category IN ('1-2 hours', '2-4 hours')) AS n_either"""))
+def selection_counts(spark, folder):
+    maps, chosen = _selection(spark, folder)
+    either = members.count(members.selected(maps, _CHOSEN))
+    return members.count(chosen).select(F.col("n").alias("n_chosen"), either.scalar().alias("n_either"))

@@ -94,17 +94,22 @@ def first_rows(spark, folder):
     return explore.first_rows(views.recipes(spark, folder).select("id", "name", "minutes"), "id", 100)
 
 
-@query("random_one")
+_DRAW = "CAST('0x' || SUBSTR(MD5('{seed}/' || CAST(id AS VARCHAR)), 1, 15) AS BIGINT), id"
+
+
+@query("random_one", with_views("recipes", body=f" SELECT id, name FROM recipes ORDER BY {_DRAW.format(seed=7)} LIMIT 1"))
 def random_one(spark, folder):
     return explore.one_at_random(views.recipes(spark, folder).select("id", "name"), seed=7)
 
 
-@query("hash_sample")
+@query("hash_sample", with_views("recipes", body=f" SELECT id, name FROM recipes ORDER BY {_DRAW.format(seed=42)} LIMIT 200"))
 def hash_sample(spark, folder):
     return explore.sample(views.recipes(spark, folder).select("id", "name"), 200, seed=42)
 
 
-@query("sample_per_cluster")
+@query("sample_per_cluster", with_views("points", body=f"""
+    SELECT * FROM (SELECT id, cluster, CAST(ROW_NUMBER() OVER (PARTITION BY cluster ORDER BY {_DRAW.format(seed=42)}) AS INT) AS rank FROM points)
+    WHERE rank <= 5"""))
 def sample_per_cluster(spark, folder):
     rows = views.points(spark, folder).select("id", "cluster")
     return explore.sample_per_group(rows, "cluster", 5, seed=42)

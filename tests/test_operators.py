@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from orrery.config import ENCODERS
 from orrery.operators import (
-    categories, clusters, density, embed, explore, graphs, items, layout, neighbours, numbers, positions, ratings,
+    categories, clusters, density, embed, explore, graphs, items, layout, members, neighbours, numbers, positions, ratings,
     relate, spanning, taxonomy,
 )
 from orrery.sources import views
@@ -360,7 +360,25 @@ def test_quantiles_from_sorted_ranges(spark):
     percents = (0, 1, 25, 50, 66.6, 99, 100)
     wanted = [pytest.approx(np.percentile(values, p)) for p in percents]
     assert list(numbers.quantiles(counted, percents).first()) == wanted
-    assert list(numbers.quantiles(counted, percents, in_memory=10).first()) == wanted
+    assert list(numbers.quantiles(counted.limit(0), percents).first()) == [None] * 7
+
+
+def test_values_at_ranks_of_uneven_ranges(spark):
+    values = sorted([0.0, 5e-324, 1e-300, 1.0, 1.0 + 2**-52, 3.0, 3.0, 1e18, 1e300, -1e300, -7.0] * 3)
+    counted = numbers.value_counts(spark.createDataFrame([(v,) for v in values], "v double"), "v")
+    assert numbers.at_ranks(counted, range(len(values))) == dict(enumerate(values))
+    whole = [2**60 - 1, 2**60 - 2, 2**60 - 3, 0, 1, 2**53 + 1, 2**53]
+    counted = spark.createDataFrame([(v, 2) for v in whole], "v long, n long")
+    assert numbers.at_ranks(counted, range(14)) == dict(enumerate(sorted(whole * 2)))
+
+
+def test_large_samples_and_repeated_keys(spark):
+    frame = spark.range(500).repartition(6)
+    for count in (0, 1, 250, 499, 500, 900):
+        rows = explore.sample(frame, count, seed=3)
+        assert rows.count() == min(count, 500) == rows.distinct().count()
+    equal = spark.createDataFrame([(None, i) for i in range(9)] + [(1, 0)], "id long, v int")
+    assert explore.sample(equal, 4, seed=1).count() == 4
 
 
 def test_histogram_bins(spark):
@@ -529,3 +547,24 @@ def test_clusters_of_a_forest(spark):
     assert levels[1] == {0: 0, 1: 0, 2: 0, 10: 1, 11: 1, 12: 1, 50: -1}
     assert levels[2] == {0: 0, 1: 0, 2: 0, 10: 0, 11: 0, 12: 0, 50: -1}
     assert set(levels[3].values()) == {0}
+
+
+def test_members_by_bitmaps(spark):
+    source = random.Random(12)
+    every = [0, -1, -32_768, -32_769, 1, 32_768, 32_769, 5 * 10**9, *source.sample(range(-10**5, 10**5), 400)]
+    rows = [(i, f, source.choice(labels)) for i in every for f, labels in (("a", "xyz"), ("b", "pq"), ("c", "m"))
+            if f != "b" or source.random() < 0.8]
+    frame = spark.createDataFrame(rows + rows[:50] + [(None, "a", "x")], "id long, family string, category string")
+    classes = spark.createDataFrame([("a", 0, "x"), ("a", 1, "y"), ("a", 2, "z"), ("a", 3, "none"), ("b", 0, "p")], "family string, idx int, label string")
+    maps = members.bitmaps(frame).cache()
+    held = {(f, c): {i for i, g, d in rows if (g, d) == (f, c)} for _, f, c in rows}
+    for chosen in ({"a": ["x"]}, {"a": ["x", "y"], "b": ["q"]}, {"a": ["none"]}, {"a": ["z"], "b": ["p"], "c": ["m"]}, {}):
+        wanted = set(every)
+        for family, labels in chosen.items():
+            wanted &= set().union(*[held.get((family, label), set()) for label in labels])
+        selection = members.selected(maps, chosen)
+        found = [r["id"] for r in members.ids(selection).collect()]
+        assert len(found) == len(set(found)) and set(found) == wanted
+        assert members.count(selection).first()["n"] == len(wanted)
+        facet = {r["label"]: r["n"] for r in members.facet_within(maps, classes, "a", selection).collect()}
+        assert facet == {label: len(held.get(("a", label), set()) & wanted) for label in ("x", "y", "z", "none")}
