@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from orrery.operators.ratings import partials
 from orrery.session import cut
 
-VOCABULARY_LIMIT = 10_000  # a record holds at most this many of them, so its combination stays small
+LIGHT = 256  # items of a record that are handled as one combination
 
 
 def item_counts(items: DataFrame, stop_words: Sequence[str] = ()) -> DataFrame:
@@ -57,33 +57,46 @@ def item_ratings(items: DataFrame, interactions: DataFrame, count: int = 25) ->
     )
 
 
-def pair_counts(items: DataFrame, vocabulary: DataFrame, item: str = "tag", as_set: bool = True) -> DataFrame:
-    """How many records hold item a and item b, for every ordered pair a ≠ b of a bounded vocabulary.
+def pair_counts(items: DataFrame, vocabulary: DataFrame, item: str = "tag", as_set: bool = True, light: int = LIGHT) -> DataFrame:
+    """How many records hold item a and item b, for every ordered pair a ≠ b of a vocabulary.
 
-    Rows outside the vocabulary go first. A record then has at most one entry per vocabulary
-    word (with its multiplicity when repeats count), and records with equal entries are counted
-    once: pairs are formed per distinct combination, not per record.
+    Rows outside the vocabulary go first; a record then has one entry per item (with its
+    multiplicity when repeats count). Records of up to ``light`` items are counted once per distinct
+    combination. A larger record is never one value: its items meet in pieces of about ``light``
+    left items, so neither the record nor its pairs are in one task.
     """
-    return paired(combinations(items, vocabulary, item, as_set))
-
-
-def combinations(items: DataFrame, vocabulary: DataFrame, item: str = "tag", as_set: bool = True) -> DataFrame:
-    """(held, records): every distinct combination of vocabulary items and how many records have it."""
-    listed = cut(vocabulary.select(item).distinct().limit(VOCABULARY_LIMIT + 1))
-    if listed.count() > VOCABULARY_LIMIT:
-        raise ValueError(f"more than {VOCABULARY_LIMIT} items to pair: choose the most common first")
-    held = items.join(F.broadcast(listed), item, "left_semi")
+    held = items.join(vocabulary.select(item).distinct(), item, "left_semi")
     if as_set:
         counted = held.select("id", item).distinct().withColumn("times", F.lit(1).cast("long"))
     else:
         counted = held.groupBy("id", item).agg(F.count(F.lit(1)).alias("times"))
-    entry = F.struct(F.col(item).alias("item"), "times")
+    counted = cut(counted.withColumnRenamed(item, "item"))
+    sizes = counted.groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    few = counted.join(sizes.filter(F.col("n") <= light).select("id"), "id")
+    pairs = paired(combinations(few)).unionByName(_long_pairs(counted, sizes.filter(F.col("n") > light), light))
+    return pairs.groupBy("a", "b").agg(F.sum("n").alias("n"))
+
+
+def combinations(counted: DataFrame) -> DataFrame:
+    """(held, records): every distinct combination of (item, times) and how many records have it."""
     return (
-        counted.groupBy("id").agg(F.array_sort(F.collect_list(entry)).alias("held"))
+        counted.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("item", "times"))).alias("held"))
         .groupBy("held").agg(F.count(F.lit(1)).alias("records"))
     )
 
 
+def _long_pairs(counted: DataFrame, large: DataFrame, light: int) -> DataFrame:
+    """(a, b, n) of the records (id, n) in ``large``, joined piece by piece."""
+    pieces = large.select("id", F.ceil(F.col("n") / light).cast("int").alias("pieces"))
+    held = counted.join(pieces, "id")
+    piece = F.pmod(F.xxhash64("item"), F.col("pieces")).cast("int")
+    left = held.select("id", piece.alias("piece"), F.col("item").alias("a"), F.col("times").alias("x"))
+    right = held.select(
+        "id", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece"), F.col("item").alias("b"), F.col("times").alias("y"))
+    met = left.join(right, ["id", "piece"]).filter("a <> b")
+    return met.groupBy("a", "b").agg(F.sum(F.col("x") * F.col("y")).alias("n"))
+
+
 def paired(combos: DataFrame) -> DataFrame:
     """(a, b, n) for every ordered pair inside the combinations, weighted by their records."""
     left = combos.filter(F.size("held") > 1).select("held", "records", F.explode("held").alias("a"))

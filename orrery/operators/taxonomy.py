@@ -7,46 +7,62 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from orrery.config import CHILD_THRESHOLD, EXCLUSIVE_MIN_COUNT
-from orrery.functions.tags import class_tags, most_specific, quoted, text_array
-from orrery.operators.items import combinations, paired
+from orrery.functions.tags import quoted
+from orrery.operators.positions import with_rank_in_group
 from orrery.session import cut
 
-CLASS_LIMIT = 10_000  # a class list longer than this is data, not a list
+LITERAL_CLASSES = 1_000  # longer class lists are sent as data, not as part of the plan
+SAMPLED_MISSES = 4
 
 
-def vocabulary(spark: SparkSession, classes: Sequence[str]) -> DataFrame:
-    """The class list as a table of literal rows, of checked length."""
-    if len(classes) > CLASS_LIMIT:
-        raise ValueError(f"{len(classes)} classes: more than {CLASS_LIMIT}")
-    return spark.sql(f"SELECT * FROM VALUES {', '.join(f'({quoted(tag)})' for tag in classes)} AS classes(tag)")
+def vocabulary(spark: SparkSession, classes: Sequence[str] | DataFrame) -> DataFrame:
+    """The class list as a table (tag): any length, or a table as it is."""
+    if isinstance(classes, DataFrame):
+        return classes.select("tag")
+    if 0 < len(classes) <= LITERAL_CLASSES:
+        return spark.sql(f"SELECT * FROM VALUES {', '.join(f'({quoted(tag)})' for tag in classes)} AS classes(tag)")
+    return spark.createDataFrame([(tag,) for tag in classes], "tag string")
 
 
-def tag_counts(tags: DataFrame, classes: Sequence[str]) -> DataFrame:
+def tag_counts(tags: DataFrame, classes: Sequence[str] | DataFrame) -> DataFrame:
     """Records per class tag; classes without a record count 0."""
     listed = vocabulary(tags.sparkSession, classes)
-    held = tags.join(F.broadcast(listed), "tag", "left_semi").select("id", "tag").distinct()
+    held = tags.join(listed, "tag", "left_semi").select("id", "tag").distinct()
     counted = held.groupBy("tag").agg(F.count(F.lit(1)).alias("n"))
     return listed.join(counted, "tag", "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
-def qualifying_pairs(tags: DataFrame, classes: Sequence[str], threshold: float = CHILD_THRESHOLD) -> DataFrame:
-    """(child, parent) where nearly all records of the child have the larger parent too."""
-    combos = combinations(tags, vocabulary(tags.sparkSession, classes))
-    pairs = paired(combos)
-    counts = combos.select("records", F.explode("held.item").alias("tag")).groupBy("tag").agg(
-        F.sum("records").alias("n"))
-    # one row per class
-    child = F.broadcast(counts.select(F.col("tag").alias("a"), F.col("n").alias("n_child")))
-    parent = F.broadcast(counts.select(F.col("tag").alias("b"), F.col("n").alias("n_parent")))
-    pct = F.col("n") / F.col("n_child")
-    return (
-        pairs.join(child, "a").join(parent, "b")
-        .filter((pct >= threshold) & (F.col("n_parent") > F.col("n_child")))
-        .select(
-            F.col("a").alias("child"), F.col("b").alias("parent"), "n_child", "n_parent",
-            F.col("n").alias("n_both"), F.round(pct, 4).alias("pct"),
-        )
-    )
+def qualifying_pairs(tags: DataFrame, classes: Sequence[str] | DataFrame, threshold: float = CHILD_THRESHOLD) -> DataFrame:
+    """(child, parent) where nearly all records of the child have the larger parent too.
+
+    A child of n records may miss a parent m = floor((1 - threshold) * n) times at most, so in any s of
+    its records a parent is there s - m times. Candidates are counted in s = ``SAMPLED_MISSES`` * (m + 1)
+    records of each child, those with the fewest tags, which leaves few parents to each; only these pairs
+    are then counted over all records. No record's tags are ever one value, and no pair is left out.
+    """
+    listed = vocabulary(tags.sparkSession, classes)
+    held = cut(tags.join(listed, "tag", "left_semi").select("id", "tag").distinct())
+    sizes = cut(held.groupBy("tag").agg(F.count(F.lit(1)).alias("n")))
+    # a little more than floor(), against rounding: the last filter decides
+    misses = F.floor((1.0 - threshold) * F.col("n_child") + 1e-6)
+    child = sizes.select(F.col("tag").alias("child"), F.col("n").alias("n_child"))
+    child = child.withColumn("misses", misses).withColumn("wanted", SAMPLED_MISSES * (misses + 1))
+    parent = sizes.select(F.col("tag").alias("parent"), F.col("n").alias("n_parent"))
+    widths = held.groupBy("id").agg(F.count(F.lit(1)).alias("width"))
+    placed = with_rank_in_group(
+        held.join(widths, "id").select("id", F.col("tag").alias("child"), "width"), ["child"], ["width", "id"], "place")
+    chosen = placed.join(child, "child").filter(F.col("place") < F.col("wanted"))
+    others = held.select("id", F.col("tag").alias("parent")).join(parent, "parent")
+    seen = chosen.join(others, "id").filter(F.col("n_parent") > F.col("n_child"))
+    hits = seen.groupBy("child", "parent", "n_child", "n_parent", "misses", "wanted").agg(F.count(F.lit(1)).alias("hits"))
+    enough = F.least("wanted", "n_child") - F.col("misses")
+    likely = cut(hits.filter(F.col("hits") >= enough).select("child", "parent", "n_child", "n_parent"))
+    wanted = held.select("id", F.col("tag").alias("child")).join(likely.select("child", "parent"), "child")
+    both = wanted.join(held.select("id", F.col("tag").alias("parent")), ["id", "parent"])
+    counted = both.groupBy("child", "parent").agg(F.count(F.lit(1)).alias("n_both"))
+    pct = F.col("n_both") / F.col("n_child")
+    return likely.join(counted, ["child", "parent"]).filter(pct >= threshold).select(
+        "child", "parent", "n_child", "n_parent", "n_both", F.round(pct, 4).alias("pct"))
 
 
 def immediate_parents(pairs: DataFrame) -> DataFrame:
@@ -84,29 +100,21 @@ def closure(edges: DataFrame) -> DataFrame:
         reached = reached.unionByName(frontier)
 
 
-def ancestor_lists(edges: DataFrame) -> dict[str, list[str]]:
-    """Ancestors per tag as plain lists; one entry per class of the class list."""
-    rows = closure(edges).groupBy("child").agg(F.sort_array(F.collect_list("ancestor")).alias("above"))
-    return {row["child"]: list(row["above"]) for row in rows.collect()}
-
-
-def training_labels(tags: DataFrame, classes: Sequence[str], ancestors: dict[str, list[str]]) -> DataFrame:
-    """(id, label, status) of every tagged record.
+def training_labels(tags: DataFrame, classes: Sequence[str] | DataFrame, above: DataFrame) -> DataFrame:
+    """(id, label, status) of every tagged record, from the ``closure`` of the class tags.
 
     ``labelled`` with exactly one most specific class tag, ``ambiguous`` with several,
-    ``untagged`` with none.
+    ``untagged`` with none. A tag is not specific when the record has one below it.
     """
-    listed = text_array(classes)
-    held = tags.groupBy("id").agg(
-        F.collect_set(F.when(F.array_contains(listed, F.col("tag")), F.col("tag"))).alias("tags")
-    )
-    specific = most_specific(class_tags(F.col("tags"), classes), ancestors)
-    counted = held.select("id", specific.alias("leaf"))
-    size = F.size("leaf")
-    return counted.select(
+    held = cut(tags.join(vocabulary(tags.sparkSession, classes), "tag", "left_semi").select("id", "tag").distinct())
+    covered = held.join(above.select(F.col("child").alias("tag"), "ancestor"), "tag").select("id", F.col("ancestor").alias("tag"))
+    leaves = held.join(covered, ["id", "tag"], "left_anti").groupBy("id").agg(
+        F.count(F.lit(1)).alias("leaves"), F.min("tag").alias("leaf"))
+    every = tags.select("id").distinct().join(leaves, "id", "left")
+    return every.select(
         "id",
-        F.when(size == 1, F.element_at("leaf", 1)).alias("label"),
-        F.when(size == 1, "labelled").when(size > 1, "ambiguous").otherwise("untagged").alias("status"),
+        F.when(F.col("leaves") == 1, F.col("leaf")).alias("label"),
+        F.when(F.col("leaves") == 1, "labelled").when(F.col("leaves") > 1, "ambiguous").otherwise("untagged").alias("status"),
     )
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from orrery.config import ENCODERS
-from orrery.operators import categories, clusters, density, layout, ratings, relate
+from orrery.operators import categories, clusters, density, documents, layout, ratings, relate
 from orrery.plans import inputs
 from orrery.plans.registry import query
 from orrery.plans.scene import _MORTON
@@ -118,6 +118,81 @@ def category_files(spark, folder):
     return stored.select("family", "category", "recipe_count")
 
 
+_YEARS = """
+    , y AS (SELECT family, category, STRING_AGG(year || ':' || n, ',' ORDER BY year) AS years FROM (
+              SELECT family, category, CAST(YEAR(date) AS INT) AS year, COUNT(*) AS n
+              FROM assignments JOIN interactions ON id = recipe_id WHERE date IS NOT NULL GROUP BY ALL) GROUP BY ALL),
+    r AS (SELECT family, category, COUNT(*) AS total_reviews, ROUND(AVG(CASE WHEN rating > 0 THEN rating END), 4) AS avg_rating,
+                 COUNT(CASE WHEN rating = 5 THEN 1 END) AS count_5, COUNT(CASE WHEN rating = 1 THEN 1 END) AS count_1
+          FROM assignments JOIN interactions ON id = recipe_id GROUP BY ALL),
+    c AS (SELECT family, category, COUNT(*) AS recipe_count FROM assignments GROUP BY ALL),
+    s AS (SELECT p.family, p.label AS category, STRING_AGG(q.family || '/' || q.label || ':' || COALESCE(k.n, 0), ',' ORDER BY q.family, q.label) AS spread
+          FROM classes p CROSS JOIN classes q LEFT JOIN (
+            SELECT a.family, a.category, b.family AS secondary, b.category AS label, COUNT(*) AS n
+            FROM assignments a JOIN assignments b ON a.id = b.id GROUP BY ALL) k
+            ON k.family = p.family AND k.category = p.label AND k.secondary = q.family AND k.label = q.label
+          WHERE q.family IN ('n_steps', 'submitted') GROUP BY ALL)"""
+
+
+@query("category_documents", with_views("interactions", "assignments", "classes", body=_YEARS + """
+    SELECT p.family, p.label AS category, COALESCE(recipe_count, 0) AS recipe_count, avg_rating,
+           COALESCE(total_reviews, 0) AS total_reviews, COALESCE(count_5, 0) AS count_5, COALESCE(count_1, 0) AS count_1,
+           COALESCE(years, '') AS years, MD5(spread) AS spread
+    FROM classes p LEFT JOIN c ON c.family = p.family AND c.category = p.label
+      LEFT JOIN r ON r.family = p.family AND r.category = p.label LEFT JOIN y ON y.family = p.family AND y.category = p.label
+      LEFT JOIN s ON s.family = p.family AND s.category = p.label"""))
+def category_documents(spark, folder):
+    """Nested category documents through their files, read back whole."""
+    path = fresh_path(spark, "documents")
+    rows, classes = inputs.assignments(spark, folder), inputs.classes(spark)
+    made = documents.category_documents(rows, views.interactions(spark, folder), classes, ("n_steps", "submitted"))
+    writers.category_documents(made, documents.category_items(rows, views.recipe_items(spark, folder)), path)
+    stars = ", ".join(f"count_{i}: bigint" for i in range(1, 6))
+    stored = spark.read.schema(
+        f"category string, recipe_count long, reviews struct<avg_rating: double, total_reviews: bigint, {stars}, "
+        "n_per_year: map<string, bigint>>, distributions map<string, map<string, bigint>>, family string, slug string"
+    ).json(f"{path}/documents")
+
+    def listed(pairs, before=F.lit("")):
+        return F.transform(F.array_sort(F.map_entries(pairs)), lambda e: F.concat(before, e["key"], F.lit(":"), e["value"].cast("string")))
+
+    # entries of a map of maps are sorted by family, for maps do not compare
+    families = F.array_sort(F.map_keys("distributions"))
+    spread = F.flatten(F.transform(families, lambda f: listed(F.col("distributions")[f], F.concat(f, F.lit("/")))))
+    return stored.select(
+        "family", "category", "recipe_count", "reviews.avg_rating", "reviews.total_reviews", "reviews.count_5", "reviews.count_1",
+        F.array_join(listed(F.col("reviews.n_per_year")), ",").alias("years"), F.md5(F.array_join(spread, ",")).alias("spread"))
+
+
+@query("category_item_files", with_views("assignments", "recipe_items", body="""
+    SELECT family, category, ROW_NUMBER() OVER (PARTITION BY family, category ORDER BY n DESC, ingredient) - 1 AS position, ingredient, n
+    FROM (SELECT family, category, ingredient, COUNT(*) AS n FROM assignments a JOIN recipe_items i ON a.id = i.id GROUP BY ALL)"""))
+def category_item_files(spark, folder):
+    """The items of all categories through the same files."""
+    path = fresh_path(spark, "documents")
+    rows = inputs.assignments(spark, folder)
+    made = documents.category_documents(rows, views.interactions(spark, folder), inputs.classes(spark), ())
+    writers.category_documents(made, documents.category_items(rows, views.recipe_items(spark, folder)), path)
+    return spark.read.schema("category string, position long, ingredient string, n long, family string, slug string").json(
+        f"{path}/items").select("family", "category", "position", "ingredient", "n")
+
+
+@query("chart_points", with_views("points", body="SELECT ROUND(x, 6) AS x, ROUND(y, 6) AS y FROM points"))
+def chart_points(spark, folder):
+    """All pairs of a scatter chart through their file."""
+    path = fresh_path(spark, "chart")
+    writers.chart_points(views.points(spark, folder), "x", "y", path)
+    return spark.read.schema("x double, y double").json(path).select(F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
+
+
+@query("chart_values", with_views("recipes", body="SELECT CAST(minutes AS DOUBLE) AS value FROM recipes WHERE minutes IS NOT NULL"))
+def chart_values(spark, folder):
+    """All raw values of a histogram through their file."""
+    path = fresh_path(spark, "chart")
+    writers.chart_values(views.recipes(spark, folder), "minutes", path)
+    return spark.read.schema("value double").json(path)
+
+
 @query("chunk_files", with_views("points", body=_MORTON + " SELECT id, position, position // 64 AS chunk_id FROM o"))
 def chunk_files(spark, folder):
     path = fresh_path(spark, "chunks")

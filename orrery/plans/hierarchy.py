@@ -84,7 +84,7 @@ _LABELS = """
 def train_labels(spark, folder):
     tags = views.recipe_tags(spark, folder)
     edges = taxonomy.immediate_parents(taxonomy.qualifying_pairs(tags, SIZE_TAGS))
-    return taxonomy.training_labels(tags, SIZE_TAGS, taxonomy.ancestor_lists(edges))
+    return taxonomy.training_labels(tags, SIZE_TAGS, taxonomy.closure(edges))
 
 
 @query("label_status", """
@@ -92,7 +92,7 @@ def train_labels(spark, folder):
            ROUND(COUNT(*) / SUM(COUNT(*)) OVER (), 4) AS pct FROM part GROUP BY 1""")
 def label_status(spark, folder):
     tags = views.recipe_tags(spark, folder)
-    labels = taxonomy.training_labels(tags, ALL_TAGS, taxonomy.ancestor_lists(_edges(spark, folder)))
+    labels = taxonomy.training_labels(tags, ALL_TAGS, taxonomy.closure(_edges(spark, folder)))
     return ratings.shares(labels, "status")
 
 

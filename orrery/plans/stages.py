@@ -13,7 +13,7 @@ from orrery.config import (
     ENCODERS, KNN_NEIGHBOURS, PROJECTION_WEIGHTS, SECONDARY_FAMILIES, TEXT_TEMPLATE, BinEncoder,
 )
 from orrery.functions.text import template_text
-from orrery.operators import categories, embed, layout, neighbours, ratings, taxonomy
+from orrery.operators import categories, documents, embed, layout, neighbours, ratings, taxonomy
 from orrery.sources import writers
 
 STAGES = ("embed", "assign", "ratings", "encode", "metrics", "project", "export")
@@ -45,7 +45,7 @@ def build(spark: SparkSession, recipes: DataFrame, interactions: DataFrame,
         for family, listed in class_lists.items():
             edges = taxonomy.immediate_parents(taxonomy.qualifying_pairs(tags, listed))
             _save(edges, f"{out}/taxonomy/family={family}")
-            above = taxonomy.ancestor_lists(stored(f"taxonomy/family={family}"))
+            above = taxonomy.closure(stored(f"taxonomy/family={family}"))
             labels = taxonomy.training_labels(tags, listed, above).filter("status = 'labelled'")
             _save(labels, f"{out}/labels/family={family}")
             found = neighbours.assign(stored("vectors"), stored(f"labels/family={family}"), k)
@@ -68,6 +68,10 @@ def build(spark: SparkSession, recipes: DataFrame, interactions: DataFrame,
         items = recipes.select("id", F.explode("ingredients").alias("ingredient"))
         _save(categories.items_per_category(assignments, items), f"{out}/category_items")
         _save(categories.secondary_distribution(assignments, classes, SECONDARY_FAMILIES), f"{out}/distributions")
+        writers.sharded_metrics(spark.read.parquet(f"{out}/recipe_metrics"), f"{out}/files/recipes")
+        writers.category_documents(
+            documents.category_documents(assignments, interactions, classes, SECONDARY_FAMILIES),
+            documents.category_items(assignments, items), f"{out}/files/categories")
     if "project" in todo:
         features = stored("features").withColumn("family", F.concat("family", F.lit("_features"))).unionByName(
             stored("inferred").select(
@@ -83,3 +87,6 @@ def build(spark: SparkSession, recipes: DataFrame, interactions: DataFrame,
         indexed = categories.with_class_index(assignments, classes)
         _save(layout.attributes(stored("explore"), indexed, families), f"{out}/attributes")
         _save(layout.manifest(stored("layout"), classes), f"{out}/manifest")
+        writers.chunks(stored("explore"), f"{out}/files/chunks")
+        review = ("review",) if "review" in interactions.columns else ()
+        writers.entity_documents(recipes, interactions, f"{out}/files/records", review)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.types import ArrayType, IntegralType, MapType, StringType, StructField, StructType
 
 from orrery.functions.text import parse_list, strip
+from orrery.operators.positions import with_position
 from orrery.sources import schemas
 
 _BAD = "_unreadable"
@@ -157,15 +158,25 @@ def free_text(rows: DataFrame, text: str, label: str | None = None, rating: str
     return kept.limit(max_rows) if max_rows is not None else kept
 
 
-def class_list(spark: SparkSession, path: str, limit: int = 10_000) -> list[str]:
-    """Labels of a class file, one per line, in file order; blank lines are dropped."""
-    rows = spark.read.text(path, wholetext=True).limit(2).collect()
-    if len(rows) != 1:
+def class_table(spark: SparkSession, path: str) -> DataFrame:
+    """(idx, label) of a class file, one label per line, numbered in file order from 0; blank lines are dropped.
+
+    Any number of labels, read by as many tasks as the file has splits.
+    """
+    meta = F.col("_metadata")
+    lines = spark.read.text(path).select(
+        meta["file_path"].alias("file"), meta["file_block_start"].alias("split"),
+        F.monotonically_increasing_id().alias("line"), strip(F.col("value")).alias("label"))
+    placed = with_position(lines.filter(F.col("label") != ""), ["file", "split", "line"], "idx")
+    return placed.select("idx", "label")
+
+
+def class_list(spark: SparkSession, path: str) -> list[str]:
+    """The labels of one class file as a list, for families whose classes are columns or slots of a vector."""
+    files = spark.read.text(path).select(F.col("_metadata.file_path").alias("file")).distinct().limit(2).collect()
+    if len(files) > 1:
         raise ValueError(f"{path}: a class list is one file")
-    labels = [line.strip() for line in rows[0][0].splitlines() if line.strip()]
-    if len(labels) > limit:
-        raise ValueError(f"{path}: {len(labels)} labels, more than {limit}")
-    return labels
+    return [row["label"] for row in class_table(spark, path).orderBy("idx").collect()]  # one entry per declared class
 
 
 def features(spark: SparkSession, path: str, classes: DataFrame) -> DataFrame:

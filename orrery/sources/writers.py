@@ -8,8 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from orrery.config import SYSTEMATIC_SAMPLE
 from orrery.functions.text import shard_key, slug
+from orrery.operators.documents import with_folder
 from orrery.operators.explore import systematic_sample
 from orrery.operators.ratings import rating_lists, summary
 
@@ -51,6 +51,21 @@ def per_category(rollup: DataFrame, path: str) -> DataFrame:
     return category_index(rollup)
 
 
+def category_documents(documents: DataFrame, items: DataFrame, path: str) -> DataFrame:
+    """Nested documents and, beside them, the items of every category in order, each in one folder per
+    (family, slug), and the index of labels to files as one record per family; returns the index."""
+    keys = ["family", "slug"]
+    with_folder(documents).hint("rebalance", *[F.col(k) for k in keys]).write.mode("overwrite").partitionBy(*keys).option(
+        "compression", "gzip").json(f"{path}/documents")
+    with_folder(items).repartitionByRange(*keys, "position").sortWithinPartitions(*keys, "position").write.mode(
+        "overwrite").partitionBy(*keys).option("compression", "gzip").json(f"{path}/items")
+    index = category_index(documents)
+    entry = F.struct("label", "file")
+    index.groupBy("family").agg(F.map_from_entries(F.array_sort(F.collect_list(entry))).alias("files")).coalesce(1).write.mode(
+        "overwrite").json(f"{path}/index")
+    return index
+
+
 def category_index(rollup: DataFrame) -> DataFrame:
     """(family, label, file) of every category."""
     file = F.concat("family", F.lit("_"), slug(F.col("category")), F.lit(".json.gz"))
@@ -87,11 +102,23 @@ def small_csv(df: DataFrame, path: str) -> None:
     df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
 
 
-def chart_pairs(points: DataFrame, x: str, y: str, limit: int = SYSTEMATIC_SAMPLE) -> DataFrame:
+def chart_points(points: DataFrame, x: str, y: str, path: str) -> None:
+    """All [x, y] pairs of a scatter chart as rows in x order, however many there are."""
+    rows = points.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
+    rows.repartitionByRange("x", "y").sortWithinPartitions("x", "y").write.mode("overwrite").json(path)
+
+
+def chart_values(values: DataFrame, column: str, path: str) -> None:
+    """All values of a column as rows in order, nulls left out: the raw form of a histogram's data."""
+    rows = values.select(F.col(column).cast("double").alias("value")).filter("value is not null")
+    rows.repartitionByRange("value").sortWithinPartitions("value").write.mode("overwrite").json(path)
+
+
+def chart_pairs(points: DataFrame, x: str, y: str, limit: int) -> DataFrame:
     """{"data": [[x, y], ...], bounds} of a scatter chart as one JSON row.
 
-    A chart of more than ``limit`` points shows every N/limit-th one in x order; the bounds are
-    those of all points.
+    A chart of more than ``limit`` points shows every N/limit-th one in x order (``chart_points`` writes
+    all); the bounds are those of all points.
     """
     shown = systematic_sample(points.select(x, y), [x, y], limit)
     box = points.agg(F.struct(*[

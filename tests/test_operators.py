@@ -100,11 +100,11 @@ def test_taxonomy_of_nested_tags(spark, folder):
     tags = views.recipe_tags(spark, folder)
     edges = taxonomy.immediate_parents(taxonomy.qualifying_pairs(tags, ("wide", "mid", "tiny")))
     assert {(r["child"], r["parent"]) for r in edges.collect()} == {("tiny", "mid"), ("mid", "wide")}
-    above = taxonomy.ancestor_lists(edges)
-    assert above == {"tiny": ["mid", "wide"], "mid": ["wide"]}
+    above = {tuple(r) for r in taxonomy.closure(edges).select("child", "ancestor").collect()}
+    assert above == {("tiny", "mid"), ("tiny", "wide"), ("mid", "wide")}
     exclusive = {r["tag"] for r in taxonomy.exclusive_tags(tags, "wide", 1).collect()}
     assert exclusive == {"mid", "tiny"}
-    labels = taxonomy.training_labels(tags, ("wide", "mid", "tiny", "economy"), above)
+    labels = taxonomy.training_labels(tags, ("wide", "mid", "tiny", "economy"), taxonomy.closure(edges))
     assert labels.filter("status = 'ambiguous'").count() > 0
     assert labels.filter("status = 'labelled' AND label IS NULL").count() == 0
 
@@ -568,3 +568,47 @@ def test_members_by_bitmaps(spark):
         assert members.count(selection).first()["n"] == len(wanted)
         facet = {r["label"]: r["n"] for r in members.facet_within(maps, classes, "a", selection).collect()}
         assert facet == {label: len(held.get(("a", label), set()) & wanted) for label in ("x", "y", "z", "none")}
+
+
+def test_pairs_of_large_records_and_many_items(spark):
+    source = random.Random(31)
+    names = [f"i{n}" for n in range(20_000)]
+    rows = [(0, name) for name in names[:300]] + [(0, "i5")] * 3
+    rows += [(i, source.choice(names)) for i in range(1, 2500) for _ in range(8)]
+    frame = spark.createDataFrame(rows, "id long, ingredient string")
+    listed = spark.createDataFrame([(name,) for name in names], "ingredient string")
+    held = collections.defaultdict(collections.Counter)
+    for key, name in rows:
+        held[key][name] += 1
+    for as_set in (True, False):
+        wanted = collections.Counter()
+        for items_of in held.values():
+            for a, b in itertools.permutations(items_of, 2):
+                wanted[a, b] += 1 if as_set else items_of[a] * items_of[b]
+        found = items.pair_counts(frame, listed, "ingredient", as_set=as_set, light=50)
+        assert {(r["a"], r["b"]): r["n"] for r in found.collect()} == wanted
+
+
+def test_parents_against_all_pairs(spark):
+    source = random.Random(13)
+    rows = set()
+    for i in range(900):
+        tags = {f"t{source.randrange(12)}" for _ in range(source.choice([1, 2, 5]))}
+        for low, high, share in (("t1", "w1", 1.0), ("t2", "w1", 0.99), ("t3", "w2", 0.97), ("w1", "all", 0.995)):
+            if low in tags and source.random() < share:
+                tags.add(high)
+        if source.random() < 0.5:
+            tags.add("all")
+        rows |= {(i, tag) for tag in tags}
+    rows |= {(5000, f"t{n}") for n in range(12)}
+    held = collections.defaultdict(set)
+    for key, tag in rows:
+        held[tag].add(key)
+    for threshold in (0.99, 0.95, 0.5, 1.0):
+        wanted = {(a, b, len(held[a] & held[b])) for a, b in itertools.permutations(held, 2)
+                  if len(held[b]) > len(held[a]) and len(held[a] & held[b]) / len(held[a]) >= threshold}
+        found = taxonomy.qualifying_pairs(spark.createDataFrame(sorted(rows), "id long, tag string"), sorted(held), threshold)
+        assert {(r["child"], r["parent"], r["n_both"]) for r in found.collect()} == wanted
+    many = spark.createDataFrame([(f"x{n}",) for n in range(20_000)] + [("t1",), ("w1",)], "tag string")
+    pairs = taxonomy.qualifying_pairs(spark.createDataFrame(sorted(rows), "id long, tag string"), many)
+    assert {(r["child"], r["parent"]) for r in pairs.collect()} <= {("t1", "w1")}
