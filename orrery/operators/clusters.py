@@ -37,7 +37,8 @@ def distinctive_terms(texts: DataFrame, count: int = 3, min_length: int = 3) ->
     tf = cut(counted)  # read three times; the texts are split once
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     clusters = tf.agg(F.countDistinct("cluster")).scalar()
-    scored = tf.join(df, "term").withColumn("weight", F.col("tf") * F.log(clusters / F.col("df")))
+    # rounded, so that equal weights are ties whatever the order of the arithmetic
+    scored = tf.join(df, "term").withColumn("weight", F.round(F.col("tf") * F.log(clusters / F.col("df")), 9))
     best = Window.partitionBy("cluster").orderBy(F.col("weight").desc(), "term")
     kept = scored.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= count)
     ordered = F.array_sort(F.collect_list(F.struct("rank", "term")))
@@ -77,6 +78,25 @@ def merged_groups(vectors: DataFrame, threshold: float = GROUP_MERGE_THRESHOLD,
     return merged.unionByName(aside)
 
 
+def merged_clusters(names: DataFrame, vectors: DataFrame, members: DataFrame, threshold: float = GROUP_MERGE_THRESHOLD,
+                    **sizes_: int) -> tuple[DataFrame, DataFrame]:
+    """Clusters with similar names as one: (members with their new cluster, table of the new clusters).
+
+    ``names`` is (cluster, name), ``vectors`` (id, embedding) of the names by cluster, ``members`` any rows
+    with a cluster; every cluster but the noise has a name and a vector. A new cluster has the name of
+    its first old one and lists the old ones; noise stays -1.
+    """
+    groups = cut(merged_groups(vectors.select(F.col("id").cast("long").alias("id"), "embedding"), threshold, **sizes_))
+    placed = groups.select(F.col("id").alias("cluster"), F.col("group").alias("merged"))
+    joined = members.join(placed, "cluster", "left").withColumn(
+        "cluster", F.when(F.col("cluster") == NOISE, NOISE).otherwise(F.col("merged")).cast("int")).drop("merged")
+    named = placed.join(names.select(F.col("cluster").cast("long").alias("cluster"), "name"), "cluster").filter("merged >= 0")
+    table = named.groupBy(F.col("merged").cast("int").alias("cluster")).agg(
+        F.min_by("name", "cluster").alias("name"), F.array_sort(F.collect_list("cluster")).alias("merged_from"))
+    counts = joined.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
+    return joined.select(*members.columns), table.join(counts, "cluster", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+
+
 def meta_groups(names: DataFrame, threshold: float = 0.5, dims: int = 256) -> DataFrame:
     """(group, cluster) of clusters with similar names, groups numbered from 0 by their first cluster.
 

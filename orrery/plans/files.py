@@ -9,7 +9,7 @@ from orrery.operators import categories, clusters, density, documents, layout, r
 from orrery.plans import inputs
 from orrery.plans.registry import query
 from orrery.plans.scene import _MORTON
-from orrery.plans.sql import bin_sql, with_views
+from orrery.plans.sql import bin_sql, dense_sql, with_views
 from orrery.session import fresh_path
 from orrery.sources import readers, schemas, views, writers
 from orrery.streaming import resume
@@ -239,7 +239,7 @@ def stored_shard_lookup(spark, folder):
     return relate.record_of_shard(stored, "42", 142).select("shard", "id", "name")
 
 
-@query("recluster")
+@query("recluster", with_views("points", recursive=True, body=dense_sql("0.05", "5", 2)))
 def recluster(spark, folder):
     """A stored layout is clustered again with another radius, without projecting again."""
     path = fresh_path(spark, "layout")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from orrery.functions import vectors as V
 from orrery.operators import clusters, density, graphs, layout, neighbours, spanning, spectral
 from orrery.plans.registry import query
-from orrery.plans.sql import with_views
+from orrery.plans.sql import dense_sql, with_views
 from orrery.session import cut
 from orrery.sources import views
 
@@ -161,7 +161,9 @@ def l2(spark, folder):
         "id", F.round(F.sqrt(V.dot(vector, vector)), 6).alias("norm"), F.round(F.element_at(unit, 1), 6).alias("first"))
 
 
-@query("dbscan")
+@query("dbscan", with_views("points", recursive=True, body=dense_sql(
+    "GREATEST(1e-9, POW(volume * least / n * 3.0 / (4.0 * PI()), 1.0 / 3.0))",
+    "GREATEST(5, LEAST(50, GREATEST(10, LEAST(500, n // 500)) // 5))", 3)))
 def dbscan(spark, folder):
     points = views.points(spark, folder).select("id", "x", "y", "z")
     total = points.count()
@@ -184,11 +186,20 @@ def spectral_layout(spark, folder):
 
 def _grouped_documents(spark, folder, *keys):
     """All documents, clustered by the values of some columns."""
-    number = F.pmod(F.crc32(F.concat_ws("/", *keys)), F.lit(10**6)).cast("int")
+    digits = F.substring(F.md5(F.concat_ws("/", *keys)), 1, 7)
+    number = F.conv(digits, 16, 10).cast("int") % 10**6
     return views.table(spark, folder, "documents").select(number.alias("cluster"), "text")
 
 
-@query("cluster_terms")
+@query("cluster_terms", """
+    WITH d AS (SELECT CAST(CAST('0x' || SUBSTR(MD5(COALESCE(source, '')), 1, 7) AS BIGINT) % 1000000 AS INT) AS cluster, text FROM documents),
+    w AS (SELECT cluster, UNNEST(REGEXP_EXTRACT_ALL(LOWER(text), '[\\p{L}\\p{N}]+')) AS term FROM d),
+    tf AS (SELECT cluster, term, COUNT(*) AS tf FROM w WHERE LENGTH(term) >= 3 GROUP BY ALL),
+    df AS (SELECT term, COUNT(*) AS df FROM tf GROUP BY term),
+    s AS (SELECT cluster, term, ROUND(tf * LN((SELECT COUNT(DISTINCT cluster) FROM tf) / df), 9) AS weight FROM tf JOIN df USING (term)),
+    r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY cluster ORDER BY weight DESC, term) AS r FROM s)
+    SELECT c.cluster, COALESCE(STRING_AGG(term, ' ' ORDER BY r), 'Cluster ' || c.cluster) AS name
+    FROM (SELECT DISTINCT cluster FROM d) c LEFT JOIN r ON r.cluster = c.cluster AND r <= 3 GROUP BY c.cluster""")
 def cluster_terms(spark, folder):
     docs = _grouped_documents(spark, folder, "source")
     return clusters.filled_names(docs, clusters.distinctive_terms(docs))

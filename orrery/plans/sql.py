@@ -102,3 +102,21 @@ def with_views(*names: str, body: str, recursive: bool = False) -> str:
     parts = [f"{name} AS ({VIEWS[name]})" for name in ordered]
     start = "WITH RECURSIVE " if recursive else "WITH "
     return (start + ",\n".join(parts) + "\n" + body) if parts else body
+
+
+def dense_sql(eps: str, min_samples: str, min_size: int) -> str:
+    """Density clusters of ``points`` by comparing all pairs; to follow the view, in a recursive statement."""
+    return f"""
+    , p AS (SELECT id, x, y, z FROM points),
+    size AS (SELECT COUNT(*) AS n, GREATEST(MAX(x) - MIN(x), 1e-9) * GREATEST(MAX(y) - MIN(y), 1e-9) * GREATEST(MAX(z) - MIN(z), 1e-9) AS volume FROM p),
+    rule AS (SELECT n, volume, {min_samples} AS least FROM size),
+    eps AS (SELECT least, {eps} AS eps FROM rule),
+    near AS (SELECT a.id AS a, b.id AS b FROM eps, p a JOIN p b ON TRUE
+             WHERE (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z) <= eps * eps),
+    core AS (SELECT a AS id FROM near GROUP BY a HAVING COUNT(*) >= (SELECT least FROM eps)),
+    link AS (SELECT a, b FROM near WHERE a IN (SELECT id FROM core) AND b IN (SELECT id FROM core)),
+    reach AS (SELECT id, id AS reached FROM core UNION SELECT reach.id, link.b FROM reach JOIN link ON reach.reached = link.a),
+    part AS (SELECT id, MIN(reached) AS part, COUNT(*) AS n FROM reach GROUP BY id),
+    place AS (SELECT part, ROW_NUMBER() OVER (ORDER BY n DESC, part) - 1 AS cluster
+              FROM (SELECT DISTINCT part, n FROM part WHERE n >= {min_size}))
+    SELECT p.id, CAST(COALESCE(cluster, -1) AS INT) AS cluster FROM p LEFT JOIN part ON part.id = p.id LEFT JOIN place ON place.part = part.part"""

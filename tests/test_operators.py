@@ -612,3 +612,15 @@ def test_parents_against_all_pairs(spark):
     many = spark.createDataFrame([(f"x{n}",) for n in range(20_000)] + [("t1",), ("w1",)], "tag string")
     pairs = taxonomy.qualifying_pairs(spark.createDataFrame(sorted(rows), "id long, tag string"), many)
     assert {(r["child"], r["parent"]) for r in pairs.collect()} <= {("t1", "w1")}
+
+
+def test_clusters_with_like_names_are_merged(spark):
+    names = [(0, "red wine"), (1, "bread"), (2, "wine red"), (3, "red red wine"), (5, "soup")]
+    named = spark.createDataFrame(names, "cluster int, name string")
+    vectors = embed.embed_text(named.select(F.col("cluster").alias("id"), F.col("name").alias("text")), 64)
+    rows = [(i, c) for i, c in enumerate([0, 1, 1, 2, 3, 3, -1, 5, -1])]
+    points, table = clusters.merged_clusters(named, vectors, spark.createDataFrame(rows, "id long, cluster int"), 0.9)
+    assert points.columns == ["id", "cluster"]
+    assert {r["id"]: r["cluster"] for r in points.collect()} == {0: 0, 1: 1, 2: 1, 3: 0, 4: 0, 5: 0, 6: -1, 7: 2, 8: -1}
+    found = {r["cluster"]: (r["name"], r["merged_from"], r["n"]) for r in table.collect()}
+    assert found == {0: ("red wine", [0, 2, 3], 4), 1: ("bread", [1], 2), 2: ("soup", [5], 1)}
