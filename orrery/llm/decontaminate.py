@@ -7,13 +7,16 @@ met, the exact word sequences of the windows around it, so every hit is verified
 themselves. Documents are read once; only hits and one row per document are grouped.
 
 Defined results: null texts and texts without words have no hits; null ids are kept; repeated
-rows are each returned; a null item id hits, but is not listed; without items nothing is hit.
+rows are each returned; a null item id hits, but is not listed; without items nothing is hit. Extra
+columns may have any name; the report has its own, and kept rows come back with theirs.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from orrery.llm.columns import unused
+
 WINDOW = 10
 BROADCAST_WINDOWS = 2_000_000
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -125,10 +128,12 @@ def report(documents: DataFrame, benchmark: DataFrame, n: int = WINDOW, id_colum
         (F.size("hits") > 0).alias("contaminated"))
 
 
-def _keyed(documents: DataFrame, found: DataFrame, id_column: str, text_column: str, how: str) -> DataFrame:
-    right = found.select(F.col("id").alias("_hit_id"), F.col("text_key").alias("_hit_key"), F.col("hits").alias("_hits"))
+def _keyed(documents: DataFrame, found: DataFrame, id_column: str, text_column: str, how: str, hits: str) -> DataFrame:
+    """``documents`` joined with the ``hits`` of their id and text."""
+    hit_id, hit_key = unused(documents, "_hit_id", "_hit_key")
+    right = found.select(F.col("id").alias(hit_id), F.col("text_key").alias(hit_key), F.col("hits").alias(hits))
     key = F.struct(F.xxhash64(documents[text_column]), F.length(documents[text_column]))
-    same = documents[id_column].eqNullSafe(right["_hit_id"]) & (key.cast("struct<col1:bigint,col2:int>").eqNullSafe(right["_hit_key"]))
+    same = documents[id_column].eqNullSafe(right[hit_id]) & (key.cast("struct<col1:bigint,col2:int>").eqNullSafe(right[hit_key]))
     return documents.join(right, same, how)
 
 
@@ -136,7 +141,7 @@ def remove_documents(documents: DataFrame, benchmark: DataFrame, n: int = WINDOW
                      text_column: str = "text") -> DataFrame:
     """The rows without any hit, all columns as they were."""
     found = find(documents, benchmark, n, id_column, text_column).filter(F.size("hits") > 0)
-    return _keyed(documents, found, id_column, text_column, "left_anti")
+    return _keyed(documents, found, id_column, text_column, "left_anti", *unused(documents, "_hits"))
 
 
 def remove_spans(documents: DataFrame, benchmark: DataFrame, n: int = WINDOW, id_column: str = "doc_id",
@@ -145,12 +150,13 @@ def remove_spans(documents: DataFrame, benchmark: DataFrame, n: int = WINDOW, id
     found = find(documents, benchmark, n, id_column, text_column).filter(F.size("hits") > 0)
     pieces = F.regexp_extract_all(F.col(text_column), F.lit(_PIECES), F.lit(0))
     # hits sort right before the word at their place; the array of one keeps the list from being made anew per word
-    marks = F.transform(hit_positions(F.col("_hits")), lambda p: F.struct(p.alias("p"), F.lit(0).alias("word"), F.lit("").alias("t")))
+    hits, words = unused(documents, "_hits", "_list")
+    marks = F.transform(hit_positions(F.col(hits)), lambda p: F.struct(p.alias("p"), F.lit(0).alias("word"), F.lit("").alias("t")))
     own = F.transform(pieces, lambda t, i: F.struct((i + 1).alias("p"), F.lit(1).alias("word"), t.alias("t")))
-    joined = _keyed(documents, found, id_column, text_column, "left").withColumn(
-        "_list", F.explode(F.array(F.when(F.col("_hits").isNotNull(), F.sort_array(F.concat(marks, own))))))
-    before = F.concat(F.array(F.lit(0)), F.transform("_list", lambda e: F.when(e["word"] == 0, e["p"]).otherwise(0)))
-    kept = F.zip_with("_list", F.slice(before, 1, F.size("_list")), lambda e, hit: F.when(e["p"] != hit, e["t"]))
+    joined = _keyed(documents, found, id_column, text_column, "left", hits).withColumn(
+        words, F.explode(F.array(F.when(F.col(hits).isNotNull(), F.sort_array(F.concat(marks, own))))))
+    before = F.concat(F.array(F.lit(0)), F.transform(words, lambda e: F.when(e["word"] == 0, e["p"]).otherwise(0)))
+    kept = F.zip_with(words, F.slice(before, 1, F.size(words)), lambda e, hit: F.when(e["p"] != hit, e["t"]))
     rest = F.array_join(F.filter(kept, lambda t: t.isNotNull()), "")
-    return joined.withColumn(text_column, F.when(F.col("_hits").isNull(), F.col(text_column)).otherwise(rest)).select(
+    return joined.withColumn(text_column, F.when(F.col(hits).isNull(), F.col(text_column)).otherwise(rest)).select(
         *documents.columns)

@@ -19,7 +19,8 @@ No list is collected, no pair inside a class is emitted, and links are compared
 keep rows which surely meet nothing out of the shuffle; their size is fixed, exact joins follow.
 
 Defined results: a null, empty or blank text has no shingles and links with nothing; null ids are
-kept (a class of null ids only has a null id); repeated rows are equal sets.
+kept (a class of null ids only has a null id); repeated rows are equal sets. Extra columns may have any
+name: classes have their own columns, and kept rows come back with theirs.
 """
 
 from __future__ import annotations
@@ -32,6 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from orrery.llm import bitmaps
+from orrery.llm.columns import unused
 from orrery.llm.words import Block, blocks, mix, ngrams, ranges, signed
 from orrery.operators.graphs import connected_components
 from orrery.session import cut, fresh_path
@@ -303,14 +305,15 @@ def keep_first(documents: DataFrame, id_column: str = "doc_id", text_column: str
     found = cut(classes(documents, id_column, text_column, size, cell_bits))
     full, empty = found.filter("n_shingles > 0"), found.filter("n_shingles = 0")
     least = F.min(F.struct(F.col(id_column).isNull().alias("none"), F.col(id_column).alias("id"), F.col("key").alias("key")))
+    kept, key, blank, own, turn = unused(documents, "_kept", "_key", "_empty", "_own", "_turn")
     chosen = full.groupBy("component").agg(least.alias("least")).select(
-        F.col("least.id").alias("_kept"), F.col("least.key").alias("_key"), F.lit(False).alias("_empty"))
-    blank = empty.select(F.col(id_column).alias("_kept"), F.col("key").alias("_key"), F.lit(True).alias("_empty")).distinct()
-    keys = chosen.union(blank)
-    mine = documents.withColumn("_own", F.xxhash64(text_column))
-    joined = mine.join(keys, mine[id_column].eqNullSafe(keys["_kept"]) & (mine["_own"] == keys["_key"]))
+        F.col("least.id").alias(kept), F.col("least.key").alias(key), F.lit(False).alias(blank))
+    without = empty.select(F.col(id_column).alias(kept), F.col("key").alias(key), F.lit(True).alias(blank)).distinct()
+    keys = chosen.union(without)
+    mine = documents.withColumn(own, F.xxhash64(text_column))
+    joined = mine.join(keys, mine[id_column].eqNullSafe(keys[kept]) & (mine[own] == keys[key]))
     if not full.groupBy(id_column, "key").count().filter("count > 1").isEmpty():
         # of equal rows one stays, but for those without shingles
-        turn = F.when(F.col("_empty"), F.monotonically_increasing_id()).otherwise(F.lit(-1))
-        joined = joined.withColumn("_turn", turn).dropDuplicates([id_column, "_own", "_turn"])
+        number = F.when(F.col(blank), F.monotonically_increasing_id()).otherwise(F.lit(-1))
+        joined = joined.withColumn(turn, number).dropDuplicates([id_column, own, turn])
     return joined.select(*documents.columns)

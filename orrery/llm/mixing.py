@@ -13,7 +13,8 @@ places come from a range-partitioned layout, so a source of any size spans many
 
 Defined results: a null or empty text has size 0, gives no block and is taken 0 times; null is a
 source of its own, last; a null id is an id; repeated rows are each drawn; an empty table gives an
-empty mix. The same rows and seed give the same draw.
+empty mix. The same rows and seed give the same draw. Extra columns may have any name; mixed rows come
+back with theirs.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
+from orrery.llm.columns import unused
 from orrery.llm.words import blocks
 from orrery.session import cut
 
@@ -106,18 +108,34 @@ def _draw(random: np.random.Generator, held: np.ndarray, n: int) -> np.ndarray:
         others -= own
         if n <= 0:
             break
-        # the generator takes numbers below 10**9; beyond, the normal limit is exact to a block in 10**4
-        if own + others < 10**9:
-            left[i] = random.hypergeometric(own, others, n) if own else 0
-        else:
-            whole = own + others
-            mean = n * (own / whole)
-            spread = np.sqrt(mean * (1 - own / whole) * max(whole - n, 0) / max(whole - 1, 1))
-            left[i] = int(np.clip(round(random.normal(mean, spread)), max(0, n - others), min(own, n)))
+        # the generator takes numbers below 10**9
+        small = own + others < 10**9
+        left[i] = (random.hypergeometric(own, others, n) if own else 0) if small else draw_large(random, own, others, n)
         n -= int(left[i])
     return left
 
 
+def draw_large(random: np.random.Generator, own: int, others: int, n: int) -> int:
+    """How many of ``n`` drawn without replacement are among ``own``, for counts of any size.
+
+    By inversion around the mode: probabilities relative to it follow from ratios of neighbours. What is
+    farther away than twelve deviations (and 64) has less than 1e-30 of all and is below a double's last digit.
+    """
+    low, high = max(0, n - others), min(own, n)
+    whole = own + others
+    mode = min(max((n + 1) * (own + 1) // (whole + 2), low), high)
+    spread = (n * (own / whole) * (others / whole) * (max(whole - n, 0) / max(whole - 1, 1))) ** 0.5
+    reach = int(12 * spread) + 64
+    up = np.arange(mode, min(mode + reach, high), dtype=np.float64)  # ratios p(k + 1) / p(k)
+    down = np.arange(mode, max(mode - reach, low), -1, dtype=np.float64)  # ratios p(k - 1) / p(k)
+    rise = np.cumprod((own - up) * (n - up) / ((up + 1) * (others - n + up + 1)))
+    fall = np.cumprod(down * (others - n + down) / ((own - down + 1) * (n - down + 1)))
+    weights = np.concatenate([fall[::-1], [1.0], rise])
+    totals = np.cumsum(weights)
+    at = int(np.searchsorted(totals, random.random() * totals[-1], side="right"))
+    return mode - len(fall) + min(at, len(weights) - 1)
+
+
 def _in_order(pieces: DataFrame, order: Sequence[str]) -> DataFrame:
     """``pieces`` with the words and the rows before each in the whole order, from one range layout."""
     kinds = ", ".join(f"{name} {kind}" for name, kind in pieces.dtypes)
@@ -214,10 +232,9 @@ def mix(documents: DataFrame, weights: Sequence[float] = WEIGHTS, share: float =
     Same columns as the input. Rows are laid out shard by shard, shuffled inside each.
     """
     rows, draws = plan(documents, weights, share, max_times, None, shards, seed, id_column, source_column, text_column)
-    wanted = draws.select(F.col("id").alias("_id"), F.col("key").alias("_key"), F.col("shard").alias("_shard"),
-                          F.col("place").alias("_place"))
+    id_, key, shard, place, own = unused(documents, "_id", "_key", "_shard", "_place", "_own")
+    wanted = draws.select(F.col("id").alias(id_), F.col("key").alias(key), F.col("shard").alias(shard), F.col("place").alias(place))
     # equal rows (same id and text) are copies of one row, which all their draws repeat
-    keyed = documents.withColumn("_own", F.xxhash64(text_column)).dropDuplicates([id_column, "_own"])
-    same = keyed[id_column].eqNullSafe(wanted["_id"]) & (keyed["_own"] == wanted["_key"])
-    joined = keyed.join(wanted, same)
-    return joined.repartitionByRange("_shard", "_place").sortWithinPartitions("_shard", "_place").select(*documents.columns)
+    keyed = documents.withColumn(own, F.xxhash64(text_column)).dropDuplicates([id_column, own])
+    joined = keyed.join(wanted, keyed[id_column].eqNullSafe(wanted[id_]) & (keyed[own] == wanted[key]))
+    return joined.repartitionByRange(shard, place).sortWithinPartitions(shard, place).select(*documents.columns)

@@ -1,10 +1,12 @@
 from collections import Counter, defaultdict
 
+import numpy as np
 from brute import components, shingles
+from pyspark.sql import functions as F
 from test_native import WORD, lower, size
 
 import corpus_pipeline
-from orrery.llm import mixing, quality, sharding
+from orrery.llm import decontaminate, mixing, quality, sharding
 
 
 def leaks(text, items):
@@ -56,3 +58,51 @@ def test_empty_documents(spark, tmp_path):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, folder)
         assert docs.count() == 0
+
+
+CLASHES = ["_own", "_key", "_kept", "_empty", "_turn", "_id", "_shard", "_place", "_hits", "_list", "_hit_id", "id", "n", "slot", "words"]
+
+
+def test_extra_columns_of_any_name_go_through(spark, tmp_path):
+    folder = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    for name in CLASHES:
+        docs = docs.withColumn(name, F.concat(F.lit(f"{name} of "), F.col("doc_id").cast("string")))
+    nulls = docs.limit(1).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in docs.schema.fields])
+    docs = docs.unionByName(docs.limit(3)).unionByName(nulls)
+    before = {r.doc_id: r for r in docs.collect()}
+    for number, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, docs, folder).write.parquet(f"{tmp_path}/{number}")
+        docs = spark.read.parquet(f"{tmp_path}/{number}")
+        rows = docs.collect()
+        assert rows, name
+        for row in rows:
+            for column in set(before[row.doc_id].asDict()) - ({"slot"} if name == "sharding" else set()):
+                assert row[column] == before[row.doc_id][column], (name, column)
+
+
+def test_spans_are_cut_beside_columns_of_any_name(spark):
+    rows = [(1, "one two three four five six seven eight nine ten eleven", "a", "b"), (2, "nothing of it", "c", "d")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _hits string, _list string")
+    items = spark.createDataFrame([(7, "two three four five six seven eight nine ten eleven")], "item_id long, text string")
+    found = sorted(map(tuple, decontaminate.remove_spans(docs, items).collect()))
+    assert found == [(1, "one", "a", "b"), (2, "nothing of it", "c", "d")]
+
+
+def test_large_draws_follow_the_distribution():
+    random = np.random.default_rng(5)
+    for own, others, n in ((40, 60, 30), (3, 500, 200), (700, 5, 300), (9, 9, 18), (0, 10, 4), (10, 0, 4)):
+        drawn = np.array([mixing.draw_large(random, own, others, n) for _ in range(3000)])
+        whole = own + others
+        mean = n * own / whole
+        variance = mean * (others / whole) * (whole - n) / max(whole - 1, 1)
+        assert drawn.min() >= max(0, n - others) and drawn.max() <= min(own, n)
+        assert abs(drawn.mean() - mean) < 5 * (variance / 3000) ** 0.5 + 1e-9
+        assert abs(drawn.var() - variance) < 0.15 * variance + 1e-9
+    own, others, n = 3 * 10**11, 10**12, 7 * 10**11
+    mean = n * own / (own + others)
+    spread = (mean * (others / (own + others)) * (own + others - n) / (own + others)) ** 0.5
+    drawn = [(mixing.draw_large(random, own, others, n) - mean) / spread for _ in range(60)]
+    assert abs(np.mean(drawn)) < 0.6 and 0.6 < np.std(drawn) < 1.4
+    quotas = mixing.split_quotas([4 * 10**9, 10**9, 17], 8)
+    assert quotas.sum(axis=1).tolist() == [4 * 10**9, 10**9, 17] and np.ptp(quotas.sum(axis=0)) <= 1
