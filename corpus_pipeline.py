@@ -3,6 +3,11 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame with the columns of ``documents``;
 the last one adds ``slot`` and ``shard``. What a stage returns is written as Parquet into the
 shared folder and read again by the next, so a lost executor costs the running stage at most.
+
+Defined results: null, empty and blank texts fail the quality rules; repeated rows become one in the
+second stage; null ids and sources go through as values of their own; an empty table stays empty. Extra
+columns go through every stage unchanged whatever their names, but for ``slot`` and ``shard``, which
+the last stage sets.
 """
 
 from __future__ import annotations
