@@ -12,7 +12,8 @@ Two texts link when ``100 * intersection >= 80 * union``, and texts joined by li
 - *Answers.* First every set is compared with one set only, the smallest of the lists it shares
   most. A set found similar takes over that set's class, so whatever is in the class already needs
   no comparison: a crowd of near copies costs one comparison each. Then the pairs of the lists
-  whose classes still differ are compared, all of them.
+  whose classes still differ are met in blocks, and those that neither sizes, places nor parity
+  sketches of the sets rule out are compared, all of them.
 
 No list is collected, no pair inside a class is emitted, and links are compared on the whole sets as
 64-bit shingle hashes; a set is named by 64 bits, a listed shingle by 58 behind its class of counts. Broadcast are the sketch (``cells`` bytes) and bitmaps of ``2 ** bitmaps.BITS`` bits that
@@ -34,6 +35,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from orrery.llm import bitmaps
 from orrery.llm.columns import unused
+from orrery.llm.parity import array_rows, binary_rows, groups, parities
 from orrery.llm.words import Block, blocks, mix, ngrams, ranges, signed
 from orrery.operators.graphs import connected_components
 from orrery.session import cut, fresh_path
@@ -41,6 +43,8 @@ from orrery.session import cut, fresh_path
 SHINGLE = 5
 CELL_BITS = 20
 COMPARED_ROWS = 256
+BLOCK_ROWS = 512
+PAIR_ROWS = 64
 
 
 def _stored(frame: DataFrame, stem: str) -> DataFrame:
@@ -233,7 +237,7 @@ def _band(n):
 
 
 def links(documents: DataFrame, sets: DataFrame, counts: DataFrame, text_column: str = "text", size: int = SHINGLE,
-          cell_bits: int = CELL_BITS) -> tuple[DataFrame, DataFrame]:
+          cell_bits: int = CELL_BITS, block_rows: int = BLOCK_ROWS) -> tuple[DataFrame, DataFrame]:
     """(node, component) of the sets that link with the one set they were compared with first, and
     (a, b) of the links between sets whose classes still differed; every link is verified."""
     context = documents.sparkSession.sparkContext
@@ -260,18 +264,73 @@ def links(documents: DataFrame, sets: DataFrame, counts: DataFrame, text_column:
     # lists that still hold more than one class
     open_lists = known.groupBy("shingle").agg(F.min("component").alias("c"), F.max("component").alias("d")).filter("c < d")
     rest = cut(known.join(cut(open_lists.select("shingle")), "shingle").select("shingle", "node", "n", "at", "component"))
-    probe = rest.withColumn("band", _band(F.col("n")))
-    index = rest.filter("at < n - (8 * n + 8) div 9 + 1").select(
-        "shingle", F.col("node").alias("other"), F.col("n").alias("m"), F.col("at").alias("place"),
-        F.col("component").alias("other_component"), F.explode(F.array(_band(F.col("n")), _band(F.col("n")) + 1)).alias("band"))
-    left_over = 1 + F.least(F.col("n") - F.col("at"), F.col("m") - F.col("place")) - 1
-    pairs = probe.join(index, ["shingle", "band"]).filter(
-        (F.col("component") != F.col("other_component")) & (F.col("m") <= F.col("n"))
-        & (5 * F.col("m") >= 4 * F.col("n")) & (9 * left_over >= 4 * (F.col("n") + F.col("m"))))
-    pairs = cut(pairs.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct())
+    pairs = cut(_possible(rest, texts, size, block_rows).distinct())
     return found, cut(_verified(texts, pairs, size))
 
 
+def _sketches(texts: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
+    """(node, bits): the parity sketches of the sets in ``nodes``."""
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low in range(0, batch.num_rows, COMPARED_ROWS):
+                part = batch.slice(low, COMPARED_ROWS)
+                sets = []
+                for block in blocks(pa.array([zlib.decompress(text).decode("utf-8") for text in part.column(1).to_pylist()], pa.large_string())):
+                    hashes, bounds = shingle_sets(block, size)
+                    sets += np.split(hashes, bounds[1:-1])
+                yield pa.RecordBatch.from_arrays([part.column(0), binary_rows(parities(sets))], ["node", "bits"])
+
+    return _stored(texts.join(nodes, "node", "left_semi").select("node", "text").mapInArrow(sketch, "node long, bits binary"), "sketches")
+
+
+def _possible(rest: DataFrame, texts: DataFrame, size: int, block_rows: int) -> DataFrame:
+    """(a, b): the pairs of the lists in ``rest`` that no bound rules out.
+
+    A list is cut into blocks of like set size, and a large block into pieces, all pairs of which meet; inside
+    a task sizes, classes, places and parity sketches leave pairs out before any of them is a row.
+    """
+    sketches = _sketches(texts, rest.select("node").distinct(), size)
+    # a set is a probe in the block of its own size, and listed there and in the block above
+    role = F.struct(F.lit(0).alias("listed"), _band(F.col("n")).alias("band"))
+    index = [F.struct(F.lit(1).alias("listed"), (_band(F.col("n")) + up).alias("band")) for up in (0, 1)]
+    roles = F.when(F.expr("at < n - (8 * n + 8) div 9 + 1"), F.array(role, *index)).otherwise(F.array(role))
+    rows = rest.withColumn("role", F.explode(roles)).select("shingle", "role.band", "role.listed", "node", "n", "at", "component")
+    several = rows.groupBy("shingle", "band").agg(
+        F.ceil(F.count(F.lit(1)) / F.lit(block_rows)).cast("int").alias("pieces"), F.min("component").alias("c"),
+        F.max("component").alias("d"), F.min("listed").alias("low"), F.max("listed").alias("high")).filter("c < d and low < high")
+    dealt = rows.join(several.select("shingle", "band", "pieces"), ["shingle", "band"])
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("node"), F.col("pieces")).cast("int")).withColumn(
+        "other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
+    probe = F.col("listed") == 0
+    dealt = dealt.withColumn("i", F.when(probe, F.col("own")).otherwise(F.col("other")).cast("long")).withColumn(
+        "j", F.when(probe, F.col("other")).otherwise(F.col("own")).cast("long"))
+    dealt = dealt.select(
+        "shingle", F.col("band").cast("long").alias("band"), "i", "j", "listed", "node", F.col("n").cast("long").alias("n"),
+        F.col("at").cast("long").alias("at"), "component").join(sketches, "node")
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in groups(batches, 4):
+            table = table.combine_chunks()
+            listed, node, n, at, component = (table.column(name).to_numpy() for name in ("listed", "node", "n", "at", "component"))
+            bits = array_rows(table.column("bits").combine_chunks(), np.uint64)
+            x, y = np.flatnonzero(listed == 0), np.flatnonzero(listed == 1)
+            for low in range(0, len(x), PAIR_ROWS):
+                a = x[low : low + PAIR_ROWS, None]
+                # of equal sizes the one with the larger name is the probe
+                smaller = (n[y] < n[a]) | ((n[y] == n[a]) & (node[y] < node[a]))
+                left_over = np.minimum(n[a] - at[a], n[y] - at[y])
+                fits = smaller & (component[y] != component[a]) & (5 * n[y] >= 4 * n[a]) & (9 * left_over >= 4 * (n[a] + n[y]))
+                i, j = np.nonzero(fits)
+                i, j = a[i, 0], y[j]
+                apart = np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1, dtype=np.int64)
+                i, j = (side[9 * apart <= n[i] + n[j]] for side in (i, j))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.minimum(node[i], node[j])), pa.array(np.maximum(node[i], node[j]))], ["a", "b"])
+
+    met = dealt.repartition("shingle", "band", "i", "j").sortWithinPartitions("shingle", "band", "i", "j")
+    return met.select("shingle", "band", "i", "j", "listed", "node", "n", "at", "component", "bits").mapInArrow(meet, "a long, b long")
+
+
 def _components(edges: DataFrame) -> DataFrame:
     """(node, component) of all ends of ``edges``."""
     ends = edges.select(F.explode(F.array("a", "b")).alias("id")).distinct()
@@ -279,10 +338,10 @@ def _components(edges: DataFrame) -> DataFrame:
 
 
 def classes(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", size: int = SHINGLE,
-            cell_bits: int = CELL_BITS) -> DataFrame:
+            cell_bits: int = CELL_BITS, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """One row per document row: (id, key, n_shingles, component, component_id, class_rows)."""
     sets, counts = _sets(documents, id_column, text_column, size, cell_bits)
-    found, late = links(documents, sets, counts, text_column, size, cell_bits)
+    found, late = links(documents, sets, counts, text_column, size, cell_bits, block_rows)
     for end in ("a", "b"):  # links between the classes of the first comparisons
         late = late.join(found.select(F.col("node").alias(end), F.col("component").alias("_of")), end, "left").withColumn(
             end, F.coalesce("_of", end)).drop("_of")

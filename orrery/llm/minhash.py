@@ -38,6 +38,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from orrery.llm import bitmaps
 from orrery.llm.jaccard import shingle_sets
+from orrery.llm.parity import array_rows, binary_rows, groups, parities
 from orrery.llm.words import blocks, mix, signed
 from orrery.operators.graphs import connected_components
 from orrery.session import cut, fresh_path
@@ -47,7 +48,6 @@ HASHES = 3
 COLLECTIONS = 20
 ROUNDS = 2
 BLOCK_ROWS = 512
-CELLS = 2048
 TABLE_ROWS = 1 << 13
 COMPARED_ROWS = 256
 MAX_BITS = 28
@@ -87,20 +87,6 @@ def _names(hashes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return halves[0], halves[1]
 
 
-def _packed(rows: np.ndarray) -> pa.Array:
-    """A binary value per row of a two-dimensional array."""
-    rows = np.ascontiguousarray(rows)
-    width = rows.shape[1] * rows.dtype.itemsize
-    at = pa.py_buffer(np.arange(len(rows) + 1, dtype=np.int32) * np.int32(width))
-    return pa.Array.from_buffers(pa.binary(), len(rows), [None, at, pa.py_buffer(rows.tobytes())])
-
-
-def _unpacked(column: pa.Array, kind) -> np.ndarray:
-    if not len(column):
-        return np.zeros((0, 1), dtype=kind)
-    return np.frombuffer(b"".join(column.to_pylist()), dtype=kind).reshape(len(column), -1)
-
-
 def _signatures(documents: DataFrame, id_column: str, text_column: str, size: int, each: int, collections: int) -> DataFrame:
     """(id, n, a, b, c, d, keys) of every row: a, b name its set, c, d its text; no keys without shingles."""
     kind = documents.schema[id_column].dataType.simpleString()
@@ -117,7 +103,7 @@ def _signatures(documents: DataFrame, id_column: str, text_column: str, size: in
                 own = batch.slice(block.first, block.rows)
                 a, b = _names(hashes, bounds)
                 yield pa.RecordBatch.from_arrays(
-                    [own.column(0), own.column(1), own.column(2), pa.array(n, pa.int64()), pa.array(a), pa.array(b), _packed(keys)], names)
+                    [own.column(0), own.column(1), own.column(2), pa.array(n, pa.int64()), pa.array(a), pa.array(b), binary_rows(keys)], names)
 
     columns = documents.select(F.col(id_column).alias("id"), *_text_names(text_column), F.col(text_column).alias("text"))
     return _stored(columns.mapInArrow(sign, f"id {kind}, c long, d long, n long, a long, b long, keys binary"), "signatures")
@@ -141,7 +127,7 @@ def _tables(sets: DataFrame, likely=None) -> DataFrame:
         for batch in batches:
             for low in range(0, batch.num_rows, 1024):
                 part = batch.slice(low, 1024)
-                keys, nodes = _unpacked(part.column(1), np.uint64), part.column(0).to_numpy()
+                keys, nodes = array_rows(part.column(1), np.uint64), part.column(0).to_numpy()
                 left, right = np.triu_indices(keys.shape[1], 1)
                 # the number of the table is in the key, so tables do not meet each other
                 table = mix(np.arange(1, len(left) + 1, dtype=np.uint64))
@@ -257,14 +243,6 @@ def _against_pivots(placed: DataFrame, turn: int) -> DataFrame:
     return cut(met.select(F.least("pivot", "node").alias("a"), F.greatest("pivot", "node").alias("b")).distinct())
 
 
-def parities(sets: list[np.ndarray], cells: int = CELLS) -> np.ndarray:
-    """Per set whether an odd number of its shingles falls into each of ``cells`` cells, as packed bits."""
-    rows = np.zeros((len(sets), cells), dtype=np.uint8)
-    for row, hashes in zip(rows, sets, strict=True):
-        row[:] = np.bincount((hashes >> np.uint64(20)).astype(np.int64) % cells, minlength=cells) & 1
-    return np.packbits(rows, axis=1)
-
-
 def _possible(keys: np.ndarray, n: np.ndarray, classes: np.ndarray, bits: np.ndarray, part: np.ndarray, at: int,
               across: bool) -> tuple[np.ndarray, np.ndarray]:
     """Rows i < j of one block that may link and whose first common collection is ``at``."""
@@ -292,27 +270,6 @@ def _possible(keys: np.ndarray, n: np.ndarray, classes: np.ndarray, bits: np.nda
     return order[np.concatenate(found_i)], order[np.concatenate(found_j)]
 
 
-def _groups(batches: Iterator[pa.RecordBatch], columns: int) -> Iterator[pa.Table]:
-    """Neighbouring rows with equal first ``columns`` columns, which a sort has put together."""
-    held: list[pa.RecordBatch] = []
-    last = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        keys = np.column_stack([batch.column(i).to_numpy() for i in range(columns)])
-        starts = np.flatnonzero(np.any(keys[1:] != keys[:-1], axis=1)) + 1
-        edges = [0, *starts.tolist(), batch.num_rows]
-        for low, high in zip(edges[:-1], edges[1:], strict=True):
-            key = tuple(keys[low].tolist())
-            if held and key != last:
-                yield pa.Table.from_batches(held)
-                held = []
-            held.append(batch.slice(low, high - low))
-            last = key
-    if held:
-        yield pa.Table.from_batches(held)
-
-
 def _in_blocks(placed: DataFrame, sets: DataFrame, texts: DataFrame, size: int, block_rows: int) -> DataFrame:
     """(a, b): pairs of different classes that agree in two collections and that no bound excludes."""
     # a bucket of two sets was decided by its pivot
@@ -325,8 +282,8 @@ def _in_blocks(placed: DataFrame, sets: DataFrame, texts: DataFrame, size: int,
         for batch in batches:
             for low in range(0, batch.num_rows, COMPARED_ROWS):
                 part = batch.slice(low, COMPARED_ROWS)
-                keys = _unpacked(part.column(3), np.uint64)
-                bits = _packed(parities(_sets_of(part.column(4).to_pylist(), size)))
+                keys = array_rows(part.column(3), np.uint64)
+                bits = binary_rows(parities(_sets_of(part.column(4).to_pylist(), size)))
                 own = [part.column(0), part.column(1), part.column(2), part.column(3), bits]
                 for at in range(keys.shape[1]):
                     group = pa.array(signed(mix(keys[:, at] + np.uint64(at + 1) * _ODD)))
@@ -347,13 +304,13 @@ def _in_blocks(placed: DataFrame, sets: DataFrame, texts: DataFrame, size: int,
         "at", "part", "node", "component", "n", "keys", "bits")
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _groups(batches, 3):
+        for rows in groups(batches, 3):
             if len(rows) < 2:
                 continue
             rows = rows.combine_chunks()
             at, part, node, component, n = (rows.column(name).to_numpy() for name in ("at", "part", "node", "component", "n"))
-            keys = _unpacked(rows.column("keys").combine_chunks(), np.uint64)
-            bits = _unpacked(rows.column("bits").combine_chunks(), np.uint8)
+            keys = array_rows(rows.column("keys").combine_chunks(), np.uint64)
+            bits = array_rows(rows.column("bits").combine_chunks(), np.uint8)
             across = rows.column("i")[0].as_py() != rows.column("j")[0].as_py()
             i, j = _possible(keys, n, component, bits, part, int(at[0]), across)
             yield pa.RecordBatch.from_arrays(

@@ -32,10 +32,10 @@ def texts(seed, crowd=30):
     return table + table[:5] + [(None, rows[7], "own", "c"), (None, "lonely text without an id", "own", "c"), (3, "another text of three", "own", "c")]
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_classes_against_all_pairs(spark, seed):
-    rows = texts(seed)
-    found = jaccard.classes(spark.createDataFrame(rows, SCHEMA).repartition(5), cell_bits=12).collect()
+@pytest.mark.parametrize("seed, crowd, block_rows", [(1, 30, 512), (2, 30, 5), (4, 90, 16)])
+def test_classes_against_all_pairs(spark, seed, crowd, block_rows):
+    rows = texts(seed, crowd)
+    found = jaccard.classes(spark.createDataFrame(rows, SCHEMA).repartition(5), cell_bits=12, block_rows=block_rows).collect()
     expected, _ = components([(r[0], r[1]) for r in rows])
     want = Counter((r[0], len(shingles(r[1])), c) for r, c in zip(rows, expected, strict=True))
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in found) == want
