@@ -58,3 +58,8 @@ def families_wide(assignments: DataFrame, families: Sequence[str], value: str =
 def record_of_shard(df: DataFrame, shard: str, item_id: int) -> DataFrame:
     """One record of a table stored by shard: the shard filter prunes to one partition."""
     return df.filter((F.col("shard") == shard) & (F.col("id") == item_id))
+
+
+def record_of_table(df: DataFrame, key: str, value: object) -> DataFrame:
+    """The rows of a key in a stored table; the comparison is pushed into the scan as it stands."""
+    return df.filter(F.col(key) == F.lit(value))

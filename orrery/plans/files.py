@@ -239,6 +239,14 @@ def stored_shard_lookup(spark, folder):
     return relate.record_of_shard(stored, "42", 142).select("shard", "id", "name")
 
 
+@query("key_lookup", "SELECT doc_id AS id, MD5(text) AS digest FROM documents WHERE doc_id = 142")
+def key_lookup(spark, folder):
+    """One document of a table stored in key order: one row group of one file is read."""
+    path = fresh_path(spark, "lookup")
+    writers.lookup_table(views.table(spark, folder, "documents").select(F.col("doc_id").alias("id"), "text"), "id", path)
+    return relate.record_of_table(spark.read.parquet(path), "id", 142).select("id", F.md5("text").alias("digest"))
+
+
 @query("recluster", with_views("points", recursive=True, body=dense_sql("0.05", "5", 2)))
 def recluster(spark, folder):
     """A stored layout is clustered again with another radius, without projecting again."""

@@ -97,6 +97,16 @@ def entity_documents(recipes: DataFrame, interactions: DataFrame, path: str, ext
         *order).write.mode("overwrite").partitionBy("shard").json(f"{path}/ratings")
 
 
+def lookup_table(df: DataFrame, key: str, path: str, group_bytes: int = 8 * 1024 * 1024) -> None:
+    """A Parquet table for reading single keys: rows in key order, small row groups, a bloom filter per group.
+
+    The order gives every group its own range of keys, so a lookup opens the one group that can hold the key;
+    the bloom filter spares even that one for most keys that are not there.
+    """
+    df.repartitionByRange(key).sortWithinPartitions(key).write.mode("overwrite").option(
+        f"parquet.bloom.filter.enabled#{key}", "true").option("parquet.block.size", str(group_bytes)).parquet(path)
+
+
 def small_csv(df: DataFrame, path: str) -> None:
     """A small result as one CSV file with a header."""
     df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from orrery.config import ENCODERS
-from orrery.operators import categories, clusters, embed, explore, layout, ratings
+from orrery.operators import categories, clusters, embed, explore, layout, ratings, relate
 from orrery.sources import readers, schemas, views, writers
 from orrery.streaming import resume
 
@@ -235,3 +235,22 @@ def test_json_lines_keep_records_with_a_mistyped_field(spark, out):
     found = {r["id"]: (r["minutes"], r["tags"]) for r in readers.valid_records(rows).collect()}
     assert found == {1: (5, ["a"]), 2: (5, None), 3: (None, ["b", "1"]), 4: (None, None)}
     assert readers.rejects(rows).first()["n_unreadable"] == 1
+
+
+def test_a_lookup_reads_one_row_group(spark, out):
+    rows = spark.range(40_000).select((F.col("id") * 2).alias("id"), F.sha2(F.col("id").cast("string"), 256).alias("text"))
+    writers.lookup_table(rows.repartition(5), "id", f"{out}/lookup", group_bytes=64 * 1024)
+    stored = spark.read.parquet(f"{out}/lookup")
+
+    def looked_up(value):
+        found = relate.record_of_table(stored, "id", value)
+        plan = found._jdf.queryExecution().executedPlan()
+        rows = found.collect()
+        leaf = plan.collectLeaves().head()
+        return rows, leaf.metrics().apply("numOutputRows").value()
+
+    found, read = looked_up(31_414)
+    assert [r["id"] for r in found] == [31_414] and 0 < read < 8_000
+    assert "PushedFilters: [IsNotNull(id), EqualTo(id,31414)]" in relate.record_of_table(stored, "id", 31_414)._jdf.queryExecution().toString()
+    found, read = looked_up(31_415)
+    assert found == [] and read < 8_000
