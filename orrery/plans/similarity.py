@@ -180,7 +180,7 @@ def pca_layout(spark, folder):
 @query("spectral_layout")
 def spectral_layout(spark, folder):
     """Coordinates that keep neighbourhoods, from the neighbour table of all vectors."""
-    placed = spectral.layout(neighbours.graph(views.embeddings(spark, folder), 15), 2)
+    placed = spectral.layout(neighbours.graph(views.embeddings(spark, folder), 15), 2, cycles=3)
     return placed.select("id", *[F.round(a, 6).alias(a) for a in ("x", "y")])
 
 
