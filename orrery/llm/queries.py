@@ -140,27 +140,13 @@ def op4_warc_archives(spark: SparkSession, folder: str) -> DataFrame:
         F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "date", "verified")
 
 
-#: fixed values: the rules of the query, and a small table of labelled URLs (1: allow)
+#: fixed values: the rules of the query
 URL_RULES = {"org/": "allow", "example.org/es/": "block", "example.org/en/1": "block", "com/fr/": "allow", "com/de/": "block"}
-LABELLED_URLS = (
-    ("https://spam-farm.example.org/en/728", 0), ("http://www.spam-farm.example.com/de/4", 0), ("https://spam-mail.test/win", 0),
-    ("http://www.cheap-pills.example.com/en/450", 0), ("https://cheap-pills.shop.test/buy", 0), ("http://cheap-meds.test/fr/1", 0),
-    ("https://casino-win.example.net/en/1", 0), ("http://m.casino-win.example.com/es/77", 0), ("https://casino.test/play", 0),
-    ("https://free-bets.example.net/de/9", 0), ("http://blog.free-bets.example.org/en/31", 0), ("https://bets-online.test/", 0),
-    ("https://adult-x.example.com/en/8", 0), ("http://m.adult-x.example.net/fr/120", 0), ("https://adult-cams.test/live", 0),
-    ("https://ads-track.example.com/en/61", 0), ("http://m.ads-track.example.net/es/2", 0), ("https://track-ads.test/pixel", 0),
-    ("https://news.example.net/en/25", 1), ("http://blog.garden.example.com/fr/853", 1), ("https://m.weather.example.net/de/7", 1),
-    ("https://www.library.example.net/es/978", 1), ("http://recipes.example.com/en/148.html", 1), ("https://science.test/en/1", 1),
-    ("https://thther.example.net/en/685", 1), ("http://blog.tionsh.example.net/es/533/", 1), ("https://therin.example.net/en/770", 1),
-    ("https://m.ththth.example.net/en/25", 1), ("http://ththre.example.com/en/825", 1), ("https://www.therou.example.net/fr/71", 1),
-    ("http://museum.test/de/rooms", 1), ("https://school.example.com/en/12", 1), ("https://travel.example.net/es/40", 1),
-    ("http://m.ththed.example.net/de/193", 1), ("https://blog.music.example.com/en/5/", 1), ("https://www.thering.example.net/en/70", 1),
-)
 
 
 @query("op7_url_filters")
 def op7_url_filters(spark: SparkSession, folder: str) -> DataFrame:
-    model = url_filter.train(spark.createDataFrame(LABELLED_URLS, "url string, allowed int"))
+    model = url_filter.train(url_filter.labelled(spark))
     return url_filter.judge(table(spark, folder, "pages"), URL_RULES, model)
 
 

@@ -9,17 +9,23 @@ fitting rule decides. Everything without a fitting rule is left to the classifie
 
 Defined results: a null URL, or one without ``://``, has an empty host and path (no rule fits; the
 classifier sees no n-gram, so its bias decides); null ids are kept; repeated rows are each judged.
-With labels of one class only the classifier answers that class, without labels: allow.
+With labels of one class only the classifier answers that class, without labels: allow. Further
+columns of the pages are not read, so their names cannot clash.
+
+``labelled_urls.csv`` is a small table of labelled URLs to start from. Prefixes, domains and paths
+are the same for both labels, so only the names of its sites tell them apart.
 """
 
 from __future__ import annotations
 
+import csv
 import re
 from collections.abc import Iterator, Mapping
+from importlib.resources import files
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from orrery.llm.linear import Group, Logit, features, fit
 from orrery.llm.words import Block, text_array
@@ -74,6 +80,13 @@ def _sequences(hosts: list[str], paths: list[str]) -> dict[str, tuple[np.ndarray
     return held
 
 
+def labelled(spark: SparkSession) -> DataFrame:
+    """(url, allowed) of the table of labelled URLs that comes with the package."""
+    with files(__package__).joinpath("labelled_urls.csv").open(encoding="utf-8", newline="") as lines:
+        rows = [(row["url"], int(row["allowed"])) for row in csv.DictReader(lines)]
+    return spark.createDataFrame(rows, "url string, allowed int")
+
+
 def train(labelled: DataFrame, url_column: str = "url", label_column: str = "allowed") -> Logit:
     """A classifier from a small table of URLs labelled 1 (allow) or 0 (block)."""
     table = labelled.select(url_column, label_column).dropna().limit(MAX_LABELLED + 1).toArrow()

@@ -87,6 +87,38 @@ def test_url_query(spark, size):
     assert right >= 0.95 * free
 
 
+def site(host):
+    """Name of a site of the test pages: ``www.name.example.org``."""
+    labels = host.split(".")
+    return labels[-3] if len(labels) > 2 else host
+
+
+def test_sites_that_are_not_in_the_labelled_table(spark):
+    labelled = {url_filter.parts(r.url)[0] for r in url_filter.labelled(spark).collect()}
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet").filter("url is not null")
+    found = {}
+    for r in url_filter.judge(pages, {}, url_filter.train(url_filter.labelled(spark))).collect():
+        found.setdefault(site(r.host), []).append(r.verdict)
+    assert not {name for name in found for host in labelled if name in host.split(".")}
+    bad = {"spam-farm", "cheap-pills", "casino-win", "free-bets", "adult-x", "ads-track"}
+    right = {name: v.count("block" if name in bad else "allow") / len(v) for name, v in found.items()}
+    assert bad <= set(right) and all(right[name] >= 0.8 for name in bad)
+    good = [share for name, share in right.items() if name not in bad]
+    assert sum(good) / len(good) >= 0.95
+
+
+def test_labelled_sites_left_out_of_the_fit(spark):
+    rows = [(r.url, r.allowed) for r in url_filter.labelled(spark).collect()]
+    right = 0
+    for fold in range(5):
+        model = url_filter.train(spark.createDataFrame([row for i, row in enumerate(rows) if i % 5 != fold], "url string, allowed int"))
+        left = [(url, allowed, "clash", "clash") for i, (url, allowed) in enumerate(rows) if i % 5 == fold]
+        judged = url_filter.judge(spark.createDataFrame(left, "url string, page_id int, host string, verdict string"), {}, model)
+        right += judged.filter("(verdict = 'allow') = (page_id = 1)").count()
+    print("left out:", right, "of", len(rows))
+    assert right >= 0.75 * len(rows)
+
+
 def test_odd_urls(spark):
     urls = [(1, None), (2, ""), (3, "nothing"), (None, "http://a.org/x"), (3, "nothing"), (4, "http://x.com/fr/" + "y" * 50000)]
     model = url_filter.train(spark.createDataFrame([], "url string, allowed int"))
