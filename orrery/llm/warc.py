@@ -4,13 +4,16 @@
   (by SHA-1 and length) are stored once: the smallest id is a *response*, the others *revisit* it.
   What the tasks wrote is listed in a checkpointed manifest; files of failed attempts are not in it.
 - ``read``: archives are streamed member by member, one record in memory at a time.
-- ``histories``: each archive is a run of captures, sorted by URL key, time and id. Runs are cut at
-  common bounds (range partitions), and a loser tree merges the runs of each range, so the captures
-  of all archives are in one global order: the history of each URL key, however many it has.
+- ``histories``: an external merge. Every task sorts the captures it read by URL key, time and id and
+  writes them as a run into the shared folder. Ranges with common bounds, drawn from a sample of the
+  runs, are merged each by its own task: a loser tree over all runs, which streams a few rows of each
+  at a time. The captures of all archives are in one global order then: the history of each URL key,
+  however many it has. Bounds are whole sort keys, so one URL may take many ranges.
 
 Defined results: a null payload is empty; a null URL is written as ``urn:none`` and has an empty
 key; a null id comes after all others among equal payloads; repeated rows with the smallest id are
-each a response; an empty table gives an empty manifest.
+each a response; an empty table gives an empty manifest. Ids are whole numbers. Further columns of
+the pages are not read; of records a column ``url_key`` is replaced and others are kept.
 """
 
 from __future__ import annotations
@@ -18,22 +21,29 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import math
 import re
 import uuid
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from orrery.session import cut, fresh_path
 
 MIN_BYTES = 0
 EPOCH = 1_700_000_000  # captures without a time are dated by their id from here, in seconds
-RECORD = ("target string, date string, record_type string, payload_digest string, payload_bytes long, refers_to {id}, "
-          "id {id}, verified boolean, archive string")
+RECORD = ("target string, date string, record_type string, payload_digest string, payload_bytes long, refers_to long, "
+          "id long, verified boolean, archive string")
+RANGE_ROWS = 1_000_000  # records a merge task is meant to have
+SAMPLES = 100  # rows drawn per bound; they set how even the ranges are, not what is in them
+RUN_BLOCK, RUN_BATCH = 1 << 20, 1000  # bytes of a row group of a run, rows that a merge holds of each run
 
 
 def digest_of(payload: bytes) -> str:
@@ -131,7 +141,7 @@ def records_of(stream) -> Iterator[tuple[dict[str, str], bytes, bytes]]:
             yield headers, head, payload
 
 
-def read(manifest: DataFrame, id_type: str = "long") -> DataFrame:
+def read(manifest: DataFrame) -> DataFrame:
     """One row per record of the listed archives; ``verified`` compares a response with its digest."""
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("target", pa.string()), ("date", pa.string()), ("record_type", pa.string()), ("payload_digest", pa.string()),
@@ -156,7 +166,7 @@ def read(manifest: DataFrame, id_type: str = "long") -> DataFrame:
             yield _batch(rows, schema)
 
     spread = manifest.select("archive").repartition(F.col("archive"))
-    return spread.mapInArrow(scan, RECORD.format(id=id_type))
+    return spread.mapInArrow(scan, RECORD)
 
 
 def _number(name: str | None) -> int | None:
@@ -168,7 +178,7 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
 
-def merge_runs(runs: list[list]) -> Iterator:
+def merge_runs(runs: list) -> Iterator:
     """Sorted runs as one sorted stream: a tree of losers, one comparison per level and item."""
     k = len(runs)
     if not k:
@@ -198,10 +208,50 @@ def merge_runs(runs: list[list]) -> Iterator:
             node //= 2
 
 
-def histories(records: DataFrame, partitions: int | None = None) -> DataFrame:
-    """The records with ``url_key``, in the global order of URL key, date and id (null ids last)."""
-    schema = records.schema
-    names = schema.names
+def _place(key: str, date: str, own: int | None) -> tuple:
+    """Sort key of a capture; null ids last."""
+    return key, date, own is None, own or 0
+
+
+def _slice(path: str, system: fs.FileSystem, number: int, low: tuple | None, high: tuple | None) -> Iterator[tuple]:
+    """(key, run, row, batch, row of the batch) of a run's captures from ``low`` up to ``high`` (left out)."""
+    with system.open_input_file(path) as stream:
+        held = pq.ParquetFile(stream)
+        at, groups = held.schema_arrow.names.index("url_key"), []
+        for group in range(held.metadata.num_row_groups):
+            bounds = held.metadata.row_group(group).column(at).statistics
+            known = bounds is not None and bounds.has_min_max
+            if known and (low is not None and bounds.max < low[0] or high is not None and bounds.min > high[0]):
+                continue
+            groups.append(group)
+        row = 0
+        for batch in held.iter_batches(RUN_BATCH, row_groups=groups, use_threads=False):
+            keys = list(map(_place, *(batch.column(name).to_pylist() for name in ("url_key", "date", "id"))))
+            first = bisect_left(keys, low) if low is not None else 0
+            last = bisect_left(keys, high) if high is not None else len(keys)
+            for i in range(first, last):
+                yield keys[i], number, row + i, batch, i
+            if last < len(keys):
+                return
+            row += len(keys)
+
+
+def _taken(merged: list[tuple]) -> Iterator[pa.RecordBatch]:
+    batches, starts, total, places = [], {}, 0, []
+    for *_, batch, row in merged:
+        if id(batch) not in starts:
+            starts[id(batch)] = total
+            batches.append(batch)
+            total += batch.num_rows
+        places.append(starts[id(batch)] + row)
+    if places:
+        yield from pa.Table.from_batches(batches).take(pa.array(places, pa.int64())).combine_chunks().to_batches()
+
+
+def write_runs(records: DataFrame) -> str:
+    """Writes the records with ``url_key`` as sorted runs, one per task; their folder."""
+    records = records.drop("url_key")
+    names = records.columns
 
     def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = names.index("target")
@@ -209,22 +259,44 @@ def histories(records: DataFrame, partitions: int | None = None) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array([url_key(u) for u in batch.column(at).to_pylist()], pa.string())], [*names, "url_key"])
 
-    keyed = records.mapInArrow(key, schema.simpleString()[7:-1].replace(":", " ") + ", url_key string")
-    order = ["url_key", "date", F.col("id").asc_nulls_last()]
-    ranged = keyed.repartitionByRange(*([partitions] if partitions else []), *order)
-    runs = ranged.sortWithinPartitions("archive", *order)
-    columns = [*names, "url_key"]
+    keyed = records.mapInArrow(key, StructType([*records.schema.fields, StructField("url_key", StringType())]))
+    folder = fresh_path(records.sparkSession, "runs")
+    keyed.sortWithinPartitions("url_key", "date", F.col("id").asc_nulls_last()).write.option("parquet.block.size", RUN_BLOCK).parquet(folder)
+    return folder
+
+
+def histories(records: DataFrame, partitions: int | None = None) -> DataFrame:
+    """The records with ``url_key``, in the global order of URL key, date and id (null ids last).
+
+    Partitions are the ranges in order. Without ``partitions`` there is a task per core at least.
+    """
+    spark = records.sparkSession
+    folder = write_runs(records)
+    runs = spark.read.parquet(folder)
+    rows = runs.count()
+    ranges = partitions or max(spark.sparkContext.defaultParallelism, math.ceil(rows / RANGE_ROWS))
+    # a sample of about SAMPLES rows per range
+    drawn = runs.select("url_key", "date", "id").sample(min(1.0, ranges * SAMPLES / max(rows, 1)), seed=1).collect()
+    drawn = sorted(_place(*row) for row in drawn)
+    bounds = [None, *(drawn[len(drawn) * i // ranges] if drawn else None for i in range(1, ranges)), None]
+    system, base = _open(folder)
+    files = sorted(info.path for info in system.get_file_info(fs.FileSelector(base)) if info.path.endswith(".parquet"))
+    shared = spark.sparkContext.broadcast((folder, files, bounds))
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = list(batches)  # one range: its size follows the number of partitions
-        if not held:
-            return
-        table = pa.Table.from_batches(held).combine_chunks()
-        archive = table.column("archive").to_pylist()
-        keys = list(zip(table.column("url_key").to_pylist(), table.column("date").to_pylist(),
-                        [(i is None, i or 0) for i in table.column("id").to_pylist()], range(len(archive))))
-        cuts = [0, *[i for i in range(1, len(archive)) if archive[i] != archive[i - 1]], len(archive)]
-        places = [item[3] for item in merge_runs([keys[a:b] for a, b in zip(cuts, cuts[1:]) if b > a])]
-        yield from table.take(pa.array(places, pa.int64())).to_batches(max_chunksize=5000)
-
-    return runs.mapInArrow(merge, runs.schema).select(*columns)
+        folder, files, bounds = shared.value
+        system, _ = _open(folder)
+        for batch in batches:
+            for at in batch.column(0).to_pylist():
+                low, high = bounds[at], bounds[at + 1]
+                if at and low is None:
+                    continue
+                merged = []
+                for item in merge_runs([_slice(path, system, number, low, high) for number, path in enumerate(files)]):
+                    merged.append(item)
+                    if len(merged) == 5 * RUN_BATCH:
+                        yield from _taken(merged)
+                        merged = []
+                yield from _taken(merged)
+
+    return spark.range(0, ranges, 1, ranges).mapInArrow(merge, runs.schema)

@@ -6,6 +6,7 @@ import random
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from orrery.llm import token_counts, url_filter, warc
 from orrery.llm.queries import QUERIES, URL_RULES
@@ -162,6 +163,23 @@ def test_archives_of_odd_pages(spark):
     assert warc.histories(warc.read(warc.write(frame.limit(0)))).count() == 0
 
 
+def test_histories_of_more_captures_than_a_batch(spark, monkeypatch):
+    r = random.Random(9)
+    # one URL has a third of all captures; ids repeat
+    rows = [(f"http://{'hot' if r.random() < 0.33 else r.randrange(300)}.org/", f"2024-01-{r.randrange(1, 29):02d}",
+             r.choice([None, r.randrange(2000)]), "clash", i) for i in range(6000)]
+    frame = spark.createDataFrame(rows, "target string, date string, id long, url_key string, held int").repartition(9)
+    monkeypatch.setattr(warc, "RUN_BLOCK", 4096)
+    for ranges in (1, 7, 40):
+        found = warc.histories(frame, ranges)
+        sizes = [n for n, in found.groupBy(F.spark_partition_id().alias("p")).count().select("count").collect()]
+        assert len(sizes) > 0.7 * ranges and max(sizes) < max(4 * 6000 / ranges, 6001 // ranges + 1)
+        got = found.collect()
+        order = [(warc.url_key(g.target), g.date, g.id is None, g.id or 0) for g in got]
+        assert order == sorted(order) and all(g.url_key == o[0] for g, o in zip(got, order))
+        assert sorted(g.held for g in got) == list(range(6000))
+
+
 def test_archive_query(spark):
     folder = "/root/testdata/sf0.01"
     pages = [(r.page_id, r.html) for r in spark.read.parquet(f"{folder}/pages.parquet").collect()]
