@@ -42,6 +42,7 @@ EPOCH = 1_700_000_000  # captures without a time are dated by their id from here
 RECORD = ("target string, date string, record_type string, payload_digest string, payload_bytes long, refers_to long, "
           "id long, verified boolean, archive string")
 RANGE_ROWS = 1_000_000  # records a merge task is meant to have
+MAX_TASKS = 4096  # tasks that read archives, and with it runs that a merge meets
 SAMPLES = 100  # rows drawn per bound; they set how even the ranges are, not what is in them
 RUN_BLOCK, RUN_BATCH = 1 << 20, 1000  # bytes of a row group of a run, rows that a merge holds of each run
 
@@ -165,7 +166,8 @@ def read(manifest: DataFrame) -> DataFrame:
         if rows:
             yield _batch(rows, schema)
 
-    spread = manifest.select("archive").repartition(F.col("archive"))
+    # a given number, as the few bytes of the list would be put into one task
+    spread = manifest.select("archive").repartition(max(min(manifest.count(), MAX_TASKS), 1))
     return spread.mapInArrow(scan, RECORD)
 
 
