@@ -94,14 +94,6 @@ PROJECTION_WEIGHTS = {
 }
 DEFAULT_CATEGORY_WEIGHT = 0.5
 
-CUISINES = (
-    "american", "italian", "southern-united-states", "mexican", "canadian",
-    "southwestern-united-states", "midwestern", "african", "australian", "indian",
-    "northeastern-united-states", "greek", "french", "middle-eastern", "chinese",
-    "central-american", "english", "caribbean", "tex-mex", "german", "scandinavian",
-    "south-american", "thai", "cajun", "spanish",
-)
-MEAL_TYPES = ("main-dish", "desserts", "side-dishes", "appetizers", "beverages")
 SECONDARY_FAMILIES = (
     "minutes", "n_ingredients", "n_steps", "n_ratings", "avg_rating", "submitted", "cuisines", "meal_types",
 )
@@ -110,7 +102,6 @@ LABEL_OVERRIDES = {
     "southern-united-states": "southern-us",
     "southwestern-united-states": "southwestern-us",
 }
-INGREDIENT_STOP_WORDS = ("to taste", "to serve", "optional", "garnish")
 TEXT_TEMPLATE = "{name}. {description}. Ingredients: {ingredients}."
 CHILD_THRESHOLD = 0.99
 EXCLUSIVE_MIN_COUNT = 200

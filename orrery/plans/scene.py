@@ -13,7 +13,7 @@ from orrery.plans.sql import with_views
 from orrery.sources import views
 
 CHUNK = 64
-_FAMILIES = ("minutes", "n_steps")
+_FAMILIES = tuple(encoder.field for encoder in ENCODERS)
 
 _B = """, b AS (SELECT MIN(x) AS lx, MAX(x) AS hx, AVG(x) AS mx, MIN(y) AS ly, MAX(y) AS hy, AVG(y) AS my,
                     MIN(z) AS lz, MAX(z) AS hz, AVG(z) AS mz, GREATEST(MAX(x) - MIN(x), MAX(y) - MIN(y), MAX(z) - MIN(z)) AS span
@@ -97,10 +97,10 @@ _PART_ORDER = ", points AS (" + _PART_POINTS + ")" + _MORTON
 
 
 @query("attributes", with_views("assignments", "classes", body=_PART_ORDER + f"""
-    SELECT o.id, position // 500 AS chunk_id, {', '.join(f"CAST({f}.idx AS SMALLINT) AS {f}" for f in _FAMILIES)},
+    SELECT o.id, position // 500 AS chunk_id, {', '.join(f"CAST(COALESCE({f}.idx, 0) AS SMALLINT) AS {f}" for f in _FAMILIES)},
            CAST(ROUND((r.n_steps - 1) / 24.0, 5) AS DOUBLE) AS scalar
     FROM o JOIN recipes r ON r.id = o.id """ + " ".join(
-        f"JOIN assignments {f} ON {f}.id = o.id AND {f}.family = '{f}'" for f in _FAMILIES)))
+        f"LEFT JOIN assignments {f} ON {f}.id = o.id AND {f}.family = '{f}'" for f in _FAMILIES)))
 def attributes(spark, folder):
     placed = layout.z_ordered(_part_points(spark, folder))
     indexed = categories.with_class_index(inputs.assignments(spark, folder), inputs.classes(spark))
@@ -110,11 +110,11 @@ def attributes(spark, folder):
     return layout.attributes(placed, indexed, _FAMILIES, scalar)
 
 
-@query("wide_table", with_views("assignments", body=_PART_ORDER + """
-    SELECT p.id, x, y, z, morton, position, position // 500 AS chunk_id, m.category AS label_minutes, s.category AS label_n_steps,
+@query("wide_table", with_views("assignments", body=_PART_ORDER + f"""
+    SELECT p.id, x, y, z, morton, position, position // 500 AS chunk_id, {', '.join(f"f_{f}.category AS label_{f}" for f in _FAMILIES)},
            r.name, r.submitted, c.avg_rating, c.n_ratings
-    FROM points p JOIN o ON o.id = p.id JOIN recipes r ON r.id = p.id LEFT JOIN contrib c ON c.id = p.id
-    JOIN assignments m ON m.id = p.id AND m.family = 'minutes' JOIN assignments s ON s.id = p.id AND s.family = 'n_steps'"""))
+    FROM points p JOIN o ON o.id = p.id JOIN recipes r ON r.id = p.id LEFT JOIN contrib c ON c.id = p.id """ + " ".join(
+        f"LEFT JOIN assignments f_{f} ON f_{f}.id = p.id AND f_{f}.family = '{f}'" for f in _FAMILIES)))
 def wide_table(spark, folder):
     from orrery.operators.ratings import contrib
 

@@ -94,18 +94,22 @@ def stat_lines(spark, folder):
         X.star_string(c("n_steps") % 6).alias("stars"))
 
 
-@query("hover_text", with_views("assignments", "recipes", body="""
-    , l AS (SELECT id, MAX(CASE WHEN family = 'minutes' THEN CONCAT('minutes: ', category, ' (', PRINTF('%.2f', score), ')') END) AS m,
-                   MAX(CASE WHEN family = 'n_steps' THEN CONCAT('n_steps: ', category, ' (', PRINTF('%.2f', score), ')') END) AS s
+@query("hover_text", with_views("assignments", "recipes", "recipe_items", body="""
+    , l AS (SELECT id, STRING_AGG(CONCAT(family, ': ', category, ' (', PRINTF('%.2f', score), ')'), CHR(10) ORDER BY family) AS labels
             FROM assignments GROUP BY id)
-    SELECT r.id, CONCAT_WS(CHR(10), COALESCE(name, 'Unknown'), m, s, CASE WHEN minutes <> 0 THEN CONCAT('Time: ', CAST(minutes AS VARCHAR), ' min') END,
-           'Ingredients: a, b', submitted) AS text FROM recipes r JOIN l ON l.id = r.id"""))
+    , d AS (SELECT id, ingredient, ROW_NUMBER() OVER (PARTITION BY id ORDER BY ingredient) AS r, COUNT(*) OVER (PARTITION BY id) AS n
+            FROM (SELECT DISTINCT id, ingredient FROM recipe_items))
+    , i AS (SELECT id, CONCAT('Ingredients: ', STRING_AGG(ingredient, ', ' ORDER BY r), CASE WHEN n > 6 THEN CONCAT(' +', CAST(n - 6 AS VARCHAR), ' more') ELSE '' END) AS items
+            FROM d WHERE r <= 6 GROUP BY id, n)
+    SELECT r.id, CONCAT_WS(CHR(10), COALESCE(name, 'Unknown'), labels, CASE WHEN minutes <> 0 THEN CONCAT('Time: ', CAST(minutes AS VARCHAR), ' min') END,
+           items, submitted) AS text FROM recipes r JOIN l ON l.id = r.id LEFT JOIN i ON i.id = r.id"""))
 def hover_text(spark, folder):
-    chosen = inputs.assignments(spark, folder).filter(F.col("family").isin("minutes", "n_steps"))
+    chosen = inputs.assignments(spark, folder)
     labels = chosen.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("family", "category", "score"))).alias("labels"))
+    held = views.recipe_items(spark, folder).groupBy("id").agg(F.array_sort(F.collect_set("ingredient")).alias("items"))
     c = F.col
-    shown = X.hover_text(c("name"), c("labels"), c("minutes"), F.array(F.lit("a"), F.lit("b")), c("submitted"))
-    return views.recipes(spark, folder).join(labels, "id").select("id", shown.alias("text"))
+    shown = X.hover_text(c("name"), c("labels"), c("minutes"), c("items"), c("submitted"))
+    return views.recipes(spark, folder).join(labels, "id").join(held, "id", "left").select("id", shown.alias("text"))
 
 
 @query("item_preview", with_views("recipe_items", body="""
