@@ -182,6 +182,7 @@ def incremental_embed(spark, folder):
     def prepare(batch):
         return batch.select(F.col("doc_id").alias("id"), X.strip(F.col("text")).alias("text")).filter("text <> ''")
 
+    # a pattern, for the table may be one file or a folder of files; a plain path may only be a folder here
     resume.embed_incrementally(
-        spark, folder, _DOC_TEXT, f"{base}/vectors", f"{base}/state", prepare, name_filter="documents.parquet")
+        spark, f"{folder}/{{documents.parquet}}", _DOC_TEXT, f"{base}/vectors", f"{base}/state", prepare)
     return resume.embedded(spark, f"{base}/vectors")

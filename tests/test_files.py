@@ -209,6 +209,23 @@ def test_embedding_resumes(spark, out):
     assert {r["id"]: r["embedding"] for r in run().collect()} == whole
 
 
+@pytest.mark.parametrize("files", [1, 3])
+def test_embedding_reads_a_table_of_one_file_or_several(spark, out, files):
+    from orrery.plans.texts import incremental_embed
+
+    rows = [(i, f"text {i}", "en", "web", 6) for i in range(9)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    table.repartition(files).write.parquet(f"{out}/parts")
+    parts = sorted(Path(f"{out}/parts").glob("part-*"))
+    if files == 1:
+        Path(f"{out}/documents.parquet").write_bytes(parts[0].read_bytes())
+    else:
+        Path(f"{out}/documents.parquet").mkdir()
+        for part in parts:
+            Path(f"{out}/documents.parquet/{part.name}").write_bytes(part.read_bytes())
+    assert sorted(r["id"] for r in incremental_embed(spark, out).collect()) == list(range(9))
+
+
 def test_naming_resumes(spark, out):
     points = spark.createDataFrame([(0, "red ring"), (1, "blue pan"), (-1, "x")], "cluster int, text string")
     named = []
