@@ -19,6 +19,9 @@ from orrery.session import cut
 
 MAX_PIVOTS = 1024
 PIVOTS_PER_BLOCK = 4
+TASK_ROWS = 1 << 14  # rows of either side that meet in one group
+LEAST_ROWS = 1024
+_TILE = 1024
 SLACK = 4e-6  # radians; cosines are compared after rounding to 12 digits
 
 
@@ -52,7 +55,8 @@ class Cells:
     """Pivots, and of every cell the largest distance of a member to its pivot and the number of members.
 
     Distances are angles, or with ``straight`` those between points. The last cell has no pivot: it
-    holds vectors of length 0, about which no angle says anything.
+    holds vectors of length 0, about which no angle says anything. Cells of neighbouring numbers lie
+    near each other; runs of them with ``TASK_ROWS`` members together are a bin, in which rows travel.
     """
 
     pivots: np.ndarray
@@ -64,6 +68,28 @@ class Cells:
         """What a broadcast carries."""
         return self.pivots, self.radii, self.counts, self.straight
 
+    def bins(self) -> np.ndarray:
+        """Number of the bin of every cell."""
+        before = np.cumsum(self.counts) - self.counts
+        size = -(-int(self.counts.sum()) // max(1, -(-int(self.counts.sum()) // TASK_ROWS)))
+        return np.unique(before // max(size, 1), return_inverse=True)[1].astype(np.int32)
+
+    def homes(self, vectors: np.ndarray) -> np.ndarray:
+        """The cell whose pivot is nearest to every vector."""
+        return self._to_pivots(vectors).argmin(axis=1).astype(np.int32)
+
+    def to_meet(self, vectors: np.ndarray, enough: int, farthest: np.ndarray | None) -> np.ndarray:
+        """Which cells every vector has to meet.
+
+        With ``farthest`` (distance to beat or equal) all that can hold something as near; without
+        it the nearest cells that hold ``enough`` members.
+        """
+        if farthest is None:
+            return self.nearest_first(vectors, enough)
+        if not self.straight:
+            farthest = np.arccos(np.clip(1.0 - farthest, -1.0, 1.0))
+        return (self.floors(vectors) <= farthest[:, None]) & (self.counts > 0)
+
     def _to_pivots(self, vectors: np.ndarray) -> np.ndarray:
         return straight_distances(vectors, self.pivots) if self.straight else _angles(vectors, self.pivots)
 
@@ -97,6 +123,17 @@ def place(vectors: np.ndarray, pivots: np.ndarray, straight: bool = False) -> tu
     return np.where(empty, len(pivots), cell).astype(np.int32), np.where(empty, 0.0, away)
 
 
+def _side_by_side(rows: np.ndarray) -> np.ndarray:
+    """The rows in an order in which neighbours are near: halved again and again along their widest axis."""
+    def halves(at: np.ndarray) -> list[np.ndarray]:
+        if len(at) < 2:
+            return [at]
+        order = at[np.argsort(rows[at, rows[at].var(axis=0).argmax()], kind="stable")]
+        return halves(order[: len(at) // 2]) + halves(order[len(at) // 2 :])
+
+    return rows[np.concatenate(halves(np.arange(len(rows))))]
+
+
 def around_pivots(points: DataFrame, count: int, block_rows: int, straight: bool = False) -> tuple[Cells, DataFrame]:
     """The cells of ``points`` (id, embedding, carried) and the points with their ``cell``."""
     wanted = min(MAX_PIVOTS, PIVOTS_PER_BLOCK * max(1, -(-count // block_rows)))
@@ -107,13 +144,15 @@ def around_pivots(points: DataFrame, count: int, block_rows: int, straight: bool
         pivots = pivots[pivots.any(axis=1)] if pivots.any() else np.eye(1, pivots.shape[1])
     if not len(pivots):
         pivots = np.ones((1, 1))
+    pivots = _side_by_side(pivots)
     shared = points.sparkSession.sparkContext.broadcast(pivots)
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            if len(batch):
-                cell, away = place(rows_of(batch["embedding"]), shared.value, straight)
-                yield batch.assign(cell=cell, away=away)
+            for start in range(0, len(batch), _TILE):
+                tile = batch.iloc[start : start + _TILE]
+                cell, away = place(rows_of(tile["embedding"]), shared.value, straight)
+                yield tile.assign(cell=cell, away=away)
 
     placed = cut(points.select("id", "embedding", "carried").mapInPandas(
         assign, f"id long, embedding {points.schema['embedding'].dataType.simpleString()}, "
@@ -124,28 +163,35 @@ def around_pivots(points: DataFrame, count: int, block_rows: int, straight: bool
     return Cells(pivots, radii, counts, straight), placed.drop("away")
 
 
-def per_cell(numbers: np.ndarray) -> Column:
-    """The entry of a list with one number per cell for the cell of a row."""
-    listed = F.array(*[F.lit(int(n)) for n in numbers])
-    return F.element_at(listed, F.col("cell") + 1)
+def _entry(numbers: np.ndarray, at: Column) -> Column:
+    """The entry of a list of numbers at a place."""
+    return F.element_at(F.array(*[F.lit(int(n)) for n in numbers]), at + 1)
 
 
-def meetings(visitors: DataFrame, members: DataFrame, cells: Cells, block_rows: int):
-    """Visitors and members of each cell, cut into blocks of bounded size and put together pairwise.
+def meetings(visitors: DataFrame, members: DataFrame, cells: Cells):
+    """Visitors (with the ``bin`` they visit) and members (with their ``cell``) of each bin, cut into
+    parts of bounded size and put together pairwise.
 
-    Both sides are cut by hash, so a cell that holds most rows is many even blocks.
+    Both sides are cut by hash, so a bin that holds most rows is many even parts. A row travels once per
+    bin and part of the other side, however many cells of the bin it meets.
     """
-    visits = np.zeros(len(cells.counts), dtype=np.int64)
-    for row in visitors.groupBy("cell").count().collect():  # a row per cell
-        visits[row["cell"]] = row["count"]
-    parts = np.maximum(1, -(-cells.counts // block_rows))
-    chunks = -(-visits // block_rows)
+    bins = cells.bins()
+    counts = np.bincount(bins, weights=cells.counts).astype(np.int64)
+    visits = np.zeros(len(counts), dtype=np.int64)
+    for row in visitors.groupBy("bin").count().collect():  # a row per bin
+        visits[row["bin"]] = row["count"]
+    parts = np.maximum(1, -(-counts // TASK_ROWS))
+    # smaller parts than could be held, as long as there are fewer groups than would keep all cores busy
+    wanted = 2 * visitors.sparkSession.sparkContext.defaultParallelism
+    rows = int(np.clip((visits * parts).sum() // wanted, LEAST_ROWS, max(TASK_ROWS, LEAST_ROWS)))
+    chunks = -(-visits // rows)
 
     def dealt(df: DataFrame, own: str, sizes: np.ndarray, other: str, copies: np.ndarray) -> DataFrame:
-        held = df.filter(per_cell(copies) > 0)
-        held = held.withColumn(own, F.pmod(F.xxhash64("id"), per_cell(np.maximum(sizes, 1))).cast("int"))
-        return held.withColumn(other, F.explode(F.sequence(F.lit(0), per_cell(np.maximum(copies, 1)) - 1)))
+        held = df.filter(_entry(copies, F.col("bin")) > 0)
+        held = held.withColumn(own, F.pmod(F.xxhash64("id"), _entry(np.maximum(sizes, 1), F.col("bin"))).cast("int"))
+        return held.withColumn(other, F.explode(F.sequence(F.lit(0), _entry(np.maximum(copies, 1), F.col("bin")) - 1)))
 
-    left = dealt(visitors, "chunk", chunks, "part", np.where(cells.counts > 0, parts, 0)).groupBy("cell", "part", "chunk")
-    right = dealt(members, "part", parts, "chunk", chunks).groupBy("cell", "part", "chunk")
+    placed = members.withColumn("bin", _entry(bins, F.col("cell")))
+    left = dealt(visitors, "chunk", chunks, "part", np.where(counts > 0, parts, 0)).groupBy("bin", "part", "chunk")
+    right = dealt(placed, "part", parts, "chunk", chunks).groupBy("bin", "part", "chunk")
     return left.cogroup(right)

@@ -14,6 +14,7 @@ from orrery.session import cut
 
 _EDGE = "a long, b long, similarity double"
 _TILE = 1024
+_ROUNDING = 1e-11
 PIVOTS = 1024
 
 
@@ -72,15 +73,18 @@ def _similar(left: _Side, right: _Side, threshold: float, link: bool, foreign: n
     for start in range(0, len(left.ids), _TILE):
         for low in range(0, len(right.ids), _TILE):
             rows, columns = slice(start, start + _TILE), slice(low, low + _TILE)
-            similarity = np.round(left.vectors[rows] @ right.vectors[columns].T, 12)
+            similarity = left.vectors[rows] @ right.vectors[columns].T
             a, b = (left.carried, right.carried) if link else (left.ids, right.ids)
             a, b = a[rows], b[columns]
-            counts = a[:, None] < b[None, :]
+            at = np.nonzero(similarity >= threshold - _ROUNDING)
+            similarity = np.round(similarity[at], 12)
+            counts = a[at[0]] < b[at[1]]
             if foreign is not None:
-                counts |= foreign[rows, None] & (a[:, None] != b[None, :])
-            at = np.nonzero((similarity >= threshold) & counts)
-            if len(at[0]):
-                found = pd.DataFrame({"a": np.minimum(a[at[0]], b[at[1]]), "b": np.maximum(a[at[0]], b[at[1]]), "similarity": similarity[at]})
+                counts |= foreign[rows][at[0]] & (a[at[0]] != b[at[1]])
+            counts &= similarity >= threshold
+            if counts.any():
+                at, similarity = (at[0][counts], at[1][counts]), similarity[counts]
+                found = pd.DataFrame({"a": np.minimum(a[at[0]], b[at[1]]), "b": np.maximum(a[at[0]], b[at[1]]), "similarity": similarity})
                 yield found.drop_duplicates(["a", "b"]) if link else found
 
 
@@ -192,7 +196,7 @@ def _compared(points: DataFrame, threshold: float, link: bool, broadcast_bytes:
 
         return points.mapInPandas(search, _EDGE)
 
-    # visitors of a cell: its own points, and those of earlier cells that some member may be similar to
+    # visitors of a bin: its own points, and those of earlier bins that some member may be similar to
     cells, members = around_pivots(points, count, block_rows)
 
     def meet(some: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
@@ -201,26 +205,27 @@ def _compared(points: DataFrame, threshold: float, link: bool, broadcast_bytes:
             found = list(_similar(_Side.of(some), _Side.of(others), threshold, link, some["foreign"].to_numpy(bool)))
         return pd.concat(found, ignore_index=True) if found else pd.DataFrame({"a": [], "b": [], "similarity": []})
 
-    met = meetings(visitors_within(members, cells, threshold), members, cells, block_rows).applyInPandas(meet, _EDGE)
+    met = meetings(visitors_within(members, cells, threshold), members, cells).applyInPandas(meet, _EDGE)
     return met.dropDuplicates(["a", "b"]) if link else met
 
 
 def visitors_within(members: DataFrame, cells: Cells, threshold: float) -> DataFrame:
-    """``members`` with the ``cell`` they meet: their own, and (``foreign``) later ones within the threshold's angle."""
-    shared = members.sparkSession.sparkContext.broadcast(cells.arrays())
+    """``members`` with the ``bin`` they meet: their own, and (``foreign``) later ones with cells within the threshold's angle."""
+    shared, bins = members.sparkSession.sparkContext.broadcast(cells.arrays()), cells.bins()
     widest = float(np.arccos(np.clip(threshold, -1.0, 1.0))) + SLACK
+    number, starts = np.arange(int(bins.max()) + 1), np.flatnonzero(np.diff(bins, prepend=-1))
 
     def choose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cells = Cells(*shared.value)
         for batch in batches:
             for start in range(0, len(batch), _TILE):
                 tile = batch.iloc[start : start + _TILE]
-                vectors, own = _unit_rows(tile["embedding"]), tile["cell"].to_numpy()
-                number = np.arange(len(cells.counts))
-                visited = (number > own[:, None]) & (cells.floors(vectors) <= widest) & (cells.counts > 0)
+                vectors, own = _unit_rows(tile["embedding"]), bins[tile["cell"].to_numpy()]
+                near = np.logical_or.reduceat((cells.floors(vectors) <= widest) & (cells.counts > 0), starts, axis=1)
+                visited = (number > own[:, None]) & near
                 visited |= number == own[:, None]
-                row, cell = np.nonzero(visited)
-                yield tile.iloc[row].assign(cell=cell.astype(np.int32), foreign=cell != own[row])
+                row, at = np.nonzero(visited)
+                yield tile.iloc[row].assign(bin=at.astype(np.int32), foreign=at != own[row])
 
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in members.schema.fields)
-    return members.mapInPandas(choose, f"{fields}, foreign boolean")
+    return members.mapInPandas(choose, f"{fields}, bin int, foreign boolean")

@@ -4,8 +4,9 @@ Two physical forms give the same rows. While the training side fits under a chec
 broadcast and every task multiplies its own query rows with it, without a shuffle. Beyond that
 the training side is cut into cells around pivots. A query first meets the nearest cells that hold
 k rows; the k-th distance found there rules out every cell whose members are all farther away, and
-the query meets only the cells that are left. Cells are cut into blocks of bounded size, and only the
-best k rows per query and block travel on to a final top-k per query.
+the query meets only the cells that are left. Rows travel once per bin, a run of neighbouring cells of
+bounded size; which cells of it are met is told inside the task, for a tile of queries from near each
+other at a time. Only the best k rows per query and bin travel on to a final top-k per query.
 """
 
 from __future__ import annotations
@@ -24,7 +25,9 @@ from orrery.session import cut
 BROADCAST_BYTES = 128 * 1024 * 1024
 BLOCK_ROWS = 50_000
 _QUERY_TILE = 512
-_TRAIN_TILE = 16_384
+_FIRST_TILE = 1024
+_TRAIN_TILE = 4096
+_ROUNDING = 1e-11
 ZERO_DISTANCE = 1e-12  # cosine of equal unit vectors is 1 only up to rounding
 LOO_FLOOR = 1e-10
 
@@ -64,28 +67,58 @@ class _Side:
         return self.ids, self.vectors, self.carried
 
 
+def _distances(tile: np.ndarray, others: np.ndarray, straight: bool) -> np.ndarray:
+    if straight:
+        return straight_distances(tile, others)
+    product = tile @ others.T
+    return np.subtract(1.0, product, out=product)
+
+
+def _closer(best_d: np.ndarray, best_at: np.ndarray, distance: np.ndarray, low: int) -> tuple[np.ndarray, np.ndarray]:
+    """The best rows so far with those of a tile of distances that beat the worst of them.
+
+    A tile adds few: only those are rounded and sorted. Equals go by place, and those of the tile come later.
+    """
+    row, column = np.nonzero(distance < best_d[:, -1:] + _ROUNDING)
+    if not len(row):
+        return best_d, best_at
+    touched, of = np.unique(row, return_inverse=True)
+    k = best_d.shape[1]
+    owner = np.concatenate([np.repeat(np.arange(len(touched)), k), of])
+    values = np.concatenate([best_d[touched].ravel(), np.round(distance[row, column], 12)])
+    places = np.concatenate([best_at[touched].ravel(), column + low])
+    order = np.lexsort((places, values, owner))
+    owner = owner[order]
+    rank = np.arange(len(owner)) - np.searchsorted(owner, owner)
+    kept = order[rank < k]
+    best_d[touched], best_at[touched] = values[kept].reshape(-1, k), places[kept].reshape(-1, k)
+    return best_d, best_at
+
+
 def _nearest(queries: _Side, train: _Side, k: int, skip_self: bool, straight: bool = False) -> Iterator[pd.DataFrame]:
     """k nearest training rows of each query row, tile by tile; the training ids must be ascending."""
     for start in range(0, len(queries.ids), _QUERY_TILE):
         ids = queries.ids[start : start + _QUERY_TILE]
         tile = queries.vectors[start : start + _QUERY_TILE]
-        best_d = np.empty((len(ids), 0))
-        best_at = np.empty((len(ids), 0), dtype=np.int64)
-        for low in range(0, len(train.ids), _TRAIN_TILE):
-            names = train.ids[low : low + _TRAIN_TILE]
-            others = train.vectors[low : low + _TRAIN_TILE]
-            distance = straight_distances(tile, others) if straight else np.subtract(1.0, tile @ others.T)
-            np.round(distance, 12, out=distance)  # copies of one vector are equally far and rank by id
+        best_d = best_at = None
+        low = 0
+        while low < len(train.ids):
+            high = low + (max(_FIRST_TILE, k) if low == 0 else _TRAIN_TILE)
+            names = train.ids[low:high]
+            distance = _distances(tile, train.vectors[low:high], straight)
             if skip_self:
                 own = np.minimum(np.searchsorted(names, ids), len(names) - 1)
                 same = np.nonzero(names[own] == ids)[0]
                 distance[same, own[same]] = np.inf
-            columns = _best(distance, k)
-            best_d = np.concatenate([best_d, np.take_along_axis(distance, columns, axis=1)], axis=1)
-            best_at = np.concatenate([best_at, columns + low], axis=1)
-            columns = _best(best_d, k)
-            best_d = np.take_along_axis(best_d, columns, axis=1)
-            best_at = np.take_along_axis(best_at, columns, axis=1)
+            if best_d is None:
+                np.round(distance, 12, out=distance)  # copies of one vector are equally far and rank by id
+                best_at = _best(distance, k)
+                best_d = np.take_along_axis(distance, best_at, axis=1)
+            else:
+                best_d, best_at = _closer(best_d, best_at, distance, low)
+            low = high
+        if best_d is None:
+            continue
         valid = np.isfinite(best_d)
         row = np.nonzero(valid)[0]
         yield pd.DataFrame({
@@ -152,14 +185,16 @@ def _against_broadcast(asked: DataFrame, known: DataFrame, k: int, skip_self: bo
     return asked.mapInPandas(search, _FOUND)
 
 
-def _visiting(asked: DataFrame, cells: Cells, enough: int, bounds: DataFrame | None = None) -> DataFrame:
-    """Query rows with each ``cell`` they have to meet.
+def _visiting(asked: DataFrame, cells: Cells, enough: int, bounds: DataFrame | None = None, of_cells: bool = False) -> DataFrame:
+    """Query rows with each ``bin`` (or each ``cell``) they have to meet, and the number of their ``home`` cell.
 
-    Without ``bounds`` these are the nearest cells that hold ``enough`` rows; with them
-    (id, farthest: the distance to beat) all others that can hold something as near.
+    Without ``bounds`` these hold the nearest cells with ``enough`` rows; with them
+    (id, farthest: the distance to beat) all cells that can hold something as near.
     """
     shared = asked.sparkSession.sparkContext.broadcast(cells.arrays())
-    bounded = bounds is not None
+    bounded, bins = bounds is not None, cells.bins()
+    number = np.arange(len(bins), dtype=np.int32) if of_cells else bins
+    starts = np.flatnonzero(np.diff(number, prepend=-1))
 
     def choose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cells = Cells(*shared.value)
@@ -167,18 +202,14 @@ def _visiting(asked: DataFrame, cells: Cells, enough: int, bounds: DataFrame | N
             for start in range(0, len(batch), _QUERY_TILE):
                 tile = batch.iloc[start : start + _QUERY_TILE]
                 vectors = point_rows(tile["embedding"]) if cells.straight else _unit_rows(tile["embedding"])
-                visited = cells.nearest_first(vectors, enough)
-                if bounded:
-                    farthest = tile["farthest"].to_numpy()
-                    if not cells.straight:
-                        farthest = np.arccos(np.clip(1.0 - farthest, -1.0, 1.0))
-                    visited = ~visited & (cells.floors(vectors) <= farthest[:, None]) & (cells.counts > 0)
-                row, cell = np.nonzero(visited)
-                yield tile.iloc[row][["id", "embedding", "carried"]].assign(cell=cell.astype(np.int32))
+                visited = cells.to_meet(vectors, enough, tile["farthest"].to_numpy() if bounded else None)
+                row, at = np.nonzero(np.logical_or.reduceat(visited, starts, axis=1))
+                yield tile.assign(home=cells.homes(vectors)).iloc[row].assign(bin=at.astype(np.int32))
 
     kind = asked.schema["embedding"].dataType.simpleString()
-    rows = asked.join(bounds, "id") if bounded else asked
-    return rows.mapInPandas(choose, f"id long, embedding {kind}, carried string, cell int")
+    rows = asked.join(bounds, "id") if bounded else asked.withColumn("farthest", F.lit(None).cast("double"))
+    return rows.select("id", "embedding", "carried", "farthest").mapInPandas(
+        choose, f"id long, embedding {kind}, carried string, farthest double, home int, bin int")
 
 
 def _ranked(found: DataFrame, k: int) -> DataFrame:
@@ -192,24 +223,37 @@ def _bounds(found: DataFrame, k: int) -> DataFrame:
         F.when(F.count(F.lit(1)) >= k, F.max("distance")).otherwise(float("inf")).alias("farthest"))
 
 
+def _over_cells(queries: pd.DataFrame, others: pd.DataFrame, cells: Cells, k: int, enough: int, bounded: bool,
+                skip_self: bool) -> Iterator[pd.DataFrame]:
+    """k nearest rows of each query among those of the cells it has to meet, for tiles of queries from near each other."""
+    queries, others = queries.sort_values(["home", "id"]), others.sort_values("id")
+    asked, known = _Side.of(queries, straight=cells.straight), _Side.of(others, straight=cells.straight)
+    cell, farthest = others["cell"].to_numpy(), queries["farthest"].to_numpy()
+    for start in range(0, len(asked.ids), _QUERY_TILE):
+        at = slice(start, start + _QUERY_TILE)
+        met = cells.to_meet(asked.vectors[at], enough, farthest[at] if bounded else None).any(axis=0)[cell]
+        some = known if met.all() else _Side(known.ids[met], known.vectors[met], known.carried[met])
+        yield from _nearest(_Side(asked.ids[at], asked.vectors[at], asked.carried[at]), some, k, skip_self, cells.straight)
+
+
 def _against_blocks(asked: DataFrame, known: DataFrame, k: int, skip_self: bool,
                     n_train: int, block_rows: int, straight: bool) -> DataFrame:
     cells, members = around_pivots(known, n_train, block_rows, straight)
+    shared, enough = asked.sparkSession.sparkContext.broadcast(cells.arrays()), k + skip_self
 
-    def search(some: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
-        if not len(some) or not len(others):
-            return pd.DataFrame({name.split()[0]: [] for name in _FOUND.split(", ")})
-        sides = _Side.of(some, straight=straight), _Side.of(others, True, straight)
-        return pd.concat(list(_nearest(*sides, k, skip_self, straight)), ignore_index=True)
+    def met(visitors: DataFrame, bounded: bool) -> DataFrame:
+        def search(some: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
+            found = []
+            if len(some) and len(others):
+                found = list(_over_cells(some, others, Cells(*shared.value), k, enough, bounded, skip_self))
+            return pd.concat(found, ignore_index=True) if found else pd.DataFrame(
+                {name.split()[0]: [] for name in _FOUND.split(", ")})
 
-    def met(visitors: DataFrame) -> DataFrame:
-        return meetings(visitors, members, cells, block_rows).applyInPandas(search, _FOUND)
+        return meetings(visitors, members, cells).applyInPandas(search, _FOUND)
 
-    enough = k + skip_self
-    first = cut(_ranked(met(_visiting(asked, cells, enough)), k))
-    # every query has met someone, unless there is no one to meet
-    rest = cut(_visiting(asked, cells, enough, _bounds(first, k)))
-    return _ranked(first.unionByName(met(rest)), k)
+    # the first turn tells how near a neighbour must be; every query has met someone, unless there is no one to meet
+    bounds = cut(_bounds(_ranked(met(_visiting(asked, cells, enough), False), k), k))
+    return _ranked(met(_visiting(asked, cells, enough, bounds), True), k)
 
 
 def visited_cells(queries: DataFrame, train: DataFrame, k: int, query_id: str = "id", train_id: str = "id",
@@ -222,8 +266,8 @@ def visited_cells(queries: DataFrame, train: DataFrame, k: int, query_id: str =
     cells, _ = around_pivots(known, size_of(known)[0], block_rows)
     enough = k + skip_self
     found = nearest(queries, train, k, query_id, train_id, skip_self, broadcast_bytes=0, block_rows=block_rows)
-    first = _visiting(asked, cells, enough).select("id", F.lit(1).alias("first"), F.lit(0).alias("rest"))
-    rest = _visiting(asked, cells, enough, _bounds(found, k)).select("id", F.lit(0).alias("first"), F.lit(1).alias("rest"))
+    first = _visiting(asked, cells, enough, of_cells=True).select("id", F.lit(1).alias("first"), F.lit(0).alias("rest"))
+    rest = _visiting(asked, cells, enough, _bounds(found, k), of_cells=True).select("id", F.lit(0).alias("first"), F.lit(1).alias("rest"))
     return first.unionByName(rest).groupBy(F.col("id").alias("query_id")).agg(
         F.sum("first").alias("first"), F.sum("rest").alias("rest"), F.lit(int((cells.counts > 0).sum())).alias("cells"))
 

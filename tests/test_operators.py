@@ -624,3 +624,57 @@ def test_clusters_with_like_names_are_merged(spark):
     assert {r["id"]: r["cluster"] for r in points.collect()} == {0: 0, 1: 1, 2: 1, 3: 0, 4: 0, 5: 0, 6: -1, 7: 2, 8: -1}
     found = {r["cluster"]: (r["name"], r["merged_from"], r["n"]) for r in table.collect()}
     assert found == {0: ("red wine", [0, 2, 3], 4), 1: ("bread", [1], 2), 2: ("soup", [5], 1)}
+
+
+def _scattered(spark, count, dims, copies=0, seed=31):
+    """Vectors of which no pivot is near any more than the others, and some copies of the first."""
+    rows = np.random.default_rng(seed).normal(size=(count, dims))
+    rows[count - copies :] = rows[0]
+    frame = spark.createDataFrame([(i, row.tolist(), None) for i, row in enumerate(rows)],
+                                  "id long, embedding array<double>, carried string")
+    return rows / np.linalg.norm(rows, axis=1, keepdims=True), frame
+
+
+def test_a_row_travels_once_per_bin(spark):
+    from orrery.operators import cells as C
+
+    _, frame = _scattered(spark, 300, 32)
+    cells, members = C.around_pivots(frame, 300, 4)
+    bounds = frame.select("id", F.lit(2.0).alias("farthest"))
+    assert len(cells.pivots) > 100
+    assert neighbours._visiting(frame, cells, 300, bounds).count() == 300
+    assert graphs.visitors_within(members, cells, -1.0).count() == 300
+
+
+def test_searches_over_several_bins_and_parts_of_a_bin(spark, monkeypatch):
+    from orrery.operators import cells as C
+
+    monkeypatch.setattr(C, "TASK_ROWS", 50)
+    monkeypatch.setattr(C, "LEAST_ROWS", 20)
+    rows, frame = _scattered(spark, 260, 6, copies=120)
+    assert C.around_pivots(frame, 260, 5)[0].bins().max() > 0
+    similarity = np.round(rows @ rows.T, 12)
+    distance = np.round(1.0 - rows @ rows.T, 12)
+    found = collections.defaultdict(list)
+    for row in neighbours.nearest(frame, frame, 7, skip_self=True, broadcast_bytes=0, block_rows=5).collect():
+        found[row["query_id"]].append((row["rank"], row["neighbour_id"]))
+    for query in range(len(rows)):
+        order = sorted((distance[query, i], i) for i in range(len(rows)) if i != query)[:7]
+        assert [n for _, n in sorted(found[query])] == [i for _, i in order]
+    edges = graphs.similar_edges(frame.select("id", "embedding"), 0.5, broadcast_bytes=0, block_rows=5)
+    assert edges.count() == edges.distinct().count()
+    pairs = {(r["a"], r["b"]) for r in graphs.all_pairs(edges, graphs.representatives(frame)).collect()}
+    assert pairs == {(i, j) for i, j in itertools.combinations(range(len(rows)), 2) if similarity[i, j] >= 0.5}
+
+
+def test_a_search_holds_one_tile_of_distances():
+    import tracemalloc
+
+    source = np.random.default_rng(5)
+    side = lambda n: neighbours._Side(np.arange(n), source.normal(size=(n, 4)), np.full(n, None))
+    queries, train = side(600), side(20_000)
+    tracemalloc.start()
+    found = sum(len(part) for part in neighbours._nearest(queries, train, 10, True))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found == 6000 and peak < 60e6
