@@ -22,7 +22,7 @@ from orrery.operators.cells import (
     Cells, around_pivots, meetings, point_rows, straight_distances, unit_rows as _unit_rows)
 from orrery.session import cut
 
-BROADCAST_BYTES = 128 * 1024 * 1024
+BROADCAST_BYTES = 16 * 1024 * 1024  # every worker unpacks a copy of its own
 BLOCK_ROWS = 50_000
 _QUERY_TILE = 512
 _FIRST_TILE = 1024

@@ -678,3 +678,8 @@ def test_a_search_holds_one_tile_of_distances():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert found == 6000 and peak < 60e6
+
+
+def test_tables_of_some_size_are_not_copied_into_every_worker():
+    # 64 numbers a vector: a broadcast of more rows would be held whole by each Python worker
+    assert neighbours.BROADCAST_BYTES // (64 * 8 + 64) < 30_000
