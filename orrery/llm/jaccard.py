@@ -38,7 +38,7 @@ from orrery.llm.columns import unused
 from orrery.llm.parity import array_rows, binary_rows, groups, parities
 from orrery.llm.words import Block, blocks, mix, ngrams, ranges, signed
 from orrery.operators.graphs import connected_components
-from orrery.session import cut, fresh_path
+from orrery.session import cut, stored
 
 SHINGLE = 5
 CELL_BITS = 20
@@ -47,13 +47,6 @@ BLOCK_ROWS = 512
 PAIR_ROWS = 64
 
 
-def _stored(frame: DataFrame, stem: str) -> DataFrame:
-    """``frame`` as a table in the shared folder: read again by columns, not computed again."""
-    path = fresh_path(frame.sparkSession, stem)
-    frame.write.parquet(path)
-    return frame.sparkSession.read.parquet(path)
-
-
 def shingle_sets(block: Block, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle hashes of every text, ascending, and the offsets per text."""
     words, offsets = block.word_hashes, block.word_offsets
@@ -112,7 +105,7 @@ def _sets(documents: DataFrame, id_column: str, text_column: str, size: int, cel
             yield pa.RecordBatch.from_arrays([*[pa.nulls(1, kind) for kind in types], *part.columns], names)
 
     columns = documents.select(F.col(id_column), F.xxhash64(text_column), F.col(text_column))
-    both = _stored(columns.mapInArrow(name, f"id {kind}, key long, n long, node long, at int, cells binary"), "sets")
+    both = stored(columns.mapInArrow(name, f"id {kind}, key long, n long, node long, at int, cells binary"), "sets")
     return both.filter("at is null").select("id", "key", "n", "node"), both.filter("at is not null").select("at", "cells")
 
 
@@ -190,7 +183,7 @@ def _texts(documents: DataFrame, nodes: DataFrame, text_column: str, size: int)
                 yield pa.RecordBatch.from_arrays([pa.array(names[rows], pa.int64()), pa.array(packed, pa.binary())], ["node", "text"])
 
     found = documents.select(text_column).mapInArrow(collect, "node long, text binary")
-    return _stored(found.dropDuplicates(["node"]), "texts")
+    return stored(found.dropDuplicates(["node"]), "texts")
 
 
 def _verified(texts: DataFrame, pairs: DataFrame, size: int) -> DataFrame:
@@ -245,7 +238,7 @@ def links(documents: DataFrame, sets: DataFrame, counts: DataFrame, text_column:
     shared = cut(_shared_shingles(documents, text_column, size, ranks))
     likely = context.broadcast(bitmaps.of(shared))
     postings = _postings(documents, text_column, size, ranks, likely).join(shared, "shingle")
-    listed = _stored(postings.distinct(), "lists")
+    listed = stored(postings.distinct(), "lists")
     firsts = cut(listed.groupBy("shingle").agg(F.min("node").alias("first"), F.max("node").alias("_last")).filter(
         "first < _last").select("shingle", "first"))
     votes = listed.join(firsts, "shingle").filter("node <> first").groupBy("node", "n", "first").agg(
@@ -280,7 +273,7 @@ def _sketches(texts: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
                     sets += np.split(hashes, bounds[1:-1])
                 yield pa.RecordBatch.from_arrays([part.column(0), binary_rows(parities(sets))], ["node", "bits"])
 
-    return _stored(texts.join(nodes, "node", "left_semi").select("node", "text").mapInArrow(sketch, "node long, bits binary"), "sketches")
+    return stored(texts.join(nodes, "node", "left_semi").select("node", "text").mapInArrow(sketch, "node long, bits binary"), "sketches")
 
 
 def _possible(rest: DataFrame, texts: DataFrame, size: int, block_rows: int) -> DataFrame:

@@ -41,7 +41,7 @@ from orrery.llm.jaccard import shingle_sets
 from orrery.llm.parity import array_rows, binary_rows, groups, parities
 from orrery.llm.words import blocks, mix, signed
 from orrery.operators.graphs import connected_components
-from orrery.session import cut, fresh_path
+from orrery.session import cut, stored
 
 SHINGLE = 2
 HASHES = 3
@@ -54,12 +54,6 @@ MAX_BITS = 28
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _stored(frame: DataFrame, stem: str) -> DataFrame:
-    path = fresh_path(frame.sparkSession, stem)
-    frame.write.parquet(path)
-    return frame.sparkSession.read.parquet(path)
-
-
 def _bits(count: int) -> int:
     """Size of a bitmap in which one of sixteen bits is set by ``count`` keys."""
     return min(max(16, (16 * count).bit_length()), MAX_BITS)
@@ -106,7 +100,7 @@ def _signatures(documents: DataFrame, id_column: str, text_column: str, size: in
                     [own.column(0), own.column(1), own.column(2), pa.array(n, pa.int64()), pa.array(a), pa.array(b), binary_rows(keys)], names)
 
     columns = documents.select(F.col(id_column).alias("id"), *_text_names(text_column), F.col(text_column).alias("text"))
-    return _stored(columns.mapInArrow(sign, f"id {kind}, c long, d long, n long, a long, b long, keys binary"), "signatures")
+    return stored(columns.mapInArrow(sign, f"id {kind}, c long, d long, n long, a long, b long, keys binary"), "signatures")
 
 
 def _text_names(text_column: str):
@@ -117,7 +111,7 @@ def _distinct(signatures: DataFrame) -> DataFrame:
     """(node, a, b, n, c, d, keys): one row per distinct set, numbered, with the name of one of its texts."""
     text = F.min(F.struct("c", "d")).alias("text")
     one = signatures.filter("n > 0").groupBy("a", "b", "n", "keys").agg(text)
-    return _stored(one.select(
+    return stored(one.select(
         F.monotonically_increasing_id().alias("node"), "a", "b", "n", "text.c", "text.d", "keys"), "sets")
 
 
@@ -147,7 +141,7 @@ def _shared_tables(sets: DataFrame) -> DataFrame:
     sets = sets.select("node", "keys").repartition(-(-max(sets.count(), 1) // TABLE_ROWS))
     shared = cut(_tables(sets).groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("bucket"))
     likely = sets.sparkSession.sparkContext.broadcast(bitmaps.of(shared, _bits(shared.count())))
-    return _stored(_tables(sets, likely).join(shared, "bucket"), "buckets")
+    return stored(_tables(sets, likely).join(shared, "bucket"), "buckets")
 
 
 def _texts(documents: DataFrame, wanted: DataFrame, text_column: str) -> DataFrame:
@@ -170,7 +164,7 @@ def _texts(documents: DataFrame, wanted: DataFrame, text_column: str) -> DataFra
 
     found = documents.select(*_text_names(text_column), F.col(text_column).alias("text"))
     found = found.mapInArrow(pack, "c long, d long, text binary")
-    return _stored(found.join(wanted, ["c", "d"]).select("node", "text").dropDuplicates(["node"]), "texts")
+    return stored(found.join(wanted, ["c", "d"]).select("node", "text").dropDuplicates(["node"]), "texts")
 
 
 def _sets_of(packed: list[bytes], size: int) -> list[np.ndarray]:
@@ -291,7 +285,7 @@ def _in_blocks(placed: DataFrame, sets: DataFrame, texts: DataFrame, size: int,
 
     names = ["group", "at", "node", "component", "n", "keys", "bits"]
     held = nodes.join(sets.select("node", "n", "keys"), "node").join(texts, "node")
-    held = _stored(held.select("node", "component", "n", "keys", "text").mapInArrow(
+    held = stored(held.select("node", "component", "n", "keys", "text").mapInArrow(
         spread, "group long, at int, node long, component long, n long, keys binary, bits binary"), "unsettled")
     parts = F.ceil(F.count(F.lit(1)) / F.lit(block_rows)).cast("int")
     several = held.groupBy("group").agg(
