@@ -19,6 +19,7 @@ from orrery.session import shuffles_freed
 BITS = 26
 SEGMENT = 1 << 14
 MERGE_WAYS = 64
+MERGE_TASKS = 16
 
 
 def segments(cells: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -42,8 +43,10 @@ def merged(parts: DataFrame, count: int, add: Callable[[np.ndarray, np.ndarray],
         return pa.table({"at": table.column("at")[:1], "way": table.column("way")[:1], "cells": pa.array([packed], pa.binary())})
 
     some = parts.withColumn("way", F.spark_partition_id() % MERGE_WAYS).select("at", "way", "cells")
-    some = some.groupBy("at", "way").applyInArrow(join, "at int, way int, cells binary")
-    whole = some.groupBy("at").applyInArrow(join, "at int, way int, cells binary")
+    # groups of a fixed number: no more tasks than keep all cores busy
+    busy = max(MERGE_TASKS, 4 * parts.sparkSession.sparkContext.defaultParallelism)
+    some = some.groupBy("at", "way").applyInArrow(join, "at int, way int, cells binary").coalesce(busy)
+    whole = some.groupBy("at").applyInArrow(join, "at int, way int, cells binary").coalesce(MERGE_TASKS)
     cells = np.zeros(count, dtype=np.uint32)
     with shuffles_freed(parts.sparkSession):
         rows = whole.select("at", "cells").collect()  # a fixed number of segments, packed

@@ -38,13 +38,14 @@ from orrery.llm.columns import unused
 from orrery.llm.parity import array_rows, binary_rows, groups, parities
 from orrery.llm.words import Block, blocks, mix, ngrams, ranges, signed
 from orrery.operators.graphs import connected_components
-from orrery.session import cut, stored
+from orrery.session import cut_to_size, stored
 
 SHINGLE = 5
 CELL_BITS = 20
 COMPARED_ROWS = 256
 BLOCK_ROWS = 512
 PAIR_ROWS = 64
+PAIRS_A_PART = 1024
 
 
 def shingle_sets(block: Block, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -183,11 +184,13 @@ def _texts(documents: DataFrame, nodes: DataFrame, text_column: str, size: int)
                 yield pa.RecordBatch.from_arrays([pa.array(names[rows], pa.int64()), pa.array(packed, pa.binary())], ["node", "text"])
 
     found = documents.select(text_column).mapInArrow(collect, "node long, text binary")
-    return stored(found.dropDuplicates(["node"]), "texts")
+    kept = stored(found.dropDuplicates(["node"]), "texts")
+    likely.destroy()
+    return kept
 
 
 def _verified(texts: DataFrame, pairs: DataFrame, size: int) -> DataFrame:
-    """(a, b) of the distinct pairs that link; only sets that are in a pair are shuffled."""
+    """(a, b) of the distinct pairs that link, cut; only sets that are in a pair are shuffled."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node"))
     likely = texts.sparkSession.sparkContext.broadcast(bitmaps.of(wanted))
 
@@ -221,7 +224,9 @@ def _verified(texts: DataFrame, pairs: DataFrame, size: int) -> DataFrame:
     a = chosen.select(F.col("node").alias("a"), F.col("text").alias("x"))
     b = chosen.select(F.col("node").alias("b"), F.col("text").alias("y"))
     met = pairs.join(b, "b").join(a, "a").select("a", "b", "x", "y")
-    return met.mapInArrow(compare, "a long, b long")
+    found, _ = cut_to_size(met.mapInArrow(compare, "a long, b long"))
+    likely.destroy()
+    return found
 
 
 def _band(n):
@@ -235,11 +240,13 @@ def links(documents: DataFrame, sets: DataFrame, counts: DataFrame, text_column:
     (a, b) of the links between sets whose classes still differed; every link is verified."""
     context = documents.sparkSession.sparkContext
     ranks = context.broadcast(_frequencies(counts, cell_bits))
-    shared = cut(_shared_shingles(documents, text_column, size, ranks))
+    shared, _ = cut_to_size(_shared_shingles(documents, text_column, size, ranks))
     likely = context.broadcast(bitmaps.of(shared))
     postings = _postings(documents, text_column, size, ranks, likely).join(shared, "shingle")
     listed = stored(postings.distinct(), "lists")
-    firsts = cut(listed.groupBy("shingle").agg(F.min("node").alias("first"), F.max("node").alias("_last")).filter(
+    for held in (ranks, likely):
+        held.destroy()  # a copy of each is on the disk of every executor
+    firsts, _ = cut_to_size(listed.groupBy("shingle").agg(F.min("node").alias("first"), F.max("node").alias("_last")).filter(
         "first < _last").select("shingle", "first"))
     votes = listed.join(firsts, "shingle").filter("node <> first").groupBy("node", "n", "first").agg(
         F.count(F.lit(1)).alias("votes"))
@@ -248,17 +255,19 @@ def links(documents: DataFrame, sets: DataFrame, counts: DataFrame, text_column:
     sizes = sets.filter("n > 0").select(F.col("node").alias("a"), F.col("n").alias("m")).distinct()
     pairs = best.select(F.col("best.first").alias("a"), F.col("node").alias("b"), F.col("best.votes").alias("votes"), F.col("best.n").alias("n"))
     rest = F.greatest(F.expr("(4 * n + 4) div 5 - 1"), F.expr("(4 * m + 4) div 5 - 1"))
-    pairs = cut(pairs.join(sizes, "a").filter(9 * (F.col("votes") + rest) >= 4 * (F.col("n") + F.col("m"))).select("a", "b"))
+    pairs, _ = cut_to_size(
+        pairs.join(sizes, "a").filter(9 * (F.col("votes") + rest) >= 4 * (F.col("n") + F.col("m"))).select("a", "b"), PAIRS_A_PART)
     # whoever is in any list with another set may be compared later
     texts = _texts(documents, listed.join(firsts, "shingle").select("node"), text_column, size)
-    near = cut(_verified(texts, pairs, size))
-    found = cut(_components(near))
+    near = _verified(texts, pairs, size)
+    found, _ = cut_to_size(_components(near))
     known = listed.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     # lists that still hold more than one class
     open_lists = known.groupBy("shingle").agg(F.min("component").alias("c"), F.max("component").alias("d")).filter("c < d")
-    rest = cut(known.join(cut(open_lists.select("shingle")), "shingle").select("shingle", "node", "n", "at", "component"))
-    pairs = cut(_possible(rest, texts, size, block_rows).distinct())
-    return found, cut(_verified(texts, pairs, size))
+    open_lists, _ = cut_to_size(open_lists.select("shingle"))
+    rest, _ = cut_to_size(known.join(open_lists, "shingle").select("shingle", "node", "n", "at", "component"))
+    pairs, _ = cut_to_size(_possible(rest, texts, size, block_rows).distinct(), PAIRS_A_PART)
+    return found, _verified(texts, pairs, size)
 
 
 def _sketches(texts: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
@@ -338,11 +347,12 @@ def classes(documents: DataFrame, id_column: str = "doc_id", text_column: str =
     for end in ("a", "b"):  # links between the classes of the first comparisons
         late = late.join(found.select(F.col("node").alias(end), F.col("component").alias("_of")), end, "left").withColumn(
             end, F.coalesce("_of", end)).drop("_of")
-    onward = cut(_components(cut(late.distinct()))).select(F.col("node").alias("component"), F.col("component").alias("_whole"))
+    onward = cut_to_size(_components(cut_to_size(late.distinct())[0]))[0].select(F.col("node").alias("component"), F.col("component").alias("_whole"))
     placed = sets.filter("n > 0").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    placed = cut(placed.join(onward, "component", "left").select(
+    placed, _ = cut_to_size(placed.join(onward, "component", "left").select(
         "id", "key", "n", F.coalesce("_whole", "component").alias("component")))
-    smallest = cut(placed.groupBy("component").agg(F.min("id").alias("component_id"), F.count(F.lit(1)).alias("class_rows")))
+    smallest, _ = cut_to_size(placed.groupBy("component").agg(
+        F.min("id").alias("component_id"), F.count(F.lit(1)).alias("class_rows")))
     full = placed.join(smallest, "component").select(
         F.col("id").alias(id_column), "key", F.col("n").alias("n_shingles"), "component", "component_id", "class_rows")
     empty = sets.filter("n = 0").select(
@@ -354,7 +364,7 @@ def classes(documents: DataFrame, id_column: str = "doc_id", text_column: str =
 def keep_first(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", size: int = SHINGLE,
                cell_bits: int = CELL_BITS) -> DataFrame:
     """The rows of ``documents`` with the smallest id of each class; rows without shingles all stay."""
-    found = cut(classes(documents, id_column, text_column, size, cell_bits))
+    found, _ = cut_to_size(classes(documents, id_column, text_column, size, cell_bits))
     full, empty = found.filter("n_shingles > 0"), found.filter("n_shingles = 0")
     least = F.min(F.struct(F.col(id_column).isNull().alias("none"), F.col(id_column).alias("id"), F.col("key").alias("key")))
     kept, key, blank, own, turn = unused(documents, "_kept", "_key", "_empty", "_own", "_turn")

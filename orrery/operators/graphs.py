@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from orrery.operators.cells import SLACK, Cells, around_pivots, meetings, unit_rows as _unit_rows
 from orrery.operators.neighbours import BLOCK_ROWS, BROADCAST_BYTES, _as_input, _Side, size_of
-from orrery.session import cut
+from orrery.session import cut, cut_to_size, fitted
 
 _EDGE = "a long, b long, similarity double"
 _TILE = 1024
@@ -25,28 +25,29 @@ def connected_components(nodes: DataFrame, edges: DataFrame, a: str = "a", b: st
     Every round points each node at its neighbour of lowest random priority (or itself, if that
     is lower), follows the pointers two steps and contracts the graph along them. The edges that are left shrink by a constant share, so a hub
     disappears early and long chains take a logarithmic number of rounds. The pointers of all
-    rounds are then followed once, from the smallest table to the largest.
+    rounds are then followed once, from the smallest table to the largest. Every table has as
+    many parts as its rows need, so the late rounds are a few tasks.
     """
-    current = cut(
+    current, left = cut_to_size(
         edges.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u <> v").distinct()
     )
     pointers: list[DataFrame] = []
-    while not current.isEmpty():
+    while left:
         if len(pointers) >= max_rounds:
             raise RuntimeError(f"components not settled after {max_rounds} rounds")
         both = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
         salt = F.lit(len(pointers))
         of_v, of_u = F.xxhash64("v", salt), F.xxhash64("u", salt)
-        lowest = both.groupBy("u").agg(F.min_by("v", of_v).alias("best"), F.min(of_v).alias("priority"))
+        lowest = fitted(both.groupBy("u").agg(F.min_by("v", of_v).alias("best"), F.min(of_v).alias("priority")), left)
         once = lowest.select("u", F.when(of_u <= F.col("priority"), F.col("u")).otherwise(F.col("best")).alias("p"))
         # two pointers at a time; derived from the checkpointed edges whenever it is needed again
         twice = once.select(F.col("u").alias("p"), F.col("p").alias("pp"))
-        step = once.join(twice, "p").select("u", F.col("pp").alias("p"))
+        step = fitted(once.join(twice, "p").select("u", F.col("pp").alias("p")), left)
         pointers.append(step)
         moved = current.join(step, "u").select(F.col("p").alias("pu"), "v")
         step_v = step.select(F.col("u").alias("v"), F.col("p").alias("pv"))
-        moved = moved.join(step_v, "v").filter("pu <> pv")
-        current = cut(moved.select(
+        moved = fitted(moved, left).join(step_v, "v").filter("pu <> pv")
+        current, left = cut_to_size(moved.select(
             F.least("pu", "pv").alias("u"), F.greatest("pu", "pv").alias("v")
         ).distinct())
     root = None
@@ -55,7 +56,7 @@ def connected_components(nodes: DataFrame, edges: DataFrame, a: str = "a", b: st
             root = step.select("u", F.col("p").alias("root"))
         else:
             onward = root.select(F.col("u").alias("p"), F.col("root").alias("_root"))
-            root = cut(step.join(onward, "p", "left").select("u", F.coalesce("_root", "p").alias("root")))
+            root, _ = cut_to_size(step.join(onward, "p", "left").select("u", F.coalesce("_root", "p").alias("root")))
     ids = nodes.select("id").distinct()
     if root is None:
         return ids.select("id", F.col("id").alias("component"))

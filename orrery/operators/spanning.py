@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from orrery.operators.graphs import connected_components
 from orrery.operators.positions import with_position
-from orrery.session import cut
+from orrery.session import cut_to_size, fitted
 
 NOISE = -1
 
@@ -47,26 +47,26 @@ def spanning_forest(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
     least goes on. The order of edges has no ties, so no round closes a circle.
     """
     least = F.min(F.struct("weight", "a", "b")).alias("least")
-    left = cut(edges.filter("a <> b").select(F.col("a").alias("u"), F.col("b").alias("v"), "a", "b", "weight"))
+    left, rows = cut_to_size(edges.filter("a <> b").select(F.col("a").alias("u"), F.col("b").alias("v"), "a", "b", "weight"))
     chosen: list[DataFrame] = []
-    while not left.isEmpty():
+    while rows:
         if len(chosen) >= max_rounds:
             raise RuntimeError(f"spanning forest not settled after {max_rounds} rounds")
         ends = left.unionByName(left.select(F.col("v").alias("u"), F.col("u").alias("v"), "a", "b", "weight"))
-        picks = ends.groupBy("u").agg(F.min(F.struct("weight", "a", "b", "v")).alias("pick"))
-        picks = cut(picks.select("u", "pick.*"))
+        picks = fitted(ends.groupBy("u").agg(F.min(F.struct("weight", "a", "b", "v")).alias("pick")), rows)
+        picks, _ = cut_to_size(picks.select("u", "pick.*"))
         chosen.append(picks.select("a", "b", "weight").distinct())
-        trees = picks.select(F.col("u").alias("id")).union(picks.select("v")).distinct()
-        joined = cut(connected_components(trees, picks, "u", "v"))
+        # every tree that has an edge picks one, so the other end of a pick is a tree with a pick too
+        joined, _ = cut_to_size(connected_components(picks.select(F.col("u").alias("id")), picks, "u", "v"))
         for end in ("u", "v"):
-            left = left.join(joined.select(F.col("id").alias(end), F.col("component").alias("_tree")), end).withColumn(
+            left = fitted(left, rows).join(joined.select(F.col("id").alias(end), F.col("component").alias("_tree")), end).withColumn(
                 end, F.col("_tree")).drop("_tree")
         left = left.filter("u <> v").groupBy(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).agg(least)
-        left = cut(left.select("u", "v", "least.*"))
+        left, rows = cut_to_size(left.select("u", "v", "least.*"))
     forest = edges.select("a", "b", "weight").limit(0)
     for part in chosen:
         forest = forest.unionByName(part)
-    return cut(forest)
+    return cut_to_size(forest)[0]
 
 
 def clusters_at(points: DataFrame, forest: DataFrame, distance: Column | float, min_size: int = 1) -> DataFrame:
@@ -74,7 +74,7 @@ def clusters_at(points: DataFrame, forest: DataFrame, distance: Column | float,
 
     Points without such an edge, and parts below ``min_size``, are noise (-1).
     """
-    held = cut(forest.filter(F.col("weight") <= distance))
+    held, _ = cut_to_size(forest.filter(F.col("weight") <= distance))
     dense = held.select(F.col("a").alias("id")).union(held.select("b")).distinct()
     component = connected_components(dense, held)
     sizes = component.groupBy("component").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_size)

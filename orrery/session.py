@@ -7,7 +7,9 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
+
+PART_ROWS = 1 << 15
 
 
 def build_session(app: str = "orrery", master: str | None = None, **conf: str) -> SparkSession:
@@ -87,3 +89,25 @@ def cut(df: DataFrame) -> DataFrame:
         context.setCheckpointDir(shared_dir(df.sparkSession))
     with shuffles_freed(df.sparkSession):
         return df.select("*").checkpoint(eager=True)
+
+
+def parts_of(rows: int, part_rows: int = PART_ROWS) -> int:
+    return max(1, -(-rows // part_rows))
+
+
+def fitted(df: DataFrame, rows: int, part_rows: int = PART_ROWS) -> DataFrame:
+    """``df``, which has about as many rows, in as many parts as they need, if that is fewer than a shuffle makes."""
+    parts = parts_of(rows, part_rows)
+    return df.coalesce(parts) if parts < int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
+
+
+def cut_to_size(df: DataFrame, part_rows: int = PART_ROWS) -> tuple[DataFrame, int]:
+    """``cut`` for narrow rows, and their number, which is counted on the way.
+
+    What comes back has parts of ``part_rows`` rows or so, where the shuffle before had more parts than that: each
+    of them would be a task in every later step, with shuffle files of its own and an entry in the driver's memory.
+    """
+    seen = Observation()
+    held = cut(df.observe(seen, F.count(F.lit(1)).alias("n")))
+    rows = seen.get["n"]
+    return fitted(held, rows, part_rows), rows
