@@ -10,7 +10,7 @@ Where the cuts fall and which form a text takes follow from a hash of its id alo
 other partitions give the same rows. Repeated rows give repeated results; a null id hashes as an
 empty one; a null text is an empty text; texts that are empty or contain a marker stay plain. Only
 the id and the text are read, and results have their own columns, so no other column can clash.
-Memory follows a block of 1 MB or the longest single text.
+Memory follows a block of 0.5 MB or the longest single text.
 """
 
 from __future__ import annotations

@@ -1,9 +1,15 @@
+import random
+import tracemalloc
+
+import numpy as np
+import pyarrow as pa
 import pytest
 from brute import measures
 from pyspark.sql import functions as F
 
 from orrery.llm import quality
 from orrery.llm.queries import QUERIES
+from orrery.llm.words import blocks
 
 SCHEMA = "doc_id long, text string, n_words string"
 TEXTS = [
@@ -44,3 +50,17 @@ def test_query_whole_table_and_held_out_accuracy(spark, size):
     judged = quality.score(documents, model).join(known.filter(part == 0), "doc_id").collect()
     right = sum(r.kept == (r.quality == 1) or r.base_failed for r in judged)
     assert right >= 0.95 * len(judged)
+
+
+def test_a_worker_holds_the_arrays_of_a_small_block():
+    r = random.Random(21)
+    texts = pa.array([" ".join(f"w{r.randrange(5000)}" for _ in range(300)) for _ in range(2000)])
+    model = quality.Logit(quality.GROUPS, np.zeros(2 << quality.BITS, dtype=np.int64), 0.0)
+    tracemalloc.start()
+    rows = 0
+    for block in blocks(texts):
+        quality.measures(block)
+        rows += len(model.probability(quality.sequences(block)))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows == len(texts) and peak < 55_000_000
