@@ -108,7 +108,16 @@ _EDGES = f"""
           WHERE LIST_DOT_PRODUCT(a.embedding, b.embedding) / (a.norm * b.norm) >= {EDGE_THRESHOLD})"""
 
 
-@query("sim_edges", with_views("vectors", body=f"""
+@query("sim_edges", with_views("vectors", body=_EDGES + " SELECT * FROM e"))
+def sim_pairs(spark, folder):
+    """All pairs, those of exact copies too: the edges of distinct vectors expanded by the table of copies."""
+    points = views.embeddings(spark, folder).select("id", "embedding")
+    edges = graphs.similar_edges(points, EDGE_THRESHOLD)
+    pairs = graphs.all_pairs(edges, graphs.representatives(points))
+    return pairs.withColumn("similarity", F.round("similarity", 6))
+
+
+@query("sim_edges_members", with_views("vectors", body=f"""
     , u AS (SELECT MIN(id) AS id, embedding, SQRT(LIST_DOT_PRODUCT(embedding, embedding)) AS norm FROM vectors GROUP BY embedding)
     SELECT 'pair' AS kind, a.id AS a, b.id AS b, ROUND(LIST_DOT_PRODUCT(a.embedding, b.embedding) / (a.norm * b.norm), 6) AS similarity
     FROM u a JOIN u b ON a.id < b.id

@@ -6,6 +6,7 @@ import itertools
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -454,6 +455,18 @@ def test_sim_edges_lists_the_links_of_copies(spark, tmp_path):
     assert found == [("member", 1, 1), ("member", 1, 2), ("member", 1, 5), ("member", 3, 3), ("pair", 1, 3)]
 
 
+def test_sim_edges_lists_every_pair_of_copies(spark, tmp_path):
+    from compare import compare
+    from orrery.plans.catalogue import QUERIES, SQL
+
+    hot, near, apart = [1.0, 0.0], [0.9, 0.1], [-1.0, 0.0]
+    rows = pd.DataFrame({"vec_id": range(1, 7), "embedding": [hot, hot, near, near, hot, apart], "label": 0})
+    rows.to_parquet(f"{tmp_path}/embeddings.parquet")
+    found = sorted((r["a"], r["b"]) for r in QUERIES["sim_edges"](spark, str(tmp_path)).collect())
+    assert found == list(itertools.combinations(range(1, 6), 2))
+    assert compare(spark, str(tmp_path), QUERIES["sim_edges"], SQL["sim_edges"]) is None
+
+
 def _clustered(spark, groups=12, each=60, dims=16, odd=()):
     source = np.random.default_rng(11)
     centres = source.normal(size=(groups, dims))
