@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from orrery.operators.cells import SLACK, Cells, around_pivots, meetings, unit_rows as _unit_rows
 from orrery.operators.neighbours import BLOCK_ROWS, BROADCAST_BYTES, _as_input, _Side, size_of
-from orrery.session import cut, cut_to_size, fitted
+from orrery.session import PART_ROWS, cut, cut_to_size, fitted
 
 _EDGE = "a long, b long, similarity double"
 _TILE = 1024
@@ -18,15 +18,46 @@ _ROUNDING = 1e-11
 PIVOTS = 1024
 
 
+def joined_in_order(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(every end once, the tree it is in, which edges join two trees when they are taken in their order)."""
+    names, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    root, joins = list(range(len(names))), np.zeros(len(u), dtype=bool)
+
+    def top(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    for edge, (i, j) in enumerate(zip(at[: len(u)].tolist(), at[len(u) :].tolist(), strict=True)):
+        i, j = top(i), top(j)
+        if i != j:
+            root[max(i, j)] = min(i, j)
+            joins[edge] = True
+    return names, names[[top(i) for i in range(len(names))]], joins
+
+
+def _settled(edges: DataFrame) -> DataFrame:
+    """(u, p) with one p per component, of edges (u, v) that fit in one part."""
+    def settle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = pd.concat([*batches], ignore_index=True)
+        names, tree, _ = joined_in_order(rows["u"].to_numpy(), rows["v"].to_numpy())
+        yield pd.DataFrame({"u": names, "p": tree})
+
+    kind = edges.schema["u"].dataType.simpleString()
+    return edges.coalesce(1).mapInPandas(settle, f"u {kind}, p {kind}")
+
+
 def connected_components(nodes: DataFrame, edges: DataFrame, a: str = "a", b: str = "b",
-                         max_rounds: int = 200) -> DataFrame:
+                         max_rounds: int = 200, part_rows: int = PART_ROWS) -> DataFrame:
     """(id, component) with the smallest id of the component, for every node.
 
     Every round points each node at its neighbour of lowest random priority (or itself, if that
     is lower), follows the pointers two steps and contracts the graph along them. The edges that are left shrink by a constant share, so a hub
-    disappears early and long chains take a logarithmic number of rounds. The pointers of all
-    rounds are then followed once, from the smallest table to the largest. Every table has as
-    many parts as its rows need, so the late rounds are a few tasks.
+    disappears early and long chains take a logarithmic number of rounds. When the edges that are
+    left fit in one part (``part_rows``), the task that holds it joins them one by one, instead of a
+    dozen jobs a round for fewer and fewer rows. The pointers of all rounds are then followed once,
+    from the smallest table to the largest. Every table has as many parts as its rows need.
     """
     current, left = cut_to_size(
         edges.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u <> v").distinct()
@@ -35,6 +66,9 @@ def connected_components(nodes: DataFrame, edges: DataFrame, a: str = "a", b: st
     while left:
         if len(pointers) >= max_rounds:
             raise RuntimeError(f"components not settled after {max_rounds} rounds")
+        if left <= part_rows:
+            pointers.append(_settled(current))
+            break
         both = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
         salt = F.lit(len(pointers))
         of_v, of_u = F.xxhash64("v", salt), F.xxhash64("u", salt)

@@ -12,13 +12,15 @@ parts that are no near neighbours of each other stay apart.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from orrery.operators.graphs import connected_components
+from orrery.operators.graphs import connected_components, joined_in_order
 from orrery.operators.positions import with_position
-from orrery.session import cut_to_size, fitted
+from orrery.session import PART_ROWS, cut_to_size, fitted
 
 NOISE = -1
 
@@ -39,12 +41,25 @@ def reachability(neighbours: DataFrame, min_samples: int) -> DataFrame:
         F.min(F.greatest("distance", "core_i", "core_j")).alias("weight"))
 
 
-def spanning_forest(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
+def _least(edges: DataFrame) -> DataFrame:
+    """(a, b, weight) of the edges (u, v, a, b, weight), in one part, that join two trees when taken by weight."""
+    def choose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = pd.concat([*batches], ignore_index=True)
+        rows = rows.iloc[np.lexsort((rows["b"], rows["a"], rows["weight"]))]
+        yield rows.loc[joined_in_order(rows["u"].to_numpy(), rows["v"].to_numpy())[2], ["a", "b", "weight"]]
+
+    fields = ", ".join(f"{name} {edges.schema[name].dataType.simpleString()}" for name in ("a", "b", "weight"))
+    return edges.coalesce(1).mapInPandas(choose, fields)
+
+
+def spanning_forest(edges: DataFrame, max_rounds: int = 64, part_rows: int = PART_ROWS) -> DataFrame:
     """The minimum spanning forest of (a, b, weight), equal weights in the order of a and b.
 
     In every round each tree takes its least edge to another tree and is joined with it, so the
     number of trees that have an edge at least halves; of parallel edges between two trees only the
-    least goes on. The order of edges has no ties, so no round closes a circle.
+    least goes on. The order of edges has no ties, so no round closes a circle. When the edges that are
+    left fit in one part (``part_rows``), the task that holds it takes them by weight; as there are no
+    ties, the forest is the same.
     """
     least = F.min(F.struct("weight", "a", "b")).alias("least")
     left, rows = cut_to_size(edges.filter("a <> b").select(F.col("a").alias("u"), F.col("b").alias("v"), "a", "b", "weight"))
@@ -52,12 +67,15 @@ def spanning_forest(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
     while rows:
         if len(chosen) >= max_rounds:
             raise RuntimeError(f"spanning forest not settled after {max_rounds} rounds")
+        if rows <= part_rows:
+            chosen.append(_least(left))
+            break
         ends = left.unionByName(left.select(F.col("v").alias("u"), F.col("u").alias("v"), "a", "b", "weight"))
         picks = fitted(ends.groupBy("u").agg(F.min(F.struct("weight", "a", "b", "v")).alias("pick")), rows)
         picks, _ = cut_to_size(picks.select("u", "pick.*"))
         chosen.append(picks.select("a", "b", "weight").distinct())
         # every tree that has an edge picks one, so the other end of a pick is a tree with a pick too
-        joined, _ = cut_to_size(connected_components(picks.select(F.col("u").alias("id")), picks, "u", "v"))
+        joined, _ = cut_to_size(connected_components(picks.select(F.col("u").alias("id")), picks, "u", "v", part_rows=part_rows))
         for end in ("u", "v"):
             left = fitted(left, rows).join(joined.select(F.col("id").alias(end), F.col("component").alias("_tree")), end).withColumn(
                 end, F.col("_tree")).drop("_tree")

@@ -60,3 +60,24 @@ def test_components_of_few_edges_take_few_tasks(spark):
     finally:
         for key, value in before.items():
             spark.conf.set(key, value)
+
+
+def jobs_of(spark, name, made):
+    """What ``made`` gives, and how many jobs it took: each leaves plans, stages and metrics in the driver's memory."""
+    spark.sparkContext.setJobGroup(name, name)
+    try:
+        return made(), len(spark.sparkContext.statusTracker().getJobIdsForGroup(name))
+    finally:
+        spark.sparkContext._jsc.clearJobGroup()
+
+
+def test_what_fits_in_one_part_is_settled_in_few_jobs(spark):
+    edges = spark.range(3000).select(F.col("id").alias("a"), F.xxhash64("id").bitwiseAND(F.lit(1023)).alias("b"),
+                                     (F.xxhash64("id", F.lit(1)).bitwiseAND(F.lit(7)) / 2).alias("weight"))
+    nodes = spark.range(3001)
+    found, jobs = jobs_of(spark, "few components", lambda: connected_components(nodes, edges).collect())
+    in_rounds = connected_components(nodes, edges, part_rows=40).collect()
+    assert sorted(found) == sorted(in_rounds) and jobs < 15, jobs
+    found, jobs = jobs_of(spark, "few trees", lambda: spanning_forest(edges).collect())
+    in_rounds = spanning_forest(edges, part_rows=40).collect()
+    assert sorted(found) == sorted(in_rounds) == sorted(spanning_forest(edges, part_rows=0).collect()) and jobs < 15, jobs
