@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 from orrery.operators.graphs import connected_components
-from orrery.operators.spanning import spanning_forest
+from orrery.operators.spanning import clusters_by_level, reachability, spanning_forest
 from orrery.session import cut, cut_to_size
 
 
@@ -81,3 +81,15 @@ def test_what_fits_in_one_part_is_settled_in_few_jobs(spark):
     found, jobs = jobs_of(spark, "few trees", lambda: spanning_forest(edges).collect())
     in_rounds = spanning_forest(edges, part_rows=40).collect()
     assert sorted(found) == sorted(in_rounds) == sorted(spanning_forest(edges, part_rows=0).collect()) and jobs < 15, jobs
+
+
+def test_clusters_at_three_densities_take_few_jobs(spark):
+    table = cut(spark.range(2000).select(F.col("id"), F.explode(F.array(*[F.lit(i) for i in range(1, 5)])).alias("rank")).select(
+        "id", ((F.col("id") * 7 + F.col("rank") * F.col("rank")) % 2000).alias("neighbour"), "rank", F.col("rank").cast("double").alias("distance")))
+
+    def made():
+        forest = spanning_forest(reachability(table, 3))
+        return clusters_by_level(table.select("id").distinct(), forest, [1.0, 2.0, 3.5], 2).collect()
+
+    found, jobs = jobs_of(spark, "three densities", made)
+    assert len(found) == 6000 and jobs < 100, jobs
